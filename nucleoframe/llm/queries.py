@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, neardup, packing, tokencount
+from . import chat, media, neardup, packing, quality, tokencount, toxicity
 from .common import table
 
 
@@ -15,6 +15,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_as_media(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,6 +49,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_toxicity": op2_toxicity,
+    "op9_quality": op9_quality,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_chat": op6_chat,
