@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, neardup, packing, quality, tokencount, toxicity
+from . import chat, decontaminate, media, neardup, packing, pii, quality, tokencount, toxicity
 from .common import table
 
 
@@ -43,6 +43,14 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(chat.records_of(turns.unionByName(extra))))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.QUERY_KEY)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -54,10 +62,13 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_chat": op6_chat,
+    "op7_decontamination": op7_decontamination,
+    "op8_pii": op8_pii,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": decontaminate.oracle_sql(),
     "op6_chat": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features with isotonic calibration.
 
 Features are densities of a lexicon, distance to second-person words, capitals,
-punctuation and obfuscation rates. The lexicon (words and five-letter stems with their
+punctuation and obfuscation rates. The lexicon (words and stems with their
 log odds) is learnt from the labelled rows; for fitting, each row's features come from
 the lexicon of the other half of the rows, and the calibration uses scores of models
 that haven't seen the row.
@@ -42,12 +42,12 @@ FEATURES = (
     "log_words", "hits_per_100", "log_hits", "distinct_hits", "strong_per_100", "log_strong", "odds_per_word", "top_odds", "stem_hits_per_100", "log_stem_hits",
     "second_person_share", "second_person_distance", "upper_share", "mark_share", "loud_share", "masked_share", "masked_hits", "long_run_share",
 )
-STEM = 5
+STEMS = (4, 5, 6)
 
 
 def tokens(words: set[str]) -> set[str]:
     """Distinct words and their stems, which are marked by a star."""
-    return words | {w[:STEM] + "*" for w in words if len(w) >= STEM}
+    return words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in STEMS))
 
 
 def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
@@ -58,7 +58,7 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     n = len(words) or 1
     distinct = set(words)
     hit = {w: lexicon[w] for w in distinct if w in lexicon}
-    stems = {w for w in distinct if len(w) >= STEM and w[:STEM] + "*" in lexicon}
+    stems = {w for w in distinct if any(w[:k] + "*" in lexicon for k in STEMS)}
     counts = Counter(w for w in words if w in hit or w in stems) if hit or stems else {}
     hits = sum(counts[w] for w in hit)
     strong = sum(counts[w] for w, odds in hit.items() if odds >= 4)
