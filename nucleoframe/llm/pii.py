@@ -54,7 +54,7 @@ IPV4 = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\w]|
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)")
 LONG_PHONE = re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-CARD = re.compile(r"(?<![\w.-])[3-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])")
+CARD = re.compile(r"(?<![\w.-])[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<!\w)(AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)([A-Za-z0-9_-]{12,})")
 ASSIGNED = re.compile(r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*([\"']?)([^\s\"',;]{6,})\1")
@@ -134,6 +134,11 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+def is_card(text: str) -> bool:
+    digits = "".join(c for c in text if c.isdigit())
+    return 13 <= len(digits) <= 19 and luhn(digits[:-1]) == int(digits[-1])
+
+
 def refill(text: str, digits: str) -> str:
     """text with its digits replaced in order."""
     it = iter(digits)
@@ -191,12 +196,11 @@ class Surrogates:
 
     def card(self, text: str) -> str:
         digits = "".join(c for c in text if c.isdigit())
-        body, check = digits[:-1], int(digits[-1])
-        off = (check - luhn(body)) % 10  # 0 for valid numbers, which stay valid
+        body = digits[:-1]
         n = len(body) - 1
         moved = self.key.moved(f"card{digits[0]}{n}", int(body[1:]), 10 ** (n // 2), 10 ** (n - n // 2))
         body = body[0] + f"{moved:0{n}d}"
-        return refill(text, body + str((luhn(body) + off) % 10))
+        return refill(text, body + str(luhn(body)))
 
     def iban(self, text: str) -> str:
         return text[:4] + self.key.same_format("iban" + text[:4], text[4:])
@@ -232,7 +236,7 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     if has_digit:
         found += [(*m.span(), "iban", "") for m in IBAN.finditer(text)]
         found += [(*m.span(), "ip", "") for m in IPV4.finditer(text) if all(int(x) < 256 and (x == "0" or x[0] != "0") for x in m.groups())]
-        found += [(*m.span(), "card", "") for m in CARD.finditer(text) if 13 <= sum(c.isdigit() for c in m[0]) <= 19]
+        found += [(*m.span(), "card", "") for m in CARD.finditer(text) if is_card(m[0])]
         found += [(*m.span(), "ssn", "") for m in SSN.finditer(text)]
         found += [(*m.span(), "phone", "") for p in (PHONE, LONG_PHONE) for m in p.finditer(text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
     if any(t in text for t in _TITLE_GENDER):

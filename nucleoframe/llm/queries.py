@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, neardup, packing, pii, quality, tokencount, toxicity
+from . import chat, decontaminate, media, neardup, packing, pii, quality, suffixes, tokencount, toxicity
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op1_media": op1_media,
     "op2_toxicity": op2_toxicity,
     "op9_quality": op9_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_packing": op4_packing,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_chat": op6_chat,
