@@ -9,10 +9,11 @@ POSITION = (
 WINDOW = "gene string, win long, coverage long, mutant long, mutrate double, win_end long"
 CELL_POSITION = "gene string, pos long, ref string, cell string, cell_idx int, dp int, ad int, oth int, all_counts array<int>"
 CELL_WINDOW = "gene string, win long, win_end long, ref string, cell string, dp long, ad long, mr double"
-ALIGNMENTS = (
-    "ord long, read_id string, flag int, ref_name string, ref_start long, ref_length int, mapq int, "
-    "cigar array<struct<op:int,len:int>>, seq string, qual string, tags map<string,string>"
-)
+ALIGNMENT_COLUMNS = {
+    "ord": "long", "read_id": "string", "flag": "int", "ref_name": "string", "ref_start": "long", "ref_length": "int", "mapq": "int",
+    "cigar": "array<struct<op:int,len:int>>", "seq": "string", "qual": "string", "tags": "map<string,string>",
+}
+ALIGNMENTS = ", ".join(f"{name} {kind}" for name, kind in ALIGNMENT_COLUMNS.items())
 FASTQ = "file string, rec long, header string, sequence string, plus string, quality string"
 BASE_VCF = "gene string, pos long, ref string, coverage long, mutrate double"
 GENE_COUNTS = "gene string, length long, reads long, total_reads long"

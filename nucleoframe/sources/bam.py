@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import StructType
 
 from .. import schemas
 
@@ -196,10 +195,9 @@ class BamSource(DataSource):
     def name(cls) -> str:
         return "nucleo_bam"
 
-    def schema(self) -> StructType:
-        whole = StructType.fromDDL(schemas.ALIGNMENTS)
-        wanted = [c for c in self.options.get("columns", "").split(",") if c]
-        return StructType([whole[c] for c in wanted]) if wanted else whole
+    def schema(self) -> str:
+        wanted = [c for c in self.options.get("columns", "").split(",") if c] or schemas.ALIGNMENT_COLUMNS
+        return ", ".join(f"{c} {schemas.ALIGNMENT_COLUMNS[c]}" for c in wanted)
 
     def reader(self, schema):
         paths = [p for p in self.options.get("paths", self.options.get("path", "")).split(",") if p]
