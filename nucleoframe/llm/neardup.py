@@ -14,7 +14,8 @@ then every candidate whose ends are not yet in one component. With 16 trees and
 a pair of similarity 0.75 is missed with probability 0.0002, one of 0.8 with 0.00001.
 
 Cases: fewer than five words: the whole sequence is the one shingle; no words (null,
-empty, blank): an empty set, linked with nothing; repeated rows get equal values; a row
+empty, blank): an empty set, linked with nothing; repeated rows get equal values, and rows
+that share an id are linked as one document is; a row
 without an id keeps component null and is kept; extra columns are ignored.
 """
 
@@ -149,11 +150,17 @@ def forest_candidates(classes: DataFrame, least_depth: int = 3, region: int = 32
     return pairs.union(order.mapInArrow(beside, "a long, b long")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def candidate_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, found): full sets of the documents that occur in a pair, made once. The ids
+    grow with the corpus, so they are dealt out with the texts and never broadcast."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = full_sets(one.join(ids, "id", "left_semi").dropDuplicates(["id"]), "id", "text")
+    held = one.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "text"])
+    return written(full_sets(held, "id", "text"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     held = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a")
     held = held.join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -181,7 +188,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = both.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = written(confirmed(best, docs, id_col, text_col), "links")
+    sets = candidate_sets(found, docs, id_col, text_col)
+    links = written(confirmed(best, sets), "links")
     labels = components(links, "a", "b")
 
     # then whatever still lies between two components
@@ -190,7 +198,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rest = found.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     rest = rest.where("not coalesce(of_a, a) <=> coalesce(of_b, b)").select("a", "b")
-    more = written(confirmed(written(rest, "rest"), docs, id_col, text_col), "links")
+    more = written(confirmed(written(rest, "rest"), sets), "links")
     final = components(links.union(more), "a", "b")
 
     named = classes.select("set_id", "id").join(final, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
