@@ -246,11 +246,13 @@ def media_tracks(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per track of each container (columns of TRACKS); a container that can't
     be read gives one row with `error`; a null one gives none."""
 
-    def read(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(TRACKS))
 
-        sink = Sink(to_arrow_schema(StructType.fromDDL(TRACKS)))
+    def read(batches):
+        sink = Sink(schema)
         for key, media in rows(batches):
             if media is None:
                 continue
