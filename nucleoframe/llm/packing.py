@@ -174,7 +174,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[
                 r = room[where]
                 back = np.flatnonzero((r > 0) & (size < s) & (size >= s - r))
                 if len(back):
-                    b = int(back[np.argmin(size[back])])
+                    b = int(back[np.argmin(r[back] + size[back])])  # the fullest bin afterwards
                     to = int(where[b])
                     where[list(given)] = to
                     where[b] = target

@@ -60,12 +60,14 @@ def test_bins(lengths):
 
 
 def test_local_search_empties_bins():
-    # two bins of 60 and 40 of 100, which hold pieces that fit together after an exchange
-    lengths = np.array([35, 30, 35, 50, 50])
-    bins = [[0, 1], [2, 3], [4]]
-    packed = packing.local_search(bins, lengths, 100)
-    assert sorted(i for b in packed for i in b) == [0, 1, 2, 3, 4]
-    assert len(packed) == 2
+    # 40 goes for 30 into the bin of 90, and the 30 then fills the bin of 70
+    lengths = np.array([60, 30, 70, 40])
+    packed = packing.local_search([[0, 1], [2], [3]], lengths, 100)
+    assert sorted(map(sorted, packed)) == [[0, 3], [1, 2]]
+    # two for one: 30 and 25 leave for the 50 of the bin of 95, whose place they fill
+    lengths = np.array([45, 50, 50, 30, 25])
+    packed = packing.local_search([[0, 1], [2], [3, 4]], lengths, 100)
+    assert sorted(map(sorted, packed)) == [[0, 3, 4], [1, 2]]
 
 
 # ---- near duplicates --------------------------------------------------------
