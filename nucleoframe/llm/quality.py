@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink, fold, rows
+from .common import fold
 from .samples import labelled_sample
 from .textstats import STATISTICS, statistics
 from .trees import Tree, boost, lasso_logistic, sigmoid
@@ -28,21 +28,20 @@ Rule = tuple[tuple[int, bool, float], ...]
 
 
 def with_statistics(df: DataFrame, carried: list[str], text_col: str = "text") -> DataFrame:
-    """The carried columns and STATISTICS of each row's whole text."""
+    """The carried columns, as they are, and STATISTICS of each row's whole text in
+    columns of these names with "__" in front."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    held = df.select(*[F.col(c) for c in carried], F.col(text_col).cast("string").alias("__text"))
+    held = df.select(*[F.col(f"`{c}`") for c in carried], F.col(text_col).cast("string").alias("__text"))
     schema = StructType([*[held.schema[c] for c in carried], *[StructField(f"__{s}", DoubleType()) for s in STATISTICS]])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        sink = Sink(arrow)
-        for *kept, text in rows(batches):
-            sink.add(*kept, *statistics(text), weight=len(text or "") if "text" in carried else 0)
-            if sink.full():
-                yield sink.take()
-        yield sink.take()
+        for batch in batches:
+            found = np.array([statistics(t.as_py()) for t in batch.columns[-1]], dtype=float).reshape(-1, len(STATISTICS))
+            columns = [*batch.columns[:-1], *[pa.array(c) for c in found.T]]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return held.mapInArrow(run, schema)
 
@@ -120,20 +119,19 @@ def fit_rules(x: np.ndarray, y: np.ndarray, penalties=(0.004, 0.002, 0.001, 0.00
 
 def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 5, held_out: int = 0, most: int = 20_000) -> Rules:
     """Fits on at most `most` labelled rows; only their statistics reach the driver."""
-    sample = with_statistics(labelled_sample(docs, labels, label, parts, held_out, most), ["doc_id", "y", "text"][:2])
+    sample = with_statistics(labelled_sample(docs, labels, label, parts, held_out, most), ["doc_id", "y"])
     found = sample.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     return fit_rules(found[[f"__{s}" for s in STATISTICS]].to_numpy(dtype=float), found["y"].to_numpy(dtype=float))
 
 
-def score_quality(docs: DataFrame, model: Rules, carried: list[str], threshold: float = 0.3) -> DataFrame:
-    """The carried columns, score and predicted (1 if score >= threshold)."""
-    score = with_statistics(docs, carried).select(*carried, model.column().alias("score"))
-    return score.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+def of_quality(docs: DataFrame, model: Rules, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs with a score of at least the threshold; columns stay as they are."""
+    return with_statistics(docs, docs.columns).where(model.column() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
     model = quality_model(docs, labels)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = score_quality(keyed, model, ["doc_id"])
-    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    out = with_statistics(keyed, ["doc_id"]).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), model.column().alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
