@@ -24,7 +24,7 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.3 or more stay."""
     model = quality.quality_model(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model, docs.columns).where("predicted = 1").select(docs.columns)
+    return quality.of_quality(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
