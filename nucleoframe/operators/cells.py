@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -42,12 +43,15 @@ def threshold_filter(long: DataFrame, coverage_threshold: int, mutrate_threshold
 
 
 def dimensions(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct positions and cells, numbered densely in order."""
-    from pyspark.sql import Window as W
-
-    positions = long.select("gene", "win").distinct().withColumn("row", F.row_number().over(W.orderBy("gene", "win")) - 1)
-    cells = long.select("cell").distinct().withColumn("col", F.row_number().over(W.orderBy("cell")) - 1)
-    return positions, cells
+    """Distinct positions (row) and cells (col), numbered densely in order. Positions are
+    numbered within their gene, after those of the genes before: only the genes' counts
+    and the cells are ever in one task."""
+    distinct = long.select("gene", "win").distinct()
+    before = W.orderBy("gene").rowsBetween(W.unboundedPreceding, -1)
+    genes = distinct.groupBy("gene").agg(F.count("*").alias("n")).select("gene", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("gene").orderBy("win")) - 1
+    positions = distinct.withColumn("place", place).join(genes, "gene").select("gene", "win", (F.col("before") + F.col("place")).alias("row"))
+    return positions, long.select("cell").distinct().withColumn("col", F.row_number().over(W.orderBy("cell")) - 1)
 
 
 def empty_dimensions(long: DataFrame, positions: DataFrame, cells: DataFrame) -> DataFrame:

@@ -53,8 +53,6 @@ def bulk_windows(position: DataFrame, win_len: int = 10, step: int = 10, coverag
     check_sizes(win_len, step)
     anchors = position.groupBy("gene").agg(F.min("pos").alias("anchor"))
     kept = position.where(F.col("mutrate") <= mutrate_threshold).select("gene", "pos", "coverage", "mutant")
-    if win_len == step:  # the window follows from sums by position alone
-        kept = kept.groupBy("gene", "pos").agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant"))
     sums = tiled(kept.join(anchors, "gene"), win_len, step).groupBy("gene", "win", "win_end")
     sums = sums.agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant")).where(F.col("coverage") >= coverage_threshold)
     return sums.select("gene", "win", "coverage", "mutant", rate("mutant", "coverage").alias("mutrate"), "win_end")
