@@ -73,6 +73,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_near_duplicates": neardup.ORACLE_SQL,
     "op7_decontamination": decontaminate.oracle_sql(),
     "op6_chat": r"""
 WITH turns AS (
