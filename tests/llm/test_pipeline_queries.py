@@ -19,8 +19,8 @@ def small(spark, tmp_path_factory):
     clean = [(i, prose(i, 60 + i % 50).capitalize() + ".") for i in range(1, 200)]
     junk = [(i, prose(i, 40).upper().replace(" ", "!! ")) for i in range(1000, 1080)]
     near = [(2000 + i, clean[i][1] + " tail") for i in range(20)]
-    leak = [(3000, prose(7, 20) + " " + BENCH), (3001, BENCH)]
-    private = [(4000, prose(8, 80) + " mail zoe.99@mail1.example.com and 4041894974608795."), (4001, None), (4002, "")]
+    leak = [(3000, prose(7776, 20) + " " + BENCH), (3001, BENCH)]
+    private = [(4000, prose(7777, 80) + " mail zoe.99@mail1.example.com and 4041894974608795."), (4001, None), (4002, "")]
     docs = [(i, t, "en", "s", len(t or "")) for i, t in [*clean, *junk, *near, *leak, *private]]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
     labels = [(i, 1, 0) for i, _ in clean] + [(i, 0, 0) for i, _ in junk]
