@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Masks over spans of SPAN tokens: 1 is hashed, 0 is ignored.
 MASKS = ("110110100111", "111001011011", "101111100101")
 SPAN = 12
+#: Windows that begin in one chunk of a text.
+CHUNK = 64
 
 
 def tokens(text: Column) -> Column:
@@ -29,39 +31,54 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def keys(hashes: str, at: str) -> Column:
-    """The hash of each mask for the window of `hashes` that starts at `at`."""
-    return F.array(
+def chunked(text: Column, reach: int) -> Column:
+    """A text's tokens as overlapping chunks of bounded length, so that a row never holds
+    a whole document: {base, n, part}. Windows start at base .. base + n - 1 of part,
+    which has `reach` more tokens on both sides wherever the text has them."""
+
+    def of(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - SPAN, F.lit(0)), F.lit(CHUNK)), lambda _: F.size(t) >= SPAN)
+        return F.transform(
+            starts,
+            lambda s: F.struct(
+                F.least(s, F.lit(reach)).alias("base"),
+                F.least(F.lit(CHUNK), F.size(t) - SPAN - s + 1).alias("n"),
+                F.slice(t, F.greatest(s - reach, F.lit(0)) + 1, F.lit(CHUNK + SPAN - 1 + 2 * reach)).alias("part"),
+            ),
+        )
+
+    # the tokens are bound once, as the only item of an array
+    return F.flatten(F.transform(F.array(tokens(text)), of))
+
+
+def windows(df: DataFrame, ident: str, side: str, reach: int) -> DataFrame:
+    """(ident, <side>, <side>_at, key): one row for each window and mask, with its chunk."""
+    at = f"{side}_at"
+    # the outer form keeps the optimizer from making the chunks twice, for a filter on them
+    chunks = df.select(F.col(ident).cast("long").alias(ident), F.explode_outer(chunked(F.col("text").cast("string"), reach)).alias("c")).where("c is not null")
+    placed = chunks.select(ident, F.col("c.part").alias(side), F.explode(F.sequence(F.col("c.base"), F.col("c.base") + F.col("c.n") - 1)).alias(at))
+    key = F.array(
         *[
-            F.xxhash64(F.lit(k), *[F.get(F.col(hashes), F.col(at) + i) for i, used in enumerate(mask) if used == "1"])
+            F.xxhash64(F.lit(k), *[F.get(F.col(side), F.col(at) + i) for i, used in enumerate(mask) if used == "1"])
             for k, mask in enumerate(MASKS)
         ]
     )
-
-
-def windows(df: DataFrame, hashes: str, at: str, key: str) -> DataFrame:
-    """One row for each window and mask."""
-    placed = df.where(F.size(hashes) >= SPAN).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(hashes) - SPAN)))
-    return placed.withColumn(key, F.explode(keys(hashes, at)))
+    return placed.select(ident, side, at, F.explode(key).alias("key"))
 
 
 def hits(docs: DataFrame, items: DataFrame, share: float, reach: int, broadcast_windows: int) -> DataFrame:
     """(doc_id, item_id, equal): the hits that count, with the number of equal tokens."""
-    bench = items.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("item"))
-    bench = windows(bench, "item", "item_at", "key").dropDuplicates(["item_id", "key", "item_at"])
+    bench = windows(items, "item_id", "item", reach).dropDuplicates(["item_id", "key", "item", "item_at"])
     # a window begins with a token, so there are at most half as many windows as characters
     characters = items.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
     if characters / 2 * len(MASKS) <= broadcast_windows:
         bench = F.broadcast(bench)
-    spread = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("doc"))
-    met = windows(spread, "doc", "doc_at", "key").join(bench, "key")
+    met = windows(docs, "doc_id", "doc", reach).join(bench, "key")
     # the item's tokens within reach of the hit, and the document's tokens beside them
     first = F.greatest(F.col("item_at") - reach, F.lit(0))
     last = F.least(F.col("item_at") + SPAN + reach, F.size("item"))
     offset = F.col("doc_at") - F.col("item_at")
-    equal = F.size(
-        F.filter(F.sequence(first, last - 1), lambda i: F.get(F.col("item"), i) == F.get(F.col("doc"), i + offset))
-    )
+    equal = F.size(F.filter(F.sequence(first, last - 1), lambda i: F.get(F.col("item"), i) == F.get(F.col("doc"), i + offset)))
     return met.select("doc_id", "item_id", equal.alias("equal"), (last - first).alias("length")).where(F.col("equal") >= F.col("length") * share)
 
 
