@@ -79,3 +79,13 @@ def position_filter(positions: DataFrame, coverage_threshold: int = -1, normaliz
 def rounded_mean(df: DataFrame, value: str, keys: list[str], digits: int = 8) -> DataFrame:
     """Mean to some places, half to even, 0 for no values."""
     return df.groupBy(*keys).agg(F.bround(F.coalesce(F.avg(value), F.lit(0.0)), digits).alias("mean"))
+
+
+def position_table(positions: DataFrame) -> DataFrame:
+    """The 13 columns of a position file, in order; the strand isn't known."""
+    have = set(positions.columns)
+    or_null = lambda c, kind: (F.col(c) if c in have else F.lit(None).cast(kind)).alias(c)
+    return positions.select(
+        "gene", "pos", "end", F.concat_ws(".", "gene", F.col("pos").cast("string")).alias("gene_position"), "mutrate", F.lit(".").alias("strand"),
+        "coverage", "adj_coverage", "mutant", or_null("normalized_cov", "double"), or_null("g_readcount", "long"), "refnt", "detail",
+    )
