@@ -58,8 +58,12 @@ CARD = re.compile(r"(?<![\w.-])[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<!\w)(AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)([A-Za-z0-9_-]{12,})")
 ASSIGNED = re.compile(r"\b(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*([\"']?)([^\s\"',;]{6,})\1")
+#: A quoted hexadecimal string of at least 128 bits is a key or a token, whatever it is assigned to.
+QUOTED = re.compile(r"([\"'])([0-9A-Fa-f]{32,128})\1")
 
-HEX = re.compile(r"[0-9a-f]+\Z")
+#: Hexadecimal strings stay so; short ones are taken as letters and digits, lest the
+#: images of other strings fall among theirs.
+HEX = re.compile(r"(?=.*\d)(?:[0-9a-f]{16,}|[0-9A-F]{16,})\Z")
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
@@ -97,12 +101,12 @@ class Key:
     def same_format(self, kind: str, text: str, keep: int = 0) -> str:
         """Letters and digits move within their class; other characters and the first
         `keep` letters and digits stay."""
-        hexed = HEX.match(text) is not None and any(c.isdigit() for c in text)
+        hexed = HEX.match(text) is not None
         at, radix, digits = [], [], []
         for i, c in enumerate(text):
             for k, alphabet in enumerate(CLASSES):
                 if c in alphabet:
-                    at.append((i, "abcdef" if hexed and k == 1 else alphabet))
+                    at.append((i, alphabet[:6] if hexed and k else alphabet))
         at = at[keep:]
         for i, alphabet in at:
             radix.append(len(alphabet))
@@ -230,7 +234,7 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
     has_digit = any(d in text for d in "0123456789")
     if has_digit or "=" in text or ":" in text:
         found += [(*m.span(2), "secret", "") for m in ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
-        found += [(*m.span(2), "secret", "") for m in ACCESS.finditer(text)]
+        found += [(*m.span(2), "secret", "") for p in (ACCESS, QUOTED) for m in p.finditer(text)]
     if "@" in text:
         found += [(*m.span(), "email", "") for m in EMAIL.finditer(text)]
     if has_digit:
