@@ -45,7 +45,7 @@ class Ids:
     """Token ids of texts. Pre-tokens are independent of each other, so each distinct one
     is encoded once and its ids kept; beyond `most` kept pre-tokens the store restarts."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

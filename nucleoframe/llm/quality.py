@@ -33,14 +33,16 @@ def with_statistics(df: DataFrame, carried: list[str], text_col: str = "text") -
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    held = df.select(*[F.col(f"`{c}`") for c in carried], F.col(text_col).cast("string").alias("__text"))
+    # a text that is carried anyway isn't sent a second time
+    twice = text_col not in carried or df.schema[text_col].dataType.typeName() != "string"
+    held = df.select(*[F.col(f"`{c}`") for c in carried], *([F.col(text_col).cast("string").alias("__text")] if twice else []))
     schema = StructType([*[held.schema[c] for c in carried], *[StructField(f"__{s}", DoubleType()) for s in STATISTICS]])
-    arrow = to_arrow_schema(schema)
+    arrow, at, kept = to_arrow_schema(schema), -1 if twice else carried.index(text_col), len(carried)
 
     def run(batches):
         for batch in batches:
-            found = np.array([statistics(t.as_py()) for t in batch.columns[-1]], dtype=float).reshape(-1, len(STATISTICS))
-            columns = [*batch.columns[:-1], *[pa.array(c) for c in found.T]]
+            found = np.array([statistics(t.as_py()) for t in batch.columns[at]], dtype=float).reshape(-1, len(STATISTICS))
+            columns = [*batch.columns[:kept], *[pa.array(c) for c in found.T]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return held.mapInArrow(run, schema)

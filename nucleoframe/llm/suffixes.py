@@ -356,9 +356,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns = list(zip(*Refinement(row, buckets, 3).results()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    replies: list[DataFrame] = []
-    for step in (1, 2, 3):
-        replies.append(answered(asked(step, replies)))
-    out = written(joined(replies).mapInArrow(finished, RESULT), "suffix-result")
-    spark.sql(f"DROP TABLE {table}")
-    return out
+    try:
+        replies: list[DataFrame] = []
+        for step in (1, 2, 3):
+            replies.append(answered(asked(step, replies)))
+        return written(joined(replies).mapInArrow(finished, RESULT), "suffix-result")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
