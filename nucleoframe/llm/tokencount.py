@@ -74,63 +74,69 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 
 
 class Counts:
-    """Forward scores over a trie of pre-tokens. A node is a list of its depth's best
-    score and count, the open matches in the vocabulary trie, and its children. Beyond
-    `most` nodes the trie is begun anew, which costs time and changes no count."""
+    """Forward scores over a trie of pre-tokens.
 
-    def __init__(self, pieces: list[tuple[str, float]], unknown: float | None = None, most: int = 1_000_000):
+    The trie is walked in sorted order with the nodes of the current path on a stack, so
+    each shared prefix of a call is computed once and memory is that of one path. A node
+    is the best score and fewest tokens up to its depth, and the matches that are still
+    open in the trie of the vocabulary."""
+
+    def __init__(self, pieces: list[tuple[str, float]], unknown: float | None = None):
         self.unknown = min((s for _, s in pieces), default=0.0) - 10.0 if unknown is None else unknown
-        self.most = most
-        # a vocabulary node: (children by character, score or None)
+        # a vocabulary node: children by character, and its score if it is a piece
         self.vocabulary: list = [{}, None]
         for text, score in pieces:
             node = self.vocabulary
             for c in text:
                 node = node[0].setdefault(c, [{}, None])
             node[1] = score
-        self.restart()
-
-    def restart(self) -> None:
-        self.begun = (0.0, 0, ((self.vocabulary[0], 0.0, 0),), {})
-        self.nodes = 0
-        self.root = self.step(self.begun, BEGIN)
-
-    def step(self, node: tuple, c: str) -> tuple:
-        """The node one character further: its best score over all pieces that end here."""
-        score, count, open_matches, _ = node
-        best, fewest, still = score + self.unknown, count + len(c.encode("utf-8", "surrogatepass")), []
-        for children, before, tokens in open_matches:
-            found = children.get(c)
-            if found is not None:
-                piece = found[1]
-                if piece is not None:
-                    total = before + piece
-                    if total > best or total == best and tokens + 1 < fewest:
-                        best, fewest = total, tokens + 1
-                if found[0]:
-                    still.append((found[0], before, tokens))
-        still.append((self.vocabulary[0], best, fewest))
-        self.nodes += 1
-        return best, fewest, still, {}
-
-    def of(self, word: str) -> int:
-        node = self.root
-        for c in word:
-            after = node[3].get(c)
-            if after is None:
-                after = node[3][c] = self.step(node, c)
-            node = after
-        return node[1]
+        self.computed = 0
+        begun = [(0.0, 0, [(self.vocabulary[0], 0.0, 0)])]
+        self.extend(begun, BEGIN)
+        self.root = begun[-1]
+
+    def extend(self, path: list[tuple], rest: str) -> None:
+        """Adds a node for each character of rest to the path."""
+        best, fewest, matches = path[-1]
+        for c in rest:
+            score = best + self.unknown
+            count = fewest + (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")))
+            still = []
+            for children, before, tokens in matches:
+                found = children.get(c)
+                if found is not None:
+                    deeper, piece = found
+                    if piece is not None:
+                        total = before + piece
+                        if total > score or total == score and tokens + 1 < count:
+                            score, count = total, tokens + 1
+                    if deeper:
+                        still.append((deeper, before, tokens))
+            still.append((self.vocabulary[0], score, count))
+            best, fewest, matches = score, count, still
+            path.append((score, count, still))
+        self.computed += len(rest)
 
     def of_all(self, words) -> dict[str, int]:
-        """Counts of distinct words, in sorted order so that prefixes meet."""
-        out = {}
+        """Token counts of distinct words."""
+        out: dict[str, int] = {}
+        path, last = [self.root], ""
         for word in sorted(words):
-            if self.nodes > self.most:
-                self.restart()
-            out[word] = self.of(word)
+            shared = 0
+            if word.startswith(last):
+                shared = len(last)
+            else:
+                while word[shared] == last[shared]:
+                    shared += 1
+            del path[shared + 1 :]
+            self.extend(path, word[shared:])
+            last = word
+            out[word] = path[-1][1]
         return out
 
+    def of(self, word: str) -> int:
+        return self.of_all([word])[word]
+
 
 @lru_cache(maxsize=2)
 def counts_of(path: str) -> Counts:
@@ -143,8 +149,8 @@ COUNTED = "doc_id long, n_words long, n_tokens long"
 def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000) -> DataFrame:
     """Words and tokens of each whole text: one row per input row, columns of COUNTED.
 
-    Distinct pre-tokens are gathered over slices of about slice_chars characters, so
-    memory is bounded; words seen in earlier slices are found in the trie again."""
+    Distinct pre-tokens are gathered over slices of about slice_chars characters; counts
+    are kept for later slices until there are 400,000, so memory is bounded."""
 
     def run(batches):
         counts = counts_of(vocabulary)

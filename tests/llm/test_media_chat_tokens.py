@@ -124,12 +124,16 @@ def test_token_counts(edge, empty):
     assert tokencount.token_counts(empty, VOCABULARY).count() == 0
 
 
-def test_trie_shares_and_restarts():
-    counts = tokencount.Counts([("▁", -1.0), ("a", -2.0), ("ab", -2.5), ("▁ab", -9.0), ("b", -2.0)], most=5)
-    words = {"ab", "aba", "abb", "b", "", "abab" * 10}
+def test_trie_shares_prefixes():
+    pieces = [("▁", -1.0), ("a", -2.0), ("ab", -2.5), ("▁ab", -9.0), ("b", -2.0)]
+    counts = tokencount.Counts(pieces)
+    words = {"ab", "aba", "abb", "b", "", "abab" * 10, "é"}
+    begun = counts.computed
     first = counts.of_all(words)
-    assert first == tokencount.Counts([("▁", -1.0), ("a", -2.0), ("ab", -2.5), ("▁ab", -9.0), ("b", -2.0)]).of_all(words)
-    assert first["ab"] == 2 and first["aba"] == 3 and first["abab" * 10] == 21
+    prefixes = {w[:i] for w in words for i in range(1, len(w) + 1)}
+    assert counts.computed - begun == len(prefixes)  # each prefix once
+    assert first == {w: best_segmentation(w, dict(pieces), -19.0) for w in words}
+    assert first["ab"] == 2 and first["aba"] == 3 and first["abab" * 10] == 21 and first["é"] == 3
 
 
 def test_scores_agree_with_a_unigram_tokenizer():
