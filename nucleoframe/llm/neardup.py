@@ -10,8 +10,13 @@ full depth, and keep a link to the least member at every depth on the way. So th
 number of candidates is linear in the entries, however large a region is.
 
 Candidates are confirmed on full sets: first each document's most frequent candidate,
-then every candidate whose ends are not yet in one component. With 16 trees and depth 3
-a pair of similarity 0.75 is missed with probability 0.0002, one of 0.8 with 0.00001.
+then every candidate whose ends are not yet in one component. An exact remainder follows:
+in every region of depth `least_depth` that still holds several components, each pair
+of members of different components is compared. Sizes, and sketches of the parities of
+hash buckets, refute a pair only where its similarity is surely too low; what they leave
+is confirmed on full sets. So every pair of a region is confirmed, refuted or joined
+already, however the entries are partitioned. With 16 trees and depth 3 a pair of
+similarity 0.75 shares no region with probability 0.0002, one of 0.8 with 0.00001.
 
 Cases: fewer than five words: the whole sequence is the one shingle; no words (null,
 empty, blank): an empty set, linked with nothing; repeated rows get equal values, and rows
@@ -31,6 +36,12 @@ from .common import Sink, rows, written
 from .graph import components
 
 TREES, DEPTH = 16, 6
+#: Values of the prefix that makes a region.
+LEAST_DEPTH = 3
+#: Members of a region that are compared in one piece, on either side.
+PIECE = 256
+#: Bits of the shortest and the longest sketch.
+LEAST_BITS, MOST_BITS = 1 << 9, 1 << 15
 #: Multiplier of the rolling combination and of the final mix (odd 64-bit constants).
 _M, _F1, _F2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
@@ -106,24 +117,41 @@ def full_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, found binary")
 
 
-def forest_candidates(classes: DataFrame, least_depth: int = 3, region: int = 32, neighbours: int = 3) -> DataFrame:
-    """(a, b, n): candidate pairs of class ids, a < b, and how often they were met."""
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the sizes of hash buckets, as bits: where two sets' sketches differ, at
+    least one hash is in one of the sets only. There are 8 bits for a hash or more, up to MOST_BITS."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(8 * len(found) - 1).bit_length()))
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def halved(bits: np.ndarray) -> np.ndarray:
+    """Sketches (rows) of half the length; a bucket's parity is that of its two parts."""
+    half = bits.shape[-1] // 2
+    return bits[..., :half] ^ bits[..., half:]
+
+
+def forest_entries(classes: DataFrame, least_depth: int = LEAST_DEPTH) -> DataFrame:
+    """(id, key, n, least, region): entries of the trees that share a region with another, its
+    size and least id."""
     width = 4 * DEPTH
     entries = classes.select("id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "signature").select(
         "id", F.concat(F.char(F.col("tree") + 65).cast("binary"), F.expr(f"substring(signature, tree * {width} + 1, {width})")).alias("key")
     )
 
-    def at(depth: int):
-        return F.xxhash64(F.substring("key", 1, 1 + 4 * depth))
+    # only what meets another entry goes on, and is sorted
+    return written(members(entries, least_depth), "forest")
 
-    def members(found: DataFrame, depth: int) -> DataFrame:
-        """Entries that share their prefix of this depth, with their region's size and least id."""
-        keyed = found.withColumn("h", at(depth))
-        regions = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-        return keyed.join(regions, "h").select("id", "key", "n", "least")
 
-    # only what meets another entry goes on, and is sorted
-    inside = written(members(entries, least_depth), "forest")
+def members(found: DataFrame, depth: int) -> DataFrame:
+    """Entries that share their prefix of this depth, with their region's size and least id."""
+    keyed = found.withColumn("h", F.xxhash64(F.substring("key", 1, 1 + 4 * depth)))
+    regions = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    return keyed.join(regions, "h").select("id", "key", "n", "least", F.col("h").alias("region"))
+
+
+def forest_candidates(inside: DataFrame, least_depth: int = LEAST_DEPTH, region: int = 32, neighbours: int = 3) -> DataFrame:
+    """(a, b, n): candidate pairs of class ids, a < b, and how often they were met."""
     stars = [inside.select("id", "least")]
     large = inside
     for depth in range(least_depth + 1, DEPTH + 1):
@@ -177,12 +205,105 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     return held.mapInArrow(run, "a long, b long")
 
 
+def pieces(inside: DataFrame, labels: DataFrame) -> DataFrame:
+    """(region, i, j, minor, id, of): the comparisons that are left in regions of several
+    components, dealt out in pieces. In a piece each minor member (not of the region's
+    largest component) meets every member of another component; `of` is the component."""
+    # a region of two is settled by the link to its least member
+    placed = inside.where("n > 2").select("region", "id").join(labels.withColumnRenamed("component", "of"), "id", "left")
+    placed = placed.select("region", "id", F.coalesce("of", "id").alias("of"))
+    counts = placed.groupBy("region", "of").agg(F.count("*").alias("n"))
+    still = counts.groupBy("region").agg(F.sum("n").alias("n"), F.max_by("of", F.struct("n", -F.col("of"))).alias("main"), F.max("n").alias("most")).where("most < n")
+    parts = lambda n: F.ceil(n / PIECE).cast("int")
+    still = still.select("region", "main", parts(F.col("n")).alias("all_parts"), parts(F.col("n") - F.col("most")).alias("minor_parts"))
+    member = written(placed.join(still, "region"), "still")
+
+    def dealt(minor: bool) -> DataFrame:
+        own, other = ("minor_parts", "all_parts") if minor else ("all_parts", "minor_parts")
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias("mine")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("each")
+        out = (member.where("of != main") if minor else member).select("region", "id", "of", mine, each)
+        i, j = ("mine", "each") if minor else ("each", "mine")
+        return out.select("region", F.col(i).alias("i"), F.col(j).alias("j"), F.lit(minor).alias("minor"), "id", "of")
+
+    return dealt(True).union(dealt(False))
+
+
+def sketches(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, size, bits): size and sketch of the ids' sets."""
+
+    def run(batches):
+        sink = Sink(pa.schema([("id", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]))
+        for key, found in rows(batches):
+            found = np.frombuffer(found, dtype=np.uint64)
+            bits = sketch(found)
+            sink.add(key, len(found), bits.tobytes(), weight=bits.nbytes)
+            if sink.full():
+                yield sink.take()
+        yield sink.take()
+
+    return sets.join(ids.hint("shuffle_hash"), "id", "left_semi").select("id", "found").mapInArrow(run, "id long, size long, bits binary")
+
+
+def unrefuted(minor: list, whole: list, percent: int = 75) -> set[tuple[int, int]]:
+    """Pairs of a piece's members (id, of, size, bits), of different components, that size and
+    sketch don't refute: a difference of d is too large if (100 + percent) * d > (100 - percent) * (x + y)."""
+    by_length: dict[int, list] = {}
+    for m in whole:
+        by_length.setdefault(len(m[3]) // 8, []).append(m)
+    held = {}
+    for length, ms in by_length.items():
+        ids, of, size = (np.array([m[k] for m in ms], dtype=np.int64) for k in range(3))
+        held[length] = ids, of, size, np.frombuffer(b"".join(m[3] for m in ms), dtype=np.uint64).reshape(len(ms), length)
+    out = set()
+    for key, of_key, n, bits in minor:
+        bits = np.frombuffer(bits, dtype=np.uint64)
+        for ids, of, size, table in held.values():
+            at = np.flatnonzero((of != of_key) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)))
+            if not len(at):
+                continue
+            x, y = bits, table[at]
+            while len(x) > y.shape[1]:
+                x = halved(x)
+            while len(x) < y.shape[1]:
+                y = halved(y)
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            for other in ids[at[(100 + percent) * differ <= (100 - percent) * (size[at] + n)]].tolist():
+                out.add((min(key, other), max(key, other)))
+    return out
+
+
+def remaining(inside: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of a region between two components that only full sets can tell."""
+    dealt = written(pieces(inside, labels), "pieces")
+    known = written(sketches(sets, dealt.select("id").distinct()), "sketches")
+    keys = ["region", "i", "j"]
+
+    def run(batches):
+        sink, now, sides = Sink(pa.schema([("a", pa.int64()), ("b", pa.int64())])), None, ([], [])
+        for region, i, j, minor, *member in rows(batches):
+            if (region, i, j) != now:
+                for pair in unrefuted(*sides):
+                    sink.add(*pair)
+                now, sides = (region, i, j), ([], [])
+                if sink.full():
+                    yield sink.take()
+            sides[0 if minor else 1].append(member)
+        for pair in unrefuted(*sides):
+            sink.add(*pair)
+        yield sink.take()
+
+    held = dealt.join(known, "id").select(*keys, "minor", "id", "of", "size", "bits")
+    return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id and kept."""
     signs = written(signed(docs, id_col, text_col), "signatures")
     known = signs.where("set_id is not null and doc_id is not null")
     classes = written(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
-    found = written(forest_candidates(classes.select("id", "signature")), "candidates")
+    inside = forest_entries(classes.select("id", "signature"))
+    found = written(forest_candidates(inside), "candidates")
 
     # first each document's most frequent candidate, so that few pairs need both sets
     both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
@@ -199,7 +320,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = found.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
     rest = rest.where("not coalesce(of_a, a) <=> coalesce(of_b, b)").select("a", "b")
     more = written(confirmed(written(rest, "rest"), sets), "links")
-    final = components(links.union(more), "a", "b")
+    final = written(components(links.union(more), "a", "b"), "components")
+
+    # and whatever else lies between two components of a region
+    last = written(confirmed(written(remaining(inside, final, sets), "remaining"), sets), "links")
+    if not last.isEmpty():
+        final = components(links.union(more).union(last), "a", "b")
 
     named = classes.select("set_id", "id").join(final, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
     joined = signs.join(named, "set_id", "left")

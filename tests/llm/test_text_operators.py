@@ -129,6 +129,36 @@ def test_near_duplicate_groups(spark):
     check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
 
 
+def hub(seed: int, first: int, copies: int, middle: int) -> list[tuple[int, str]]:
+    """Independently edited copies: each is near the base, whose id is the middle one, and
+    hardly any two copies are near each other."""
+    rng, base, docs = random.Random(seed), prose(seed, 300).split(), []
+    for i in range(copies + 1):
+        w = list(base)
+        if i != middle:
+            for at in rng.sample(range(0, 295, 6), 7):
+                w[at] = f"new{i}x{at}"
+        docs.append((first + i, " ".join(w)))
+    return docs
+
+
+def test_near_duplicates_of_a_hub(spark):
+    """The base with a middle id is the only link of more copies than its neighbours can be."""
+    docs = [*hub(21, 0, 400, 200), *hub(22, 1000, 7, 4), *hub(23, 2000, 300, 299)]
+    check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
+
+
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=400), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.integers(0, 60))
+@settings(max_examples=60, deadline=None)
+def test_sketches_refute_no_near_pair(x, more, less):
+    y = set(sorted(x)[less:]) | more
+    x, y = (np.array(sorted(s), dtype=np.uint64) for s in (x, y))
+    both = len(np.intersect1d(x, y))
+    if len(y) and 100 * both >= 75 * (len(x) + len(y) - both):
+        m, n = ((i, i, len(s), neardup.sketch(s).tobytes()) for i, s in enumerate((x, y)))
+        assert neardup.unrefuted([m], [n]) == neardup.unrefuted([n], [m]) == {(0, 1)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 103), (103, 101), (7, 7), (100, 103), (200, 5)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()))
