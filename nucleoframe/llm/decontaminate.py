@@ -1,17 +1,19 @@
-"""Benchmark decontamination by spaced-seed hashing, in DataFrame functions alone.
-
-A fixed mask over a span of tokens says which positions are hashed; the others are
-ignored, so a substitution at an ignored position doesn't hide a match, and several
-masks ignore different positions. Hashes of benchmark windows are joined with hashes of
-document windows. Around each hit the aligned tokens of document and item are compared
-one by one: a hit counts if at least `share` of the item's tokens in the window of the
-span and `reach` more on each side are equal. A document is contaminated if a hit counts.
-
-Tokens are maximal runs of letters and digits in lower case. Items with fewer tokens
-than the span are too short to tell and are not searched; neither are such documents.
-Null and empty texts are clean; repeated rows of an id give one row; extra columns are
-ignored. The benchmark's windows are broadcast only if they are at most
-`broadcast_windows`; beyond that the join shuffles.
+"""Benchmark decontamination by short seeds, in DataFrame functions alone.
+
+Hashes of runs of a few tokens of the benchmark are joined with those of the documents.
+Around each hit the aligned tokens of document and item are compared one by one, in
+every window near it: a span of the item and `reach` more tokens on each side. A window
+counts if at least `share` of its tokens are equal, or all of its span. A run of
+seed_length() equal tokens lies in every such window, so none is without a seed. Tokens
+that an end of the document cuts off are unequal. A document is contaminated if a window
+counts.
+
+Tokens are maximal runs of letters and digits in lower case. An item of fewer tokens than
+the span counts where all of them occur one after the other; one that is shorter than a
+seed (two tokens and less), where it is the whole document. Null and empty texts are
+clean; repeated rows of an id give one row; extra columns are ignored. The benchmark's
+windows are broadcast only if they are at most `broadcast_windows`; beyond that the join
+shuffles.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks over spans of SPAN tokens: 1 is hashed, 0 is ignored.
+#: Masks over spans of SPAN tokens: 1 is hashed, 0 is ignored. Only the SQL seeds by them.
 MASKS = ("110110100111", "111001011011", "101111100101")
 SPAN = 12
 #: Windows that begin in one chunk of a text.
@@ -31,19 +33,30 @@ def tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def chunked(text: Column, reach: int) -> Column:
+def seed_length(share: float, reach: int) -> int:
+    """The longest run of equal tokens that every window which counts has: unequal tokens
+    divide a window into one part more than there are of them."""
+    least = SPAN
+    for length in range(SPAN, SPAN + 2 * reach + 1):
+        equal = next(e for e in range(length + 1) if e >= length * share)
+        least = min(least, -(-equal // (length - equal + 1)))
+    return max(least, 1)
+
+
+def chunked(text: Column, seed: int, margin: int) -> Column:
     """A text's tokens as overlapping chunks of bounded length, so that a row never holds
-    a whole document: {base, n, part}. Windows start at base .. base + n - 1 of part,
-    which has `reach` more tokens on both sides wherever the text has them."""
+    a whole document: {base, n, part}. Seeds start at base .. base + n - 1 of part, which
+    has `margin` more tokens on both sides wherever the text has them. A text that is
+    shorter than a seed has one, which no longer text has."""
 
     def of(t: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - SPAN, F.lit(0)), F.lit(CHUNK)), lambda _: F.size(t) >= SPAN)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - seed, F.lit(0)), F.lit(CHUNK)), lambda _: F.size(t) > 0)
         return F.transform(
             starts,
             lambda s: F.struct(
-                F.least(s, F.lit(reach)).alias("base"),
-                F.least(F.lit(CHUNK), F.size(t) - SPAN - s + 1).alias("n"),
-                F.slice(t, F.greatest(s - reach, F.lit(0)) + 1, F.lit(CHUNK + SPAN - 1 + 2 * reach)).alias("part"),
+                F.least(s, F.lit(margin)).alias("base"),
+                F.greatest(F.least(F.lit(CHUNK), F.size(t) - seed - s + 1), F.lit(1)).alias("n"),
+                F.slice(t, F.greatest(s - margin, F.lit(0)) + 1, F.least(s, F.lit(margin)) + CHUNK + seed - 1 + margin).alias("part"),
             ),
         )
 
@@ -51,35 +64,54 @@ def chunked(text: Column, reach: int) -> Column:
     return F.flatten(F.transform(F.array(tokens(text)), of))
 
 
-def windows(df: DataFrame, ident: str, side: str, reach: int) -> DataFrame:
-    """(ident, <side>, <side>_at, key): one row for each window and mask, with its chunk."""
+def windows(df: DataFrame, ident: str, side: str, seed: int, margin: int) -> DataFrame:
+    """(ident, <side>, <side>_at, key): one row for each seed, with its chunk."""
     at = f"{side}_at"
     # the outer form keeps the optimizer from making the chunks twice, for a filter on them
-    chunks = df.select(F.col(ident).cast("long").alias(ident), F.explode_outer(chunked(F.col("text").cast("string"), reach)).alias("c")).where("c is not null")
+    chunks = df.select(F.col(ident).cast("long").alias(ident), F.explode_outer(chunked(F.col("text").cast("string"), seed, margin)).alias("c")).where("c is not null")
     placed = chunks.select(ident, F.col("c.part").alias(side), F.explode(F.sequence(F.col("c.base"), F.col("c.base") + F.col("c.n") - 1)).alias(at))
-    key = F.array(
-        *[
-            F.xxhash64(F.lit(k), *[F.get(F.col(side), F.col(at) + i) for i, used in enumerate(mask) if used == "1"])
-            for k, mask in enumerate(MASKS)
-        ]
-    )
-    return placed.select(ident, side, at, F.explode(key).alias("key"))
+    key = F.xxhash64(F.size(F.slice(F.col(side), F.col(at) + 1, seed)), *[F.get(F.col(side), F.col(at) + i) for i in range(seed)])
+    return placed.select(ident, side, at, key.alias("key"))
 
 
 def hits(docs: DataFrame, items: DataFrame, share: float, reach: int, broadcast_windows: int) -> DataFrame:
-    """(doc_id, item_id, equal): the hits that count, with the number of equal tokens."""
-    bench = windows(items, "item_id", "item", reach).dropDuplicates(["item_id", "key", "item", "item_at"])
+    """(doc_id, item_id, equal): the hits that count, with the largest number of equal
+    tokens in a window around them."""
+    seed = seed_length(share, reach)
+    margin = SPAN - seed + 2 * reach
+    bench = windows(items, "item_id", "item", seed, margin).dropDuplicates(["item_id", "key", "item", "item_at"])
     # a window begins with a token, so there are at most half as many windows as characters
-    characters = items.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
-    if characters / 2 * len(MASKS) <= broadcast_windows:
+    characters = items.agg(F.sum(F.length(F.col("text").cast("string")) + 1)).first()[0] or 0
+    if characters / 2 <= broadcast_windows:
         bench = F.broadcast(bench)
-    met = windows(docs, "doc_id", "doc", reach).join(bench, "key")
-    # the item's tokens within reach of the hit, and the document's tokens beside them
-    first = F.greatest(F.col("item_at") - reach, F.lit(0))
-    last = F.least(F.col("item_at") + SPAN + reach, F.size("item"))
-    offset = F.col("doc_at") - F.col("item_at")
-    equal = F.size(F.filter(F.sequence(first, last - 1), lambda i: F.get(F.col("item"), i) == F.get(F.col("doc"), i + offset)))
-    return met.select("doc_id", "item_id", equal.alias("equal"), (last - first).alias("length")).where(F.col("equal") >= F.col("length") * share)
+    met = windows(docs, "doc_id", "doc", seed, margin).join(bench, "key")
+    # the item's tokens in all windows that hold the seed, and the document's tokens beside them
+    size, seed_at = F.size("item"), F.col("item_at")
+    first = F.greatest(seed_at - margin, F.lit(0))
+    last = F.least(seed_at + seed + margin, size)
+    offset = F.col("doc_at") - seed_at
+
+    def beside(i: Column) -> Column:
+        return F.get(F.col("item"), i) == F.get(F.col("doc"), i + offset)
+
+    enough = F.least(size, F.lit(SPAN)) * min(share, 1.0)
+    met = met.where(F.size(F.filter(F.sequence(first, last - 1), beside)) >= enough)
+
+    def count(same: Column, start: Column, end: Column) -> Column:
+        return F.size(F.filter(F.slice(same, start - first + 1, end - start), lambda x: x))
+
+    def window(same: Column, at: Column) -> Column:
+        start, end = F.greatest(at - reach, F.lit(0)), F.least(at + SPAN + reach, size)
+        equal = count(same, start, end)
+        return F.when((equal >= (end - start) * share) | (count(same, at, at + SPAN) == SPAN), equal)
+
+    def best(same: Column) -> Column:
+        spans = F.sequence(F.greatest(seed_at + seed - SPAN - reach, F.lit(0)), F.least(seed_at + reach, size - SPAN))
+        whole = count(same, first, last)
+        return F.when(size < SPAN, F.when(whole == size, whole)).otherwise(F.array_max(F.transform(spans, lambda at: window(same, at))))
+
+    same = F.transform(F.sequence(first, last - 1), lambda i: F.coalesce(beside(i), F.lit(False)))
+    return met.select("doc_id", "item_id", F.get(F.transform(F.array(same), best), F.lit(0)).alias("equal")).where("equal is not null")
 
 
 def leaks(docs: DataFrame, items: DataFrame, share: float = 0.75, reach: int = 4, broadcast_windows: int = 2_000_000) -> DataFrame:

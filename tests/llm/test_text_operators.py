@@ -227,6 +227,46 @@ def test_decontamination(spark, edge, empty):
     assert not any(r.contaminated for r in decontaminate.decontaminate(edge, items.limit(0)).collect())
 
 
+def brute_leaks(doc: str, item: str) -> int:
+    """Equal tokens in the best window that counts, over all alignments; 0 if none does."""
+    d, m = (re.findall(r"[^\W_]+", t.lower()) for t in (doc, item))
+    best = 0
+    if len(m) < 12:
+        found = d == m if len(m) < 3 else any(d[k : k + len(m)] == m for k in range(len(d)))
+        return len(m) if found else 0
+    for shift in range(-len(m), len(d)):
+        same = [0 <= i + shift < len(d) and d[i + shift] == x for i, x in enumerate(m)]
+        for at in range(len(m) - 11):
+            part = same[max(at - 4, 0) : at + 16]
+            if sum(part) >= 0.75 * len(part) or all(same[at : at + 12]):
+                best = max(best, sum(part))
+    return best
+
+
+def test_decontamination_of_all_alignments(spark):
+    """Short items, short documents, every way to substitute tokens, and exact runs."""
+    rng = random.Random(9)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (1, 2, 3, 5, 11, 12, 13, 15, 16, 18, 20, 40, 150)]
+    texts = [t for _, t in items] + [f"so {t} and more" for _, t in items]
+    for n, item in items:
+        for _ in range(40):
+            w = item.split()
+            for at in rng.sample(range(n), min(n, rng.randrange(1, 7))):
+                w[at] = "other"
+            a, b = sorted(rng.sample(range(n + 1), 2)) if rng.random() < 0.5 else (0, n)
+            around = [["x"] * rng.choice([0, 1, 70]) for _ in range(2)]
+            texts.append(" ".join([*around[0], *w[a:b], *around[1]]))
+    w = items[-2][1].split()
+    texts += [" ".join(["x"] * 30 + w[13:25] + ["x"] * 30), " ".join(["x"] * 30 + w[13:24] + ["x"] * 30)]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.best_overlap) for r in decontaminate.decontaminate(df, bench).collect()}
+    for i, text in docs:
+        want = {n: e for n, t in items if (e := brute_leaks(text, t))}
+        assert got[i] == (",".join(map(str, sorted(want))), max(want.values(), default=0)), text
+
+
 def test_decontamination_is_native(edge, spark):
     items = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
     plan = decontaminate.decontaminate(edge.select("doc_id", "text"), items)._jdf.queryExecution().executedPlan().toString()
