@@ -1,14 +1,17 @@
 """Best-fit packing of tokenized documents into sequences, with swap-based local search.
 
 Documents become token ids plus one end id; those longer than a sequence are cut into
-whole-sequence pieces. Pieces are dealt round-robin into shards of bounded size, so no
-key can be hot. In each shard a best-fit start is improved by local search: one-for-one
-and two-for-one exchanges and moves between underfull bins, each of which increases the
-sum of squared fills, until no bin can be emptied further. A shard holds thousands of
-sequences, so what shards can't share is at most about one sequence in each.
+whole-sequence pieces. The pieces' numbers are written once and dealt round-robin into
+shards of a bounded number of pieces, so no key can be hot and a lost task packs its own
+shard again. In each shard a best-fit start is improved by local search: moves, one-for-one
+and two-for-one exchanges between underfull bins, each of which increases the sum of
+squared fills, until bins empty. It ends where the number of bins is the least that the
+total allows, or where no exchange is left. A shard that reaches that least number leaves
+less than one sequence unused, so shards cost at most one sequence for `shard_pieces` pieces.
 
 Cases: a null or empty text is one end id; repeated rows are packed once each; a null
-id stays null; an empty table gives no rows.
+id stays null; very long texts give many pieces; ties go by the order in the shard; an
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink
+from .common import Sink, written
 
 #: Code points below U+0250 by Unicode category, as the vocabulary's splitting rule has them.
 _LATIN = [chr(i) for i in range(0x250)]
@@ -135,61 +138,149 @@ def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[list[int]]:
-    """Empties the least filled bins by moves and exchanges with fuller underfull bins.
-
-    One or two pieces of total size s leave the target for a bin with room r, which gives
-    back nothing (a move, s <= r) or one piece b with s - r <= b < s. The receiving bin is
-    at least as full as the target, so each step increases the sum of squared fills."""
-    fill = np.array([int(lengths[b].sum()) for b in bins], dtype=np.int64)
-    under = [i for i in np.argsort(fill, kind="stable").tolist() if fill[i] < most]
-    if len(under) < 2:
-        return bins
-    where = np.concatenate([np.full(len(bins[b]), b) for b in under])
-    item = np.concatenate([np.array(bins[b]) for b in under])
-    size = lengths[item].astype(np.int64)
-    alive = np.zeros(len(bins), dtype=bool)
-    alive[under] = True
-    for target in under:
-        if not alive.any():
-            break
-        alive[target] = False  # from here on it only gives
-        while fill[target]:
-            own = np.flatnonzero(where == target)
-            own = own[np.argsort(-size[own], kind="stable")]
-            room = np.where(alive, most - fill, -1)
-            # groups of one and two pieces, largest first
-            groups = [(int(size[i]), (i,)) for i in own]
-            groups += [(int(size[i] + size[j]), (i, j)) for x, i in enumerate(own[:24]) for j in own[x + 1 : 24]]
-            done = False
-            for s, given in sorted(groups, key=lambda g: -g[0]):
-                open_bins = np.flatnonzero(room >= s)
-                if len(open_bins):
-                    to = int(open_bins[np.argmin(room[open_bins])])
-                    where[list(given)] = to
-                    fill[to] += s
-                    fill[target] -= s
-                    done = True
+class Underfull:
+    """Bins with room, by room, with the sizes that they can give back as the bits of
+    numbers: `singles[r]` has bit n if a bin of room r may have a piece of size n (and bit
+    0: it gives back nothing), `pairs[r]` if two of its pieces may have size n together.
+    Bits are never missing; one that no bin bears out is taken away when it is met."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], most: int):
+        self.lengths, self.most, self.all_bits = lengths, most, (1 << (most + 1)) - 1
+        self.bins = {k: list(b) for k, b in enumerate(bins)}
+        self.fill = {k: sum(lengths[i] for i in b) for k, b in self.bins.items()}
+        self.sums = {k: self.sums_of(b) for k, b in self.bins.items()}
+        self.rooms: dict[int, set[int]] = {}
+        self.singles, self.pairs = [0] * (most + 1), [0] * (most + 1)
+        for k in self.bins:
+            self.enter(k)
+
+    def sums_of(self, own: list[int]) -> tuple[int, int]:
+        """Sizes of one piece and of two, as bits."""
+        one = two = 0
+        for i in own:
+            two |= one << self.lengths[i]
+            one |= 1 << self.lengths[i]
+        return one, two & self.all_bits
+
+    def enter(self, k: int) -> None:
+        room = self.most - self.fill[k]
+        if room:
+            self.rooms.setdefault(room, set()).add(k)
+            one, two = self.sums[k]
+            self.singles[room] |= one | 1
+            self.pairs[room] |= two
+
+    def leave(self, k: int) -> None:
+        room = self.most - self.fill[k]
+        held = self.rooms.get(room)
+        if held is not None:
+            held.discard(k)
+            if not held:
+                del self.rooms[room]
+                self.singles[room] = self.pairs[room] = 0
+
+    def pieces(self, k: int, size: int, two: bool) -> list[int]:
+        """One piece, or two, of this size from a bin."""
+        seen: dict[int, int] = {}
+        for i in self.bins[k]:
+            n = self.lengths[i]
+            if not two and n == size:
+                return [i]
+            if two and size - n in seen:
+                return [seen[size - n], i]
+            seen[n] = i
+        raise KeyError(size)
+
+    def giver(self, room: int, back: int, two: bool) -> int | None:
+        """A bin of this room that can give back this size; if there is none, the bit goes."""
+        if back == 0:
+            return next(iter(self.rooms[room]))
+        for k in self.rooms[room]:
+            if self.sums[k][two] >> back & 1:
+                return k
+        held = self.pairs if two else self.singles
+        held[room] &= ~(1 << back)
+        return None
+
+    def best(self, target: int) -> tuple | None:
+        """The exchange that takes most from the target: (taken, receiver, size given, two?,
+        size back, two?). The receiver is as full as the target at least, so that the sum of
+        squared fills increases."""
+        one, two = self.sums[target]
+        sizes = [(s, False) for s in bits_of(one)] + [(s, True) for s in bits_of(two & ~one)]
+        found, taken = None, 0
+        for room in sorted((r for r in self.rooms if r <= self.most - self.fill[target]), reverse=True):
+            if room <= taken:
+                break
+            for size, double in sizes:
+                for back_two in (False,) if double else (False, True):
+                    bits = (self.pairs if back_two else self.singles)[room]
+                    least = max(size - room, 0)
+                    while True:  # the smallest size that may come back
+                        rest = bits >> least
+                        back = least + (rest & -rest).bit_length() - 1
+                        if not rest or size - back <= taken:
+                            break
+                        k = self.giver(room, back, back_two)
+                        if k is not None:
+                            found, taken = (size - back, k, size, double, back, back_two), size - back
+                            break
+                        bits = (self.pairs if back_two else self.singles)[room]
+                if taken >= room:
                     break
-                r = room[where]
-                back = np.flatnonzero((r > 0) & (size < s) & (size >= s - r))
-                if len(back):
-                    b = int(back[np.argmin(r[back] + size[back])])  # the fullest bin afterwards
-                    to = int(where[b])
-                    where[list(given)] = to
-                    where[b] = target
-                    fill[to] += s - size[b]
-                    fill[target] -= s - size[b]
-                    done = True
+        return found
+
+    def emptied(self, target: int) -> bool:
+        """Exchanges from the target until it is empty or there is none; did any occur?"""
+        moved = False
+        self.leave(target)
+        while self.bins[target] and (step := self.best(target)) is not None:
+            taken, k, size, double, back, back_two = step
+            given = self.pieces(target, size, double)
+            returned = self.pieces(k, back, back_two) if back else []
+            self.leave(k)
+            self.bins[target] = [i for i in self.bins[target] if i not in given] + returned
+            self.bins[k] = [i for i in self.bins[k] if i not in returned] + given
+            for b, by in ((target, -taken), (k, taken)):
+                self.fill[b] += by
+                self.sums[b] = self.sums_of(self.bins[b])
+            self.enter(k)
+            moved = True
+        if self.bins[target]:
+            self.enter(target)
+        else:
+            del self.bins[target]
+        return moved
+
+
+def bits_of(x: int) -> list[int]:
+    """The places of the bits, the highest first."""
+    out = []
+    while x:
+        out.append(x.bit_length() - 1)
+        x ^= 1 << out[-1]
+    return out
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[list[int]]:
+    """Moves and one-for-one and two-for-one exchanges between underfull bins, in passes
+    over all of them as targets, the emptiest first, until no bin is left that could be
+    saved or a pass finds no exchange. Each exchange increases the sum of squared fills, so
+    the search ends at a local optimum."""
+    sizes = lengths.tolist()
+    fills = [sum(sizes[i] for i in b) for b in bins]
+    full = [b for b, n in zip(bins, fills) if n == most]
+    state = Underfull([b for b, n in zip(bins, fills) if n < most], sizes, most)
+    least = -(-sum(fills) // most) - len(full)
+    moved = True
+    while moved and len(state.bins) > least:
+        moved = False
+        for target in sorted(state.bins, key=lambda k: (state.fill[k], k)):
+            if target in state.bins and state.fill[target] < most:
+                moved |= state.emptied(target)
+                if len(state.bins) <= least:
                     break
-            if not done:
-                break
-    out: dict[int, list[int]] = {}
-    under_set = set(under)
-    packed = [b for i, b in enumerate(bins) if i not in under_set]
-    for i, b in zip(item.tolist(), where.tolist()):
-        out.setdefault(b, []).append(i)
-    return packed + list(out.values())
+    return full + list(state.bins.values())
 
 
 def pack_lengths(lengths, most: int = 2048) -> list[list[int]]:
@@ -221,7 +312,7 @@ def pack_pieces(pieces: DataFrame, shards: int, most: int = 2048) -> DataFrame:
     return pieces.repartition(shards).mapInArrow(run, f"{PIECES_DDL}, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, shard_documents: int = 16_384) -> DataFrame:
+def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, shard_pieces: int = 65_536) -> DataFrame:
     """Packs all documents of a table; one row per piece."""
-    shards = max(1, -(-df.count() // shard_documents))
-    return pack_pieces(token_pieces(df, vocabulary, id_col, text_col, most), shards, most)
+    pieces = written(token_pieces(df, vocabulary, id_col, text_col, most), "pieces")
+    return pack_pieces(pieces, max(1, -(-pieces.count() // shard_pieces)), most)
