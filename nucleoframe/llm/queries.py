@@ -74,7 +74,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_near_duplicates": neardup.ORACLE_SQL,
-    "op7_decontamination": decontaminate.oracle_sql(),
+    "op7_decontamination": decontaminate.ORACLE_SQL,
     "op6_chat": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

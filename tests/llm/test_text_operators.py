@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from nucleoframe.llm import decontaminate, graph, neardup, packing, pii, suffixes
@@ -31,7 +33,7 @@ def test_ids_equal_the_tokenizer():
 
 def test_packing(edge, empty):
     whole = Tokenizer.from_file(VOCABULARY)
-    got = packing.pack_documents(edge, VOCABULARY, shard_documents=8).collect()
+    got = packing.pack_documents(edge, VOCABULARY, shard_pieces=8).collect()
     want = []
     for i, t in edge_texts():
         ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
@@ -59,6 +61,10 @@ def test_bins(lengths):
     assert len(bins) <= len(packing.best_fit(np.array(lengths, dtype=np.int64), 64)) if lengths else not bins
 
 
+def squared(bins, lengths):
+    return sum(int(lengths[b].sum()) ** 2 for b in bins)
+
+
 def test_local_search_empties_bins():
     # 40 goes for 30 into the bin of 90, and the 30 then fills the bin of 70
     lengths = np.array([60, 30, 70, 40])
@@ -70,6 +76,51 @@ def test_local_search_empties_bins():
     assert sorted(map(sorted, packed)) == [[0, 3, 4], [1, 2]]
 
 
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=80), st.randoms())
+@settings(max_examples=60, deadline=None)
+def test_each_exchange_increases_squared_fill(lengths, rng):
+    """From any start: every step of every target increases the sum of squared fills, and
+    the search leaves no bin that could move whole into another."""
+    lengths, bins = np.array(lengths, dtype=np.int64), []
+    for i, n in enumerate(lengths.tolist()):
+        if not bins or rng.random() < 0.4 or int(lengths[bins[-1]].sum()) + n > 64:
+            bins.append([])
+        bins[-1].append(i)
+    state = packing.Underfull(bins, lengths.tolist(), 64)
+    before = squared(state.bins.values(), lengths)
+    for target in list(state.bins):
+        if state.bins.get(target) and state.fill[target] < 64:
+            moved = state.emptied(target)
+            now = squared(state.bins.values(), lengths)
+            assert now > before if moved else now == before
+            before = now
+    out = packing.local_search(bins, lengths, 64)
+    fills = sorted(int(lengths[b].sum()) for b in out)
+    assert sorted(i for b in out for i in b) == list(range(len(lengths))) and fills[-1] <= 64
+    assert len(fills) < 2 or fills[0] + fills[1] > 64
+
+
+def test_local_search_beats_best_fit():
+    """Where best fit isn't optimal, at a shard's size: thirds that fill 1,200 sequences
+    exactly, and lengths of a quarter to a half; from a poor start it reaches the least
+    number of sequences."""
+    rng = np.random.default_rng(7)
+    a = rng.integers(513, 1024, 1200)
+    b = rng.integers((2048 - a) // 3, (2048 - a) * 2 // 3)
+    for lengths, gain in ((np.concatenate([a, b, 2048 - a - b]), 15), (rng.integers(500, 1001, 4000), 30)):
+        start = packing.best_fit(lengths, 2048)
+        assert len(packing.local_search(start, lengths, 2048)) <= len(start) - gain
+    lengths = rng.integers(20, 900, 6000)
+    poor, used = [[]], 0  # one bin after the other
+    for i, n in enumerate(lengths.tolist()):
+        if used + n > 2048:
+            poor, used = [*poor, []], 0
+        poor[-1].append(i)
+        used += n
+    assert len(poor) > 1500
+    assert len(packing.local_search(poor, lengths, 2048)) == -(-int(lengths.sum()) // 2048)
+
+
 # ---- near duplicates --------------------------------------------------------
 
 
@@ -221,7 +272,7 @@ def test_decontamination(spark, edge, empty):
     assert all(r.kept != r.contaminated for r in got.values())
     assert set(got) == {i for i, _ in edge_texts()} | {d[0] for d in docs}
     assert got[102].item_ids == "1" and got[102].best_overlap == 20
-    shuffled = {r.doc_id: r for r in decontaminate.decontaminate(df, items, broadcast_windows=0).collect()}
+    shuffled = {r.doc_id: r for r in decontaminate.decontaminate(df, items, broadcast_bytes=0, salts=3).collect()}
     assert shuffled == got
     assert decontaminate.decontaminate(empty, items).count() == 0
     assert not any(r.contaminated for r in decontaminate.decontaminate(edge, items.limit(0)).collect())
@@ -261,10 +312,36 @@ def test_decontamination_of_all_alignments(spark):
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: (r.item_ids, r.best_overlap) for r in decontaminate.decontaminate(df, bench).collect()}
-    for i, text in docs:
-        want = {n: e for n, t in items if (e := brute_leaks(text, t))}
-        assert got[i] == (",".join(map(str, sorted(want))), max(want.values(), default=0)), text
+    want = {i: {n: e for n, t in items if (e := brute_leaks(text, t))} for i, text in docs}
+    for how in ({}, {"broadcast_bytes": 0}):
+        got = {r.doc_id: (r.item_ids, r.best_overlap) for r in decontaminate.decontaminate(df, bench, **how).collect()}
+        for i, text in docs:
+            assert got[i] == (",".join(map(str, sorted(want[i]))), max(want[i].values(), default=0)), text
+
+
+def test_masks_leave_no_window_without_a_seed():
+    """Every way to place the unequal tokens of a window that counts leaves a mask whole."""
+    for length in range(12, 21):
+        placed = [sum(1 << (at + i) for i, used in enumerate(m) if used == "1") for m in decontaminate.MASKS for at in range(length - len(m) + 1)]
+        for unequal in itertools.combinations(range(length), length // 4):
+            wrong = sum(1 << i for i in unequal)
+            assert not all(p & wrong for p in placed), unequal
+
+
+def test_decontamination_with_other_parameters(spark):
+    """A lower share takes runs as seeds; nulls and clashing names; a common window."""
+    items = [(1, BENCH), (None, "an item without an id that is long enough to be searched for in texts"), (3, " ".join(["same"] * 40))]
+    w = BENCH.split()
+    half = " ".join(x if k % 3 else "other" for k, x in enumerate(w))
+    docs = [(None, BENCH, 1), (None, "clean", 2), (5, half, 3), (6, items[1][1], 4), (7, "same " * 300, 5)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, chunk int").withColumnRenamed("chunk", "a.b").withColumns({"key": F.lit(1), "total": F.lit(2), "__0": F.lit(3)})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit("x"))
+    for how in ({}, {"broadcast_bytes": 0}):
+        got = {r.doc_id: r.contaminated for r in decontaminate.decontaminate(df, bench, **how).collect()}
+        assert got == {None: True, 5: False, 6: True, 7: True}
+        assert {r.doc_id: r.contaminated for r in decontaminate.decontaminate(df, bench, share=0.6, **how).collect()} == got | {5: True}
+    found = decontaminate.leaks(df.withColumn("h", F.xxhash64("text")), bench, keys=("doc_id", "h")).count()
+    assert found == 3
 
 
 def test_decontamination_is_native(edge, spark):
