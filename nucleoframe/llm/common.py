@@ -54,13 +54,17 @@ class Sink:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared checkpoint folder.
-
-    A folder of the session's own is set only where none is configured (tests)."""
+    """A fresh path in the cluster's shared checkpoint folder: the one that the session
+    names in spark.checkpoint.dir, or that was set by setCheckpointDir. Without either, a
+    local master takes a folder of the warehouse; a cluster is an error."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or "/tmp/checkpoints")
+        if configured is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+        spark.sparkContext.setCheckpointDir(configured)
     return f"{context.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
@@ -73,6 +77,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A folder of written copies that are deleted together, once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, shared_path(spark, name)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def quoted(name: str) -> str:
+    """A column's name, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """`name`, with underscores in front until no column begins with it (letter case aside)."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name
+
+
 def fold(id_column: str, parts: int):
-    """crc32 of the id as text, modulo parts: the folds of the labelled rows."""
-    return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo parts: the folds of the labelled rows (-1: no id)."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % parts, F.lit(-1))

@@ -6,7 +6,11 @@ compiled into one Spark column expression over the statistics columns.
 
 The fit uses a bounded sample of labelled rows (parameter `most`) outside the held-out
 fold. Cases: null and empty texts are scored by their (zero) statistics; without labels
-of both kinds every score is the labels' mean, or 0.5 where there are none.
+of both kinds every score is the labels' mean, or 0.5 where there are none; where the
+sample is too small or too even for a rule, it is the mean too; repeated rows get equal
+scores, and a repeated id counts once in the fit; a row without an id is scored and isn't
+held out; very long texts take time in proportion to their length; empty tables give no
+rows; other columns may have any name, since the statistics' names avoid them.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, free_name, quoted
 from .samples import labelled_sample
 from .textstats import STATISTICS, statistics
 from .trees import Tree, boost, lasso_logistic, sigmoid
@@ -27,16 +31,25 @@ from .trees import Tree, boost, lasso_logistic, sigmoid
 Rule = tuple[tuple[int, bool, float], ...]
 
 
+def prefix_of(carried: list[str]) -> str:
+    """What the names of the statistics begin with, and no carried column does."""
+    return free_name(carried, "__")
+
+
 def with_statistics(df: DataFrame, carried: list[str], text_col: str = "text") -> DataFrame:
     """The carried columns, as they are, and STATISTICS of each row's whole text in
-    columns of these names with "__" in front."""
+    columns of these names with prefix_of(carried) in front."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     # a text that is carried anyway isn't sent a second time
     twice = text_col not in carried or df.schema[text_col].dataType.typeName() != "string"
-    held = df.select(*[F.col(f"`{c}`") for c in carried], *([F.col(text_col).cast("string").alias("__text")] if twice else []))
-    schema = StructType([*[held.schema[c] for c in carried], *[StructField(f"__{s}", DoubleType()) for s in STATISTICS]])
+    # the workers' side takes columns by place, under names without dots
+    prefix = prefix_of(carried)
+    fields = df.select(*[F.col(quoted(c)) for c in carried]).schema.fields
+    sent = [F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(carried)]
+    held = df.select(*sent, *([F.col(text_col).cast("string").alias("text")] if twice else []))
+    schema = StructType([*fields, *[StructField(f"{prefix}{s}", DoubleType()) for s in STATISTICS]])
     arrow, at, kept = to_arrow_schema(schema), -1 if twice else carried.index(text_col), len(carried)
 
     def run(batches):
@@ -79,13 +92,13 @@ class Rules:
     weights: list[float]
     bias: float
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "__") -> Column:
         """The score as a column expression over the statistics columns."""
         total = F.lit(self.bias)
         for rule, weight in zip(self.rules, self.weights):
             both = F.lit(True)
             for f, low, t in rule:
-                value = F.col(f"__{STATISTICS[f]}")
+                value = F.col(f"{prefix}{STATISTICS[f]}")
                 both = both & (value <= F.lit(t) if low else value > F.lit(t))
             total = total + F.when(both, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -97,17 +110,23 @@ class Rules:
         return sigmoid(z)
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, penalties=(0.004, 0.002, 0.001, 0.0005), most_rules: int = 400) -> Rules:
-    """The penalty is the one with the least log loss on every fifth row."""
+def fit_rules(x: np.ndarray, y: np.ndarray, penalties=(0.004, 0.002, 0.001, 0.0005)) -> Rules:
+    """The penalty is the one with the least log loss on every fifth row. Without labels of
+    both kinds, or without a rule that divides the rows, there is the bias alone."""
+    p = min(max(float(y.mean()), 1e-4), 1 - 1e-4) if len(y) else 0.5
+    mean = Rules([], [], float(np.log(p / (1 - p))))
     if not len(y) or y.min() == y.max():
-        p = min(max(float(y.mean()), 1e-4), 1 - 1e-4) if len(y) else 0.5
-        return Rules([], [], float(np.log(p / (1 - p))))
+        return mean
     check = np.arange(len(y)) % 5 == 4
     _, trees = boost(x[~check], y[~check], rounds=40, depth=3)
     rules = rules_of(trees)
+    if not rules:
+        return mean
     a = np.stack([holds(r, x) for r in rules], axis=1)
     _, first = np.unique(a, axis=1, return_index=True)  # rules that hold for the same rows say the same
-    first = [i for i in sorted(first) if 0.002 <= a[:, i].mean() <= 0.998][:most_rules]
+    first = [i for i in sorted(first) if 0.002 <= a[:, i].mean() <= 0.998]
+    if not first:
+        return mean
     rules, a = [rules[i] for i in first], a[:, first].astype(float)
     best = (np.inf, penalties[0])
     for penalty in penalties:
@@ -128,7 +147,8 @@ def quality_model(docs: DataFrame, labels: DataFrame, label: str = "quality", pa
 
 def of_quality(docs: DataFrame, model: Rules, threshold: float = 0.3) -> DataFrame:
     """The rows of docs with a score of at least the threshold; columns stay as they are."""
-    return with_statistics(docs, docs.columns).where(model.column() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = model.column(prefix_of(docs.columns))
+    return with_statistics(docs, docs.columns).where(score >= threshold).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

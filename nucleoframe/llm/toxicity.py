@@ -7,8 +7,14 @@ the lexicon of the other half of the rows, and the calibration uses scores of mo
 that haven't seen the row.
 
 The fit uses a bounded sample of labelled rows (parameter `most`) outside the held-out
-fold; the lexicon has at most `entries` entries. Cases: null and empty texts have zero
-features; without labels of both kinds every score is the labels' mean, or 0.5.
+fold. Every token of the sample with enough positive documents and odds is in the lexicon.
+
+Cases: null and empty texts have zero features; without labels of both kinds every score
+is the labels' mean, or 0.5; a sample with few rows or constant features gives few or no
+trees; repeated rows get equal scores, and a repeated id counts once in the fit; a row
+without an id is scored and isn't held out; very long texts and runs without white space
+take time in proportion to their length; ties in scores share a calibration block; empty
+tables give no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +33,10 @@ from .samples import labelled_sample
 from .trees import boost, isotonic, out_of_fold, raw_score
 
 WORD = re.compile(r"\w+")
-#: Runs without white space that mix letters with digits or masking signs inside.
-MASKED = re.compile(r"[^\W\d_][\w@$*!.+-]*[0-9@$*!+][\w@$*!+]*[^\W\d_]")
+#: Runs of letters, digits and signs; those with a mask are found by masked().
+RUN = re.compile(r"[\w@$*!.+-]+")
+MASKS = re.compile(r"[0-9@$*!+]")
+NO_MASKS = str.maketrans("", "", "0123456789@$*!+")
 #: Signs that stand for letters.
 SIGNS = str.maketrans("013457@$!+", "oleastasit", "*.-_")
 LONG_RUN = re.compile(r"([^\W\d_])\1{2,}")
@@ -45,6 +53,32 @@ FEATURES = (
 STEMS = (4, 5, 6)
 
 
+def masked(low: str) -> list[str]:
+    """Of each run without white space the part from its first letter to its last letter
+    that has a digit or a masking sign before it, with no full stop or hyphen between."""
+    out = []
+    if MASKS.search(low) is None:
+        return out
+    for run in RUN.findall(low):
+        if len(run) < 3 or run.isalpha() or run.isdigit() or len(run.translate(NO_MASKS)) == len(run):
+            continue
+        first = next((i for i, c in enumerate(run) if c.isalpha()), None)
+        if first is None:
+            continue
+        end, mask = 0, False
+        for i in range(first + 1, len(run)):
+            c = run[i]
+            if c in ".-":
+                mask = False
+            elif c in "0123456789@$*!+":
+                mask = True
+            elif mask and c.isalpha():
+                end = i + 1
+        if end:
+            out.append(run[first:end])
+    return out
+
+
 def tokens(words: set[str]) -> set[str]:
     """Distinct words and their stems, which are marked by a star."""
     return words.union(*({w[:k] + "*" for w in words if len(w) >= k} for k in STEMS))
@@ -75,14 +109,14 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     raw = text.encode("utf-8", "surrogatepass")
     size = len(raw) or 1
     share = lambda drop: (len(raw) - len(raw.translate(None, drop))) / size
-    masked = MASKED.findall(low)
-    plain = [m.translate(SIGNS) for m in masked]
+    runs = masked(low)
+    plain = [m.translate(SIGNS) for m in runs]
     stem_hits = sum(counts[w] for w in stems)
     return [
         float(np.log1p(len(words))), 100 * hits / n, float(np.log1p(hits)), float(len(hit)), 100 * strong / n, float(np.log1p(strong)),
         sum(hit[w] * counts[w] for w in hit) / n, max(hit.values(), default=0.0), 100 * stem_hits / n, float(np.log1p(stem_hits)),
         sum(1 for w in words if w in person) / n if person else 0.0, float(distance), share(UPPER), share(MARKS), share(LOUD),
-        len(masked) / n, float(sum(1 for p in plain if p in lexicon)), sum(1 for w in distinct if LONG_RUN.search(w)) / (len(distinct) or 1),
+        len(runs) / n, float(sum(1 for p in plain if p in lexicon)), sum(1 for w in distinct if LONG_RUN.search(w)) / (len(distinct) or 1),
     ]
 
 
@@ -117,9 +151,9 @@ def lexicon_counts(sample: DataFrame, most_kept: int = 300_000) -> DataFrame:
     )
 
 
-def lexicons(counted: DataFrame, totals: list[list[int]], least: int, ratio: float, entries: int) -> list[dict[str, float]]:
-    """The lexicons of half 0, half 1 and of all rows; at most `entries` entries each
-    reach the driver, those met in most positive documents."""
+def lexicons(counted: DataFrame, totals: list[list[int]], least: int, ratio: float) -> list[dict[str, float]]:
+    """The lexicons of half 0, half 1 and of all rows: tokens of at least `least` positive
+    documents of a half, with the odds. The sample's size bounds what reaches the driver."""
     out = []
     for halves in ((0,), (1,), (0, 1)):
         pos = sum((F.col(f"pos{h}") for h in halves[1:]), F.col(f"pos{halves[0]}"))
@@ -127,7 +161,7 @@ def lexicons(counted: DataFrame, totals: list[list[int]], least: int, ratio: flo
         positives, negatives = (sum(totals[h][k] for h in halves) for k in (1, 0))
         odds = F.log((pos + 0.5) / (positives + 1.0)) - F.log((neg + 0.5) / (negatives + 1.0))
         found = counted.select("token", pos.alias("pos"), odds.alias("odds"))
-        found = found.where((F.col("pos") >= least * len(halves)) & (F.col("odds") >= float(np.log(ratio)))).orderBy(F.desc("pos"), "token").limit(entries)
+        found = found.where((F.col("pos") >= least * len(halves)) & (F.col("odds") >= float(np.log(ratio))))
         out.append({r.token: float(r.odds) for r in found.collect()})
     return out
 
@@ -160,14 +194,14 @@ def featured(df: DataFrame, carried: list[str], lexicon_of, ddl: str) -> DataFra
     return df.select(*carried, F.col("text")).mapInArrow(run, ddl)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held_out: int = 2, most: int = 20_000, least: int = 4, ratio: float = 6.0, entries: int = 4000) -> Toxicity:
+def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held_out: int = 2, most: int = 20_000, least: int = 4, ratio: float = 6.0) -> Toxicity:
     """Fits on at most `most` labelled rows; only features and the lexicon reach the driver."""
     sample = written(labelled_sample(docs, labels, label, parts, held_out, most), "labelled")
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
     totals = [[0, 0], [0, 0]]
     for r in sample.dropDuplicates(["text"]).groupBy(half.alias("half"), "y").count().collect():
         totals[r["half"]][1 if r["y"] else 0] += r["count"]
-    first, second, whole = lexicons(written(lexicon_counts(sample), "lexicon"), totals, least, ratio, entries)
+    first, second, whole = lexicons(written(lexicon_counts(sample), "lexicon"), totals, least, ratio)
     other = {0: second, 1: first}
     x = featured(sample.withColumn("half", half), ["doc_id", "half", "y"], lambda kept: other[kept[1]], "doc_id long, half int, y int, x array<double>")
     found = x.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()

@@ -1,8 +1,11 @@
 import random
+import time
 from zlib import crc32
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from nucleoframe.llm import quality, textstats, toxicity, trees
@@ -107,3 +110,49 @@ def test_boosting_and_lasso():
     y = (rng.random(3000) < trees.sigmoid(z)).astype(float)
     w, b = trees.lasso_logistic(a, y, 0.01)
     assert w[3] > 1.5 and w[7] < -0.8 and (np.abs(w) < 1e-9).sum() > 20
+
+
+def test_small_and_even_samples():
+    """No rule, no tree, one label in every fifth row only: the mean is the score."""
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 6, 12, 18):
+        x, y = rng.random((n, 23)), np.arange(n, dtype=float) % 2
+        model = quality.fit_rules(x, y)
+        assert np.isfinite(model.score(x)).all()
+        assert np.isfinite(trees.raw_score(trees.boost(x, y), x)).all()
+    x = np.ones((200, 23))
+    assert quality.fit_rules(x, np.arange(200.0) % 2).rules == []
+    fifth = (np.arange(200) % 5 == 4).astype(float)
+    assert np.isfinite(quality.fit_rules(rng.random((200, 23)), fifth).score(x)).all()
+
+
+def test_repeated_ids_count_once(spark, tables):
+    docs, labels, _ = tables
+    many = docs.unionByName(docs.where("doc_id = 7").withColumn("text", F.explode(F.array_repeat("text", 500))))
+    got = labelled_sample(many, labels.unionByName(labels), "quality", 5, 0, 100_000)
+    assert got.count() == got.select("doc_id").distinct().count() <= 600
+    clash = docs.withColumns({"__upper_share": F.lit("x"), "a.b": F.lit(1), "__text": F.lit(2)})
+    model = quality.quality_model(docs, labels)
+    kept = quality.of_quality(clash, model)
+    assert kept.columns == clash.columns and 0 < kept.count() < docs.count()
+    held = {r.held_out for f in (quality.classify_quality, toxicity.classify_toxicity) for r in f(docs.where("doc_id is null"), labels).collect()}
+    assert held == {False}
+
+
+def old_masked(low):
+    import re
+
+    return re.findall(r"[^\W\d_][\w@$*!.+-]*[0-9@$*!+][\w@$*!+]*[^\W\d_]", low)
+
+
+@given(st.text(alphabet="ab_é1@*.-+ ", max_size=24))
+@settings(max_examples=400, deadline=None)
+def test_masked_runs(low):
+    assert toxicity.masked(low) == old_masked(low)
+
+
+def test_long_runs_take_linear_time():
+    begun = time.process_time()
+    for run in ("a" * 1_000_000, "a" + "1" * 1_000_000, "a." * 500_000, "a1" * 500_000, "!" * 1_000_000, "a" * 500_000 + "*" * 500_000):
+        assert np.isfinite(toxicity.features(run, {"a": 1.0})).all()
+    assert time.process_time() - begun < 20
