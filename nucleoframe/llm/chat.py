@@ -1,14 +1,20 @@
 """Chat formatting by schema fingerprints.
 
 A record's fingerprint is a hash over its sorted nested field paths (list items as
-`[]`). It selects a declarative mapping; the mapping says which list to walk or which
-fields to read, and how roles are named. The canonical turns are written with a
-template whose control strings are escaped reversibly inside roles and texts; the
+`[]`, with `:object` or `:list` after a path that holds one without fields or items). It
+selects a declarative mapping: that of the same paths, or else the one with most paths all
+of which the record has; what it has besides is left out. The mapping says which list to
+walk or which fields to read, and how roles are named. The canonical turns are written
+with a template whose control strings are escaped reversibly inside roles and texts; the
 spans of assistant texts in the output are the loss mask.
 
-Cases: null text or role counts as empty; a record whose fingerprint has no mapping is
-kept with layout null and no turns; an empty list gives an empty output; extra columns
-are ignored.
+Cases: a null or absent text or role counts as empty; a number or a truth value as its
+JSON; a record that isn't JSON, is nested too deeply, has no mapping, or has a list or an
+object where the mapping wants a text, is kept with layout null, no turns and `error`; an
+empty list gives an empty output; a null record has no error and no turns; repeated rows
+give equal rows; very long texts are formatted whole; an empty table gives no rows; extra
+columns are ignored. Turn rows without a conversation id can't be put together: each is a
+conversation of its own, with a null id.
 """
 
 from __future__ import annotations
@@ -31,24 +37,36 @@ ESCAPED = re.compile(r"\\(.)", re.S)
 TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<:]|\\.)*) </turn>\n", re.S)
 
 #: Declarative mappings. `fields` lists the paths whose hash is the fingerprint; `walk`
-#: names a list with its role and text fields, `take` lists (role, field) in order.
+#: names a list with its role and text fields, `take` lists (role, field) in order; texts in
+#: `parts` are lists of objects with this field, which are joined.
 MAPPINGS = (
     {"layout": "messages", "fields": ["messages[].content", "messages[].role"], "walk": ("messages", "role", "content")},
     {"layout": "conversations", "fields": ["conversations[].from", "conversations[].value"], "walk": ("conversations", "from", "value"), "roles": {"human": "user", "gpt": "assistant"}},
+    {"layout": "parts", "fields": ["messages[].content[].text", "messages[].content[].type", "messages[].role"], "walk": ("messages", "role", "content"), "parts": "text"},
     {"layout": "prompt", "fields": ["completion", "prompt"], "take": (("user", "prompt"), ("assistant", "completion"))},
     {"layout": "instruction", "fields": ["input", "instruction", "output"], "take": (("system", "instruction"), ("user", "input"), ("assistant", "output"))},
+    {"layout": "task", "fields": ["instruction", "output"], "take": (("user", "instruction"), ("assistant", "output"))},
     {"layout": "question", "fields": ["answer", "question"], "take": (("user", "question"), ("assistant", "answer"))},
     {"layout": "empty", "fields": ["messages[]"], "walk": ("messages", "role", "content")},
 )
 
 
-def paths(value, at: str = "") -> set[str]:
+class Unmapped(ValueError):
+    """A record that can't be turned into turns; says why."""
+
+
+def paths(value) -> set[str]:
     """The nested field paths of a parsed record."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
-    if isinstance(value, list):
-        return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+    found, open_values = set(), [("", value)]
+    while open_values:
+        at, v = open_values.pop()
+        if isinstance(v, dict) and v:
+            open_values += [(f"{at}.{k}" if at else k, x) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            open_values += [(f"{at}[]", x) for x in v]
+        else:
+            found.add(f"{at}:object" if isinstance(v, dict) else f"{at}[]" if isinstance(v, list) else at)
+    return found
 
 
 def fingerprint(found) -> str:
@@ -58,12 +76,57 @@ def fingerprint(found) -> str:
 BY_FINGERPRINT = {fingerprint(m["fields"]): m for m in MAPPINGS}
 
 
-def turns_of(record, mapping: dict) -> list[tuple[str, str]]:
-    roles = mapping.get("roles", {})
-    if "walk" in mapping:
-        field, role, text = mapping["walk"]
-        return [(roles.get(m[role], m[role]) or "", m[text] or "") for m in record[field]]
-    return [(role, record[field] or "") for role, field in mapping["take"]]
+def mapping_of(mark: str, found: set[str]) -> dict:
+    """The mapping of a fingerprint, or the one with most paths that the record has."""
+    known = BY_FINGERPRINT.get(mark)
+    if known is None:
+        known = max((m for m in MAPPINGS if found.issuperset(m["fields"])), key=lambda m: len(m["fields"]), default=None)
+    if known is None:
+        raise Unmapped("no mapping has these fields")
+    return known
+
+
+def text_of(value, at: str, part: str | None = None) -> str:
+    """A text; null and absent ones are empty, numbers and truth values their JSON."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if part is not None and isinstance(value, list) and all(isinstance(x, dict) for x in value):
+        return "".join(text_of(x.get(part), f"{at}[].{part}") for x in value)
+    if isinstance(value, (list, dict)):
+        raise Unmapped(f"{at} is no text")
+    return json.dumps(value)
+
+
+def turns_of(record: dict, mapping: dict) -> list[tuple[str, str]]:
+    if "take" in mapping:
+        return [(role, text_of(record.get(field), field)) for role, field in mapping["take"]]
+    roles, (field, role, text) = mapping.get("roles", {}), mapping["walk"]
+    out, items = [], record.get(field)
+    if not isinstance(items, list):
+        raise Unmapped(f"{field} is no list")
+    for i, item in enumerate(items):
+        if not isinstance(item, dict):
+            raise Unmapped(f"{field}[{i}] is no object")
+        named = text_of(item.get(role), f"{field}[{i}].{role}")
+        out.append((roles.get(named, named), text_of(item.get(text), f"{field}[{i}].{text}", mapping.get("parts"))))
+    return out
+
+
+def read_record(raw: str) -> tuple[str | None, dict | None, list[tuple[str, str]], str | None]:
+    """Fingerprint, mapping, turns and error of a JSON record."""
+    try:
+        record = json.loads(raw)
+    except ValueError:
+        return None, None, [], "not JSON"
+    except RecursionError:
+        return None, None, [], "nested too deeply"
+    found = paths(record)
+    mark = fingerprint(found)
+    try:
+        mapping = mapping_of(mark, found)
+        return mark, mapping, turns_of(record, mapping), None
+    except Unmapped as e:
+        return mark, None, [], str(e)
 
 
 def escape(text: str) -> str:
@@ -98,25 +161,21 @@ def parse_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-FORMATTED = "conv_id long, fingerprint string, layout string, formatted string, loss_spans array<struct<start:long,stop:long>>"
+FORMATTED = "conv_id long, fingerprint string, layout string, formatted string, loss_spans array<struct<start:long,stop:long>>, error string"
 
 
 def format_chats(df: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """Formats JSON records of any mapped layout: one row per input row, with columns of
-    FORMATTED. A record that isn't JSON, or has no mapping, has layout null."""
+    FORMATTED. A record that can't be mapped has layout null, and `error` says why."""
 
     def run(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        sink = Sink(pa.schema([("conv_id", pa.int64()), ("fingerprint", pa.string()), ("layout", pa.string()), ("formatted", pa.string()), ("loss_spans", span)]))
+        kinds = {"conv_id": pa.int64(), "fingerprint": pa.string(), "layout": pa.string(), "formatted": pa.string(), "loss_spans": span, "error": pa.string()}
+        sink = Sink(pa.schema(list(kinds.items())))
         for key, raw in rows(batches):
-            try:
-                record = json.loads(raw) if raw is not None else None
-            except ValueError:
-                record = None
-            mark = fingerprint(paths(record)) if record is not None else None
-            mapping = BY_FINGERPRINT.get(mark)
-            text, spans = format_turns(turns_of(record, mapping)) if mapping else ("", [])
-            sink.add(key, mark, mapping and mapping["layout"], text, [{"start": a, "stop": b} for a, b in spans], weight=len(text))
+            mark, mapping, turns, error = (None, None, [], None) if raw is None else read_record(raw)
+            text, spans = format_turns(turns)
+            sink.add(key, mark, mapping and mapping["layout"], text, [{"start": a, "stop": b} for a, b in spans], error, weight=len(text))
             if sink.full():
                 yield sink.take()
         yield sink.take()
@@ -149,11 +208,14 @@ def read_chats(df: DataFrame) -> DataFrame:
 def records_of(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Gathers turn rows into one JSON record per conversation, in the layout that its
     sequence of roles suggests: a prompt pair, an instruction triple, a list with the
-    names human and gpt, or messages. Turns are ordered by turn, then role and text."""
+    names human and gpt, or messages. Turns are ordered by turn, then role and text; rows
+    without an id are conversations of one turn."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     item = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
-    gathered = turns.groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(item)).alias("turns"))
+    placed = turns.select(F.col(id_col).cast("long").alias("conv_id"), item.alias("item"))
+    gathered = placed.where("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list("item")).alias("turns"))
+    gathered = gathered.union(placed.where("conv_id is null").select("conv_id", F.array("item")))
     roles = F.array_join("turns.role", "\n")
     at = lambda i: F.col("turns")[i]["text"]
 

@@ -6,9 +6,13 @@ of every key frame. Payload bytes in mdat are never decoded: only box headers an
 sample tables are read. `text_as_media` writes texts losslessly as 8-bit samples into
 such a container and reads them back through the decoded sample table.
 
+Samples of movie fragments (trex, tfhd and trun boxes) follow those of the sample tables.
+
 Cases: a null media value gives no tracks; a truncated or malformed container gives a
-row whose `error` says what is wrong; tracks without stss have only sync samples, as
-the format defines.
+row whose `error` says what is wrong, however deeply its boxes are nested; tracks without
+stss have only sync samples, as the format defines; user data boxes aren't walked;
+repeated rows give equal rows; a null id stays null; very long texts are stored whole; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Sink, rows
 
 #: Fixed values of the ISO base media file format: boxes that only hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"mvex", b"moof", b"traf"}
 
 #: One sample of the stored text is a row of 64 eight-bit grey pixels.
 UNIT = 64
@@ -38,8 +43,8 @@ class Malformed(ValueError):
     pass
 
 
-def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """Type, body start and end of each box in data[start:end]."""
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """Type, start, body start and end of each box in data[start:end]."""
     while start < end:
         if end - start < 8:
             raise Malformed(f"box header cut at {start}")
@@ -56,7 +61,7 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
             body += 16
         if length < body - start or start + length > end:
             raise Malformed(f"box {kind.decode('latin-1')} at {start} has length {length}")
-        yield kind, body, start + length
+        yield kind, start, body, start + length
         start += length
 
 
@@ -80,7 +85,7 @@ def decode_table(data: memoryview, kind: bytes, at: int, end: int, track: dict)
         track["handler"] = bytes(head(12)[8:12]).decode("latin-1")
     elif kind == b"stsd":
         (count,) = struct.unpack_from(">I", head(8), 4)
-        track["codecs"] = [bytes(k).decode("latin-1") for k, _, _ in boxes(data, at + 8, end)][:count]
+        track["codecs"] = [bytes(k).decode("latin-1") for k, *_ in boxes(data, at + 8, end)][:count]
     elif kind == b"stsz":
         size, count = struct.unpack_from(">II", head(12), 4)
         track["sizes"] = (size, count) if size else numbers(data, at + 12, end, count, "I")
@@ -103,14 +108,94 @@ def _cut(kind: bytes):
     raise Malformed(f"box {kind.decode('latin-1')} is cut")
 
 
-def walk(data: memoryview, start: int, end: int, tracks: list[dict]) -> None:
-    for kind, at, stop in boxes(data, start, end):
-        if kind == b"trak":
-            tracks.append({})
-        if kind in CONTAINERS:
-            walk(data, at, stop, tracks)
-        elif tracks:
-            decode_table(data, kind, at, stop, tracks[-1])
+#: Fixed values of the format: flags of tfhd and trun, and the sample flag of a non-sync sample.
+BASE, INDEX, DURATION, SIZE, FLAGS, FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NON_SYNC = 0x10000
+
+
+class Fields:
+    """Big-endian numbers of a box, one after the other."""
+
+    def __init__(self, data: memoryview, kind: bytes, at: int, end: int):
+        self.data, self.kind, self.at, self.end = data, kind, at, end
+
+    def take(self, code: str = "I") -> int:
+        size = struct.calcsize(">" + code)
+        if self.at + size > self.end:
+            _cut(self.kind)
+        (value,) = struct.unpack_from(">" + code, self.data, self.at)
+        self.at += size
+        return value
+
+
+class Movie:
+    """What the boxes of a container say: tracks, defaults of fragments, and their runs."""
+
+    def __init__(self, data: memoryview):
+        self.data, self.tracks, self.defaults, self.runs = data, [], {}, []
+        self.moof = self.next = 0
+        self.head: dict = {}
+
+    def walk(self) -> "Movie":
+        """Walks nested boxes, with the open ones on a stack."""
+        stack = [boxes(self.data, 0, len(self.data))]
+        while stack:
+            found = next(stack[-1], None)
+            if found is None:
+                stack.pop()
+                continue
+            kind, start, at, stop = found
+            if kind == b"trak":
+                self.tracks.append({})
+            elif kind == b"moof":
+                self.moof = self.next = start
+            elif kind == b"traf":
+                self.head = {}
+            if kind in CONTAINERS:
+                stack.append(boxes(self.data, at, stop))
+            elif kind in (b"trex", b"tfhd", b"trun"):
+                getattr(self, kind.decode())(Fields(self.data, kind, at, stop))
+            elif self.tracks:
+                decode_table(self.data, kind, at, stop, self.tracks[-1])
+        return self
+
+    def trex(self, box: Fields) -> None:
+        _, track, _, duration, size, flags = (box.take() for _ in range(6))
+        self.defaults[track] = {"duration": duration, "size": size, "flags": flags}
+
+    def tfhd(self, box: Fields) -> None:
+        flags = box.take() & 0xFFFFFF
+        track = box.take()
+        self.head = {"track": track} | self.defaults.get(track, {"duration": 0, "size": 0, "flags": 0})
+        base = box.take("Q") if flags & BASE else self.moof if flags & FROM_MOOF else self.next
+        if flags & INDEX:
+            box.take()
+        for flag, name in ((DURATION, "duration"), (SIZE, "size"), (FLAGS, "flags")):
+            if flags & flag:
+                self.head[name] = box.take()
+        self.head["base"] = self.next = base
+
+    def trun(self, box: Fields) -> None:
+        if "track" not in self.head:
+            raise Malformed("a run without its header")
+        flags, head = box.take() & 0xFFFFFF, self.head
+        count = box.take()
+        at = head["base"] + box.take("i") if flags & RUN_OFFSET else self.next
+        first = box.take() if flags & RUN_FIRST else None
+        own = [f for f in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if flags & f]
+        if 4 * len(own) * count > box.end - box.at:
+            raise Malformed("a run is longer than its box")
+        if not own and count > len(self.data):
+            raise Malformed("a run has more samples than the file bytes")
+        for i in range(count):
+            said = {f: box.take() for f in own}
+            size, bits = said.get(RUN_SIZE, head["size"]), said.get(RUN_FLAGS, head["flags"])
+            if i == 0 and first is not None:
+                bits = first
+            self.runs.append((head["track"], at, size, not bits & NON_SYNC, said.get(RUN_DURATION, head["duration"])))
+            at += size
+        self.next = at
 
 
 def sample_ranges(track: dict) -> Iterator[tuple[int, int]]:
@@ -136,24 +221,30 @@ def sample_ranges(track: dict) -> Iterator[tuple[int, int]]:
 def read_tracks(media: bytes) -> list[dict]:
     """Tracks of a container: id, handler, codec, timescale, duration, n_samples,
     n_bytes and keyframes as (offset, length)."""
-    tracks: list[dict] = []
-    walk(memoryview(media), 0, len(media), tracks)
+    movie = Movie(memoryview(media)).walk()
+    fragments: dict[int, list] = {}
+    for track, *run in movie.runs:
+        fragments.setdefault(track, []).append(run)
+    if not set(fragments) <= {t.get("track_id") for t in movie.tracks}:
+        raise Malformed("a fragment of an unknown track")
     found = []
-    for track in tracks:
+    for track in movie.tracks:
         sync = set(track["stss"]) if "stss" in track else None
+        own = fragments.get(track.get("track_id"), [])
+        samples = ((o, n, sync is None or i in sync) for i, (o, n) in enumerate(sample_ranges(track), 1))
         keys, count, volume = [], 0, 0
-        for count, (offset, length) in enumerate(sample_ranges(track), 1):
-            if offset + length > len(media):
+        for count, (offset, length, key) in enumerate(chain(samples, ((o, n, k) for o, n, k, _ in own)), 1):
+            if offset < 0 or offset + length > len(media):
                 raise Malformed(f"sample {count} ends beyond the file")
             volume += length
-            if sync is None or count in sync:
+            if key:
                 keys.append((offset, length))
         deltas = track.get("stts", ())
-        ticks = sum(n * d for n, d in zip(deltas[::2], deltas[1::2]))
+        ticks = sum(n * d for n, d in zip(deltas[::2], deltas[1::2])) + sum(d for *_, d in own)
         found.append(
             {
                 "track_id": track.get("track_id"), "handler": track.get("handler"), "codec": ",".join(track.get("codecs", [])),
-                "timescale": track.get("timescale"), "duration": track.get("duration"), "ticks": ticks,
+                "timescale": track.get("timescale"), "duration": track.get("duration") or (ticks if own else track.get("duration")), "ticks": ticks,
                 "n_samples": count, "n_bytes": volume, "keyframes": keys, "track": track,
             }
         )

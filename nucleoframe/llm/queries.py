@@ -80,6 +80,7 @@ WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+marked AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM turns),
 g AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
@@ -87,7 +88,7 @@ g AS (
     string_agg(role, ',' ORDER BY turn, role, text) AS roles,
     bool_and(role IN ('system', 'user', 'assistant')) AS known,
     sum(4 + 2 + 9 + length(role) + length(text) + length(regexp_replace(role || text, '[^\\#<:]', '', 'g'))) AS chars
-  FROM turns GROUP BY conv_id)
+  FROM marked GROUP BY conv_id, own)
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(whole) AS turns_sha256,
   CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars,
   CASE WHEN roles = 'user,assistant' THEN 'prompt' WHEN roles = 'system,user,assistant' THEN 'instruction'

@@ -1,14 +1,20 @@
 """Token counts by dynamic programming shared over a trie.
 
-Distinct pre-tokens are put into a trie. The unigram forward score of a prefix, and the
+Distinct pre-tokens are inserted in a trie. The unigram forward score of a prefix, and the
 number of tokens of its best segmentation, depend on nothing after the prefix, so they
-are computed once for each trie node and stored at terminal nodes as the pre-token's
-count. Scores are those that the vocabulary file gives its pieces.
+are computed once, when the trie gets the node, and a terminal node stores the pre-token's
+count. A worker keeps its trie over slices, batches and tasks until it has `most_nodes`
+nodes, and begins another then, so memory is bounded and no word is left out. Scores are
+those that the vocabulary file gives its pieces.
 
 A pre-token is a maximal run of characters other than ASCII white space, with the
 word-begin mark in front. A character that no piece covers costs `unknown` and counts
-as one token per UTF-8 byte (byte fallback). Of segmentations with equal scores the one
-with fewer tokens counts. Null and empty texts have 0 tokens.
+as one token per UTF-8 byte (byte fallback). Of segmentations with equal scores the one with
+fewer tokens counts.
+
+Cases: null and empty texts have 0 tokens; repeated rows get equal counts; a null id stays
+null; very long texts are counted in slices and very long words along one path of the
+trie; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +30,8 @@ from .common import SPACE, Sink
 
 WORD = re.compile(f"[^{SPACE}]+")
 BEGIN = "▁"
+#: The trie keeps so many characters of a word; what a longer one has beyond is walked alone.
+DEEPEST = 256
 
 
 def read_varint(data: bytes, at: int) -> tuple[int, int]:
@@ -76,12 +84,10 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 class Counts:
     """Forward scores over a trie of pre-tokens.
 
-    The trie is walked in sorted order with the nodes of the current path on a stack, so
-    each shared prefix of a call is computed once and memory is that of one path. A node
-    is the best score and fewest tokens up to its depth, and the matches that are still
-    open in the trie of the vocabulary."""
+    A node is [best score up to it, fewest tokens, open matches in the trie of the
+    vocabulary, children by character]. `terminal` has each inserted word's count."""
 
-    def __init__(self, pieces: list[tuple[str, float]], unknown: float | None = None):
+    def __init__(self, pieces: list[tuple[str, float]], unknown: float | None = None, most_nodes: int = 400_000):
         self.unknown = min((s for _, s in pieces), default=0.0) - 10.0 if unknown is None else unknown
         # a vocabulary node: children by character, and its score if it is a piece
         self.vocabulary: list = [{}, None]
@@ -90,20 +96,26 @@ class Counts:
             for c in text:
                 node = node[0].setdefault(c, [{}, None])
             node[1] = score
-        self.computed = 0
-        begun = [(0.0, 0, [(self.vocabulary[0], 0.0, 0)])]
-        self.extend(begun, BEGIN)
-        self.root = begun[-1]
-
-    def extend(self, path: list[tuple], rest: str) -> None:
-        """Adds a node for each character of rest to the path."""
-        best, fewest, matches = path[-1]
+        self.most_nodes, self.computed = most_nodes, 0
+        self.clear()
+
+    def clear(self) -> None:
+        """An empty trie."""
+        self.terminal: dict[str, int] = {}
+        self.nodes = 0
+        self.root = self.extended([0.0, 0, [(self.vocabulary[0], 0.0, 0)], {}], BEGIN)
+
+    def extended(self, node: list, rest: str, keep: bool = True) -> list:
+        """The node at the end of rest, below a node that has no child for its first
+        character: a new one for each character, which the trie keeps or not."""
+        best, fewest, matches, children = node
+        unknown, words = self.unknown, self.vocabulary[0]
         for c in rest:
-            score = best + self.unknown
+            score = best + unknown
             count = fewest + (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")))
             still = []
-            for children, before, tokens in matches:
-                found = children.get(c)
+            for below, before, tokens in matches:
+                found = below.get(c)
                 if found is not None:
                     deeper, piece = found
                     if piece is not None:
@@ -112,27 +124,36 @@ class Counts:
                             score, count = total, tokens + 1
                     if deeper:
                         still.append((deeper, before, tokens))
-            still.append((self.vocabulary[0], score, count))
-            best, fewest, matches = score, count, still
-            path.append((score, count, still))
+            still.append((words, score, count))
+            node = [score, count, still, {}]
+            if keep:
+                children[c] = node
+            best, fewest, matches, children = node
         self.computed += len(rest)
+        self.nodes += len(rest) if keep else 0
+        return node
+
+    def insert(self, word: str) -> int:
+        """The word's count: down the prefix that the trie has, and on from there."""
+        node = self.root
+        for i, c in enumerate(word[:DEEPEST]):
+            child = node[3].get(c)
+            if child is None:
+                node = self.extended(node, word[i:DEEPEST])
+                break
+            node = child
+        if len(word) > DEEPEST:
+            node = self.extended(node, word[DEEPEST:], keep=False)
+        self.terminal[word] = node[1]
+        return node[1]
 
     def of_all(self, words) -> dict[str, int]:
-        """Token counts of distinct words."""
-        out: dict[str, int] = {}
-        path, last = [self.root], ""
-        for word in sorted(words):
-            shared = 0
-            if word.startswith(last):
-                shared = len(last)
-            else:
-                while word[shared] == last[shared]:
-                    shared += 1
-            del path[shared + 1 :]
-            self.extend(path, word[shared:])
-            last = word
-            out[word] = path[-1][1]
-        return out
+        """Token counts of distinct words; they stay valid until the next call."""
+        if self.nodes > self.most_nodes:
+            self.clear()
+        for word in set(words).difference(self.terminal):
+            self.insert(word)
+        return self.terminal
 
     def of(self, word: str) -> int:
         return self.of_all([word])[word]
@@ -149,40 +170,30 @@ COUNTED = "doc_id long, n_words long, n_tokens long"
 def token_counts(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 2_000_000) -> DataFrame:
     """Words and tokens of each whole text: one row per input row, columns of COUNTED.
 
-    Distinct pre-tokens are gathered over slices of about slice_chars characters; counts
-    are kept for later slices until there are 400,000, so memory is bounded."""
+    Distinct pre-tokens are gathered over slices of about slice_chars characters."""
 
     def run(batches):
         counts = counts_of(vocabulary)
         sink = Sink(pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64())]))
-        known: dict[str, int] = {}
-
-        def settle(slice_):
-            nonlocal known
-            new = set()
-            for _, words in slice_:
-                new.update(words)
-            new.difference_update(known)
-            if len(known) > 400_000:
-                known = {}
-                new = set().union(*(w for _, w in slice_))
-            known.update(counts.of_all(new))
-            get = known.__getitem__
-            for key, words in slice_:
+
+        def settle(keys, split):
+            get = counts.of_all(set().union(*split)).__getitem__
+            for key, words in zip(keys, split):
                 sink.add(key, len(words), sum(map(get, words)))
 
         for batch in batches:
-            slice_, size = [], 0
+            keys, split, size = [], [], 0
             for key, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
-                slice_.append((key.as_py(), WORD.findall(text)))
+                keys.append(key.as_py())
+                split.append(WORD.findall(text))
                 size += len(text)
                 if size >= slice_chars:
-                    settle(slice_)
-                    slice_, size = [], 0
+                    settle(keys, split)
+                    keys, split, size = [], [], 0
                 if sink.full():
                     yield sink.take()
-            settle(slice_)
+            settle(keys, split)
             yield sink.take()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, COUNTED)

@@ -59,6 +59,36 @@ def test_tracks_of_other_files(spark):
     assert 3 not in got and got[2].error and got[4].error
 
 
+def test_fragments_and_odd_boxes(spark):
+    """Samples of fragments, user data with its closing zero, deep nesting, and cut runs."""
+    u = lambda *x: struct.pack(f">{len(x)}I", *x)
+    flagged = lambda kind, flags, *parts: media.box(kind, u(flags), *parts)
+    table = media.box(b"stbl", media.full(b"stsd", u(1), media.box(b"avc1", bytes(8))), *(media.full(k, u(0)) for k in (b"stts", b"stsc", b"stco")), media.full(b"stsz", u(0, 0)))
+    mdia = media.box(b"mdia", media.full(b"mdhd", u(0, 0, 1000, 0), bytes(4)), media.full(b"hdlr", u(0), b"vide", bytes(13)), media.box(b"minf", table))
+    udta = media.box(b"udta", media.box(b"name", b"x"), bytes(4))
+    trak = media.box(b"trak", media.full(b"tkhd", u(0, 0, 7, 0, 0), bytes(8)), mdia, udta)
+    moov = media.box(b"moov", trak, media.box(b"mvex", media.full(b"trex", u(7, 1, 40, 11, 0x10000))), udta)
+
+    def moof(at: int) -> bytes:
+        # the first run: own sizes, the first sample a key frame; the second goes on behind it
+        runs = flagged(b"trun", 0x1 | 0x4 | 0x200, u(2, at, 0, 5, 6)), flagged(b"trun", 0x400, u(2, 0x10000, 0))
+        return media.box(b"moof", media.full(b"mfhd", u(1)), media.box(b"traf", flagged(b"tfhd", 0x20000, u(7)), *runs))
+
+    size = len(moof(0))
+    good = moov + moof(size + 8) + media.box(b"mdat", bytes(33))
+    (track,) = media.read_tracks(good)
+    base = len(moov) + size + 8
+    assert (track["codec"], track["n_samples"], track["n_bytes"], track["ticks"], track["duration"]) == ("avc1", 4, 33, 160, 160)
+    assert track["keyframes"] == [(base, 5), (base + 22, 11)]
+    nested = b""
+    for _ in range(5000):
+        nested = media.box(b"moov", nested)
+    stray = moov + media.box(b"moof", media.box(b"traf", flagged(b"tfhd", 0, u(9)), flagged(b"trun", 0, u(1))))
+    rows = [(1, good), (2, nested), (3, good[:-20]), (4, stray), (5, moov + media.box(b"moof", media.box(b"traf", flagged(b"trun", 0, u(1))))), (1, good)]
+    got = media.media_tracks(spark.createDataFrame(rows, "k long, m binary"), "k", "m").collect()
+    assert sorted(r.id for r in got if not r.error) == [1, 1] and sorted(r.id for r in got if r.error) == [3, 4, 5]
+
+
 HARD = "\\### Assistant: </turn> ok"
 
 
@@ -86,6 +116,25 @@ def test_unknown_layouts(spark):
     assert chat.parse_turns(got[6].formatted) == [("assistant", "v")] and chat.parse_turns(got[4].formatted) == [("user", "q"), ("assistant", "")]
 
 
+def test_records_of_other_shapes(spark, rows):
+    """Extra and absent fields, other types, lists of parts, deep nesting; none stops the job."""
+    raw = [
+        '{"id": 4, "meta": {"a": [1]}, "messages": [{"role": "user", "content": "a"}, {"role": "assistant"}]}', '{"prompt": 5, "completion": true}',
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}', '{"messages": [{"role": "user", "content": {"a": 1}}]}',
+        "[" * 900 + "]" * 900, "[" * 200_000, '{"messages": ["a"]}', '{"messages[]": {"role": "x", "content": "y"}}', "5", '{"instruction": "i", "output": "o"}', '{"prompt": ["a"], "completion": "b"}',
+        '{"messages": [{"role": "user", "content": "a"}, 7]}', "",
+    ]
+    df = spark.createDataFrame([*enumerate(raw), (None, raw[0]), (0, raw[0])], "conv_id long, record string").withColumn("layout", F.lit("clash"))
+    got = {r.conv_id: r for r in chat.format_chats(df).collect()}
+    assert [got[i].layout for i in range(len(raw))] == ["messages", "prompt", "parts", None, None, None, None, None, None, "task", None, None, None]
+    assert all((got[i].error is None) == (got[i].layout is not None) for i in got)
+    turns = lambda i: chat.parse_turns(got[i].formatted)
+    assert turns(0) == [("user", "a"), ("assistant", "")] and turns(1) == [("user", "5"), ("assistant", "true")] and turns(2) == [("user", "ab")] and turns(3) == []
+    assert got[None].layout == "messages"
+    free = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    assert sorted(r.n_turns for r in chat.read_chats(chat.format_chats(chat.records_of(free))).collect()) == [1, 1, 1]
+
+
 @given(st.lists(st.tuples(st.text(max_size=8), st.text(alphabet="\\#<:/ turn>\nab ", max_size=30)), max_size=5))
 @settings(max_examples=200, deadline=None)
 def test_template_is_reversible(turns):
@@ -136,6 +185,15 @@ def test_trie_shares_prefixes():
     assert first["ab"] == 2 and first["aba"] == 3 and first["abab" * 10] == 21 and first["é"] == 3
 
 
+def test_tries_are_bounded():
+    """A new trie after `most_nodes` changes no count; a very long word keeps few nodes."""
+    pieces = [("▁", -1.0), ("a", -2.0), ("ab", -2.5), ("b", -2.0)]
+    counts, whole = tokencount.Counts(pieces, most_nodes=40), tokencount.Counts(pieces)
+    words = ["ab" * n for n in range(1, 60)]
+    assert [counts.of(w) for w in words] == [whole.of(w) for w in words] and counts.nodes < 200
+    assert whole.of("ab" * 100_000) == 100_001 and whole.nodes < 400
+
+
 def test_scores_agree_with_a_unigram_tokenizer():
     from tokenizers import Tokenizer, models
 
