@@ -1,4 +1,5 @@
-"""Connected components of an edge list, by alternating star contraction."""
+"""Connected components of an edge list, by alternating star contraction, and joins that
+split hot keys."""
 
 from __future__ import annotations
 
@@ -8,37 +9,71 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """Each u with the least of its neighbours v and itself."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def share_of(df: DataFrame, total: int) -> int:
+    """Rows of one key that a task may have beside others: half an even share."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(total // (2 * parts), 64)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def evenly(rows: DataFrame, one: DataFrame, key: str, counted: DataFrame, share: int, ident: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with `one`, which has one row for each key, so that no key is in one
+    task: keys with more than `share` rows, by `counted` (key, n), get a salt on the side of
+    the rows, and as many copies on the other. There are at most total / share such keys,
+    a bound that doesn't grow with the rows, so they are broadcast. `ident` tells the rows of
+    a key apart."""
+    hot = counted.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("splits"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(*ident), F.coalesce("splits", F.lit(1))).cast("int")).drop("splits")
+    copies = one.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1))).drop("splits")
+    return salted.join(copies, [key, "salt"], how).drop("salt")
+
+
+def _with_least(pairs: DataFrame, share: int) -> DataFrame:
+    """(u, v, m): m is the least of all neighbours of u and of u itself."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return evenly(pairs, least.select("u", F.least("u", "m").alias("m")), "u", least.select("u", "n"), share, ["v"])
+
+
+def _large_star(edges: DataFrame, share: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _with_least(both, share).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, share: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    joined = down.join(_least(down), "u")
+    joined = _with_least(down, share)
     moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(joined.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def _are_stars(edges: DataFrame) -> bool:
+    """Does each u have one v, and is no v a u? Then every v is the least of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    ends = ends.union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("above").alias("a"), F.sum("below").alias("b")).where("a > 1 or (a > 0 and b > 0)").isEmpty()
+
+
+def components(edges: DataFrame, a: str, b: str, save=written) -> DataFrame:
     """(id, component) for every id of an edge; component is the least id reachable.
 
-    Each round contracts stars and is written to the shared folder; rounds grow with the
-    logarithm of the longest path. Only a count and a sum reach the driver."""
-    state = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
-    before = None
-    while True:
-        state = written(_small_star(_large_star(state)), "star")
-        now = state.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
-            break
-        before = now
-    # the fixed point is a forest of stars: every u points at the least id of its component
-    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
-        state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    Each round contracts stars and is saved to the shared folder; rounds grow with the
+    logarithm of the longest path, and end where the edges are stars, which is tested on
+    all of them. Only that answer and counts reach the driver."""
+    down = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
+    state = save(down, "edges")
+    while not _are_stars(state):
+        share = share_of(state, 2 * state.count())
+        state = save(_small_star(_large_star(state, share), share), "star")
+    return state.select(F.col("u").alias("id"), F.col("v").alias("component")).union(state.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def joined_components(labels: DataFrame, links: DataFrame, save=written) -> DataFrame:
+    """Labels (id, component) after further links (a, b): the links are drawn between the
+    components they touch, so only what they join is contracted anew."""
+    named = links
+    for side in ("a", "b"):
+        named = named.join(labels.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    drawn = named.select(F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v"))
+    more = save(components(drawn, "u", "v", save), "joined").select(F.col("id").alias("old"), F.col("component").alias("new"))
+    moved = labels.join(more, labels["component"] == more["old"], "left").select("id", F.coalesce("new", "component").alias("component"))
+    # ids that no earlier label has
+    return moved.union(more.join(labels, more["old"] == labels["id"], "left_anti").select("old", "new"))

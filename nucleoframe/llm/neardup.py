@@ -20,8 +20,12 @@ similarity 0.75 shares no region with probability 0.0002, one of 0.8 with 0.0000
 
 Cases: fewer than five words: the whole sequence is the one shingle; no words (null,
 empty, blank): an empty set, linked with nothing; repeated rows get equal values, and rows
-that share an id are linked as one document is; a row
-without an id keeps component null and is kept; extra columns are ignored.
+that share an id are linked as one document is; a row without an id keeps component null
+and is kept; of candidates met equally often the one with the least id is taken first;
+very long texts make large sets, which are held one batch at a time; an empty table gives
+no rows; extra columns are ignored, whatever their names. Keys that many rows share
+(regions, centres of stars, documents of many pairs, sets of many copies) are dealt to
+several tasks.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink, rows, written
-from .graph import components
+from .common import Scratch, Sink, rows, written
+from .graph import components, evenly, joined_components, share_of
 
 TREES, DEPTH = 16, 6
 #: Values of the prefix that makes a region.
@@ -131,7 +135,7 @@ def halved(bits: np.ndarray) -> np.ndarray:
     return bits[..., :half] ^ bits[..., half:]
 
 
-def forest_entries(classes: DataFrame, least_depth: int = LEAST_DEPTH) -> DataFrame:
+def forest_entries(classes: DataFrame, least_depth: int = LEAST_DEPTH, save=written) -> DataFrame:
     """(id, key, n, least, region): entries of the trees that share a region with another, its
     size and least id."""
     width = 4 * DEPTH
@@ -140,22 +144,24 @@ def forest_entries(classes: DataFrame, least_depth: int = LEAST_DEPTH) -> DataFr
     )
 
     # only what meets another entry goes on, and is sorted
-    return written(members(entries, least_depth), "forest")
+    return save(members(entries, least_depth, share_of(classes, TREES * classes.count())), "forest")
 
 
-def members(found: DataFrame, depth: int) -> DataFrame:
-    """Entries that share their prefix of this depth, with their region's size and least id."""
+def members(found: DataFrame, depth: int, share: int) -> DataFrame:
+    """Entries that share their prefix of this depth, with their region's size and least id;
+    a large region is dealt to several tasks."""
     keyed = found.withColumn("h", F.xxhash64(F.substring("key", 1, 1 + 4 * depth)))
     regions = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    return keyed.join(regions, "h").select("id", "key", "n", "least", F.col("h").alias("region"))
+    return evenly(keyed, regions, "h", regions.select("h", "n"), share, ["id"]).select("id", "key", "n", "least", F.col("h").alias("region"))
 
 
 def forest_candidates(inside: DataFrame, least_depth: int = LEAST_DEPTH, region: int = 32, neighbours: int = 3) -> DataFrame:
     """(a, b, n): candidate pairs of class ids, a < b, and how often they were met."""
+    share = share_of(inside, inside.count())
     stars = [inside.select("id", "least")]
     large = inside
     for depth in range(least_depth + 1, DEPTH + 1):
-        large = members(large.where(F.col("n") > region).select("id", "key"), depth)
+        large = members(large.where(F.col("n") > region).select("id", "key"), depth, share)
         stars.append(large.select("id", "least"))
     star = stars[0]
     for more in stars[1:]:
@@ -178,19 +184,23 @@ def forest_candidates(inside: DataFrame, least_depth: int = LEAST_DEPTH, region:
     return pairs.union(order.mapInArrow(beside, "a long, b long")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def candidate_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def candidate_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, save=written) -> DataFrame:
     """(id, found): full sets of the documents that occur in a pair, made once. The ids
     grow with the corpus, so they are dealt out with the texts and never broadcast."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     held = one.join(ids.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "text"])
-    return written(full_sets(held, "id", "text"), "sets")
+    return save(full_sets(held, "id", "text"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    held = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("found").alias("x")), "a")
-    held = held.join(sets.select(F.col("id").alias("b"), F.col("found").alias("y")), "b").select("a", "b", "x", "y")
+    """The saved pairs (a, b) whose full sets have 100 * intersection >= percent * union. A
+    document of many pairs is dealt to several tasks, with its set."""
+    held, share = pairs.select("a", "b"), share_of(pairs, pairs.count())
+    for side, other, found in (("a", "b", "x"), ("b", "a", "y")):
+        one = sets.select(F.col("id").alias(side), F.col("found").alias(found))
+        held = evenly(held, one, side, pairs.groupBy(side).agg(F.count("*").alias("n")), share, [other])
+    held = held.select("a", "b", "x", "y")
 
     def run(batches):
         sink = Sink(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
@@ -205,18 +215,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     return held.mapInArrow(run, "a long, b long")
 
 
-def pieces(inside: DataFrame, labels: DataFrame) -> DataFrame:
+def pieces(inside: DataFrame, labels: DataFrame, save=written) -> DataFrame:
     """(region, i, j, minor, id, of): the comparisons that are left in regions of several
     components, dealt out in pieces. In a piece each minor member (not of the region's
     largest component) meets every member of another component; `of` is the component."""
     # a region of two is settled by the link to its least member
-    placed = inside.where("n > 2").select("region", "id").join(labels.withColumnRenamed("component", "of"), "id", "left")
-    placed = placed.select("region", "id", F.coalesce("of", "id").alias("of"))
+    placed = inside.where("n > 2").select("region", "id", "n").join(labels.withColumnRenamed("component", "of"), "id", "left")
+    placed = placed.select("region", "id", "n", F.coalesce("of", "id").alias("of"))
     counts = placed.groupBy("region", "of").agg(F.count("*").alias("n"))
     still = counts.groupBy("region").agg(F.sum("n").alias("n"), F.max_by("of", F.struct("n", -F.col("of"))).alias("main"), F.max("n").alias("most")).where("most < n")
     parts = lambda n: F.ceil(n / PIECE).cast("int")
-    still = still.select("region", "main", parts(F.col("n")).alias("all_parts"), parts(F.col("n") - F.col("most")).alias("minor_parts"))
-    member = written(placed.join(still, "region"), "still")
+    still = still.select("region", "main", "n", parts(F.col("n")).alias("all_parts"), parts(F.col("n") - F.col("most")).alias("minor_parts"))
+    member = evenly(placed.drop("n"), still.drop("n"), "region", still.select("region", "n"), share_of(inside, inside.count()), ["id"])
+    member = save(member, "still")
 
     def dealt(minor: bool) -> DataFrame:
         own, other = ("minor_parts", "all_parts") if minor else ("all_parts", "minor_parts")
@@ -273,10 +284,10 @@ def unrefuted(minor: list, whole: list, percent: int = 75) -> set[tuple[int, int
     return out
 
 
-def remaining(inside: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def remaining(inside: DataFrame, labels: DataFrame, sets: DataFrame, save=written) -> DataFrame:
     """(a, b): pairs of a region between two components that only full sets can tell."""
-    dealt = written(pieces(inside, labels), "pieces")
-    known = written(sketches(sets, dealt.select("id").distinct()), "sketches")
+    dealt = save(pieces(inside, labels, save), "pieces")
+    known = save(sketches(sets, dealt.select("id").distinct()), "sketches")
     keys = ["region", "i", "j"]
 
     def run(batches):
@@ -298,39 +309,48 @@ def remaining(inside: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id and kept."""
-    signs = written(signed(docs, id_col, text_col), "signatures")
+    """One row per input row: doc_id, n_shingles, component_id and kept. The result is
+    written; all other copies are deleted."""
+    scratch = Scratch(docs.sparkSession, "near")
+    try:
+        return written(_near_duplicates(docs, id_col, text_col, scratch.written), "near-result")
+    finally:
+        scratch.drop()
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, save) -> DataFrame:
+    signs = save(signed(docs, id_col, text_col), "signatures")
     known = signs.where("set_id is not null and doc_id is not null")
-    classes = written(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
-    inside = forest_entries(classes.select("id", "signature"))
-    found = written(forest_candidates(inside), "candidates")
+    classes = save(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.count("*").alias("n")), "classes")
+    inside = forest_entries(classes.select("id", "signature"), save=save)
+    found = save(forest_candidates(inside), "candidates")
 
     # first each document's most frequent candidate, so that few pairs need both sets
     both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     best = both.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sets = candidate_sets(found, docs, id_col, text_col)
-    links = written(confirmed(best, sets), "links")
-    labels = components(links, "a", "b")
+    best = save(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+    sets = candidate_sets(found, docs, id_col, text_col, save)
+    labels = save(components(confirmed(best, sets), "a", "b", save), "labels")
 
     # then whatever still lies between two components
     def label(side: str):
         return labels.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
 
     rest = found.join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = rest.where("not coalesce(of_a, a) <=> coalesce(of_b, b)").select("a", "b")
-    more = written(confirmed(written(rest, "rest"), sets), "links")
-    final = written(components(links.union(more), "a", "b"), "components")
+    rest = save(rest.where("not coalesce(of_a, a) <=> coalesce(of_b, b)").select("a", "b"), "rest")
+    if not rest.isEmpty():
+        labels = save(joined_components(labels, confirmed(rest, sets), save), "labels")
 
     # and whatever else lies between two components of a region
-    last = written(confirmed(written(remaining(inside, final, sets), "remaining"), sets), "links")
+    last = save(remaining(inside, labels, sets, save), "remaining")
     if not last.isEmpty():
-        final = components(links.union(more).union(last), "a", "b")
+        labels = save(joined_components(labels, confirmed(last, sets), save), "labels")
 
-    named = classes.select("set_id", "id").join(final, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
-    joined = signs.join(named, "set_id", "left")
-    component = F.when(F.col("set_id").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
-    out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
+    named = classes.select("set_id", "id").join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
+    rows_of = signs.select("doc_id", "n_shingles", "set_id").where("set_id is not null")
+    joined = evenly(rows_of, named, "set_id", classes.select("set_id", "n"), share_of(signs, signs.count()), ["doc_id"], "left")
+    out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+    out = out.union(signs.where("set_id is null").select("doc_id", "n_shingles", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
