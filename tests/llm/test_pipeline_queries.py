@@ -1,9 +1,13 @@
+import itertools
 import re
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from nucleoframe.llm import queries
 
@@ -53,6 +57,77 @@ def test_stages(spark, small):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_stages_against_brute_force(spark, small):
+    """Every stage on rows with null and repeated ids and columns of odd names, against
+    plain Python over the stage's own input."""
+    import corpus_pipeline as p
+    from nucleoframe.llm import pii, quality, textstats
+
+    from .test_text_operators import VOCABULARY, brute_components, brute_leaks
+
+    base, clean, _ = small
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    near = clean[30][1].replace(" ", "  ")
+    extra = [(None, clean[3][1]), (None, "so " + BENCH), (5000, clean[60][1] + " one more"), (5000, prose(991, 70)), (5001, prose(992, 70)), (5001, prose(992, 70)), (5002, near), (5003, BENCH.upper()), (5003, prose(993, 60)), (5004, "x " * 30_000)]
+    more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in extra], docs.schema)
+    docs = docs.unionByName(more).withColumns({"a.b": F.lit("dot"), "__n": F.lit(1), "__upper_share": F.lit(2.0), "id": F.lit(0), "item": F.lit("x"), "text_hash": F.lit(5), "salt": F.lit(6)})
+    model = quality.quality_model(docs, spark.read.parquet(f"{base}/labels.parquet"))
+    surrogates, key = pii.Surrogates(pii.QUERY_KEY), lambda r: repr((r.doc_id, r.text))
+
+    def by_quality(rows):
+        return [r for r in rows if float(model.score(np.array([textstats.statistics(r.text)]))[0]) >= 0.3]
+
+    def by_group(rows):
+        # rows are compared by their own texts; rows of one id are one document
+        known = [r for r in rows if r.doc_id is not None]
+        of = {i: c for i, (_, c) in brute_components([(i, r.text) for i, r in enumerate(known)]).items()}
+        group, least = {r.doc_id: r.doc_id for r in known}, {}
+        for _ in known:  # the least id of each group, from row to row
+            by_row = {}
+            for i, r in enumerate(known):
+                by_row[of[i]] = min(by_row.get(of[i], group[r.doc_id]), group[r.doc_id])
+            for i, r in enumerate(known):
+                group[r.doc_id] = min(group[r.doc_id], by_row[of[i]])
+        for r in known:
+            if group[r.doc_id] == r.doc_id:
+                least[r.doc_id] = min(least.get(r.doc_id, r), r, key=lambda r: (r.text is not None, r.text))
+        return [r for r in rows if r.doc_id is None] + list(least.values())
+
+    def by_leak(rows):
+        return [r for r in rows if not brute_leaks(r.text or "", BENCH)]
+
+    want = {"quality": by_quality, "near_duplicates": by_group, "decontamination": by_leak}
+    for name, stage in p.STAGES[:-1]:
+        rows = docs.collect()
+        out = stage(spark, docs, base)
+        assert out.columns == docs.columns
+        got = out.collect()
+        if name in want:
+            wanted = Counter(map(tuple, want[name](rows)))
+            assert not (found := Counter(map(tuple, got))) - wanted and not wanted - found, (name, found - wanted, wanted - found)
+        else:
+            replaced = {(r.doc_id, r.text): pii.replaced(r.text, surrogates)[0] if r.text is not None else None for r in rows}
+            assert sorted(map(key, got)) == sorted(repr((i, t)) for (i, _), t in replaced.items())
+            assert all(r.n_chars == len(r.text or "") for r in got)
+        docs = spark.createDataFrame(got, out.schema)
+    ids = {r.doc_id for r in docs.collect()}
+    assert None in ids and 5001 in ids and 5002 not in ids
+    pieces = p.packing_stage(spark, docs, base).collect()
+    whole = Tokenizer.from_file(VOCABULARY)
+    lengths = []
+    for r in docs.collect():
+        tokens = [*whole.encode(r.text or "", add_special_tokens=False).ids, 0]
+        lengths += [(r.doc_id, k // 2048, len(tokens[k : k + 2048]), crc32(np.array(tokens[k : k + 2048], dtype="<u4").tobytes())) for k in range(0, len(tokens), 2048)]
+    assert sorted(((r.doc_id, r.piece, r.length, r.ids_crc32) for r in pieces), key=repr) == sorted(lengths, key=repr)
+    places = defaultdict(list)
+    for r in pieces:
+        places[r.sequence_id].append((r.offset, r.length))
+    for own in places.values():
+        ends = list(itertools.accumulate(n for _, n in sorted(own)))
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(places) == -(-sum(n for _, _, n, _ in lengths) // 2048)
+
+
 def test_empty_tables(spark, small, tmp_path):
     import corpus_pipeline as p
 

@@ -364,7 +364,7 @@ ENTITIES = [
 @pytest.mark.parametrize(("text", "kind"), ENTITIES)
 def test_surrogates(text, kind):
     s = pii.Surrogates(KEY)
-    ((start, end, found, _),) = list(pii.entities(text))
+    ((start, end, found),) = list(pii.entities(text))
     assert found == kind
     new, spans = pii.replaced(text, s)
     ((_, a, b),) = spans
@@ -382,6 +382,7 @@ def test_surrogates_are_distinct_and_coreferent():
     assert len({s.phone(p) for p in phones}) == 3000
     assert "".join(filter(str.isdigit, s.phone("518-555-0532"))) == "".join(filter(str.isdigit, s.phone("+1 (518) 555-0532")))[1:]
     assert len({s.ip(f"59.117.{i}.{j}") for i in range(40) for j in range(40)}) == 1600
+    assert len({s.ipv6(f"2001:db8::{i:x}:1") for i in range(300)}) == 300
     assert len({s.email(f"a{i:02d}@x.org") for i in range(100)}) == 100
     cards = [f"40418949746{i:04d}" for i in range(500)]
     made = {s.card(c + str(pii.luhn(c))) for c in cards}
@@ -390,17 +391,55 @@ def test_surrogates_are_distinct_and_coreferent():
         moved = [KEY.moved("k", v, left, right) for v in range(left * right)]
         assert sorted(moved) == list(range(left * right)) and all(v != m for v, m in enumerate(moved))
     assert KEY.moved("k", 0, 1, 1) == 0
-    assert s.name("Anna Smith", "f").split()[0] in pii.GIVEN["f", "latin"] and s.name("Иванова", "f")[0] >= "А"
+
+
+def test_ranges_and_check_digits():
+    s = pii.Surrogates(KEY)
+    numbers = [f"{a:03d}-{g:02d}-{n:04d}" for a in (1, 500, 665, 666, 899, 900, 0) for g in (0, 1, 99) for n in (0, 1, 4321)]
+    made = [s.ssn(x) for x in numbers]
+    assert len(set(made)) == len(numbers)
+    assert [pii.valid_ssn(x.replace("-", "")) for x in made] == [pii.valid_ssn(x.replace("-", "")) for x in numbers]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606", "DE00 3704 0044 0532 0130 00"]
+    right = lambda x: pii.iban_check(x[:2], x.replace(" ", "")[4:]) == x[2:4]
+    assert [right(s.iban(x)) for x in ibans] == [right(x) for x in ibans] == [True, True, True, False]
+    assert s.email("bob@firm.co.uk").endswith(".co.uk") and s.email("bob@mail.example.com").endswith("@mail.example.com")
+
+
+def test_every_mention_of_a_name():
+    s = pii.Surrogates(KEY)
+    new = lambda t: pii.replaced(t, s)[0]
+    first, last = s.name("Anna"), s.name("Smith")
+    assert first in pii.GIVEN["f", "latin"] and first != "Anna" and last[-1] == "h" and len(last) == 5
+    assert new("Mrs. Anna Smith came. Anna Smith left.") == f"Mrs. {first} {last} came. {first} {last} left."
+    assert new("Dr. Anna Smith; Ms. Smith's SMITH, Smith's Anna") == f"Dr. {first} {last}; Ms. {last}'s {last.upper()}, {last}'s {first}"
+    assert new("Mr. JOHN SMITH") == f"Mr. {s.name('John').upper()} {last.upper()}"
+    odd = new("Prof. Dr. J. von Neumann-O'Neil spoke. Neumann-O'Neil!")
+    assert re.fullmatch(r"Prof. Dr. [A-Z]. von [A-Z][a-z]{6}-[A-Z]'[A-Z][a-z]{3} spoke. [A-Z][a-z]{6}-[A-Z]'[A-Z][a-z]{3}!", odd) and "Neumann" not in odd and "Neil" not in odd
+    assert "Иванова" not in new("госпожа Иванова пришла. Иванова ушла") and "Παπαδοπούλου" not in new("Κυρία Παπαδοπούλου ήρθε")
+    assert new("Smith and Anna without a title") == "Smith and Anna without a title"
+    for group, names in pii.GIVEN.items():
+        assert sorted(map(s.name_part, names)) == sorted(names), group  # a permutation without fixed points
+        assert all(s.name_part(n) != n for n in names)
+    words = ["".join(w).capitalize() for w in itertools.product("bkst", "aeo", "lnr", "aeiou", "nt") if "".join(w) not in pii.GROUP_OF]
+    made = [s.name_part(w) for w in words]
+    assert len(set(made)) == len(words) and not {m.lower() for m in made} & set(pii.GROUP_OF)
 
 
 def test_not_personal():
-    for text in ("version 1.2.3 of 2024", "room 12-34", "4041894974608796 is no card", "1999-2004", "a@b", "12:30:45", "999.999.1.1"):
+    for text in ("version 1.2.3 of 2024", "room 12-34", "4041894974608796 is no card", "1999-2004", "a@b", "12:30:45", "999.999.1.1", "id 5551234567 row", "a::b", "x = y: z", "Mr. and Mrs. of old"):
         assert list(pii.entities(text)) == [], text
 
 
+def test_more_kinds():
+    for text, kind in (("call me: 5551234567", "phone"), ("at 2001:db8::ff00:42:8329 ok", "ipv6"), ("client_secret=abcdEF1234567x", "secret"), ("aws_secret_access_key = wJalrXUtnFEMI/K7", "secret")):
+        ((start, end, found),) = list(pii.entities(text))
+        new, _ = pii.replaced(text, pii.Surrogates(KEY))
+        assert found == kind and text[start:end] not in new and [e[2] for e in pii.entities(new)] == [kind], new
+
+
 def test_pseudonymized(spark, edge, empty):
-    out = pii.pseudonymized(edge, KEY)
-    assert out.columns == [*edge.columns, "__n", "__kinds"]
+    out, counted, kinded = pii.pseudonymized(edge.withColumns({"__n": F.lit("clash"), "a.b": F.lit(1)}), KEY)
+    assert out.columns == [*edge.columns, "__n", "a.b", counted, kinded] and counted != "__n"
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     assert got == sorted(edge_texts(), key=repr)  # clean texts stay
     docs = [(i, t) for i, (t, _) in enumerate(ENTITIES)] + [(50, ENTITIES[0][0] + " " + ENTITIES[4][0]), (51, None)]
@@ -408,15 +447,59 @@ def test_pseudonymized(spark, edge, empty):
     assert got[50].kinds == "email,ip" and got[50].n_entities == 2 and got[51].text is None
     assert got[50].text.startswith(got[0].text[: got[0].text.index(" now")])  # coreference over documents
     assert pii.pseudonymize(empty, KEY).count() == 0
+    assert pii.key_of(spark) == pii.QUERY_KEY
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.key_of(spark) != pii.QUERY_KEY
+    spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_pseudonymize_against_brute_force(spark):
+    """A corpus of generated entities: each is replaced everywhere, by one surrogate of its
+    own, in the same place, and nothing else changes."""
+    rng, docs, planted = random.Random(31), [], {}
+    surnames = ["".join(p).capitalize() for p in itertools.product("bgm", "ao", "rl", "iu", ["nson", "ck"])]
+    makers = {
+        "email": lambda: f"u{rng.randrange(90)}.{rng.choice('abc')}@site{rng.randrange(9)}.org", "phone": lambda: f"+1 (518) 555-{rng.randrange(300):04d}",
+        "ip": lambda: f"59.117.{rng.randrange(9)}.{rng.randrange(30)}", "ssn": lambda: f"123-45-{rng.randrange(1, 300):04d}", "name": lambda: rng.choice(surnames),
+    }
+    for i in range(300):
+        parts, mine = [], []
+        for _ in range(rng.randrange(6)):
+            kind = rng.choice(sorted(makers))
+            value = makers[kind]()
+            parts += [prose(rng.randrange(10**6), 4), ("Mr. " if kind == "name" else "x: ") + value + " ,"]
+            mine.append((kind, value))
+        docs.append((i, " ".join([*parts, "end"])))
+        planted[i] = mine
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(docs, "doc_id long, text string"), KEY).collect()}
+    seen: dict = {}
+    for i, text in docs:
+        assert got[i].n_entities == len(planted[i]) and got[i].kinds == ",".join(sorted(k for k, _ in planted[i]))
+        old, new = re.split(" (?=[^ ]* ?)", text), re.split(" (?=[^ ]* ?)", got[i].text)
+        assert len(old) == len(new)
+        changed = {(a, b) for a, b in zip(old, new) if a != b}
+        for a, b in changed:
+            assert seen.setdefault(a, b) == b or "(" in a or "-" in a
+        for _, value in planted[i]:
+            assert value not in got[i].text.split(" ") or value in {s for s in seen.values()}
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_collision_check(spark, monkeypatch):
-    """With one syllable for surnames names collide; the check tells them apart."""
-    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ("ba",), "cyrillic": ("ба",)})
-    monkeypatch.setattr(pii, "GIVEN", {k: v[:40] for k, v in pii.GIVEN.items()})
-    plain = pii.Surrogates(KEY)
-    assert plain.name("Smith", "f") == plain.name("Jones", "f")
-    # run in this process: the workers don't see the patched tables
-    names = [("f", n) for n in ("Smith", "Jones", "Brown")]
-    salted = pii.Surrogates(KEY, {n: i for i, n in enumerate(names)})
-    assert salted.salts["f", "Jones"] == 1
+    """The check finds entities that share a surrogate, and none with the real bijections."""
+    docs = [(i, f"Mr. Ba{c}er wrote to a{i}@x.org from 59.117.2.{i}") for i, c in enumerate("bcdfghklmnp")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert pii.collisions(df, KEY).count() == 0
+
+    class Broken(pii.Surrogates):
+        def name(self, text):
+            return "Same"
+
+        def ip(self, text):
+            return "59.1.1.1"
+
+    monkeypatch.setattr(pii, "Surrogates", Broken)
+    found = {r.kind: r.n for r in pii.collisions(df, KEY).collect()}
+    assert found == {"name": 11, "ip": 11}
+    with pytest.raises(ValueError):
+        pii.pseudonymize(df, KEY)
