@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from . import sinks
-from .operators import barcodes, lengths, mutrate, quality, reads, sweep, windows
+from .operators import barcodes, correlation, lengths, mutrate, quality, reads, sweep, windows
 from .session import session
 from .sources import bam, fastq, text, vcf
 
@@ -19,7 +19,8 @@ def run_mutrate(spark, a) -> None:
         positions = mutrate.position_filter(positions, a.coverage, a.gene_coverage)
     else:
         positions = positions.where(F.col("coverage") >= a.coverage)
-    sinks.write_tsv(mutrate.position_table(positions), a.output)
+    out = mutrate.position_table(positions)
+    sinks.print_tsv(out) if a.output == "-" else sinks.write_tsv(out, a.output)
 
 
 def run_windows(spark, a) -> None:
@@ -33,13 +34,20 @@ def run_cell_windows(spark, a) -> None:
     sinks.write_window_vcf(found, cells, contigs, a.output)
 
 
+def write_records(records, a, path: str) -> None:
+    """BAM part files, or SAM text, with the first input's header."""
+    header = bam.header_text(a.bam[0])
+    sinks.write_sam(records, header, path) if a.sam else bam.write_bam(records, path, header)
+
+
 def run_read_stats(spark, a) -> None:
     whole = bam.read_bam(spark, *a.bam)
     stats = reads.read_stats(whole, a.min_length)
-    sinks.write_tsv(sinks.read_table(stats), f"{a.output}/reads", header=True)
+    sinks.write_tsv(sinks.read_table(stats, a.all_transcripts), f"{a.output}/reads", header=True)
     sinks.write_tsv(reads.top_counts(reads.alignment_histogram(stats)), f"{a.output}/top_counts", header=True, single=True)
     if a.extract_unique or a.full_analysis:
-        sinks.sam_lines(reads.unique_primary(whole, stats)).orderBy("ord").select("value").write.text(f"{a.output}/unique_sam", compression="gzip")
+        write_records(reads.unique_primary(whole, stats), a, f"{a.output}/unique")
+        sinks.write_tsv(sinks.unique_read_table(stats), f"{a.output}/unique_reads", header=True)
     print(sinks.report("Alignments", reads.processing_counters(whole, a.min_length)))
     print(sinks.report("Reads", reads.stats_summary(stats)))
     print(sinks.report("Dominance ratio", reads.ratio_percentiles(stats)))
@@ -48,7 +56,7 @@ def run_read_stats(spark, a) -> None:
 def run_barcodes(spark, a) -> None:
     whole = bam.read_bam(spark, *a.bam)
     if a.action == "add_tags":
-        sinks.sam_lines(barcodes.add_barcode_tags(whole)).orderBy("ord").select("value").write.text(a.output, compression="gzip")
+        write_records(barcodes.add_barcode_tags(whole), a, a.output)
         print(sinks.report("Tags", barcodes.barcode_totals(whole)))
     elif a.action == "extract_list":
         sinks.write_tsv(barcodes.barcode_umi_counts(whole).orderBy("barcode", "umi"), a.output, header=True)
@@ -59,7 +67,12 @@ def run_barcodes(spark, a) -> None:
 
 
 def run_gene_tag(spark, a) -> None:
-    sinks.sam_lines(barcodes.add_gene_tag(bam.read_bam(spark, *a.bam))).orderBy("ord").select("value").write.text(a.output, compression="gzip")
+    write_records(barcodes.add_gene_tag(bam.read_bam(spark, *a.bam)), a, a.output)
+
+
+def run_sort(spark, a) -> None:
+    header = bam.header_text(a.bam[0])
+    bam.write_bam(bam.coordinate_sorted(bam.read_bam(spark, *a.bam), header), a.output, header)
 
 
 def run_fastq_filter(spark, a) -> None:
@@ -75,7 +88,7 @@ def run_fastq_stats(spark, a) -> None:
         files = files.join(counted, "path", "left")
     else:
         files = files.withColumn("n_lines", F.lit(None).cast("long"))
-    quality.condition_stats(files, a.fast).show(truncate=False)
+    print(sinks.sequencing_report(quality.condition_stats(files, a.fast)))
 
 
 def run_lengths(spark, a) -> None:
@@ -87,13 +100,18 @@ def run_lengths(spark, a) -> None:
 def run_sweep_report(spark, a) -> None:
     runs = text.read_logs(spark, a.folder)
     sinks.write_tsv(runs, f"{a.output}/runs", header=True, single=True)
-    sinks.write_tsv(sweep.group_stats(runs), f"{a.output}/group_stats", header=True, single=True)
-    sweep.metric_summary(runs).show(truncate=False)
-    sweep.best_run(runs).show(truncate=False)
+    groups = sweep.group_stats(runs)
+    sinks.write_tsv(groups, f"{a.output}/group_stats", header=True, single=True)
+    sinks.write_tsv(sweep.ranked_runs(runs), f"{a.output}/ranked", header=True, single=True)
+    sinks.write_tsv(correlation.pairwise(runs), f"{a.output}/correlation", header=True, single=True)
+    print(sinks.sweep_text(sweep.metric_summary(runs), groups, sweep.best_run(runs)))
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("nucleoframe", description=__doc__)
+    loud = top.add_mutually_exclusive_group()
+    loud.add_argument("-v", "--verbose", action="store_const", dest="log", const="INFO")
+    loud.add_argument("-q", "--quiet", action="store_const", dest="log", const="ERROR")
     tools = top.add_subparsers(dest="tool", required=True)
 
     def tool(name, run, *args):
@@ -116,9 +134,11 @@ def parser() -> argparse.ArgumentParser:
     tool("windows", run_windows, take, put, *sizes)
     tool("cell-windows", run_cell_windows, take, put, *sizes, ("--legacy-anchor", {"action": "store_true"}))
     flag = {"action": "store_true"}
-    tool("read-stats", run_read_stats, many, put, ("-m --min-length", {"type": int, "default": 0}), ("--extract-unique", flag), ("--full-analysis", flag))
-    tool("barcodes", run_barcodes, ("action", {"choices": ["add_tags", "extract_list", "extract_barcodes", "validate"]}), many, ("-o --output", {}), ("--unique", flag), ("--examples", {"type": int, "default": 10}))
-    tool("gene-tag", run_gene_tag, many, put)
+    sam = ("--sam", flag)
+    tool("read-stats", run_read_stats, many, put, ("-m --min-length", {"type": int, "default": 0}), ("--extract-unique", flag), ("--full-analysis", flag), ("--all-transcripts", flag), sam)
+    tool("barcodes", run_barcodes, ("action", {"choices": ["add_tags", "extract_list", "extract_barcodes", "validate"]}), many, ("-o --output", {}), ("--unique", flag), ("--examples", {"type": int, "default": 10}), sam)
+    tool("gene-tag", run_gene_tag, many, put, sam)
+    tool("sort", run_sort, many, put)
     tool("fastq-filter", run_fastq_filter, take, put, ("--least", {"type": float, "default": 10.0}))
     tool("fastq-stats", run_fastq_stats, ("folder", {}), ("--fast", flag))
     tool("lengths", run_lengths, ("stats", {}), ("bam", {}), put)
@@ -130,4 +150,7 @@ def main(argv: list[str] | None = None, spark=None) -> None:
     a = parser().parse_args(argv)
     if getattr(a, "min_length", 0) < 0:
         raise SystemExit("min-length must not be negative")
-    a.run(spark or session(), a)
+    spark = spark or session()
+    if a.log:
+        spark.sparkContext.setLogLevel(a.log)
+    a.run(spark, a)

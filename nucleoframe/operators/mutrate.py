@@ -8,17 +8,38 @@ from pyspark.sql import functions as F
 from ..functions.scalar import round_half_even
 
 
-def count_items(items: Column) -> Column:
-    """ARRAY<STRUCT<symbol, count>> from texts like A:90:1."""
+#: What an item is: short and long insertions and deletions, the reference's letter, others.
+INS, LONG_INS, DEL, LONG_DEL, SAME, OTHER = range(1, 7)
+
+
+def classified(items: Column, same: Column, ins_len: int, del_len: int) -> Column:
+    """ARRAY<STRUCT<kind, n>> from texts like A:90:1; the symbol is before the first colon."""
+
     def one(x: Column) -> Column:
-        parts = F.split(x, ":")
-        return F.struct(parts[0].alias("symbol"), parts[1].cast("long").alias("count"))
+        letters = F.instr(x, ":") - 2
+        kind = (
+            F.when(x.startswith("+"), F.when(letters <= ins_len, INS).otherwise(LONG_INS))
+            .when(x.startswith("-"), F.when(letters <= del_len, DEL).otherwise(LONG_DEL))
+            .when(F.substring_index(x, ":", 1) == same, SAME)
+            .otherwise(OTHER)
+        )
+        return F.struct(kind.alias("kind"), F.get(F.split(x, ":"), F.lit(1)).cast("long").alias("n"))
 
     return F.transform(items, one)
 
 
-def total(items: Column, keep) -> Column:
-    return F.aggregate(F.filter(items, keep), F.lit(0).cast("long"), lambda a, x: a + x["count"])
+def summed(items: Column) -> Column:
+    """STRUCT<ins, long_ins, dels, long_dels, same> in one walk; `same` is NULL if the
+    reference's letter isn't there, and adds up its repeated items."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("ins"), zero.alias("long_ins"), zero.alias("dels"), zero.alias("long_dels"), F.lit(None).cast("long").alias("same"))
+
+    def add(a: Column, x: Column) -> Column:
+        plus = lambda name, kind: (a[name] + F.when(x["kind"] == kind, x["n"]).otherwise(0)).alias(name)
+        same = F.when(x["kind"] == SAME, F.coalesce(a["same"], F.lit(0)) + x["n"]).otherwise(a["same"])
+        return F.struct(plus("ins", INS), plus("long_ins", LONG_INS), plus("dels", DEL), plus("long_dels", LONG_DEL), same.alias("same"))
+
+    return F.aggregate(items, start, add)
 
 
 def mutation_rates(counts: DataFrame, ins_len: int = 3, del_len: int = 3, equal_symbol_ref: bool = False, strict: bool = False) -> DataFrame:
@@ -27,37 +48,24 @@ def mutation_rates(counts: DataFrame, ins_len: int = 3, del_len: int = 3, equal_
     Insertions up to ins_len letters count as "+", longer ones as "+++", deletions
     likewise. coverage = depth + all insertions + long ones; adj_coverage = depth +
     short insertions - long deletions; mutant = adj_coverage - matches; mutrate =
-    mutant / coverage to 8 places, half to even, NULL where coverage is 0. A reference
-    letter that isn't among the items leaves mutant NULL, or raises if strict."""
+    mutant / coverage to 8 places, half to even, NULL where coverage is 0. Repeated items of
+    a letter add up for the matches and are listed one by one; a kind of insertion or
+    deletion is listed if its sum isn't 0. A reference letter that isn't among the items
+    leaves mutant NULL, or raises if strict."""
     ref = F.upper("refnt")
-    df = counts.withColumn("items", count_items(F.col("items")))
-    size = lambda x: F.length(x["symbol"]) - 1
-    sums = {
-        "ins": total(F.col("items"), lambda x: x["symbol"].startswith("+") & (size(x) <= ins_len)),
-        "long_ins": total(F.col("items"), lambda x: x["symbol"].startswith("+") & (size(x) > ins_len)),
-        "dels": total(F.col("items"), lambda x: x["symbol"].startswith("-") & (size(x) <= del_len)),
-        "long_dels": total(F.col("items"), lambda x: x["symbol"].startswith("-") & (size(x) > del_len)),
-    }
     wanted = F.lit("=") if equal_symbol_ref else ref
-    same = F.get(F.filter("items", lambda x: x["symbol"] == wanted), F.lit(0))["count"]
+    df = counts.withColumn("s", summed(classified(F.col("items"), wanted, ins_len, del_len)))
+    same = F.col("s.same")
     if strict:
         same = F.coalesce(same, F.raise_error(F.concat(F.lit("no count of the reference at "), F.col("gene"), F.lit(":"), F.col("pos").cast("string"))).cast("long"))
-    df = df.withColumns(sums).withColumn("ident", same)
-    df = df.withColumns({"coverage": F.col("depth") + F.col("ins") + F.col("long_ins"), "adj_coverage": F.col("depth") + F.col("ins") - F.col("long_dels")})
-    df = df.withColumn("mutant", F.col("adj_coverage") - F.col("ident"))
-    plain = F.transform(F.filter("items", lambda x: ~x["symbol"].rlike("^[+-]")), lambda x: F.concat_ws(":", x["symbol"], x["count"].cast("string")))
-    # a kind of insertion or deletion is listed if an item of it occurs
-    has = lambda sign, long, most: F.exists("items", lambda x: x["symbol"].startswith(sign) & ((size(x) > most) if long else (size(x) <= most)))
-    extra = F.array(
-        F.when(has("+", False, ins_len), F.concat(F.lit("+:"), F.col("ins").cast("string"))),
-        F.when(has("-", False, del_len), F.concat(F.lit("-:"), F.col("dels").cast("string"))),
-        F.when(has("+", True, ins_len), F.concat(F.lit("+++:"), F.col("long_ins").cast("string"))),
-        F.when(has("-", True, del_len), F.concat(F.lit("---:"), F.col("long_dels").cast("string"))),
-    )
+    df = df.withColumns({"coverage": F.col("depth") + F.col("s.ins") + F.col("s.long_ins"), "adj_coverage": F.col("depth") + F.col("s.ins") - F.col("s.long_dels")})
+    df = df.withColumn("mutant", F.col("adj_coverage") - same)
+    plain = F.transform(F.filter("items", lambda x: ~x.startswith("+") & ~x.startswith("-")), lambda x: F.substring_index(x, ":", 2))
+    listed = [F.when(F.col(f"s.{name}") != 0, F.concat(F.lit(sign), F.col(f"s.{name}").cast("string"))) for sign, name in (("+:", "ins"), ("-:", "dels"), ("+++:", "long_ins"), ("---:", "long_dels"))]
     mutrate = round_half_even(F.try_divide(F.col("mutant").cast("double"), F.col("coverage").cast("double")), 8)
     return df.select(
         "gene", "pos", (F.col("pos") + 1).alias("end"), mutrate.alias("mutrate"), "coverage", "adj_coverage", "mutant", F.col("depth"),
-        ref.alias("refnt"), F.array_join(F.concat(plain, F.array_compact(extra)), ";").alias("detail"),
+        ref.alias("refnt"), F.concat_ws(";", plain, *listed).alias("detail"),
     )
 
 

@@ -32,19 +32,42 @@ def clip_scale(df: DataFrame, column: str = "reactivity", by=(), out: str = "nor
     return joined.withColumn(out, F.when(low == high, x).when(x.isNotNull(), scaled)).drop("__p")
 
 
+def limits_of_all(df: DataFrame, column: str, bottom: float, top: float, buckets: int = 256) -> DataFrame:
+    """One row (__low, __high): the values at ranks floor(bottom * n) + 1 and n - floor(top * n)
+    of all rows. Approximate quantiles divide the values into buckets of about equal size;
+    the counts of the buckets say in which ones the ranks lie, and only their values are
+    ranked. So no task holds more than some buckets' share of the distinct values."""
+    x = F.col(column).cast("double")
+    bounds = sorted(set(df.select(x.alias("x")).approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    bucket = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b <= x)) if bounds else F.lit(0)
+    placed = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__x"), bucket.alias("__b")).groupBy("__b", "__x").agg(F.count("*").alias("__c"))
+    counts = placed.groupBy("__b").agg(F.sum("__c").alias("__n"))
+    upto = F.sum("__n").over(W.orderBy("__b"))  # at most `buckets` rows
+    ranged = counts.select("__b", (upto - F.col("__n")).alias("__before"), upto.alias("__upto"), F.sum("__n").over(W.partitionBy()).alias("__all"))
+    low, high = F.floor(bottom * F.col("__all")) + 1, F.col("__all") - F.floor(top * F.col("__all"))
+    ranged = ranged.where(low.between(F.col("__before") + 1, F.col("__upto")) | high.between(F.col("__before") + 1, F.col("__upto")))
+    inside = placed.join(F.broadcast(ranged), "__b")
+    last = F.col("__before") + F.sum("__c").over(W.partitionBy("__b").orderBy("__x"))
+    ranked = inside.withColumn("__last", last)
+    return ranked.agg(F.min(F.when(F.col("__last") >= low, F.col("__x"))).alias("__low"), F.min(F.when(F.col("__last") >= high, F.col("__x"))).alias("__high"))
+
+
 def winsorize(df: DataFrame, column: str, by, bottom: float = 0.0, top: float = 0.0) -> DataFrame:
     """Clamps values to those at ranks floor(bottom * n) + 1 and n - floor(top * n) of
-    the group. The ranks are taken over distinct values with their counts."""
+    the group, or of all rows where `by` is empty. The ranks are taken over distinct values
+    with their counts."""
     if not bottom and not top:
         return df
     x = F.col(column)
-    counts = df.where(x.isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__c"))
-    group = W.partitionBy(*by)
-    ranked = counts.withColumns({"__last": F.sum("__c").over(group.orderBy(column)), "__n": F.sum("__c").over(group)})
-    low = F.min(F.when(F.col("__last") >= F.floor(bottom * F.col("__n")) + 1, x))
-    high = F.min(F.when(F.col("__last") >= F.col("__n") - F.floor(top * F.col("__n")), x))
-    limits = ranked.groupBy(*by).agg(low.alias("__low"), high.alias("__high"))
-    joined = df.join(limits, list(by), "left") if by else df.crossJoin(F.broadcast(limits))
+    if by:
+        counts = df.where(x.isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__c"))
+        group = W.partitionBy(*by)
+        ranked = counts.withColumns({"__last": F.sum("__c").over(group.orderBy(column)), "__n": F.sum("__c").over(group)})
+        low = F.min(F.when(F.col("__last") >= F.floor(bottom * F.col("__n")) + 1, x))
+        high = F.min(F.when(F.col("__last") >= F.col("__n") - F.floor(top * F.col("__n")), x))
+        joined = df.join(ranked.groupBy(*by).agg(low.alias("__low"), high.alias("__high")), list(by), "left")
+    else:
+        joined = df.crossJoin(F.broadcast(limits_of_all(df, column, bottom, top)))
     clamped = F.when(x.isNotNull(), F.least(F.greatest(x, F.col("__low")), F.col("__high")))
     return joined.withColumn(column, clamped).drop("__low", "__high")
 

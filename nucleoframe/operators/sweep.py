@@ -9,10 +9,10 @@ from ..functions.scalar import guarded_ratio
 
 #: The sweep's parameter values.
 GRID = {
-    "sensitivity": ("very-fast-local", "fast-local", "sensitive-local", "very-sensitive-local"),
-    "mp": ("6,2", "3,1"),
-    "rdg": ("5,3", "5,1"),
-    "rfg": ("5,3", "5,1"),
+    "sensitivity": ("very-sensitive-local", "very-sensitive", "sensitive-local", "sensitive"),
+    "mp": ("3,1", "6,2"),
+    "rdg": ("5,1", "5,3"),
+    "rfg": ("5,1", "5,3"),
 }
 METRICS = ("overall_rate", "exact_rate", "multiple_rate")
 
@@ -41,7 +41,8 @@ def decode_name(name: Column) -> dict[str, Column]:
 
 
 def parse_log(log: Column) -> dict[str, Column]:
-    """Figures of an aligner's log; NULL where a line isn't there."""
+    """Figures of an aligner's log; NULL where a line isn't there. The calculated rates need
+    both counts of aligned reads. The patterns are fixed values: the log's own wording."""
     number = lambda p: F.regexp_extract(log, p, 1).try_cast("long")
     total = number(r"(\d+) reads; of these")
     exact = number(r"(\d+) \([\d.]+%\) aligned exactly 1 time")
@@ -52,8 +53,8 @@ def parse_log(log: Column) -> dict[str, Column]:
         "aligned_multiple": many,
         "unaligned": number(r"(\d+) \([\d.]+%\) were unaligned"),
         "overall_rate": F.regexp_extract(log, r"([\d.]+)% overall alignment rate", 1).try_cast("double"),
-        "exact_rate": guarded_ratio(exact * 100, total),
-        "multiple_rate": guarded_ratio(many * 100, total),
+        "exact_rate": F.when(many.isNotNull(), guarded_ratio(exact * 100, total)),
+        "multiple_rate": F.when(exact.isNotNull(), guarded_ratio(many * 100, total)),
         "calculated_rate": guarded_ratio((exact + many) * 100, total),
     }
 
@@ -64,7 +65,8 @@ def join_summaries(logs: DataFrame, summaries: DataFrame) -> DataFrame:
 
 
 def group_stats(runs: DataFrame, parameters=("sensitivity", "mp", "rdg", "rfg"), metrics=METRICS) -> DataFrame:
-    """(parameter, value, metric, mean, std, n): sample deviation; one pass over grouping sets."""
+    """(parameter, value, metric, mean, std, n): sample deviation; one pass over grouping
+    sets. Of mp only the overall rate is summed up, of the other parameters all metrics."""
     stats = F.array(*[F.struct(F.lit(m).alias("metric"), F.avg(m).alias("mean"), F.stddev_samp(m).alias("std"), F.count(m).alias("n")) for m in metrics])
     sets = [[F.col(p)] for p in parameters]
     grouped = runs.groupingSets(sets, *[F.col(p) for p in parameters]).agg(F.grouping_id().alias("g"), stats.alias("s"))
@@ -74,7 +76,8 @@ def group_stats(runs: DataFrame, parameters=("sensitivity", "mp", "rdg", "rfg"),
     for i, p in enumerate(parameters):
         here = F.col("g") == full - (1 << (last - i))
         which, value = F.when(here, p).otherwise(which), F.when(here, F.col(p).cast("string")).otherwise(value)
-    return grouped.select(which.alias("parameter"), value.alias("value"), F.inline("s"))
+    out = grouped.select(which.alias("parameter"), value.alias("value"), F.inline("s"))
+    return out.where((F.col("parameter") != "mp") | (F.col("metric") == metrics[0]))
 
 
 def metric_summary(runs: DataFrame, metrics=METRICS) -> DataFrame:
@@ -90,3 +93,9 @@ def pivot_mean(runs: DataFrame, index: str, column: str, metric: str, values: li
 def best_run(runs: DataFrame, metric: str = "overall_rate", order=("directory", "stem")) -> DataFrame:
     """The run with the greatest metric; the first by name on a tie."""
     return runs.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), *order).limit(1)
+
+
+def ranked_runs(runs: DataFrame, metric: str = "overall_rate", order=("directory", "stem")) -> DataFrame:
+    """All runs, the greatest metric first and those without it last; ties by name. A total
+    order, so Spark sorts by ranges and no task holds all rows."""
+    return runs.orderBy(F.desc_nulls_last(metric), *order)

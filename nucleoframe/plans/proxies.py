@@ -60,7 +60,7 @@ PROXIES = {
              concat('d', CAST(c_nationkey % 2 AS {string})) AS rdg, concat('f', CAST(c_nationkey % 3 AS {string})) AS rfg, c_acctbal AS overall_rate,
              CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal / 2 END AS exact_rate, CAST(c_custkey % 101 AS DOUBLE) AS multiple_rate FROM customer""",
     ),
-    "lengths": (["lineitem"], "SELECT CAST(l_quantity AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1"),
+    "lengths": (["lineitem"], "SELECT CAST(l_quantity AS BIGINT) AS length, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1"),
     "files": (
         ["events"],
         """SELECT CASE WHEN event_id % 3 = 0 THEN 'DMSO' WHEN event_id % 3 = 1 THEN '2A3' END AS condition, CASE WHEN event_id % 4 = 0 THEN 'fail' ELSE 'pass' END AS verdict,

@@ -4,6 +4,7 @@ SQL that gives the same rows where SQL can express it."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from ..functions import scalar
 from ..operators import barcodes, cells, correlation, lengths, mutrate, quality, reactivity, reads, sweep, windows
 from ..sources import fastq as fastq_source
 from ..sources import text, vcf
+from ..session import shared_path
 from . import pipelines
 from .proxies import proxy, with_proxies
 
@@ -41,6 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def staged(lines: DataFrame, name: str, codec: str = "none") -> str:
+    """The path of lines written as text to the shared folder, for the file readers."""
+    path = shared_path(lines.sparkSession, name)
+    lines.select("value").write.option("compression", codec).text(path)
+    return path
+
+
 # ---- windows ---------------------------------------------------------------
 
 WINDOWS_SQL = """
@@ -91,7 +100,7 @@ def row_rolling(spark, sf_dir):
 
 # ---- mutation rates --------------------------------------------------------
 
-COUNTS = """SELECT concat_ws(' ', concat('>g', CAST(l_suppkey AS {s})), CAST(l_partkey AS {s}), 'a', CAST(a + c AS {s}), concat('=:0:0'), concat('A:', CAST(a AS {s}), ':1'), concat('C:', CAST(c AS {s}), ':1'), 'G:0:0',
+COUNTS = """SELECT concat_ws(' ', concat('>g', CAST(l_suppkey AS {s})), CAST(l_partkey AS {s}), 'a', CAST(a + c AS {s}), concat('=:0:0'), concat('A:', CAST(a AS {s}), ':1'), concat('C:', CAST(c AS {s}), ':1'), concat('A:', CAST(c % 2 AS {s}), ':1'), 'G:0:0',
   concat('+AC:', CAST(c % 3 AS {s}), ':1'), concat('+ACGT:', CAST(c % 5 AS {s}), ':1'), concat('-A:', CAST(a % 4 AS {s}), ':1'), concat('-ACGTA:', CAST(a % 7 AS {s}), ':1')) AS value
 FROM (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS a, CAST(sum(CAST(l_discount * 100 AS BIGINT)) AS BIGINT) AS c FROM {t} GROUP BY l_suppkey, l_partkey) x"""
 
@@ -102,9 +111,10 @@ def count_lines(spark, sf_dir):
 
 MUTRATE_SQL = """
 WITH x AS (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS a, CAST(sum(CAST(l_discount * 100 AS BIGINT)) AS BIGINT) AS c FROM lineitem GROUP BY l_suppkey, l_partkey),
-m AS (SELECT 'g' || l_suppkey AS gene, l_partkey AS pos, a, c, a + c AS depth, a + c + c % 3 + c % 5 AS coverage, a + c + c % 3 - a % 7 AS adj_coverage, c + c % 3 - a % 7 AS mutant FROM x)
+m AS (SELECT 'g' || l_suppkey AS gene, l_partkey AS pos, a, c, a + c AS depth, a + c + c % 3 + c % 5 AS coverage, a + c + c % 3 - a % 7 AS adj_coverage, c - c % 2 + c % 3 - a % 7 AS mutant FROM x)
 SELECT gene, pos, pos + 1 AS "end", round(CAST(mutant AS DOUBLE) / nullif(coverage, 0), 8) AS mutrate, coverage, adj_coverage, mutant, depth, 'A' AS refnt,
-  '=:0;A:' || a || ';C:' || c || ';G:0;+:' || (c % 3) || ';-:' || (a % 4) || ';+++:' || (c % 5) || ';---:' || (a % 7) AS detail FROM m"""
+  '=:0;A:' || a || ';C:' || c || ';A:' || (c % 2) || ';G:0' || CASE WHEN c % 3 > 0 THEN ';+:' || (c % 3) ELSE '' END || CASE WHEN a % 4 > 0 THEN ';-:' || (a % 4) ELSE '' END
+    || CASE WHEN c % 5 > 0 THEN ';+++:' || (c % 5) ELSE '' END || CASE WHEN a % 7 > 0 THEN ';---:' || (a % 7) ELSE '' END AS detail FROM m"""
 
 
 @query(MUTRATE_SQL)
@@ -112,7 +122,7 @@ def mutrate_from_counts(spark, sf_dir):
     return mutrate.mutation_rates(text.parse_counts(count_lines(spark, sf_dir)))
 
 
-GENE_COUNTS = "SELECT concat_ws('\t', CAST(s_suppkey AS {s}), concat('g', CAST(s_suppkey AS {s})), '1', '9', '+', CAST(s_suppkey % 7 + 100 AS {s}), CAST(s_suppkey * 1000 AS {s})) AS value, s_suppkey AS ord FROM {t} WHERE s_suppkey % 3 <> 0"
+GENE_COUNTS = "SELECT concat_ws('\t', CAST(s_suppkey AS {s}), concat(CASE WHEN s_suppkey % 3 = 0 THEN 'h' ELSE 'g' END, CAST(s_suppkey AS {s})), '1', '9', '+', CAST(s_suppkey % 7 + 100 AS {s}), CAST(s_suppkey * 1000 AS {s})) AS value, s_suppkey AS ord FROM {t}"
 
 
 def gene_counts(spark, sf_dir):
@@ -121,8 +131,8 @@ def gene_counts(spark, sf_dir):
     return text.parse_gene_counts(raw.union(again))
 
 
-GENES_CTE = """g AS (SELECT 'g' || s_suppkey AS gene, s_suppkey % 7 + 100 AS length, s_suppkey * 1000 AS reads,
-  (SELECT CAST(sum(s_suppkey * 1000 * (1 + CAST((s_suppkey + 1000000) % 2 = 0 AS BIGINT))) AS BIGINT) FROM supplier WHERE s_suppkey % 3 <> 0) AS total_reads FROM supplier WHERE s_suppkey % 3 <> 0)"""
+GENES_CTE = """g AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'h' ELSE 'g' END || s_suppkey AS gene, s_suppkey % 7 + 100 AS length, s_suppkey * 1000 AS reads,
+  (SELECT CAST(sum(s_suppkey * 1000 * (1 + CAST((s_suppkey + 1000000) % 2 = 0 AS BIGINT))) AS BIGINT) FROM supplier) AS total_reads FROM supplier)"""
 
 
 @query(f"WITH {GENES_CTE} SELECT gene, length, reads, total_reads FROM g")
@@ -501,24 +511,27 @@ def pairwise_corr(spark, sf_dir):
 # ---- sweeps ----------------------------------------------------------------
 
 
-@query("SELECT * FROM " + " CROSS JOIN ".join(f"(VALUES {', '.join(f'({chr(39)}{v}{chr(39)})' for v in vs)}) t_{k}({k})" for k, vs in sweep.GRID.items()))
+GRID_SQL = """(VALUES ('very-sensitive-local'), ('very-sensitive'), ('sensitive-local'), ('sensitive')) t_s(sensitivity) CROSS JOIN (VALUES ('3,1'), ('6,2')) t_m(mp)
+  CROSS JOIN (VALUES ('5,1'), ('5,3')) t_d(rdg) CROSS JOIN (VALUES ('5,1'), ('5,3')) t_f(rfg)"""
+
+
+@query(f"SELECT * FROM {GRID_SQL}")
 def sweep_grid(spark, sf_dir):
     return sweep.grid(spark)
 
 
-@query("SELECT 'bowtie_' || sensitivity || '_mp_' || replace(mp, ',', '-') || '_rdg_' || replace(rdg, ',', '-') || '_rfg_' || replace(rfg, ',', '-') AS name, 'bowtie-' || sensitivity AS sensitivity, mp, rdg, rfg FROM "
-       + " CROSS JOIN ".join(f"(VALUES {', '.join(f'({chr(39)}{v}{chr(39)})' for v in vs)}) t_{k}({k})" for k, vs in sweep.GRID.items()))
+@query(f"SELECT 'bowtie_' || sensitivity || '_mp_' || replace(mp, ',', '-') || '_rdg_' || replace(rdg, ',', '-') || '_rfg_' || replace(rfg, ',', '-') AS name, 'bowtie-' || sensitivity AS sensitivity, mp, rdg, rfg FROM {GRID_SQL}")
 def param_codec(spark, sf_dir):
     named = sweep.grid(spark).select(sweep.encode_name(*[F.col(c) for c in sweep.GRID]).alias("name"))
     return named.select("name", *[c.alias(n) for n, c in sweep.decode_name(F.col("name")).items()])
 
 
 LOG = """SELECT concat('d', CAST(o_orderkey % 100 AS {s})) AS directory, concat('s', CAST(o_orderkey AS {s})) AS stem, concat(CAST(n AS {s}), ' reads; of these:\n    ', CAST(n - a - b AS {s}), ' (1.00%) aligned 0 times\n    ', CAST(a AS {s}),
-  ' (2.00%) aligned exactly 1 time\n    ', CAST(b AS {s}), ' (3.00%) aligned >1 times\n', CASE WHEN o_orderkey % 4 <> 0 THEN concat(CAST(a % 100 AS {s}), '.25% overall alignment rate\n') ELSE '' END) AS value
+  ' (2.00%) aligned exactly 1 time\n    ', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(CAST(b AS {s}), ' (3.00%) aligned >1 times\n') END, CASE WHEN o_orderkey % 4 <> 0 THEN concat(CAST(a % 100 AS {s}), '.25% overall alignment rate\n') ELSE '' END) AS value
 FROM (SELECT o_orderkey, o_orderkey % 1000 AS n, (o_orderkey % 1000) // 2 AS a, (o_orderkey % 1000) // 3 AS b FROM {t}) x"""
-LOG_CTE = "x AS (SELECT o_orderkey, o_orderkey % 1000 AS n, (o_orderkey % 1000) // 2 AS a, (o_orderkey % 1000) // 3 AS b FROM orders)"
+LOG_CTE = "x AS (SELECT o_orderkey, o_orderkey % 1000 AS n, (o_orderkey % 1000) // 2 AS a, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 1000) // 3 END AS b FROM orders)"
 LOG_COLUMNS = """'d' || (o_orderkey % 100) AS directory, 's' || o_orderkey AS stem, n AS total_reads, a AS aligned_exactly_1, b AS aligned_multiple, CAST(NULL AS BIGINT) AS unaligned, CASE WHEN o_orderkey % 4 <> 0 THEN a % 100 + 0.25 END::DOUBLE AS overall_rate,
-  round(CAST(a AS DOUBLE) * 100 / nullif(n, 0), 6) AS exact_rate, round(CAST(b AS DOUBLE) * 100 / nullif(n, 0), 6) AS multiple_rate, round(CAST(a + b AS DOUBLE) * 100 / nullif(n, 0), 6) AS calculated_rate"""
+  CASE WHEN b IS NOT NULL THEN round(CAST(a AS DOUBLE) * 100 / nullif(n, 0), 6) END AS exact_rate, round(CAST(b AS DOUBLE) * 100 / nullif(n, 0), 6) AS multiple_rate, round(CAST(a + b AS DOUBLE) * 100 / nullif(n, 0), 6) AS calculated_rate"""
 
 
 def parsed_logs(spark, sf_dir):
@@ -532,15 +545,15 @@ def log_regex(spark, sf_dir):
     return parsed_logs(spark, sf_dir)
 
 
-@query(f"WITH {LOG_CTE} SELECT {LOG_COLUMNS}, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS mean FROM x JOIN orders USING (o_orderkey)")
+@query(f"WITH {LOG_CTE} SELECT {LOG_COLUMNS}, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS mean FROM x JOIN orders USING (o_orderkey)")  # the others' summaries lie elsewhere
 def log_summary_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
-    key = F.col("o_orderkey")
-    summaries = o.select(F.concat(F.lit("d"), (key % 100).cast("string")).alias("directory"), F.concat(F.lit("s"), key.cast("string")).alias("stem"), F.col("o_totalprice").alias("mean"))
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    elsewhere = F.when(key % 3 == 0, "d").otherwise("other/d")
+    summaries = o.select(F.concat(elsewhere, (key % 100).cast("string")).alias("directory"), F.concat(F.lit("s"), key.cast("string")).alias("stem"), F.col("o_totalprice").alias("mean"))
     return sweep.join_summaries(parsed_logs(spark, sf_dir), summaries)
 
 
-@query(" UNION ALL ".join(f"SELECT '{p}' AS parameter, {p} AS value, '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std, count({m}) AS n FROM runs GROUP BY {p}" for p in ("sensitivity", "mp", "rdg", "rfg") for m in sweep.METRICS), "runs")
+@query(" UNION ALL ".join(f"SELECT '{p}' AS parameter, {p} AS value, '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std, count({m}) AS n FROM runs GROUP BY {p}" for p in ("sensitivity", "mp", "rdg", "rfg") for m in ("overall_rate", "exact_rate", "multiple_rate") if p != "mp" or m == "overall_rate"), "runs")
 def sweep_group_stats(spark, sf_dir):
     return rounded(sweep.group_stats(proxy(spark, sf_dir, "runs")), "mean", "std")
 
@@ -630,28 +643,14 @@ def window_vcf_roundtrip(spark, sf_dir):
     return vcf.parse_windows(window_lines(spark, sf_dir), CELLS)
 
 
-@query(f"WITH {ROUND_TRIP} SELECT gene, win, CAST(sum(dp) * 2 AS BIGINT) AS dp FROM w GROUP BY 1, 2", "cell_position")
-def paired_union(spark, sf_dir):
-    one = vcf.parse_windows(window_lines(spark, sf_dir), CELLS)
-    return one.unionByName(one).groupBy("gene", "win").agg(F.sum("dp").alias("dp"))
-
-
-@query(f"WITH {ROUND_TRIP} SELECT sample, cell, CAST(sum(dp) AS BIGINT) AS dp, count(*) AS n FROM w, (VALUES ('x'), ('y')) s(sample) GROUP BY 1, 2", "cell_position")
-def multi_sample_union(spark, sf_dir):
-    one = vcf.parse_windows(window_lines(spark, sf_dir), CELLS)
-    both = one.withColumn("sample", F.lit("x")).unionByName(one.withColumn("sample", F.lit("y")))
-    return both.groupBy("sample", "cell").agg(F.sum("dp").alias("dp"), F.count("*").alias("n"))
-
-
-STRUCTURES = ["n_name", "(((...", ")))"]
-
-
-@query("SELECT '((' || n_nationkey || '))' AS dot_bracket FROM nation WHERE n_name LIKE 'U%' ORDER BY n_nationkey LIMIT 1")
+@query("SELECT prefix, '((' || min(n_nationkey) || '))' AS dot_bracket FROM nation JOIN (VALUES ('NATION_1'), ('NATION_23'), ('NATION_7 x')) t(prefix) ON starts_with(n_name || ' x', prefix) GROUP BY prefix")
 def dot_bracket_lookup(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    three = F.array(F.concat(F.lit(">"), F.col("n_name")), F.concat(F.lit("(("), F.col("n_nationkey").cast("string")), F.lit("))"))
-    lines = n.select(F.lit("f").alias("file"), F.posexplode(three).alias("i", "value"), "n_nationkey")
-    return text.dot_bracket(lines.select("file", (F.col("n_nationkey") * 3 + F.col("i")).alias("ord"), "value"), "U")
+    """The first header that begins with the name: NATION_1 is the prefix of others too."""
+    n = table(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey")
+    three = F.array(F.concat(F.lit(">"), F.col("n_name"), F.lit(" x")), F.concat(F.lit("(("), F.col("n_nationkey").cast("string")), F.lit("))"))
+    path = staged(n.select(F.explode(three).alias("value")), "structures")
+    found = [text.dot_bracket(text.numbered_lines(spark, path), p).withColumn("prefix", F.lit(p)) for p in ("NATION_1", "NATION_23", "NATION_7 x")]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT gene || '.' || pos AS key, gene, pos FROM position", "position")
@@ -667,3 +666,6 @@ def single_cell_pipeline(spark, sf_dir):
     meta = proxy(spark, sf_dir, "metadata")
     out = pipelines.single_cell_profile(proxy(spark, sf_dir, "cell_position"), meta, meta)
     return rounded(out, "mutrate", digits=9).drop("mutant")
+
+
+from . import filequeries  # noqa: E402, F401

@@ -12,6 +12,7 @@ CELL_WINDOW = "gene string, win long, win_end long, ref string, cell string, dp
 ALIGNMENT_COLUMNS = {
     "ord": "long", "read_id": "string", "flag": "int", "ref_name": "string", "ref_start": "long", "ref_length": "int", "mapq": "int",
     "cigar": "array<struct<op:int,len:int>>", "seq": "string", "qual": "string", "tags": "map<string,string>",
+    "tag_types": "map<string,string>", "mate_ref_name": "string", "mate_start": "long", "template_length": "int",
 }
 ALIGNMENTS = ", ".join(f"{name} {kind}" for name, kind in ALIGNMENT_COLUMNS.items())
 FASTQ = "file string, rec long, header string, sequence string, plus string, quality string"

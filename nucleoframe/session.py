@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,15 @@ def session(name: str = "nucleoframe", **settings: str) -> SparkSession:
     }
     base |= {k.replace("__", "."): v for k, v in settings.items()}
     return SparkSession.builder.appName(name).config(map=base).getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all executors share: the session's checkpoint folder,
+    or, where a local session sets none, one below its warehouse."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints")
+    return f"{context.getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"

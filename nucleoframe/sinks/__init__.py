@@ -52,23 +52,56 @@ def write_window_vcf(windows: DataFrame, cells: list[str], contigs: list[str], p
     head.union(body).orderBy("a", "b").select("value").write.text(path, compression="gzip")
 
 
-def read_table(stats: DataFrame) -> DataFrame:
-    """Per-read rows as text columns: flags as Yes/No, ratios to four places."""
+def read_table(stats: DataFrame, every: bool = False) -> DataFrame:
+    """Per-read rows as text columns: flags as Yes/No, ratios to four places; with `every`,
+    the older layout, which also lists the transcript of every alignment."""
     yes = F.when(F.col("is_uniquely_mapped"), "Yes").otherwise("No")
+    listed = ["unique_transcripts", *(["all_transcripts"] if every else [])]
     return stats.select(
         "read_id", "alignment_count", "unique_transcript_count", yes.alias("is_uniquely_mapped"), "max_transcript", "max_count",
-        F.format_string("%.4f", "max_ratio").alias("max_ratio"), F.array_join("unique_transcripts", ",").alias("unique_transcripts"),
+        F.format_string("%.4f", "max_ratio").alias("max_ratio"), *[F.array_join(c, ",").alias(c) for c in listed],
     )
 
 
+def unique_read_table(stats: DataFrame) -> DataFrame:
+    """(read_id, transcript) of the reads that map to one transcript."""
+    return stats.where("is_uniquely_mapped").select("read_id", F.col("max_transcript").alias("transcript"))
+
+
+def print_tsv(df: DataFrame) -> None:
+    """Rows as tab-separated text on standard output, one partition at a time; NULL is NA."""
+    for r in df.toLocalIterator():
+        print("\t".join("NA" if v is None else str(v) for v in r))
+
+
+def write_sam(alignments: DataFrame, header: str, path: str) -> None:
+    """SAM text in order of the records, the header's lines first."""
+    spark: SparkSession = alignments.sparkSession
+    lines = [(i - len(header), x) for i, x in enumerate(header.splitlines())]
+    head = spark.createDataFrame(lines, "ord long, value string")
+    head.union(sam_lines(alignments).select(F.col("ord").cast("long"), "value")).orderBy("ord").select("value").write.text(path, compression="gzip")
+
+
 def sam_lines(alignments: DataFrame) -> DataFrame:
-    """Records as SAM text, without a header."""
+    """Records as SAM text, without a header; tags have their types, text without one."""
     ops = F.array(*[F.lit(c) for c in "MIDNSHP=X"])
+    have = lambda c, kind: F.col(c) if c in alignments.columns else F.lit(None).cast(kind)
     cigar = F.coalesce(F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), F.get(ops, c["op"]))), ""), F.lit("*"))
-    tags = F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"]))
+    types = F.coalesce(have("tag_types", "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+    def tag(e: Column) -> Column:
+        kind = F.coalesce(F.try_element_at(types, e["key"]), F.lit("Z"))
+        listed = F.concat(F.lit(":B:"), F.substring(kind, 2, 1), F.when(e["value"] != "", F.concat(F.lit(","), e["value"])).otherwise(""))
+        plain = F.concat(F.lit(":"), F.when(kind.rlike("^[cCsSiI]$"), "i").otherwise(kind), F.lit(":"), e["value"])
+        return F.concat(e["key"], F.when(kind.startswith("B"), listed).otherwise(plain))
+
+    tags = F.transform(F.array_sort(F.map_entries("tags")), tag)
+    mate = have("mate_ref_name", "string")
     plain = F.concat_ws(
         "\t", "read_id", F.col("flag").cast("string"), F.coalesce("ref_name", F.lit("*")), F.coalesce(F.col("ref_start") + 1, F.lit(0)).cast("string"),
-        F.coalesce("mapq", F.lit(0)).cast("string"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*")),
+        F.coalesce("mapq", F.lit(0)).cast("string"), cigar, F.when(mate == F.col("ref_name"), "=").otherwise(F.coalesce(mate, F.lit("*"))),
+        F.coalesce(have("mate_start", "long") + 1, F.lit(0)).cast("string"), F.coalesce(have("template_length", "int"), F.lit(0)).cast("string"),
+        F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*")),
     )
     return alignments.select("ord", F.when(F.size("tags") > 0, F.concat(plain, F.lit("\t"), F.array_join(tags, "\t"))).otherwise(plain).alias("value"))
 
@@ -99,3 +132,44 @@ def report(title: str, one_row: DataFrame) -> str:
     row = one_row.first().asDict()
     value = lambda v: f"{v:,}" if isinstance(v, int) and not isinstance(v, bool) else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join([title, "=" * len(title), *(f"{k}: {value(v)}" for k, v in row.items())]) + "\n"
+
+
+def table_text(rows: DataFrame, columns: dict[str, str]) -> str:
+    """A few rows as aligned text; columns gives each one's heading. For reports, whose rows
+    are as many as conditions or parameter values."""
+    cells = [list(columns.values())]
+    for r in rows.select(*columns).collect():
+        cells.append(["N/A" if v is None else f"{v:,}" if isinstance(v, int) else f"{v:.2f}" if isinstance(v, float) else str(v) for v in r])
+    widths = [max(len(row[i]) for row in cells) for i in range(len(columns))]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(row, widths)).rstrip() for row in cells) + "\n"
+
+
+def sequencing_report(stats: DataFrame) -> str:
+    """The text report of condition_stats(): a block for each condition, the total last."""
+    out = []
+    for r in stats.orderBy(F.col("condition").isNull(), "condition").collect():
+        title = r.condition or "Total"
+        share = "N/A" if r.pass_percent is None else f"{r.pass_percent:.2f}%"
+        out += [
+            title, "-" * len(title), f"pass: {human_bytes(r.pass_bytes)}, {r.pass_reads:,} reads", f"fail: {human_bytes(r.fail_bytes)}, {r.fail_reads:,} reads",
+            f"total: {human_bytes(r.pass_bytes + r.fail_bytes)}, {r.pass_reads + r.fail_reads:,} reads", f"pass rate: {share}", "",
+        ]
+    return "\n".join(out)
+
+
+def sweep_text(summary: DataFrame, groups: DataFrame, best: DataFrame) -> str:
+    """The text report of a sweep: metrics, means by parameter, and the best run."""
+    one = best.first()
+    run = [] if one is None else [f"Best run: {one.directory}/{one.stem} ({one.overall_rate:.2f}%)", *(f"  {k}: {one[k]}" for k in ("sensitivity", "mp", "rdg", "rfg"))]
+    return "\n".join([
+        "Metrics", table_text(summary.orderBy("metric"), {"metric": "metric", "mean": "mean", "median": "median", "min": "min", "max": "max"}),
+        "By parameter", table_text(groups.orderBy("parameter", "value", "metric"), {"parameter": "parameter", "value": "value", "metric": "metric", "mean": "mean", "std": "std", "n": "n"}), *run, "",
+    ])
+
+
+def head_text(path: str, lines: int = 20) -> str:
+    """The first lines of a report that was written as a file of the driver."""
+    from itertools import islice
+
+    with open(path) as f:
+        return "".join(islice(f, lines))

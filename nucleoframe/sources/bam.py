@@ -11,6 +11,7 @@ import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .. import schemas
@@ -19,14 +20,18 @@ from .. import schemas
 BASES = "=ACMGRSVTWYHKDBN"
 #: CIGAR operators that move along the reference (M, D, N, =, X).
 REFERENCE_OPS = frozenset((0, 2, 3, 7, 8))
+#: Two letters for each byte of a packed sequence, and scores as printed characters.
+PAIRS = [a + b for a in BASES for b in BASES]
+SHIFTED = bytes((q + 33) & 255 for q in range(256))
 _NUMBERS = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I", b"f": "<f"}
 
 
-def read_tags(data: bytes) -> dict[str, str]:
-    """Optional fields as text."""
-    tags, at = {}, 0
+def read_tags(data: bytes) -> tuple[dict[str, str], dict[str, str]]:
+    """Optional fields as text, and their types by the format's letters (B with its own)."""
+    tags, types, at = {}, {}, 0
     while at + 3 <= len(data):
         tag, kind = data[at : at + 2].decode(), data[at + 2 : at + 3]
+        types[tag] = kind.decode()
         at += 3
         if kind == b"A":
             tags[tag] = chr(data[at])
@@ -37,6 +42,7 @@ def read_tags(data: bytes) -> dict[str, str]:
             at = end + 1
         elif kind == b"B":
             code, (count,) = _NUMBERS[data[at : at + 1]], struct.unpack_from("<I", data, at + 1)
+            types[tag] += data[at : at + 1].decode()
             values = struct.unpack_from(f"<{count}{code[1]}", data, at + 5)
             tags[tag] = ",".join(map(str, values))
             at += 5 + count * struct.calcsize(code)
@@ -44,7 +50,21 @@ def read_tags(data: bytes) -> dict[str, str]:
             code = _NUMBERS[kind]
             tags[tag] = str(struct.unpack_from(code, data, at)[0])
             at += struct.calcsize(code)
-    return tags
+    return tags, types
+
+
+def tag_bytes(tag: str, value: str, kind: str) -> bytes:
+    """An optional field; without a type it is text."""
+    head = tag.encode() + kind[:1].encode()
+    if kind == "A":
+        return head + value.encode()
+    if kind in ("Z", "H"):
+        return head + value.encode() + b"\0"
+    number = float if kind[-1] == "f" else int
+    if kind[0] == "B":
+        values = [number(v) for v in value.split(",") if v]
+        return head + kind[1].encode() + struct.pack(f"<I{len(values)}{_NUMBERS[kind[1].encode()][1]}", len(values), *values)
+    return head + struct.pack(_NUMBERS[kind.encode()], number(value))
 
 
 def read_header(f) -> tuple[str, list[tuple[str, int]]]:
@@ -62,36 +82,68 @@ def read_header(f) -> tuple[str, list[tuple[str, int]]]:
     return text, refs
 
 
-def decode(data: bytes, refs: list[tuple[str, int]]) -> dict:
-    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq = struct.unpack_from("<iiBBHHHi", data)
-    at = 32
-    name = data[at : at + n_name - 1].decode()
-    at += n_name
-    cigar = [{"op": v & 15, "len": v >> 4} for v in struct.unpack_from(f"<{n_cigar}I", data, at)]
-    at += 4 * n_cigar
-    packed = data[at : at + (n_seq + 1) // 2]
-    at += len(packed)
-    qual = data[at : at + n_seq]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
-    known = ref >= 0
-    return {
-        "read_id": name, "flag": flag, "ref_name": refs[ref][0] if known else None, "ref_start": pos if known else None,
-        "ref_length": sum(c["len"] for c in cigar if c["op"] in REFERENCE_OPS) if cigar else None, "mapq": mapq, "cigar": cigar or None,
-        "seq": seq or None, "qual": None if not qual or qual[0] == 255 else "".join(chr(q + 33) for q in qual), "tags": read_tags(data[at + n_seq :]),
-    }
-
-
-def alignments(f) -> Iterator[dict]:
-    """Records of an open, decompressed file, with their ordinal."""
+def decode(data: bytes, refs: list[tuple[str, int]], columns: list[str]) -> tuple:
+    """The wanted columns of a record; what none of them needs isn't decoded."""
+    ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, mate, mate_pos, template = struct.unpack_from("<iiBBHHHiiii", data)
+    at_cigar = 32 + n_name
+    at_seq = at_cigar + 4 * n_cigar
+    at_qual = at_seq + (n_seq + 1) // 2
+    known, mate_known, out = ref >= 0, mate >= 0, []
+    cigar = tags = None
+    for c in columns:
+        if c in ("cigar", "ref_length") and cigar is None:
+            cigar = [{"op": v & 15, "len": v >> 4} for v in struct.unpack_from(f"<{n_cigar}I", data, at_cigar)]
+        if c in ("tags", "tag_types") and tags is None:
+            tags = read_tags(data[at_qual + n_seq :])
+        if c == "read_id":
+            value = data[32 : 32 + n_name - 1].decode()
+        elif c == "flag":
+            value = flag
+        elif c == "ref_name":
+            value = refs[ref][0] if known else None
+        elif c == "ref_start":
+            value = pos if known else None
+        elif c == "ref_length":
+            value = sum(x["len"] for x in cigar if x["op"] in REFERENCE_OPS) if cigar else None
+        elif c == "mapq":
+            value = mapq
+        elif c == "cigar":
+            value = cigar or None
+        elif c == "seq":
+            packed = data[at_seq:at_qual]
+            value = "".join([PAIRS[b] for b in packed])[:n_seq] or None
+        elif c == "qual":
+            qual = data[at_qual : at_qual + n_seq]
+            value = None if not qual or qual[0] == 255 else qual.translate(SHIFTED).decode("latin-1")
+        elif c == "tags":
+            value = tags[0]
+        elif c == "tag_types":
+            value = tags[1]
+        elif c == "mate_ref_name":
+            value = refs[mate][0] if mate_known else None
+        elif c == "mate_start":
+            value = mate_pos if mate_known else None
+        elif c == "template_length":
+            value = template
+        else:
+            value = None
+        out.append(value)
+    return tuple(out)
+
+
+def records(f, columns: list[str]) -> Iterator[tuple]:
+    """The wanted columns of an open, decompressed file's records; `ord` is their ordinal."""
     _, refs = read_header(f)
-    ord_ = 0
+    at = columns.index("ord") if "ord" in columns else -1
+    number = 0
     while len(head := f.read(4)) == 4:
         (n,) = struct.unpack("<i", head)
         data = f.read(n)
         if len(data) < n:
             raise ValueError("the file ends inside a record")
-        yield {"ord": ord_} | decode(data, refs)
-        ord_ += 1
+        row = decode(data, refs, columns)
+        yield row if at < 0 else (*row[:at], number, *row[at + 1 :])
+        number += 1
 
 
 class Reader(DataSourceReader):
@@ -103,24 +155,27 @@ class Reader(DataSourceReader):
 
     def read(self, partition):
         with gzip.open(partition.value, "rb") as f:
-            for r in alignments(f):
-                yield tuple(r[c] for c in self.columns)
+            yield from records(f, self.columns)
 
 
 def encode(r: dict, refs: dict[str, int]) -> bytes:
-    """One record as BAM bytes; tags are written as text."""
+    """One record as BAM bytes. Tags have their types, text where none is given; mate fields
+    that aren't there are those of a record without a mate."""
     name = r["read_id"].encode() + b"\0"
     cigar, seq = r["cigar"] or [], r["seq"] or ""
     codes = [BASES.index(c) if c in BASES else 15 for c in seq.upper()]
     codes += [0] * (len(codes) % 2)
     packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
     qual = bytes(ord(c) - 33 for c in r["qual"]) if r["qual"] else b"\xff" * len(seq)
-    tags = b"".join(k.encode() + b"Z" + v.encode() + b"\0" for k, v in (r["tags"] or {}).items())
+    types = r.get("tag_types") or {}
+    tags = b"".join(tag_bytes(k, v, types.get(k) or "Z") for k, v in (r["tags"] or {}).items())
     start = -1 if r["ref_start"] is None else r["ref_start"]
     end = start + max(1, r["ref_length"] or 1)
+    mate, mate_start = refs.get(r.get("mate_ref_name"), -1), r.get("mate_start")
     body = struct.pack(
-        "<iiBBHHHiiii", refs.get(r["ref_name"], -1), start, len(name), r["mapq"] or 0, bin_of(start, end) if start >= 0 else 4680, len(cigar), r["flag"] or 0, len(seq), -1, -1, 0
-    )
+        "<iiBBHHHiiii", refs.get(r["ref_name"], -1), start, len(name), r["mapq"] or 0, bin_of(start, end) if start >= 0 else 4680, len(cigar), r["flag"] or 0, len(seq),
+        mate, -1 if mate_start is None else mate_start, r.get("template_length") or 0,
+    )
     body += name + b"".join(struct.pack("<I", c["len"] << 4 | c["op"]) for c in cigar) + packed + qual + tags
     return struct.pack("<i", len(body)) + body
 
@@ -207,11 +262,15 @@ class BamSource(DataSource):
         return Writer(self.options["path"], self.options.get("header", "@HD\tVN:1.6\n"))
 
 
+def header_text(path: str) -> str:
+    """The header of a file, which is all that is read of it."""
+    with gzip.open(path, "rb") as f:
+        return read_header(f)[0]
+
+
 def sort_order(path: str) -> str | None:
     """The sort order that the header states."""
-    with gzip.open(path, "rb") as f:
-        text, _ = read_header(f)
-    for line in text.splitlines():
+    for line in header_text(path).splitlines():
         if line.startswith("@HD"):
             return dict(x.split(":", 1) for x in line.split("\t")[1:]).get("SO")
     return None
@@ -220,3 +279,20 @@ def sort_order(path: str) -> str | None:
 def read_bam(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(BamSource)
     return spark.read.format("nucleo_bam").option("paths", ",".join(paths)).option("columns", ",".join(columns or [])).load()
+
+
+def coordinate_sorted(alignments: DataFrame, header: str) -> DataFrame:
+    """Records by reference, in the header's order, and start; those without a reference last.
+    Spark deals them out by ranges, so part files of write_bam() follow each other."""
+    names = [dict(x.split(":", 1) for x in line.split("\t")[1:])["SN"] for line in header.splitlines() if line.startswith("@SQ")]
+    rank = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("ref_name"))
+    return alignments.orderBy(F.when(rank > 0, rank).asc_nulls_last(), "ref_start", "ord")
+
+
+def write_bam(alignments: DataFrame, path: str, header: str) -> None:
+    """One BAM file for each partition, with this header. Columns that aren't there are
+    missing values of the records."""
+    alignments.sparkSession.dataSource.register(BamSource)
+    have = set(alignments.columns)
+    whole = [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in schemas.ALIGNMENT_COLUMNS.items()]
+    alignments.select(*whole).write.format("nucleo_bam").option("path", path).option("header", header).mode("append").save()

@@ -8,11 +8,11 @@ import gzip
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import schemas
+from .text import numbered_lines
 
 
 def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str]]:
@@ -51,20 +51,19 @@ class FastqSource(DataSource):
 
 
 def read_fastq(spark: SparkSession, path) -> DataFrame:
-    """FASTQ through Spark's own text reader, for files in any store that it knows.
-
-    Records are made from numbered lines; those after the first empty header go."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return frame_lines(whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "value")))
+    """FASTQ through Spark's own text reader, for files in any store that it knows: lines
+    are numbered block by block. Records after the first empty header go."""
+    return frame_lines(numbered_lines(spark, path))
 
 
 def frame_lines(numbered: DataFrame) -> DataFrame:
-    """FASTQ records from (file, ord, value)."""
-    by = numbered.withColumns({"rec": F.floor(F.col("ord") / 4).cast("long"), "at": F.col("ord") % 4}).groupBy("file", "rec")
+    """FASTQ records from (file, ord, value). Where a file ends early is found before its
+    lines are put together; there is one such row for each file, so it is broadcast."""
+    lines = numbered.select("file", F.floor(F.col("ord") / 4).cast("long").alias("rec"), (F.col("ord") % 4).alias("at"), "value")
+    ends = lines.where((F.col("at") == 0) & (F.col("value") == "")).groupBy("file").agg(F.min("rec").alias("end"))
+    lines = lines.join(F.broadcast(ends), "file", "left").where("end is null or rec < end")
     line = lambda i: F.coalesce(F.max(F.when(F.col("at") == i, F.col("value"))), F.lit(""))
-    out = by.agg(*[line(i).alias(n) for i, n in enumerate(("header", "sequence", "plus", "quality"))])
-    ended = F.min(F.when(F.col("header") == "", F.col("rec"))).over(W.partitionBy("file"))
-    return out.withColumn("__end", ended).where("__end is null or rec < __end").drop("__end")
+    return lines.groupBy("file", "rec").agg(*[line(i).alias(n) for i, n in enumerate(("header", "sequence", "plus", "quality"))])
 
 
 def alignments_to_fastq(alignments: DataFrame) -> DataFrame:

@@ -20,9 +20,27 @@ def lines(spark: SparkSession, path) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path) -> DataFrame:
-    """(file, ord, value): lines with their number, file by file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"))
+    """(file, block, ord, value): lines with their number in the file, from 0, and the block
+    (split) they are read in. Blocks are read side by side: a line's number is its place in
+    the block, plus the lines of the blocks before. There is one row for each block in the
+    table that says so, a bound of the files' sizes, so it is broadcast."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    shift = blocks.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(F.broadcast(shift), ["file", "block"]).select("file", "block", (F.col("id") + F.col("shift")).alias("ord"), "value")
+
+
+def numbered_records(numbered: DataFrame, file: str = "file") -> DataFrame:
+    """numbered_lines() with `rec`, the number of lines up to this one that begin with >:
+    counted within blocks, plus those of the blocks before."""
+    held = numbered if "block" in numbered.columns else numbered.withColumn("block", F.lit(0).cast("long"))
+    head = F.col("value").startswith(">").cast("long")
+    blocks = held.groupBy(file, "block").agg(F.sum(head).alias("n"))
+    earlier = W.partitionBy(file).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = blocks.select(file, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = held.withColumn("within", F.sum(head).over(W.partitionBy(file, "block").orderBy("ord")))
+    return within.join(F.broadcast(before), [file, "block"]).withColumn("rec", F.col("within") + F.col("before")).drop("within", "before")
 
 
 def parse_counts(raw: DataFrame) -> DataFrame:
@@ -54,13 +72,11 @@ def read_gene_counts(spark: SparkSession, path) -> DataFrame:
 
 
 def read_fasta_lengths(spark: SparkSession, path) -> DataFrame:
-    """(name, length) of each FASTA record; the running header number is per file."""
-    held = numbered_lines(spark, path).withColumn("rec", F.sum(F.col("value").startswith(">").cast("int")).over(W.partitionBy("file").orderBy("ord")))
-    return (
-        held.where("rec > 0").groupBy("file", "rec")
-        .agg(F.max(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S+)", 1))).alias("name"), F.sum(F.when(~F.col("value").startswith(">"), F.length(F.trim("value"))).otherwise(0)).alias("length"))
-        .select("name", "length")
-    )
+    """(name, length) of each FASTA record."""
+    held = numbered_records(numbered_lines(spark, path)).where("rec > 0")
+    head = F.col("value").startswith(">")
+    name = F.max(F.when(head, F.regexp_extract("value", r"^>(\S+)", 1))).alias("name")
+    return held.groupBy("file", "rec").agg(name, F.sum(F.when(~head, F.length(F.trim("value"))).otherwise(0)).alias("length")).select("name", "length")
 
 
 def read_positions(spark: SparkSession, path) -> DataFrame:
@@ -76,8 +92,9 @@ def sample_name(pattern: str, prefix: str = ""):
 
 
 def read_window_files(spark: SparkSession, directory: str, pattern: str = "*_counts_mutrate.10nt.csv.gz", prefix: str = "", coverage_threshold: int = 200) -> DataFrame:
-    """Window tables of a folder with their sample; windows with too little coverage go."""
-    df = spark.read.csv(f"{directory}/{pattern}", sep="\t", header=True, schema=schemas.WINDOW, nullValue="NA")
+    """Window tables of a folder with their sample; windows with too little coverage go, and
+    so do files that can't be read."""
+    df = spark.read.option("ignoreCorruptFiles", True).csv(f"{directory}/{pattern}", sep="\t", header=True, schema=schemas.WINDOW, nullValue="NA")
     return df.withColumn("sample", sample_name(pattern, prefix)).where(F.col("coverage") >= coverage_threshold)
 
 
@@ -88,19 +105,24 @@ def read_position_files(spark: SparkSession, directory: str, pattern: str = "*mu
     """Position tables of a folder with their sample, projected to POSITION_COLUMNS.
 
     Without `header` each file's first line is looked at (it has one if it names gene or
-    pos); files without the needed columns are left out."""
-    files = [r.path for r in spark.read.format("binaryFile").load(f"{directory}/{pattern}").select("path").collect()]
+    pos); files without the needed columns, and those that can't be read, are left out. The
+    first lines, one for each file, reach the driver."""
+    raw = spark.read.option("ignoreCorruptFiles", True).text(f"{directory}/{pattern}")
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    # one pass for the first lines of all files; files of the same header are read together
+    first = raw.where("block = 0").groupBy("file").agg(F.min_by("value", "id").alias("line"))
+    by_header: dict[tuple | None, list[str]] = {}
+    for r in first.collect():
+        named = header if header is not None else "gene" in r.line or "pos" in r.line
+        by_header.setdefault(tuple(r.line.split("\t")) if named else None, []).append(r.file)
     parts = []
-    for path in files:
-        first = spark.read.text(path).limit(1).collect()
-        named = header if header is not None else bool(first) and ("gene" in first[0][0] or "pos" in first[0][0])
-        if named:
-            names = first[0][0].split("\t")
-            if not {"gene", "pos", "mutrate", "coverage", "mutant"} <= set(names):
-                continue
-            df = spark.read.csv(path, sep="\t", header=True, nullValue="NA")
+    for names, paths in by_header.items():
+        if names is None:
+            df = spark.read.option("ignoreCorruptFiles", True).csv(paths, sep="\t", schema=schemas.POSITION, nullValue="NA")
+        elif {"gene", "pos", "mutrate", "coverage", "mutant"} <= set(names):
+            df = spark.read.option("ignoreCorruptFiles", True).csv(paths, sep="\t", header=True, nullValue="NA")
         else:
-            df = read_positions(spark, path)
+            continue
         kinds = {"gene": "string", "pos": "long", "mutrate": "double", "coverage": "long", "mutant": "long"}
         stem = F.regexp_replace(F.col("_metadata.file_name"), r"mutrate\.txt(\.gz)?$", "")
         sample = F.concat(F.lit(prefix), F.regexp_replace(stem, r"[_.]+$", ""))
@@ -151,8 +173,7 @@ def find_fastq(spark: SparkSession, directory: str) -> DataFrame:
 
 def structures(numbered: DataFrame, file: str = "file") -> DataFrame:
     """(header, ord, dot_bracket) of each record of FASTA-like structure text."""
-    rec = F.sum(F.col("value").startswith(">").cast("int")).over(W.partitionBy(file).orderBy("ord"))
-    held = numbered.withColumn("rec", rec).where("rec > 0")
+    held = numbered_records(numbered, file).where("rec > 0")
     body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("value").startswith(">"), F.struct("ord", F.trim("value").alias("v"))))), lambda x: x["v"])
     out = held.groupBy(file, "rec").agg(F.min_by("value", "ord").alias("header"), F.min("ord").alias("ord"), F.array_join(body, "").alias("dot_bracket"))
     return out.select(file, F.substr("header", F.lit(2)).alias("header"), "ord", "dot_bracket")
@@ -160,7 +181,7 @@ def structures(numbered: DataFrame, file: str = "file") -> DataFrame:
 
 def dot_bracket(numbered: DataFrame, gene: str, exact: bool = False) -> DataFrame:
     """The first structure whose header begins with the gene's name (a prefix is enough
-    unless exact): at most one row (dot_bracket)."""
+    unless exact): at most one row (dot_bracket), and none if that header has no structure."""
     h = F.col("header")
     hit = (F.regexp_extract(h, r"^(\S+)", 1) == gene) if exact else h.startswith(gene)
-    return structures(numbered).where(hit & (F.col("dot_bracket") != "")).orderBy("file", "ord").limit(1).select("dot_bracket")
+    return structures(numbered).where(hit).orderBy("file", "ord").limit(1).where(F.col("dot_bracket") != "").select("dot_bracket")

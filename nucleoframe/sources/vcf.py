@@ -14,21 +14,34 @@ from pyspark.sql import functions as F
 from ..functions.scalar import info_map, safe_int
 
 
-def read_header(spark: SparkSession, path) -> tuple[list[str], list[str]]:
-    """(cells, contigs) from the header lines of a file."""
-    raw = spark.read.text(path)
-    head = [r.value for r in raw.where(F.col("value").startswith("##contig") | F.col("value").startswith("#CHROM")).collect()]
+def read_header(spark: SparkSession, path, first: int = 1000) -> tuple[list[str], list[str]]:
+    """(cells, contigs) from the header lines of a file. Only its beginning is read: `first`
+    lines, and eight times as many until the line of column names is among them."""
+    raw, wanted = spark.read.text(path), first
+    while True:
+        head = [r.value for r in raw.take(wanted)]
+        end = next((i for i, x in enumerate(head) if x.startswith("#CHROM") or not x.startswith("#")), None)
+        if end is not None or len(head) < wanted:
+            break
+        wanted *= 8
+    head = head if end is None else head[: end + 1]
     contigs = [m[1] for x in head if (m := re.match(r"##contig=<ID=([^,>]+)", x))]
     names = next((x.rstrip("\n").split("\t") for x in head if x.startswith("#CHROM")), [])
     return names[9:], contigs
 
 
+#: FORMAT fields that the readers take.
+FIELDS = ("DP", "AD", "ALL")
+
+
 def records(raw: DataFrame) -> DataFrame:
-    """(gene, pos, ref, info, format, samples) of record lines."""
+    """(gene, pos, ref, info, at_DP, at_AD, at_ALL, samples) of record lines; the places of
+    the FORMAT fields, from 1, are found once for each record."""
     p = F.split("value", "\t")
+    form = F.split(F.get(p, F.lit(8)), ":")
     return raw.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
         p[0].alias("gene"), safe_int(F.get(p, F.lit(1)), "long").alias("pos"), F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(7)).alias("info"),
-        F.split(F.get(p, F.lit(8)), ":").alias("format"), F.slice(p, 10, F.greatest(F.size(p) - 9, F.lit(0))).alias("samples"),
+        *[F.array_position(form, f).cast("int").alias(f"at_{f}") for f in FIELDS], F.slice(p, 10, F.greatest(F.size(p) - 9, F.lit(0))).alias("samples"),
     )
 
 
@@ -41,25 +54,25 @@ def by_cell(rows: DataFrame, cells: list[str], outer: bool = False) -> DataFrame
         lambda s: (s["cell_idx"] < len(cells)) & (F.lit(outer) | ~s["text"].startswith(".")),
     )
     spread = rows.withColumn("s", F.explode_outer(pairs) if outer else F.explode(pairs))
-    return spread.select("gene", "pos", "ref", "info", "format", F.get(named, F.col("s.cell_idx")).alias("cell"), F.col("s.cell_idx").alias("cell_idx"), F.split("s.text", ":").alias("v"))
+    return spread.select("gene", "pos", "ref", "info", *[f"at_{f}" for f in FIELDS], F.get(named, F.col("s.cell_idx")).alias("cell"), F.col("s.cell_idx").alias("cell_idx"), F.split("s.text", ":").alias("v"))
 
 
 def field(name: str) -> Column:
     """The cell's value of a FORMAT field; a record without the field is an error."""
-    at = F.array_position("format", name)
     missing = F.raise_error(F.concat(F.lit(f"FORMAT has no {name} at "), F.col("gene"))).cast("string")
-    return F.when(at > 0, F.get(F.col("v"), (at - 1).cast("int"))).otherwise(missing)
+    return F.when(F.col(f"at_{name}") > 0, F.get(F.col("v"), F.col(f"at_{name}") - 1)).otherwise(missing)
 
 
-def all_counts() -> Column:
-    return F.transform(F.split(field("ALL"), ","), lambda x: x.try_cast("int"))
+def first_counts() -> Column:
+    """Up to four values of ALL; one that isn't a number is NULL."""
+    return F.transform(F.slice(F.split(field("ALL"), ",", 5), 1, 4), lambda x: x.try_cast("int"))
 
 
 def parse_cells_dense(raw: DataFrame, cells: list[str]) -> DataFrame:
     """(gene, pos, ref, cell, cell_idx, coverage, mutrate): coverage sums up to four
     values of ALL; mutant = coverage - (DP - AD), AD "." is 0; entries without DP or ALL,
     and those that don't parse, are missing (a dense matrix has 0 there)."""
-    df = by_cell(records(raw), cells).withColumns({"dp": safe_int(field("DP")), "ad": F.when(field("AD") == ".", F.lit(0)).otherwise(safe_int(field("AD"))), "four": F.slice(all_counts(), 1, 4)})
+    df = by_cell(records(raw), cells).withColumns({"dp": safe_int(field("DP")), "ad": F.when(field("AD") == ".", F.lit(0)).otherwise(safe_int(field("AD"))), "four": first_counts()})
     df = df.where("dp is not null and ad is not null and not exists(four, x -> x is null)")
     coverage = F.aggregate("four", F.lit(0), lambda a, x: a + x)
     return with_rate(df.withColumn("coverage", coverage))
@@ -74,9 +87,9 @@ def with_rate(df: DataFrame) -> DataFrame:
 def parse_cells_sparse(raw: DataFrame, cells: list[str]) -> DataFrame:
     """As the dense reader, but only entries with at least four values in ALL and a
     positive coverage."""
-    df = by_cell(records(raw), cells).withColumns({"dp": safe_int(field("DP")), "ad": F.coalesce(safe_int(field("AD")), F.lit(0)), "every": all_counts()})
-    df = df.where("dp is not null and size(every) >= 4 and not exists(slice(every, 1, 4), x -> x is null)")
-    return with_rate(df.withColumn("coverage", F.aggregate(F.slice("every", 1, 4), F.lit(0), lambda a, x: a + x))).where("coverage > 0")
+    df = by_cell(records(raw), cells).withColumns({"dp": safe_int(field("DP")), "ad": F.coalesce(safe_int(field("AD")), F.lit(0)), "four": first_counts()})
+    df = df.where("dp is not null and size(four) = 4 and not exists(four, x -> x is null)")
+    return with_rate(df.withColumn("coverage", F.aggregate("four", F.lit(0), lambda a, x: a + x))).where("coverage > 0")
 
 
 def parse_cell_positions(raw: DataFrame, cells: list[str]) -> DataFrame:
@@ -97,15 +110,28 @@ def read_cells_sparse(spark: SparkSession, path) -> DataFrame:
 
 
 def read_cell_positions(spark: SparkSession, path, gene: str | None = None) -> DataFrame:
-    """All records, or one gene's. Over a table written with store_by_gene() the latter
-    reads that gene's folder alone."""
+    """All records of a text file, or one gene's."""
     out = parse_cell_positions(spark.read.text(path), read_header(spark, path)[0])
     return out if gene is None else out.where(F.col("gene") == gene)
 
 
 def store_by_gene(cell_positions: DataFrame, path: str) -> None:
-    """The indexed form: Parquet in one folder per gene, sorted by position."""
-    cell_positions.repartition("gene").sortWithinPartitions("gene", "pos").write.partitionBy("gene").parquet(path)
+    """The indexed form: Parquet in one folder per gene, sorted by position. Rows are dealt
+    by ranges of gene and position, so a deep gene is several files."""
+    cell_positions.repartitionByRange("gene", "pos").sortWithinPartitions("gene", "pos").write.partitionBy("gene").parquet(path)
+
+
+def read_region(spark: SparkSession, store: str, gene: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The cell positions of one gene, or of first..last of it, from a store written by
+    store_by_gene(): only the gene's folder is listed, and of its files the row groups whose
+    positions can be in the range are read."""
+    schema = "pos long, ref string, cell string, cell_idx int, dp int, ad int, gene string"
+    out = spark.read.schema(schema).parquet(store).where(F.col("gene") == gene)
+    if first is not None:
+        out = out.where(F.col("pos") >= first)
+    if last is not None:
+        out = out.where(F.col("pos") <= last)
+    return out.select("gene", "pos", "ref", "cell", "cell_idx", "dp", "ad")
 
 
 def parse_base(raw: DataFrame, include_oth: bool = False, min_coverage: int = 100) -> DataFrame:

@@ -1,7 +1,8 @@
 """The stream-like operators as Structured Streaming.
 
-Row-wise operators (mutation rates, position filter, read quality) are stateless and run
-on a stream as they are. Statistics over reads run in complete or update mode."""
+Row-wise operators (mutation rates, position filter, FASTQ framing, read quality) are
+stateless and run on a stream as they are. Statistics over reads keep state; with an event
+time and a watermark it is bounded, without one it grows with the reads."""
 
 from __future__ import annotations
 
@@ -22,10 +23,28 @@ def streamed_verdicts(fastq: DataFrame, least: float = 10.0) -> DataFrame:
     return quality.quality_verdict(fastq, least)
 
 
-def online_alignment_counts(alignments: DataFrame, min_length: int = 0) -> DataFrame:
-    """Running number of alignments per read; its state grows with the reads."""
+def streamed_fastq(raw: DataFrame) -> DataFrame:
+    """FASTQ records of a stream of whole files (readStream.text with wholetext): framed in
+    their row, without state; records after the first empty header go."""
+    lines = F.split("value", "\r?\n")
+    at = lambda k, i: F.coalesce(F.get(F.col("lines"), k * 4 + i), F.lit(""))
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("lines") / 4).cast("int") - 1, F.lit(0)))
+    ended = F.filter(starts, lambda k: at(k, 0) == "")
+    kept = F.filter(starts, lambda k: F.coalesce(k < F.get(ended, F.lit(0)), F.lit(True)))
+    fields = ("header", "sequence", "plus", "quality")
+    cut = F.transform(kept, lambda k: F.struct(k.cast("long").alias("rec"), *[at(k, i).alias(n) for i, n in enumerate(fields)]))
+    return raw.select(F.col("_metadata.file_path").alias("file"), lines.alias("lines")).select("file", F.explode(cut).alias("r")).select("file", "r.*")
+
+
+def online_alignment_counts(alignments: DataFrame, min_length: int = 0, time: str | None = None, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:
+    """Running number of alignments and transcripts per read. With `time`, a column of event
+    times, counts are those of a window, and the state of windows that the watermark has
+    passed is dropped."""
     kept = alignments.where(F.col("ref_name").isNotNull() & (F.coalesce("ref_length", F.lit(0)) >= min_length))
-    return kept.groupBy("read_id").agg(F.count("*").alias("alignment_count"), F.approx_count_distinct("ref_name").alias("transcripts"))
+    keys = ["read_id"]
+    if time is not None:
+        kept, keys = kept.withWatermark(time, delay), [F.window(time, window).alias("window"), "read_id"]
+    return kept.groupBy(*keys).agg(F.count("*").alias("alignment_count"), F.size(F.collect_set("ref_name")).alias("transcripts"))
 
 
 def online_counters(alignments: DataFrame, min_length: int = 0) -> DataFrame:

@@ -1,9 +1,11 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from nucleoframe.operators import quality, reactivity
+from nucleoframe import sinks
 from nucleoframe.sources import bam, fastq, text
 from nucleoframe.streaming import online
 
@@ -41,13 +43,23 @@ def test_reactivity_join(spark, rows):
 def test_winsorize(spark):
     df = spark.createDataFrame([("g", i, float(i)) for i in range(10)], "gene string, pos long, x double")
     assert values(reactivity.winsorize(df, "x", ("gene",), 0.1, 0.2), "x") == [1, 1, 2, 3, 4, 5, 6, 7, 7, 7]
+    assert values(reactivity.winsorize(df, "x", (), 0.1, 0.2), "x") == [1, 1, 2, 3, 4, 5, 6, 7, 7, 7]
+    rng = random.Random(4)
+    data = [rng.choice([None, 1.0, round(rng.gauss(0, 5), 2)]) for _ in range(3000)]
+    many = spark.createDataFrame([(i, x) for i, x in enumerate(data)], "pos long, x double")
+    known = sorted(x for x in data if x is not None)
+    low, high = known[int(0.03 * len(known))], known[len(known) - int(0.07 * len(known)) - 1]
+    got = {r.pos: r.x for r in reactivity.winsorize(many, "x", (), 0.03, 0.07).collect()}
+    assert got == {i: None if x is None else min(max(x, low), high) for i, x in enumerate(data)}
+    assert reactivity.winsorize(many.limit(0), "x", (), 0.03, 0.07).count() == 0
 
 
 def test_bam_round_trip(spark, rows, tmp_path):
     refs = [("T1", 1000), ("T2", 500)]
     records = [
-        {"read_id": "r1", "flag": 16, "ref_name": "T2", "ref_start": 7, "ref_length": 9, "mapq": 42, "cigar": [{"op": 0, "len": 5}, {"op": 2, "len": 4}, {"op": 4, "len": 2}], "seq": "ACGTNAC", "qual": "IIIII!!", "tags": {"CB": "AA"}},
-        {"read_id": "r2", "flag": 4, "ref_name": None, "ref_start": None, "ref_length": None, "mapq": 0, "cigar": None, "seq": "AC", "qual": None, "tags": {}},
+        {"read_id": "r1", "flag": 16, "ref_name": "T2", "ref_start": 7, "ref_length": 9, "mapq": 42, "cigar": [{"op": 0, "len": 5}, {"op": 2, "len": 4}, {"op": 4, "len": 2}], "seq": "ACGTNAC", "qual": "IIIII!!", "tags": {"CB": "AA", "NM": "-3", "XB": "1,2,300", "XF": "0.5", "XA": "c", "XH": "1AE3"},
+         "tag_types": {"CB": "Z", "NM": "c", "XB": "BS", "XF": "f", "XA": "A", "XH": "H"}, "mate_ref_name": "T1", "mate_start": 900, "template_length": -893},
+        {"read_id": "r2", "flag": 4, "ref_name": None, "ref_start": None, "ref_length": None, "mapq": 0, "cigar": None, "seq": "AC", "qual": None, "tags": {}, "tag_types": {}, "mate_ref_name": None, "mate_start": None, "template_length": 0},
     ]
     many = [records[0] | {"read_id": f"m{i}"} for i in range(3000)]
     path = str(tmp_path / "x.bam")
@@ -59,6 +71,15 @@ def test_bam_round_trip(spark, rows, tmp_path):
     assert {k: v for k, v in one.items() if k != "ord"} == records[0]
     assert got.where("ref_name is null").first().qual is None
     assert bam.read_bam(spark, path, columns=["read_id", "flag"]).columns == ["read_id", "flag"]
+    line = sinks.sam_lines(got.where("read_id = 'r1'")).first().value.split("\t")
+    assert line[6:9] == ["T1", "901", "-893"] and line[11:] == ["CB:Z:AA", "NM:i:-3", "XA:A:c", "XB:B:S,1,2,300", "XF:f:0.5", "XH:H:1AE3"]
+    header = "@HD\tVN:1.6\tSO:unsorted\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in refs)
+    bam.write_bam(bam.coordinate_sorted(got, header), str(tmp_path / "again"), header)
+    parts = sorted(map(str, (tmp_path / "again").glob("*.bam")))
+    back = [r for part in parts for r in bam.read_bam(spark, part).collect()]
+    assert len(back) == 3002 and back[-1].read_id == "r2" and bam.header_text(parts[0]) == header
+    whole = next(r for r in back if r.read_id == "r1").asDict(recursive=True)
+    assert {k: v for k, v in whole.items() if k != "ord"} == records[0]
     turned = fastq.alignments_to_fastq(got.where("read_id = 'r1'")).first()
     assert (turned.header, turned.sequence, turned.quality) == ("@r1", "GTNACGT", "!!IIIII")
 
@@ -67,7 +88,7 @@ def test_bam_sink(spark, tmp_path):
     spark.dataSource.register(bam.BamSource)
     path = str(tmp_path / "x.bam")
     header = "@HD\tVN:1.6\n@SQ\tSN:T1\tLN:100\n"
-    record = {"read_id": "r", "flag": 0, "ref_name": "T1", "ref_start": 3, "ref_length": 2, "mapq": 1, "cigar": [{"op": 0, "len": 2}], "seq": "AC", "qual": "II", "tags": {"XT": "T1"}}
+    record = {"read_id": "r", "flag": 0, "ref_name": "T1", "ref_start": 3, "ref_length": 2, "mapq": 1, "cigar": [{"op": 0, "len": 2}], "seq": "AC", "qual": "II", "tags": {"XT": "T1"}, "tag_types": {"XT": "Z"}, "mate_ref_name": None, "mate_start": None, "template_length": 0}
     bam.write_file(path, header, [("T1", 100)], [record])
     bam.read_bam(spark, path).coalesce(1).write.format("nucleo_bam").option("path", str(tmp_path / "out")).option("header", header).mode("append").save()
     again = bam.read_bam(spark, str(tmp_path / "out/part-00000.bam")).first().asDict(recursive=True)
