@@ -203,9 +203,9 @@ met AS (SELECT DISTINCT doc_id, item_id, dp.p - bp.p AS shift FROM dp JOIN bp US
 same AS (SELECT doc_id, item_id, len(b.w) AS n,
     list_transform(range(1, len(b.w) + 1), lambda i: CASE WHEN i + shift >= 1 AND i + shift <= len(d.w) AND b.w[i] = d.w[i + shift] THEN 1 ELSE 0 END) AS e
   FROM met JOIN d USING (doc_id) JOIN b USING (item_id)),
-span AS (SELECT doc_id, item_id, n, e, unnest(range(1, n - 10)) AS at FROM same WHERE n >= 12),
-win AS (SELECT doc_id, item_id, least(at + 15, n) - greatest(at - 4, 1) + 1 AS size,
-    list_sum(e[greatest(at - 4, 1):least(at + 15, n)]) AS e, list_sum(e[at:at + 11]) AS run FROM span),
+span AS (SELECT doc_id, item_id, n, e, unnest(range(1, n - 10)) AS q FROM same WHERE n >= 12),
+win AS (SELECT doc_id, item_id, least(q + 15, n) - greatest(q - 4, 1) + 1 AS size,
+    list_sum(e[greatest(q - 4, 1):least(q + 15, n)]) AS e, list_sum(e[q:q + 11]) AS run FROM span),
 bad AS (
   SELECT doc_id, item_id, max(e) AS e FROM win WHERE e >= size * 0.75 OR run = 12 GROUP BY 1, 2
   UNION ALL SELECT doc_id, item_id, max(n) FROM same WHERE n < 12 AND list_sum(e) = n GROUP BY 1, 2

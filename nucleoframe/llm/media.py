@@ -387,3 +387,69 @@ def text_as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         yield sink.take()
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(store, STORED)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for text_as_media(): the container is put together from hexadecimal digits.
+    A part is a pair of SQL expressions, its digits and its size in bytes."""
+
+    def number(x, width: int = 4) -> tuple[str, str]:
+        return f"format('{{:0{2 * width}x}}', CAST({x} AS BIGINT))", str(width)
+
+    def fixed(raw: bytes) -> tuple[str, str]:
+        return f"'{raw.hex()}'", str(len(raw))
+
+    def joined(parts) -> tuple[str, str]:
+        return " || ".join(p[0] for p in parts), "(" + " + ".join(p[1] for p in parts) + ")"
+
+    def boxed(kind: bytes, *parts) -> tuple[str, str]:
+        digits, size = joined(parts)
+        return f"{number(f'8 + {size}')[0]} || '{kind.hex()}' || {digits}", f"(8 + {size})"
+
+    def whole(kind: bytes, *parts) -> tuple[str, str]:
+        return boxed(kind, fixed(bytes(4)), *parts)
+
+    def listed(each: str, count: str, width: int) -> tuple[str, str]:
+        return f"coalesce(array_to_string(list_transform(range({count}), lambda i: {number(each, width)[0]}), ''), '')", f"({width} * {count})"
+
+    u = lambda *x: fixed(struct.pack(f">{len(x)}I", *x))
+    matrix, rate = u(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000), u(RATE)
+    n, chunks = number("n"), number("chunks")
+    entry = boxed(b"raw ", fixed(bytes(6) + struct.pack(">H", 1) + bytes(16) + struct.pack(">HH", UNIT, 1) + struct.pack(">3I", 0x480000, 0x480000, 0) + struct.pack(">H", 1) + bytes(32) + struct.pack(">Hh", 40, -1)))
+    one, more = u(1, CHUNK, 1), joined([u(1, CHUNK, 1), chunks, number(f"n % {CHUNK}"), u(1)])
+    few = joined([u(1), n, u(1)])
+    runs = (f"CASE WHEN n % {CHUNK} = 0 THEN {one[0]} WHEN chunks > 1 THEN {more[0]} ELSE {few[0]} END", "(12 * runs)")
+    table = boxed(
+        b"stbl", whole(b"stsd", u(1), entry), whole(b"stts", u(1), n, u(1)), whole(b"stss", chunks, listed(f"1 + {CHUNK} * i", "chunks", 4)),
+        whole(b"stsc", number("runs"), runs), whole(b"stsz", u(UNIT), n), whole(b"co64", chunks, listed(f"base + {UNIT * CHUNK} * i", "chunks", 8)),
+    )
+    moov = boxed(
+        b"moov", whole(b"mvhd", u(0, 0), rate, n, u(0x10000), fixed(struct.pack(">H", 0x100) + bytes(10)), matrix, fixed(bytes(24)), u(2)),
+        boxed(
+            b"trak", whole(b"tkhd", u(0, 0, 1, 0), n, fixed(bytes(16)), matrix, u(UNIT << 16, 1 << 16)),
+            boxed(
+                b"mdia", whole(b"mdhd", u(0, 0), rate, n, fixed(struct.pack(">HH", 0x55C4, 0))), whole(b"hdlr", u(0), fixed(b"vide" + bytes(12) + b"text\0")),
+                boxed(b"minf", whole(b"vmhd", fixed(bytes(8))), boxed(b"dinf", whole(b"dref", u(1), whole(b"url ", fixed(b"")))), table),
+            ),
+        ),
+    )
+    first = boxed(b"ftyp", fixed(b"isom" + struct.pack(">I", 0x200) + b"isomiso2"))
+    head = joined([first, moov, u(1), fixed(b"mdat"), number("16 + payload_bytes", 8)])
+    steps = []
+    for c in range(16):  # a digit at a time of the checksum
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(c)
+    keys = f"array_to_string(list_transform(range(chunks), lambda i: CAST(base + {UNIT * CHUNK} * i AS VARCHAR) || '+{UNIT}'), ',')"
+    return f"""
+WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS raw FROM documents),
+p AS (SELECT doc_id, len(raw) // 2 AS n_bytes, raw || repeat('0', CASE WHEN raw = '' THEN {2 * UNIT} ELSE (-len(raw)) % {2 * UNIT} + CASE WHEN len(raw) % {2 * UNIT} > 0 THEN {2 * UNIT} ELSE 0 END END) AS pad FROM t),
+c AS (SELECT *, len(pad) // 2 AS payload_bytes, len(pad) // {2 * UNIT} AS n, (len(pad) // {2 * UNIT} + {CHUNK - 1}) // {CHUNK} AS chunks FROM p),
+r AS (SELECT *, CASE WHEN n % {CHUNK} > 0 AND chunks > 1 THEN 2 ELSE 1 END AS runs FROM c),
+b AS (SELECT *, {first[1]} + {moov[1]} + 16 AS base FROM r),
+m AS (SELECT *, {head[0]} || pad AS media, list_transform(range(128), lambda i: instr('0123456789abcdef', substr(pad, len(pad) - 127 + i + CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END, 1)) - 1) AS digits FROM b)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha256(unhex(pad)) AS payload_sha256,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, digits), lambda a, x: xor(a >> 4, ({steps}::BIGINT[])[1 + (xor(a, x) & 15)])), 4294967295::BIGINT) AS tail_crc32,
+  CAST(len(media) // 2 AS BIGINT) AS media_bytes, sha256(unhex(media)) AS media_sha256,
+  'codec=raw ;timescale={RATE};duration=' || n || ';samples=' || n || ';keyframes=' || chunks || ';ranges=' || {keys} AS feature
+FROM m"""

@@ -73,6 +73,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_media": media.oracle_sql(),
+    "op3_suffix_dedup": suffixes.ORACLE_SQL,
     "op5_near_duplicates": neardup.ORACLE_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
     "op6_chat": r"""

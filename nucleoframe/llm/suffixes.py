@@ -28,7 +28,9 @@ document with a smaller id. Identifiers have 64 bits and are compared only insid
 
 Cases: null and empty texts keep nothing and have no spans; documents shorter than
 `width` lose nothing; repeated rows of one id don't cover each other; a null id counts
-as larger than all others; extra columns are ignored.
+as larger than all others (rows with the largest long count as rows of a null id do, and
+keep their id); a very long text is a unit of its own; an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,34 +129,36 @@ class Unit:
 
 
 def packed(df: DataFrame, id_col: str, text_col: str, unit_bytes: int) -> DataFrame:
-    """(unit, n, ids, lengths, data): whole texts, packed and compressed."""
+    """(unit, n, ids, unknown, lengths, data): whole texts, packed and compressed; `unknown`
+    has a byte for each id, 1 for a null one."""
     from pyspark import TaskContext
 
-    schema = pa.schema([("unit", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
+    schema = pa.schema([("unit", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("unknown", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
 
     def run(batches):
-        ids, texts, size, made = [], [], 0, TaskContext.get().partitionId() << 28
+        ids, unknown, texts, size, made = [], bytearray(), [], 0, TaskContext.get().partitionId() << 28
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def unit():
             lengths = np.array([len(t) for t in texts], dtype=np.int64)
-            row = [made, size, np.array(ids, dtype=np.int64).tobytes(), lengths.tobytes(), squeeze.compress(b"".join(texts))]
+            row = [made, size, np.array(ids, dtype=np.int64).tobytes(), bytes(unknown), lengths.tobytes(), squeeze.compress(b"".join(texts))]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1)):
                 key = key.as_py()
                 ids.append(_LAST if key is None else key)
+                unknown.append(key is None)
                 texts.append((text.as_py() or "").encode("utf-8", "surrogatepass"))
                 size += len(texts[-1])
                 if size >= unit_bytes or len(ids) >= 50_000:
                     yield unit()
-                    ids, texts, size, made = [], [], 0, made + 1
+                    ids, unknown, texts, size, made = [], bytearray(), [], 0, made + 1
         if ids:
             yield unit()
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "unit long, n long, ids binary, lengths binary, data binary"
+        run, "unit long, n long, ids binary, unknown binary, lengths binary, data binary"
     )
 
 
@@ -186,6 +190,7 @@ class Refinement:
     def __init__(self, row: dict, buckets: int, step: int):
         data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=row["n"]) if row["n"] else b""
         ids, lengths = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["lengths"], dtype=np.int64)
+        self.unknown = row["unknown"]
         self.unit, self.buckets = Unit(ids, lengths, data, keep_names=step >= 3), buckets
         self.bits: dict[int, dict[int, bytes]] = {}
         for r in row.get("replies") or []:
@@ -263,12 +268,12 @@ class Refinement:
         np.add.at(edge, strings, 1)
         np.add.at(edge, strings + WIDTH, -1)
         gone = np.cumsum(edge[:-1]) > 0
-        for key, start, length in zip(u.ids.tolist(), u.starts.tolist(), u.lengths.tolist()):
+        for key, unknown, start, length in zip(u.ids.tolist(), self.unknown, u.starts.tolist(), u.lengths.tolist()):
             mask, data = gone[start : start + length], u.data[start : start + length]
             removed = int(mask.sum())
             spans = int(mask[0]) + int((mask[1:] & ~mask[:-1]).sum()) if removed else 0
             kept = data[~mask] if removed else data
-            yield (None if key == _LAST else key), length, removed, spans, hashlib.sha256(kept.tobytes()).hexdigest()
+            yield (None if unknown else key), length, removed, spans, hashlib.sha256(kept.tobytes()).hexdigest()
 
 
 def replies_of(kind: int, entries: list[bytes]) -> list[bytes]:
@@ -304,11 +309,16 @@ ANSWERED = "unit long, kind int, bucket long, bits binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """One row per input row: columns of RESULT."""
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit_bytes: int = 4 << 20, bucket_bytes: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
+    """One row per input row: columns of RESULT. Units lie in as many buckets as the session
+    has shuffle partitions, and in more where the input's files (by the planner's estimate)
+    have more than `task_bytes` for each, so that a task's share doesn't grow with the input."""
     spark = df.sparkSession
     table = f"suffix_units_{uuid.uuid4().hex}"
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if estimate < 1 << 60:  # beyond that the planner knows nothing
+        parts = max(parts, min(estimate // task_bytes, 100_000))
     packed(df, id_col, text_col, unit_bytes).repartition(parts, "unit").write.bucketBy(parts, "unit").format("parquet").saveAsTable(table)
     units = spark.table(table)
     buckets = max(1, -(-(units.agg(F.sum("n")).first()[0] or 0) // bucket_bytes))
@@ -363,3 +373,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return written(joined(replies).mapInArrow(finished, RESULT), "suffix-result")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+#: DuckDB SQL for remove_repeats(): every 50-byte string of every document, in hexadecimal
+#: digits, cut from blocks so that no long text is walked for each of them.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+blocks AS (SELECT k, doc_id, b * 250 AS base, substr(h, 500 * b + 1, 598) AS part FROM (SELECT k, doc_id, h, unnest(range(0, greatest((len(h) // 2 - 49 + 249) // 250, 0))) AS b FROM d)),
+every AS (SELECT k, doc_id, base + i AS pos, substr(part, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(part) // 2 - 49)) AS i FROM blocks)),
+many AS MATERIALIZED (SELECT hash(s) AS x FROM every GROUP BY x HAVING count(*) > 1),
+p AS MATERIALIZED (SELECT * FROM every WHERE hash(s) IN (SELECT x FROM many)),
+f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s HAVING count(*) > 1),
+c AS (SELECT k, pos FROM p JOIN f USING (s) WHERE first < doc_id OR (doc_id IS NULL AND first IS NOT NULL)),
+n AS (SELECT k, pos, CASE WHEN pos > lag(pos, 1, -100) OVER (PARTITION BY k ORDER BY pos) + 50 THEN 1 ELSE 0 END AS new FROM c),
+g AS (SELECT k, pos, sum(new) OVER (PARTITION BY k ORDER BY pos) AS span FROM n),
+s AS (SELECT k, min(pos) AS a, max(pos) + 50 AS b FROM g GROUP BY k, span),
+r AS (SELECT s.k, a, b, substr(h, 2 * lag(b, 1, 0) OVER (PARTITION BY s.k ORDER BY a) + 1, 2 * (a - lag(b, 1, 0) OVER (PARTITION BY s.k ORDER BY a))) AS before FROM s JOIN d ON d.k = s.k),
+e AS (SELECT k, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(before, '' ORDER BY a) AS kept, max(b) AS last FROM r GROUP BY k)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN e USING (k)"""

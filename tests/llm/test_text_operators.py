@@ -256,6 +256,14 @@ def test_repeats_around_a_common_line(spark, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_largest_id_is_kept(spark):
+    passage = prose(41, 20)
+    docs = [(2**63 - 1, passage), (None, "and " + passage), (3, passage + " end"), (-(2**63), "x " + passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"unit": F.lit(1), "a.b": F.lit(2)})
+    got = {r.doc_id: r.n_removed > 100 for r in suffixes.remove_repeats(df).collect()}
+    assert got == {2**63 - 1: True, None: True, 3: True, -(2**63): False}
+
+
 # ---- decontamination --------------------------------------------------------
 
 
