@@ -10,9 +10,9 @@ from .common import written
 
 
 def share_of(df: DataFrame, total: int) -> int:
-    """Rows of one key that a task may have beside others: half an even share."""
+    """Rows of one key that a task may have beside others: an eighth of an even share."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(total // (2 * parts), 64)
+    return max(total // (8 * parts), 64)
 
 
 def evenly(rows: DataFrame, one: DataFrame, key: str, counted: DataFrame, share: int, ident: list[str], how: str = "inner") -> DataFrame:
