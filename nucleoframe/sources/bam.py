@@ -1,13 +1,18 @@
 """BAM as a Python data source (format "nucleo_bam"), by the public format alone.
 
-BGZF is a series of gzip members, so the standard library reads it. One partition per
-file; records are decoded as a stream, and columns that a query doesn't need can be left
-out with the option columns."""
+BGZF is a series of gzip members (blocks) that state their length. A file is divided into
+ranges of bytes, one partition each: a partition has the records that start in the blocks
+that start in its range. The first one is found by the fields of a record: references,
+positions, name, CIGAR and lengths must be possible, and so must the records behind it.
+Records are decoded as a stream, and only those columns that the option `columns` names."""
 
 from __future__ import annotations
 
 import gzip
+import os
 import struct
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -131,31 +136,157 @@ def decode(data: bytes, refs: list[tuple[str, int]], columns: list[str]) -> tupl
     return tuple(out)
 
 
-def records(f, columns: list[str]) -> Iterator[tuple]:
-    """The wanted columns of an open, decompressed file's records; `ord` is their ordinal."""
-    _, refs = read_header(f)
-    at = columns.index("ord") if "ord" in columns else -1
-    number = 0
-    while len(head := f.read(4)) == 4:
-        (n,) = struct.unpack("<i", head)
-        data = f.read(n)
-        if len(data) < n:
-            raise ValueError("the file ends inside a record")
-        row = decode(data, refs, columns)
-        yield row if at < 0 else (*row[:at], number, *row[at + 1 :])
-        number += 1
+def blocks(f, at: int) -> Iterator[tuple[int, bytes]]:
+    """Offset and contents of each block from the one that starts at `at`."""
+    f.seek(at)
+    while len(head := f.read(18)) == 18:
+        length = block_length(head)
+        if length is None:
+            raise ValueError(f"no block at {at}")
+        rest = f.read(length - 18)
+        yield at, zlib.decompress(rest[:-8], -15)
+        at += length
+
+
+def block_length(head: bytes) -> int | None:
+    """The length of the block that starts with these bytes, or None."""
+    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04" or head[10:16] != b"\x06\0BC\x02\0":
+        return None
+    return struct.unpack_from("<H", head, 16)[0] + 1
+
+
+def first_block(f, at: int, size: int) -> int:
+    """The offset of the first block at or behind `at`: a block's beginning where another
+    one, or the end, follows at the stated length. `size` if there is none."""
+    f.seek(at)
+    data = f.read((1 << 17) + 18)  # a block is 64 KiB at most
+    i = data.find(b"\x1f\x8b\x08\x04")
+    while i >= 0:
+        length = block_length(data[i : i + 18])
+        if length is not None and (at + i + length == size or block_length(data[i + length : i + length + 18]) is not None):
+            return at + i
+        i = data.find(b"\x1f\x8b\x08\x04", i + 1)
+    return size
+
+
+class Stream:
+    """The decompressed bytes behind a block's beginning, with the offsets of their blocks."""
+
+    def __init__(self, f, at: int):
+        self.blocks, self.held, self.base, self.marks = blocks(f, at), bytearray(), 0, []
+
+    def has(self, end: int) -> bool:
+        """Reads on until the bytes before `end` are held; False where the file ends before."""
+        while self.base + len(self.held) < end:
+            found = next(self.blocks, None)
+            if found is None:
+                return False
+            if found[1]:
+                self.marks.append((self.base + len(self.held), found[0]))
+                self.held += found[1]
+        return True
+
+    def bytes(self, start: int, end: int) -> bytes:
+        return bytes(self.held[start - self.base : end - self.base])
+
+    def place(self, at: int) -> tuple[int, int]:
+        """The block's offset and the place in it."""
+        while len(self.marks) > 1 and self.marks[1][0] <= at:
+            self.marks.pop(0)
+        return self.marks[0][1], at - self.marks[0][0]
+
+    def drop(self, start: int) -> None:
+        """What lies before `start` isn't needed any more."""
+        if start - self.base > 1 << 20:
+            del self.held[: start - self.base]
+            self.base = start
+
+    def possible(self, at: int, refs: list[tuple[str, int]]) -> int | None:
+        """Where the next record would start if one starts here, or None if none can."""
+        if not self.has(at + 36):
+            return None
+        n, ref, pos, n_name, _, _, n_cigar, _, n_seq, mate, mate_pos, _ = struct.unpack("<iiiBBHHHiiii", self.bytes(at, at + 36))
+        if not (32 <= n <= 1 << 26 and n_name > 0 and n_seq >= 0 and n >= 32 + n_name + 4 * n_cigar + (n_seq + 1) // 2 + n_seq):
+            return None
+        for r, p in ((ref, pos), (mate, mate_pos)):
+            if not (-1 <= r < len(refs) and -1 <= p and (r < 0 or p < max(refs[r][1], 1))):
+                return None
+        if not self.has(at + 36 + n_name + 4 * n_cigar):
+            return None
+        name = self.bytes(at + 36, at + 36 + n_name)
+        ops = self.bytes(at + 36 + n_name, at + 36 + n_name + 4 * n_cigar)[::4]
+        if name[-1] or not all(33 <= c <= 126 for c in name[:-1]) or any(c & 15 > 8 for c in ops):
+            return None
+        return at + 4 + n
+
+    def first_record(self, refs: list[tuple[str, int]], end: int) -> int | None:
+        """The first record's beginning in the blocks before `end`: five possible records in
+        a row, or as many as the file has."""
+        at = self.base
+        while self.has(at + 1) and self.block_of(at) < end:
+            following, seen = at, 0
+            while seen < 5 and following is not None and self.has(following + 1):
+                following, seen = self.possible(following, refs), seen + 1
+            if following is not None:
+                return at
+            at += 1
+        return None
+
+    def block_of(self, at: int) -> int:
+        return self.marks[bisect_right(self.marks, (at, 1 << 62)) - 1][1]
+
+
+def header_of(f) -> tuple[str, list[tuple[str, int]], int]:
+    """Header text, references, and where the first record starts in the stream."""
+    stream, at = Stream(f, 0), 0
+
+    class Whole:
+        def read(self, n: int) -> bytes:
+            nonlocal at
+            stream.has(at + n)
+            at += n
+            return stream.bytes(at - n, at)
+
+    return *read_header(Whole()), at
+
+
+def records(path: str, start: int, end: int, columns: list[str]) -> Iterator[tuple]:
+    """The wanted columns of the records that start in the blocks between two offsets; `ord`
+    is a record's virtual offset (that of its block, and the place in it)."""
+    with open(path, "rb") as f:
+        size = f.seek(0, 2)
+        _, refs, at = header_of(f)
+        number = columns.index("ord") if "ord" in columns else -1
+        if start == 0:
+            stream = Stream(f, 0)
+        else:
+            stream = Stream(f, first_block(f, start, size))
+            at = stream.first_record(refs, end)
+            if at is None:
+                return
+        while stream.has(at + 4):
+            block, place = stream.place(at)
+            if block >= end:
+                return
+            (n,) = struct.unpack("<i", stream.bytes(at, at + 4))
+            if not stream.has(at + 4 + n):
+                raise ValueError("the file ends inside a record")
+            row = decode(stream.bytes(at + 4, at + 4 + n), refs, columns)
+            yield row if number < 0 else (*row[:number], block << 16 | place, *row[number + 1 :])
+            at += 4 + n
+            stream.drop(at)
 
 
 class Reader(DataSourceReader):
-    def __init__(self, paths: list[str], columns: list[str]):
-        self.paths, self.columns = paths, columns
+    def __init__(self, paths: list[str], columns: list[str], split: int):
+        self.paths, self.columns, self.split = paths, columns, split
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition((p, start, start + self.split)) for p in self.paths for start in range(0, max(os.path.getsize(p), 1), self.split)]
 
     def read(self, partition):
-        with gzip.open(partition.value, "rb") as f:
-            yield from records(f, self.columns)
+        path, start, end = partition.value
+        yield from records(path, start, end, self.columns)
 
 
 def encode(r: dict, refs: dict[str, int]) -> bytes:
@@ -191,8 +322,6 @@ def bin_of(start: int, end: int) -> int:
 
 def write_file(path: str, header: str, refs: list[tuple[str, int]], records) -> int:
     """Writes BGZF blocks; gives the number of records."""
-    import zlib
-
     index, n = {name: i for i, (name, _) in enumerate(refs)}, 0
 
     def block(data: bytes) -> bytes:
@@ -226,7 +355,6 @@ class Writer(DataSourceWriter):
         self.path, self.header = path, header
 
     def write(self, iterator):
-        import os
         from pyspark import TaskContext
 
         refs = []
@@ -244,7 +372,8 @@ class Writer(DataSourceWriter):
 
 
 class BamSource(DataSource):
-    """Options: paths (divided by commas) and columns (those to decode into rows)."""
+    """Options: paths (divided by commas), columns (those to decode into rows) and split (the
+    bytes of a file in one partition)."""
 
     @classmethod
     def name(cls) -> str:
@@ -256,7 +385,7 @@ class BamSource(DataSource):
 
     def reader(self, schema):
         paths = [p for p in self.options.get("paths", self.options.get("path", "")).split(",") if p]
-        return Reader(paths, [f.name for f in schema])
+        return Reader(paths, [f.name for f in schema], int(self.options.get("split", 64 << 20)))
 
     def writer(self, schema, overwrite):
         return Writer(self.options["path"], self.options.get("header", "@HD\tVN:1.6\n"))
@@ -276,9 +405,9 @@ def sort_order(path: str) -> str | None:
     return None
 
 
-def read_bam(spark: SparkSession, *paths: str, columns: list[str] | None = None) -> DataFrame:
+def read_bam(spark: SparkSession, *paths: str, columns: list[str] | None = None, split: int = 64 << 20) -> DataFrame:
     spark.dataSource.register(BamSource)
-    return spark.read.format("nucleo_bam").option("paths", ",".join(paths)).option("columns", ",".join(columns or [])).load()
+    return spark.read.format("nucleo_bam").option("paths", ",".join(paths)).option("columns", ",".join(columns or [])).option("split", split).load()
 
 
 def coordinate_sorted(alignments: DataFrame, header: str) -> DataFrame:

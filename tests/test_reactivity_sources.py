@@ -71,6 +71,11 @@ def test_bam_round_trip(spark, rows, tmp_path):
     assert {k: v for k, v in one.items() if k != "ord"} == records[0]
     assert got.where("ref_name is null").first().qual is None
     assert bam.read_bam(spark, path, columns=["read_id", "flag"]).columns == ["read_id", "flag"]
+    # the same records in the same order from many small ranges of bytes
+    every = bam.read_bam(spark, path, split=700)
+    assert every.rdd.getNumPartitions() > 5
+    assert [tuple(r) for r in every.orderBy("ord").collect()] == [tuple(r) for r in got.orderBy("ord").collect()]
+    assert [r.read_id for r in every.orderBy("ord").collect()] == ["r1", "r2", *(f"m{i}" for i in range(3000))]
     line = sinks.sam_lines(got.where("read_id = 'r1'")).first().value.split("\t")
     assert line[6:9] == ["T1", "901", "-893"] and line[11:] == ["CB:Z:AA", "NM:i:-3", "XA:A:c", "XB:B:S,1,2,300", "XF:f:0.5", "XH:H:1AE3"]
     header = "@HD\tVN:1.6\tSO:unsorted\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in refs)
