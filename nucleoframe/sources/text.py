@@ -91,22 +91,30 @@ def sample_name(pattern: str, prefix: str = ""):
     return F.concat(F.lit(prefix), F.regexp_replace(F.replace(name, F.lit(ending), F.lit("")), r"[_.]+$", ""))
 
 
-def read_window_files(spark: SparkSession, directory: str, pattern: str = "*_counts_mutrate.10nt.csv.gz", prefix: str = "", coverage_threshold: int = 200) -> DataFrame:
+def read_window_files(spark: SparkSession, directory: str, pattern: str = "*_counts_mutrate.10nt.csv.gz", prefix: str = "", coverage_threshold: int = 200, keep: str | None = None) -> DataFrame:
     """Window tables of a folder with their sample; windows with too little coverage go, and
-    so do files that can't be read."""
+    so do files that can't be read. With `keep` the table is also written there, as text."""
     df = spark.read.option("ignoreCorruptFiles", True).csv(f"{directory}/{pattern}", sep="\t", header=True, schema=schemas.WINDOW, nullValue="NA")
-    return df.withColumn("sample", sample_name(pattern, prefix)).where(F.col("coverage") >= coverage_threshold)
+    return kept_as(df.withColumn("sample", sample_name(pattern, prefix)).where(F.col("coverage") >= coverage_threshold), keep)
+
+
+def kept_as(df: DataFrame, path: str | None) -> DataFrame:
+    """The frame, written as tab-separated text where a path is given."""
+    if path is not None:
+        df.write.option("header", True).option("compression", "gzip").csv(path, sep="\t", nullValue="NA")
+    return df
 
 
 POSITION_COLUMNS = ("gene", "pos", "mutrate", "coverage", "mutant", "sample")
 
 
-def read_position_files(spark: SparkSession, directory: str, pattern: str = "*mutrate.txt*", prefix: str = "", header: bool | None = None, coverage_threshold: int = 100, mutrate_threshold: float = 0.2) -> DataFrame:
+def read_position_files(spark: SparkSession, directory: str, pattern: str = "*mutrate.txt*", prefix: str = "", header: bool | None = None, coverage_threshold: int = 100, mutrate_threshold: float = 0.2, keep: str | None = None) -> DataFrame:
     """Position tables of a folder with their sample, projected to POSITION_COLUMNS.
 
     Without `header` each file's first line is looked at (it has one if it names gene or
     pos); files without the needed columns, and those that can't be read, are left out. The
-    first lines, one for each file, reach the driver."""
+    first lines, one for each file, reach the driver. With `keep` the table is also written
+    there, as text."""
     raw = spark.read.option("ignoreCorruptFiles", True).text(f"{directory}/{pattern}")
     raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     # one pass for the first lines of all files; files of the same header are read together
@@ -130,7 +138,7 @@ def read_position_files(spark: SparkSession, directory: str, pattern: str = "*mu
     if not parts:
         return spark.createDataFrame([], "gene string, pos long, mutrate double, coverage long, mutant long, sample string")
     whole = reduce(DataFrame.unionByName, parts)
-    return whole.where((F.col("coverage") >= coverage_threshold) & (F.col("mutrate") <= mutrate_threshold))
+    return kept_as(whole.where((F.col("coverage") >= coverage_threshold) & (F.col("mutrate") <= mutrate_threshold)), keep)
 
 
 def parse_length_lines(raw: DataFrame) -> DataFrame:
