@@ -18,12 +18,11 @@ METRICS = ("overall_rate", "exact_rate", "multiple_rate")
 
 
 def grid(spark: SparkSession, values: dict = GRID) -> DataFrame:
-    """All combinations of the parameter values (32 rows by default)."""
-    out = None
+    """All combinations of the parameter values (32 rows by default), from one row."""
+    out = spark.range(1)
     for name, options in values.items():
-        one = spark.createDataFrame([(o,) for o in options], f"{name} string")
-        out = one if out is None else out.crossJoin(one)
-    return out
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(o) for o in options])))
+    return out.select(*values)
 
 
 def encode_name(sensitivity: Column, mp: Column, rdg: Column, rfg: Column) -> Column:
