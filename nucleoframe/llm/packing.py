@@ -37,16 +37,30 @@ _LETTERS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "L")
 _DIGITS = "".join(c for c in _LATIN if unicodedata.category(c)[0] == "N")
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
 WORDS = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[{0}]+|[{1}]|[^{2}{0}{1}]+".format(re.escape(_LETTERS), re.escape(_DIGITS), re.escape(_BLANK))
+    "[{0}]+|'(?:s|t|re|ve|m|ll|d)|[{1}]|[^{2}{0}{1}]+".format(re.escape(_LETTERS), re.escape(_DIGITS), re.escape(_BLANK))
 )
 #: Texts with these go through the tokenizer whole: other scripts, the dotted capital I
 #: and the control characters on which notions of white space differ.
 OTHER = re.compile("[^\x00-ɏ]|[İ\x1c-\x1f]|<\\|(?:startoftext|endoftext)\\|>")
 
 
+def is_plain(text: str) -> bool:
+    """No part of the text needs the whole tokenizer. Characters below U+0100 are always
+    normalized, which spares most texts the slower tests."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return OTHER.search(text) is None and unicodedata.is_normalized("NFC", text)
+    return not any(c in text for c in ("\x1c", "\x1d", "\x1e", "\x1f")) and ("<|" not in text or OTHER.search(text) is None)
+
+
 class Ids:
     """Token ids of texts. Pre-tokens are independent of each other, so each distinct one
-    is encoded once and its ids kept; beyond `most` kept pre-tokens the store restarts."""
+    is encoded once and its ids kept; beyond `most` kept pre-tokens the store restarts.
+
+    New pre-tokens are encoded many at once, with spaces between them. The last token of
+    each bears the vocabulary's end of word, and only that one, so the ids are divided
+    there; a group whose ends don't agree with its number is encoded one by one."""
 
     def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,20 +68,34 @@ class Ids:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, bytes] = {}
+        suffix, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def learn(self, new: list[str], group: int = 2000) -> None:
+        for k in range(0, len(new), group):
+            words = new[k : k + group]
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(at) == len(words) and at[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.known.update(zip(words, map(raw.__getitem__, map(slice, [0, *at[:-1]], at))))
+            else:
+                for word, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+                    self.known[word] = array("I", e.ids).tobytes()
+
     def of_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [None if OTHER.search(t) or not unicodedata.is_normalized("NFC", t) else WORDS.findall(t.lower()) for t in texts]
+        split = [WORDS.findall(t.lower()) if is_plain(t) else None for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         new = set().union(*(w for w in split if w is not None)).difference(self.known) if split else set()
         if new:
-            new = list(new)
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[word] = array("I", e.ids).tobytes()
+            self.learn(list(new))
         get = self.known.__getitem__
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
 

@@ -31,6 +31,14 @@ def test_ids_equal_the_tokenizer():
     assert packing.Ids(VOCABULARY, most=3).of_all(texts) == [array("I", whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
 
+def test_ids_of_a_vocabulary_without_ends():
+    ids, texts = packing.Ids(VOCABULARY), ["It's a test, don't 12", "another one"]
+    want = ids.of_all(texts)
+    plain = packing.Ids(VOCABULARY)
+    plain.ends[:] = False
+    assert plain.of_all(texts) == want
+
+
 def test_packing(edge, empty):
     whole = Tokenizer.from_file(VOCABULARY)
     got = packing.pack_documents(edge, VOCABULARY, shard_pieces=8).collect()
