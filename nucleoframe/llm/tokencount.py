@@ -2,10 +2,11 @@
 
 Distinct pre-tokens are inserted in a trie. The unigram forward score of a prefix, and the
 number of tokens of its best segmentation, depend on nothing after the prefix, so they
-are computed once, when the trie gets the node, and a terminal node stores the pre-token's
-count. A worker keeps its trie over slices, batches and tasks until it has `most_nodes`
-nodes, and begins another then, so memory is bounded and no word is left out. Scores are
-those that the vocabulary file gives its pieces.
+are computed once for each node, and the count at a terminal node is stored as the
+pre-token's. The trie of a slice's new pre-tokens is built and walked depth first, in sorted
+order, so that only the nodes of the current path are there at a time; the counts of
+terminal nodes stay for later slices, batches and tasks of a worker until there are `most`.
+Scores are those that the vocabulary file gives its pieces.
 
 A pre-token is a maximal run of characters other than ASCII white space, with the
 word-begin mark in front. A character that no piece covers costs `unknown` and counts
@@ -30,7 +31,7 @@ from .common import SPACE, Sink
 
 WORD = re.compile(f"[^{SPACE}]+")
 BEGIN = "▁"
-#: The trie keeps so many characters of a word; what a longer one has beyond is walked alone.
+#: The path has nodes for so many characters; what a longer word has beyond is walked alone.
 DEEPEST = 256
 
 
@@ -82,12 +83,10 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 
 
 class Counts:
-    """Forward scores over a trie of pre-tokens.
+    """Forward scores over a trie of pre-tokens. A node is (best score up to it, fewest
+    tokens, open matches in the trie of the vocabulary); `terminal` has each word's count."""
 
-    A node is [best score up to it, fewest tokens, open matches in the trie of the
-    vocabulary, children by character]. `terminal` has each inserted word's count."""
-
-    def __init__(self, pieces: list[tuple[str, float]], unknown: float | None = None, most_nodes: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float]], unknown: float | None = None, most: int = 400_000):
         self.unknown = min((s for _, s in pieces), default=0.0) - 10.0 if unknown is None else unknown
         # a vocabulary node: children by character, and its score if it is a piece
         self.vocabulary: list = [{}, None]
@@ -96,26 +95,23 @@ class Counts:
             for c in text:
                 node = node[0].setdefault(c, [{}, None])
             node[1] = score
-        self.most_nodes, self.computed = most_nodes, 0
-        self.clear()
-
-    def clear(self) -> None:
-        """An empty trie."""
+        self.most, self.computed = most, 0
         self.terminal: dict[str, int] = {}
-        self.nodes = 0
-        self.root = self.extended([0.0, 0, [(self.vocabulary[0], 0.0, 0)], {}], BEGIN)
-
-    def extended(self, node: list, rest: str, keep: bool = True) -> list:
-        """The node at the end of rest, below a node that has no child for its first
-        character: a new one for each character, which the trie keeps or not."""
-        best, fewest, matches, children = node
+        begun = [(0.0, 0, [(self.vocabulary[0], 0.0, 0)])]
+        self.extend(begun, BEGIN)
+        self.root = begun[-1]
+
+    def extend(self, path: list[tuple], rest: str, keep: bool = True) -> tuple:
+        """The node at the end of rest, below the last of the path, which gets a node for
+        each character if they are kept."""
+        best, fewest, matches = node = path[-1]
         unknown, words = self.unknown, self.vocabulary[0]
         for c in rest:
             score = best + unknown
             count = fewest + (1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass")))
             still = []
-            for below, before, tokens in matches:
-                found = below.get(c)
+            for children, before, tokens in matches:
+                found = children.get(c)
                 if found is not None:
                     deeper, piece = found
                     if piece is not None:
@@ -125,34 +121,28 @@ class Counts:
                     if deeper:
                         still.append((deeper, before, tokens))
             still.append((words, score, count))
-            node = [score, count, still, {}]
+            best, fewest, matches = node = (score, count, still)
             if keep:
-                children[c] = node
-            best, fewest, matches, children = node
+                path.append(node)
         self.computed += len(rest)
-        self.nodes += len(rest) if keep else 0
         return node
 
-    def insert(self, word: str) -> int:
-        """The word's count: down the prefix that the trie has, and on from there."""
-        node = self.root
-        for i, c in enumerate(word[:DEEPEST]):
-            child = node[3].get(c)
-            if child is None:
-                node = self.extended(node, word[i:DEEPEST])
-                break
-            node = child
-        if len(word) > DEEPEST:
-            node = self.extended(node, word[DEEPEST:], keep=False)
-        self.terminal[word] = node[1]
-        return node[1]
-
     def of_all(self, words) -> dict[str, int]:
-        """Token counts of distinct words; they stay valid until the next call."""
-        if self.nodes > self.most_nodes:
-            self.clear()
-        for word in set(words).difference(self.terminal):
-            self.insert(word)
+        """Token counts of distinct words; they are there until the next call."""
+        if len(self.terminal) > self.most:
+            self.terminal = {}
+        path, last = [self.root], ""
+        for word in sorted(set(words).difference(self.terminal)):
+            near, shared = word[:DEEPEST], 0
+            most = min(len(near), len(last))
+            while shared < most and near[shared] == last[shared]:
+                shared += 1
+            del path[shared + 1 :]
+            node = self.extend(path, near[shared:])
+            if len(word) > DEEPEST:
+                node = self.extend([node], word[DEEPEST:], keep=False)
+            last = near
+            self.terminal[word] = node[1]
         return self.terminal
 
     def of(self, word: str) -> int:

@@ -185,13 +185,17 @@ def test_trie_shares_prefixes():
     assert first["ab"] == 2 and first["aba"] == 3 and first["abab" * 10] == 21 and first["é"] == 3
 
 
-def test_tries_are_bounded():
-    """A new trie after `most_nodes` changes no count; a very long word keeps few nodes."""
+def test_stores_are_bounded():
+    """A store that begins anew changes no count; a very long word keeps few nodes."""
     pieces = [("▁", -1.0), ("a", -2.0), ("ab", -2.5), ("b", -2.0)]
-    counts, whole = tokencount.Counts(pieces, most_nodes=40), tokencount.Counts(pieces)
-    words = ["ab" * n for n in range(1, 60)]
-    assert [counts.of(w) for w in words] == [whole.of(w) for w in words] and counts.nodes < 200
-    assert whole.of("ab" * 100_000) == 100_001 and whole.nodes < 400
+    counts, whole = tokencount.Counts(pieces, most=7), tokencount.Counts(pieces)
+    words = ["ab" * n for n in range(1, 400)]
+    got = [counts.of(w) for w in words]
+    assert len(counts.terminal) < 10 and got == [whole.of_all(words)[w] for w in words]
+    assert whole.of("ab" * 100_000) == 100_001
+    path = [whole.root]
+    whole.extend(path, "ab" * 200)
+    assert whole.extend(path, "ab" * 10, keep=False)[1] == whole.of("ab" * 210) and len(path) == 401
 
 
 def test_scores_agree_with_a_unigram_tokenizer():
