@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, media, neardup, packing, pii, quality, suffixes, tokencount, toxicity
+from . import bytebpe, chat, codes, decontaminate, divergence, media, neardup, packing, pii, quality, suffixes, tokencount, toxicity
 from .common import table
 
 
@@ -59,6 +59,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_toxicity": op2_toxicity,
@@ -70,6 +82,9 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_pii": op8_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -77,6 +92,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": suffixes.ORACLE_SQL,
     "op5_near_duplicates": neardup.ORACLE_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
+    "op11_vector_codes": codes.ORACLE_SQL,
+    "op13_divergence": divergence.ORACLE_SQL,
     "op6_chat": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
