@@ -105,23 +105,31 @@ class Book:
         if not self.levels or rows.dtype == object:
             found = [min((sum((x - y) ** 2 for x, y in zip(row, e)), k) for k, e in enumerate(self.entries.tolist())) for row in rows.tolist()]
             return np.array([k for _, k in found], np.int64), np.array([d for d, _ in found], dtype=object), len(found) * len(self.entries)
-        row = entry = None
+        every = np.arange(len(rows))
+
+        def exact(row, entry):
+            apart = rows[row] - self.entries[entry]
+            return (apart * apart).sum(axis=1)
+
+        def first_least(row, entry, values):
+            """Of each row's pairs, which lie together, the first of least value, and that value;
+            no row loses all its pairs."""
+            least = np.minimum.reduceat(values, np.searchsorted(row, every)) if len(rows) else values
+            at = np.flatnonzero(values == least[row])
+            return entry[at[np.searchsorted(row[at], every)]], least
+
         for k, level in enumerate(self.levels):
             own = self.blocks(rows, level[0])
             if k == 0:
                 low = self.bound(own, level)
-                seems = rows - self.entries[low.argmin(axis=1)]
-                most = (seems * seems).sum(axis=1)
+                most = exact(every, low.argmin(axis=1))
                 row, entry = np.nonzero(low <= most[:, None])
-            else:
-                near = self.bound(own, level, row, entry) <= most[row]
+            else:  # the entry that seems nearest now may have a shorter distance
+                low = self.bound(own, level, row, entry)
+                most = np.minimum(most, exact(every, first_least(row, entry, low)[0]))
+                near = low <= most[row]
                 row, entry = row[near], entry[near]
-        apart = rows[row] - self.entries[entry]
-        exact = (apart * apart).sum(axis=1)
-        firsts = np.searchsorted(row, np.arange(len(rows)))  # every row keeps its nearest entry
-        least = np.minimum.reduceat(exact, firsts) if len(rows) else exact
-        is_least = np.flatnonzero(exact == least[row])
-        return entry[is_least[np.searchsorted(row[is_least], np.arange(len(rows)))]], least, len(row)
+        return *first_least(row, entry, exact(row, entry)), len(row)
 
 
 def digits(value: int) -> list[tuple[int, int]]:
