@@ -3,14 +3,15 @@
 A record's fingerprint is a hash over its sorted nested field paths (list items as
 `[]`, with `:object` or `:list` after a path that holds one without fields or items). It
 selects a declarative mapping: that of the same paths, or else the one with most paths all
-of which the record has; what it has besides is left out. The mapping says which list to
+of which the record has, the first of several; what it has besides, also the fields of another
+mapping, is left out. The mapping says which list to
 walk or which fields to read, and how roles are named. The canonical turns are written
 with a template whose control strings are escaped reversibly inside roles and texts; the
 spans of assistant texts in the output are the loss mask.
 
 Cases: a null or absent text or role counts as empty; a number or a truth value as its
-JSON; a record that isn't JSON, is nested too deeply, has no mapping, or has a list or an
-object where the mapping wants a text, is kept with layout null, no turns and `error`; an
+JSON; a record that isn't JSON, is nested too deeply, has no mapping, has a list or an
+object where the mapping wants a text, or half of a surrogate pair in a text, is kept with layout null, no turns and `error`; an
 empty list gives an empty output; a null record has no error and no turns; repeated rows
 give equal rows; very long texts are formatted whole; an empty table gives no rows; extra
 columns are ignored. Turn rows without a conversation id can't be put together: each is a
@@ -124,7 +125,11 @@ def read_record(raw: str) -> tuple[str | None, dict | None, list[tuple[str, str]
     mark = fingerprint(found)
     try:
         mapping = mapping_of(mark, found)
-        return mark, mapping, turns_of(record, mapping), None
+        turns = turns_of(record, mapping)
+        "".join(x for turn in turns for x in turn).encode()
+        return mark, mapping, turns, None
+    except UnicodeEncodeError:
+        return mark, None, [], "half of a surrogate pair"
     except Unmapped as e:
         return mark, None, [], str(e)
 

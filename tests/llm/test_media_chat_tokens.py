@@ -207,3 +207,11 @@ def test_scores_agree_with_a_unigram_tokenizer():
     counts = tokencount.counts_of(VOCABULARY)
     for word in ("hello", "internationalization", "Ciónciarmente", "sttible", "threonou", "a", "Éléphant", "don't"):
         assert counts.of(word) == len(model.encode("▁" + word).ids), word
+
+
+def test_half_a_surrogate_pair_is_an_error(spark):
+    """Such a record is kept, with the reason, and the others are formatted."""
+    records = [(1, '{"prompt":"\\ud83d","completion":"x"}'), (2, '{"prompt":"\\ud83d\\ude00","completion":"x"}'), (3, '{"\\ud83d":1}')]
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(records, "conv_id long, record string")).collect()}
+    assert got[1].error and got[1].layout is None and got[1].formatted == "" and got[2].layout == "prompt" and got[3].error
+    assert {r.conv_id: r.n_turns for r in chat.read_chats(spark.createDataFrame(list(got.values()))).collect()} == {1: 0, 2: 2, 3: 0}
