@@ -2,12 +2,12 @@
 
 Detected entities are replaced by surrogates of the same kind and format. A surrogate is
 a keyed bijection on the entity's own domain (the digits of a phone number, the letters
-and digits of an address, the words of a name), so equal entities get equal surrogates in
+and digits of an address, the words of a name), of any size, so equal entities get equal surrogates in
 all documents (coreference), different ones get different ones, however many there are,
 and no table of entities is needed. Check digits are computed anew, and numbers with a
 range of valid values stay valid.
 
-Names are found by the titles before them. In a document with titled names every other
+Names of any number of words are found by the titles before them. In a document with titled names every other
 mention of their words is replaced too. Each word of a name has one surrogate, whatever
 the title, the other words or the letter case: a known given name another one of the same
 gender and script, any other word one of the same pattern of vowels and consonants with
@@ -29,9 +29,12 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from math import isqrt, prod
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +69,7 @@ _UPPER = "".join(c for c in map(chr, range(0x41, 0x530)) if unicodedata.category
 _CAPITAL = rf"[{_UPPER}](?:[^\W\d_]+|(?=['’-][^\W\d_]))(?:['’-][^\W\d_]+)*"
 _PARTICLES = "(?:(?:van|von|de|der|den|del|la|le|di|da) )*"
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
-NAME = re.compile(rf"(?<!\w)(?:(?:{_TITLE})[ \u00a0])+((?:[{_UPPER}]\. ?)*{_PARTICLES}{_CAPITAL}(?: {_PARTICLES}{_CAPITAL})?)")
+NAME = re.compile(rf"(?<!\w)(?:(?:{_TITLE})[ \u00a0])+((?:[{_UPPER}]\. ?)*{_PARTICLES}{_CAPITAL}(?: {_PARTICLES}{_CAPITAL})*)")
 POSSESSIVE = re.compile(r"['’]s(?!\w)")
 WORD = re.compile(rf"(?<![^\W\d_]){_CAPITAL}|(?<!\w)[{_UPPER}]\.")
 EMAIL = re.compile(r"(?<![\w.+%-])([A-Za-z0-9][A-Za-z0-9._%+-]*)@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)\.([A-Za-z]{2,})(?![\w-])")
@@ -74,7 +77,7 @@ IPV4 = re.compile(r"(?<![\w.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?![\w]|
 PHONE = re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)")
 LONG_PHONE = re.compile(r"(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-CARD = re.compile(r"(?<![\w.-])[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])")
+CARD = re.compile(r"(?<![\w.+-])[2-6]\d{3}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 ACCESS = re.compile(r"(?<!\w)(AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)([A-Za-z0-9_-]{12,})")
 IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
@@ -99,46 +102,50 @@ class Key:
 
     secret: bytes
 
-    def number(self, *parts) -> int:
+    def number(self, below: int, *parts) -> int:
+        """A keyed number below a bound, of as many hashes as the bound and 64 bits more need."""
         message = "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")
-        return int.from_bytes(hmac.digest(self.secret, message, "sha256"), "big")
-
-    def moved(self, kind: str, value: int, left: int, right: int) -> int:
-        """A keyed permutation of 0 .. left * right - 1 without fixed points (where there
-        are two values): mixed by alternating rounds, one step forward, and unmixed."""
-        size = left * right
+        blocks = range((below.bit_length() + 64) // 256 + 1)
+        return int.from_bytes(b"".join(hmac.digest(self.secret, b"%d\x1f" % i + message, "sha256") for i in blocks), "big") % below
+
+    def moved(self, kind: str, value: int, *factors: int) -> int:
+        """A keyed permutation of the numbers below the product of factors that is one cycle, so
+        none of two values and more stays. Values of a small domain follow each other in a keyed order. In a large one the
+        square above it is mixed by alternating rounds, one step is made, and it is unmixed,
+        until the value is in the domain."""
+        size = prod(factors)
         if size < 2:
             return value
-        a, b = divmod(value, right)
+        if size <= SMALL:
+            return keyed_cycle(self, kind, size)[value]
+        side = isqrt(size - 1) + 1
         rounds = range(6)
-        for r in rounds:
-            if r % 2 == 0:
-                a = (a + self.number(kind, size, r, b)) % left
-            else:
-                b = (b + self.number(kind, size, r, a)) % right
-        a, b = divmod((a * right + b + 1) % size, right)
-        for r in reversed(rounds):
-            if r % 2 == 0:
-                a = (a - self.number(kind, size, r, b)) % left
-            else:
-                b = (b - self.number(kind, size, r, a)) % right
-        return a * right + b
+        while True:
+            a, b = divmod(value, side)
+            for r in rounds:
+                if r % 2 == 0:
+                    a = (a + self.number(side, kind, size, r, b)) % side
+                else:
+                    b = (b + self.number(side, kind, size, r, a)) % side
+            a, b = divmod((a * side + b + 1) % (side * side), side)
+            for r in reversed(rounds):
+                if r % 2 == 0:
+                    a = (a - self.number(side, kind, size, r, b)) % side
+                else:
+                    b = (b - self.number(side, kind, size, r, a)) % side
+            value = a * side + b
+            if value < size:
+                return value
 
     def placed(self, kind: str, text: str, alphabets: list[str | None]) -> str:
         """Characters with an alphabet move within it; the others stay."""
         at = [i for i, alphabet in enumerate(alphabets) if alphabet]
         radix = [len(alphabets[i]) for i in at]
-        half = len(at) // 2
-        left = right = 1
-        for r in radix[:half]:
-            left *= r
-        for r in radix[half:]:
-            right *= r
         value = 0
         for i, r in zip(at, radix):
             value = value * r + alphabets[i].index(text[i])
         fixed = "".join("\x00" if alphabet else c for c, alphabet in zip(text, alphabets))
-        value = self.moved(f"{kind}:{fixed}:{','.join(map(str, radix))}", value, left, right)
+        value = self.moved(f"{kind}:{fixed}:{','.join(map(str, radix))}", value, *radix)
         out = list(text)
         for i, r in zip(reversed(at), reversed(radix)):
             value, d = divmod(value, r)
@@ -159,6 +166,20 @@ class Key:
         return self.placed(kind, text, alphabets)
 
 
+#: Domains up to this size are ordered by the hashes of all their values.
+SMALL = 1024
+
+
+@lru_cache(maxsize=4096)
+def keyed_cycle(key: Key, kind: str, size: int) -> list[int]:
+    """What follows each value in the keyed order; the first follows the last."""
+    order = sorted(range(size), key=lambda v: (key.number(1 << 256, "cycle", kind, size, v), v))
+    out = [0] * size
+    for v, following in zip(order, [*order[1:], order[0]]):
+        out[v] = following
+    return out
+
+
 def walked(step, value, inside):
     """The bijection `step` on the values that are inside as this one is: it goes on until
     it meets one, so values inside have images inside, each its own."""
@@ -223,21 +244,22 @@ class Surrogates:
         return f"{moved}@{'.'.join(kept if named else labels)}"
 
     def ipv6(self, text: str) -> str:
-        """Hexadecimal digits behind the first two groups move."""
-        at = [i for i, c in enumerate(text) if c == ":"][1]
-        alphabets = [None if i <= at or c == ":" else "0123456789ABCDEF" if c.isupper() else "0123456789abcdef" for i, c in enumerate(text)]
-        plain = "".join(c.upper() if a and a[-1] == "F" else c.lower() if a else c for c, a in zip(text, alphabets))
-        return self.key.placed("ipv6", plain, alphabets)
+        """The address, whatever its spelling, moves behind its first two groups. All spellings
+        get the shortest one of the surrogate."""
+        number = int(ipaddress.IPv6Address(text))
+        head = number >> 96
+        new = str(ipaddress.IPv6Address(head << 96 | self.key.moved(f"ipv6{head}", number & ((1 << 96) - 1), 1 << 96)))
+        return new.upper() if any(c in "ABCDEF" for c in text) else new
 
     def ip(self, text: str) -> str:
         octets = [int(x) for x in text.split(".")]
         a = octets[0]
         if a in PUBLIC:
             value = ((PUBLIC.index(a) * 256 + octets[1]) * 256 + octets[2]) * 256 + octets[3]
-            value = self.key.moved("ip", value, len(PUBLIC) * 256, 65536)
+            value = self.key.moved("ip", value, len(PUBLIC) << 24)
             rest = [value >> 16 & 255, value >> 8 & 255, value & 255]
             return ".".join(map(str, [PUBLIC[value >> 24], *rest]))
-        value = self.key.moved(f"ip{a}.{octets[1]}", octets[2] * 256 + octets[3], 256, 256)
+        value = self.key.moved(f"ip{a}.{octets[1]}", octets[2] * 256 + octets[3], 1 << 16)
         return f"{a}.{octets[1]}.{value >> 8}.{value & 255}"
 
     def phone(self, text: str) -> str:
@@ -249,19 +271,19 @@ class Surrogates:
         elif len(digits) == 11 and digits[0] == "1":
             code = "1"
         body = digits[len(code) :]
-        half = len(body) // 2
-        moved = self.key.moved(f"phone{len(body)}", int(body), 10**half, 10 ** (len(body) - half))
-        return refill(text, code + f"{moved:0{len(body)}d}")
+        step = lambda d: f"{self.key.moved(f'phone{len(d)}', int(d), 10 ** len(d)):0{len(d)}d}"
+        # ten digits are a number without any mark only if the first is 2 to 9: that stays so
+        return refill(text, code + walked(step, body, lambda d: "2" <= d[0]))
 
     def ssn(self, text: str) -> str:
-        step = lambda d: f"{self.key.moved('ssn', int(d), 10**4, 10**5):09d}"
+        step = lambda d: f"{self.key.moved('ssn', int(d), 10**9):09d}"
         return refill(text, walked(step, text.replace("-", ""), valid_ssn))
 
     def card(self, text: str) -> str:
         digits = "".join(c for c in text if c.isdigit())
         body = digits[:-1]
         n = len(body) - 1
-        moved = self.key.moved(f"card{digits[0]}{n}", int(body[1:]), 10 ** (n // 2), 10 ** (n - n // 2))
+        moved = self.key.moved(f"card{digits[0]}{n}", int(body[1:]), 10**n)
         body = body[0] + f"{moved:0{n}d}"
         return refill(text, body + str(luhn(body)))
 
@@ -293,7 +315,7 @@ class Surrogates:
         if low in GROUP_OF:
             group, i = GROUP_OF[low]
             names = GIVEN[group]
-            new = names[self.key.moved("given" + "".join(group), i, 1, len(names))]
+            new = names[self.key.moved("given" + "".join(group), i, len(names))]
             return new.upper() if part.isupper() and len(part) > 1 else new.lower() if part.islower() else new
 
         def step(text: str) -> str:
@@ -376,7 +398,9 @@ def plain_form(kind: str, text: str) -> str:
     """What entities of a kind that mean the same have in common."""
     if kind in ("card", "ssn"):
         return "".join(c for c in text if c.isdigit())
-    return text.casefold() if kind in ("name", "email", "ipv6") else text
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(text))
+    return text.casefold() if kind in ("name", "email") else text
 
 
 def collisions(df: DataFrame, key: Key, text_col: str = "text") -> DataFrame:
@@ -439,24 +463,31 @@ def pseudonymized(df: DataFrame, key: Key, text_col: str = "text") -> tuple[Data
     return sent.mapInArrow(run, schema), counted, kinded
 
 
-#: The key of the registered query and of sessions that set none.
-QUERY_KEY = Key(hashlib.sha256(b"a key that only the query uses").digest())
-#: The session setting that holds the key of the pipeline, as text.
+#: The session setting that holds the key, as text.
 KEY_SETTING = "spark.nucleoframe.pii.key"
+_OWN_KEYS: dict[str, Key] = {}
 
 
 def key_of(spark: SparkSession) -> Key:
-    """The key that the session sets."""
+    """The key that the session sets. An application that sets none gets a random one, which is
+    kept nowhere: its surrogates agree with each other, and nobody can reverse them."""
     text = spark.conf.get(KEY_SETTING, None)
-    return QUERY_KEY if text is None else Key(hashlib.sha256(text.encode()).digest())
+    if text is not None:
+        return Key(hashlib.sha256(text.encode()).digest())
+    return _OWN_KEYS.setdefault(spark.sparkContext.applicationId, Key(secrets.token_bytes(32)))
+
+
+def raise_collisions(df: DataFrame, key: Key, text_col: str = "text") -> None:
+    """An error if different entities of the corpus share a surrogate."""
+    shared = collisions(df, key, text_col).limit(5).collect()
+    if shared:
+        raise ValueError(f"different entities share surrogates: {[(r.kind, r.n) for r in shared]}")
 
 
 def pseudonymize(docs: DataFrame, key: Key) -> DataFrame:
     """doc_id, text with surrogates, n_entities and kinds of each row, after the check of
     collisions over all rows."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = collisions(held, key).limit(5).collect()
-    if shared:
-        raise ValueError(f"different entities share surrogates: {[(r.kind, r.n) for r in shared]}")
+    raise_collisions(held, key)
     out, counted, kinded = pseudonymized(held, key)
     return out.select("doc_id", "text", F.col(counted).alias("n_entities"), F.col(kinded).alias("kinds"))

@@ -52,7 +52,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.QUERY_KEY)
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.key_of(spark))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,7 +72,7 @@ def test_stages_against_brute_force(spark, small):
     more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in extra], docs.schema)
     docs = docs.unionByName(more).withColumns({"a.b": F.lit("dot"), "__n": F.lit(1), "__upper_share": F.lit(2.0), "id": F.lit(0), "item": F.lit("x"), "text_hash": F.lit(5), "salt": F.lit(6)})
     model = quality.quality_model(docs, spark.read.parquet(f"{base}/labels.parquet"))
-    surrogates, key = pii.Surrogates(pii.QUERY_KEY), lambda r: repr((r.doc_id, r.text))
+    surrogates, key = pii.Surrogates(pii.key_of(spark)), lambda r: repr((r.doc_id, r.text))
 
     def by_quality(rows):
         return [r for r in rows if float(model.score(np.array([textstats.statistics(r.text)]))[0]) >= 0.3]
@@ -155,3 +155,12 @@ def test_every_operator_has_a_query():
 def test_folds(spark):
     got = queries.QUERIES["op9_quality"](spark, SF).agg(F.max("doc_id"), F.count_if("held_out")).first()
     assert got[1] == sum(crc32(str(i).encode()) % 5 == 0 for i in range(got[0] + 1))
+
+
+def test_columns_of_clashing_names(spark):
+    """Repeated ids, with columns named as the stage's own."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([(1, prose(1, 60)), (1, prose(2, 60)), (2, prose(3, 60))], "doc_id long, text string").withColumns({"__again": F.lit(1), "__row": F.lit(2), "__n": F.lit(3), "__id": F.lit(4), "__part": F.lit(5), "__dropped_0": F.lit(6)})
+    out = p.near_duplicate_stage(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]

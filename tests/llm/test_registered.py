@@ -69,7 +69,7 @@ def test_packing_query(spark, texts):
 
 @needs_tables
 def test_pii_query(spark, texts):
-    surrogates = pii.Surrogates(pii.QUERY_KEY)
+    surrogates = pii.Surrogates(pii.key_of(spark))
     got = queries.QUERIES["op8_pii"](spark, SF).collect()
     assert sorted(r.doc_id for r in got) == sorted(texts)
     for r in got:

@@ -463,10 +463,12 @@ def test_pseudonymized(spark, edge, empty):
     assert got[50].kinds == "email,ip" and got[50].n_entities == 2 and got[51].text is None
     assert got[50].text.startswith(got[0].text[: got[0].text.index(" now")])  # coreference over documents
     assert pii.pseudonymize(empty, KEY).count() == 0
-    assert pii.key_of(spark) == pii.QUERY_KEY
+    own = pii.key_of(spark)  # a random one, the same as long as the application runs
+    assert own == pii.key_of(spark) and len(own.secret) == 32
     spark.conf.set(pii.KEY_SETTING, "mine")
-    assert pii.key_of(spark) != pii.QUERY_KEY
+    assert pii.key_of(spark) != own
     spark.conf.unset(pii.KEY_SETTING)
+    assert pii.key_of(spark) == own
 
 
 def test_pseudonymize_against_brute_force(spark):
@@ -519,3 +521,41 @@ def test_collision_check(spark, monkeypatch):
     assert found == {"name": 11, "ip": 11}
     with pytest.raises(ValueError):
         pii.pseudonymize(df, KEY)
+
+
+def test_surrogates_depend_on_the_key():
+    """Also in domains of a few values: given names, fields of one character, ends of addresses."""
+    a, b = pii.Surrogates(pii.Key(b"one key")), pii.Surrogates(pii.Key(b"another"))
+    names = [n for group in pii.GIVEN.values() for n in group]
+    assert sum(a.name_part(n) == b.name_part(n) for n in names) < len(names) / 10
+    letters = [f"{c}@{c}.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert sum(a.email(x) == b.email(x) for x in letters) < 3 and len({a.email(x) for x in letters}) == 26
+    ends = [f"fe80::{i:x}" for i in range(1, 200)]
+    assert not {a.ipv6(x) for x in ends} & {b.ipv6(x) for x in ends} and len({a.ipv6(x) for x in ends}) == len(ends)
+    for size in (2, 3, 50, 1024, 1025, 5000):
+        for key in (a.key, b.key):
+            moved = [key.moved("k", v, size) for v in range(size)]
+            assert sorted(moved) == list(range(size)) and all(v != m for v, m in enumerate(moved))
+    assert [a.key.moved("k", v, 50) for v in range(50)] != [b.key.moved("k", v, 50) for v in range(50)]
+    long = "x" * 400
+    assert a.secret(long) != b.secret(long) and len(a.secret(long)) == 400
+
+
+def test_names_of_many_words():
+    s = pii.Surrogates(KEY)
+    for text, words in (
+        ("Dr. Ana María López García came. López García left.", "Ana María López García"), ("Mrs. Mary Jane Watson Parker spoke, said Watson.", "Mary Jane Watson Parker"),
+        ("Mr. John Ronald Reuel Tolkien wrote; Tolkien and Reuel.", "John Ronald Reuel Tolkien"),
+    ):
+        new = pii.replaced(text, s)[0]
+        assert not set(re.findall(r"\w+", new)) & set(words.split()), new
+
+
+def test_one_thing_in_two_spellings():
+    s = pii.Surrogates(KEY)
+    assert s.ipv6("2001:db8::1") == s.ipv6("2001:0db8:0:0:0:0:0:1") == s.ipv6("2001:DB8::1").lower() != "2001:db8::1"
+    assert [k for *_, k in pii.entities("call +4915112345678 now")] == ["phone"]
+    for i in range(2000):
+        number = str(2_000_000_000 + i * 3_999_999)
+        new, _ = pii.replaced(f"phone {number}", s)
+        assert [k for *_, k in pii.entities(new)] == ["phone"] and number not in new
