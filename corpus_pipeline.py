@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nucleoframe.llm import decontaminate, neardup, packing, pii, quality
-from nucleoframe.llm.common import quoted, table, written
+from nucleoframe.llm.common import free_name, quoted, table, written
 
 
 def columns_of(docs: DataFrame) -> list:
@@ -27,7 +27,7 @@ def without(docs: DataFrame, dropped: DataFrame, keys: dict) -> DataFrame:
     """The rows of docs whose keys (name in `dropped`: expression over docs) aren't in
     `dropped`, a written table; nulls are equal. Spark broadcasts it only if its files are
     below the session's threshold."""
-    names = {k: f"__dropped_{i}" for i, k in enumerate(keys)}
+    names = {k: free_name(docs.columns, f"__dropped_{i}") for i, k in enumerate(keys)}
     gone = dropped.select(*[F.col(k).alias(n) for k, n in names.items()])
     both = [keys[k].eqNullSafe(gone[n]) for k, n in names.items()]
     return docs.join(gone, both, "left_anti").select(*columns_of(docs))
@@ -55,7 +55,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if repeated.isEmpty():
         return kept
     once = without(kept, repeated, {"doc_id": doc_id()})
-    again = kept.join(repeated.withColumnRenamed("doc_id", "__again"), doc_id() == F.col("__again"), "left_semi")
+    held = free_name(docs.columns, "__again")
+    again = kept.join(repeated.select(F.col("doc_id").alias(held)), doc_id() == F.col(held), "left_semi")
     # rows of an id meet in a task: only the least of each part of the input goes there
     least = again.groupBy(doc_id().alias("__id"), F.pmod(F.xxhash64("text"), F.lit(64)).alias("__part")).agg(F.min_by(F.struct(*columns_of(docs)), F.struct("text")).alias("__row"))
     row = Window.partitionBy("__id").orderBy("__row.text", "__part")
@@ -75,8 +76,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by surrogates; n_chars, if there, is the new length of the
-    texts that changed. The key is the session's (pii.KEY_SETTING). Every row stays."""
-    out, counted, _ = pii.pseudonymized(docs, pii.key_of(spark))
+    texts that changed. The key is the session's (pii.KEY_SETTING), or a random one that is
+    kept nowhere. That different entities share a surrogate is an error. Every row stays."""
+    key = pii.key_of(spark)
+    pii.raise_collisions(docs, key)
+    out, counted, _ = pii.pseudonymized(docs, key)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col(counted) > 0, length).otherwise(F.col("n_chars")))
