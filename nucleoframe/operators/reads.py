@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import percent
+from . import ranks
 
 
 def mapped(alignments: DataFrame, min_length: int = 0) -> DataFrame:
@@ -60,15 +61,54 @@ def read_stats(alignments: DataFrame, min_length: int = 0, lists: bool = True) -
     return out
 
 
+FOLDED = "read_id string, alignment_count long, unique_transcript_count int, is_uniquely_mapped boolean, max_transcript string, max_count long, max_ratio double"
+
+
+def fold_reads(alignments: DataFrame, min_length: int = 0) -> DataFrame:
+    """read_stats() without lists, of a frame in which the records of a read follow each other within
+    one partition (as read_bam(..., whole_reads=True) gives them): one pass over each partition
+    that holds one read at a time, and no shuffle."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("read_id", pa.string()), ("alignment_count", pa.int64()), ("unique_transcript_count", pa.int32()), ("is_uniquely_mapped", pa.bool_()), ("max_transcript", pa.string()), ("max_count", pa.int64()), ("max_ratio", pa.float64())])
+        name, counts, out = None, {}, []
+
+        def ended():
+            if counts:
+                most, total = max(counts.values()), sum(counts.values())
+                # the references are in the order in which they were seen
+                out.append((name, total, len(counts), len(counts) == 1, next(r for r, n in counts.items() if n == most), most, most / total))
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+        for part in batches:
+            for read, ref in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if read != name:
+                    ended()
+                    name, counts = read, {}
+                counts[ref] = counts.get(ref, 0) + 1
+            if len(out) >= 10_000:
+                yield batch()
+                out = []
+        ended()
+        if out:
+            yield batch()
+
+    return mapped(alignments, min_length).select("read_id", "ref_name").mapInArrow(run, FOLDED)
+
+
 def dominance_bucket(ratio: str = "max_ratio"):
     r = F.col(ratio)
     return F.when(r == 1, "=1").when(r >= 0.8, "[0.8,1)").when(r >= 0.5, "[0.5,0.8)").otherwise("(0,0.5)")
 
 
-def stats_summary(stats: DataFrame) -> DataFrame:
-    """One row of counts, percentages and dominance buckets over all reads."""
+def stats_summary(stats: DataFrame, by=()) -> DataFrame:
+    """One row of counts, percentages and dominance buckets over all reads, or for each group."""
     r = F.col("max_ratio")
-    out = stats.agg(
+    out = stats.groupBy(*by).agg(
         F.count("*").alias("total_reads"), F.count_if(F.col("alignment_count") == 1).alias("single"), F.count_if(F.col("alignment_count") > 1).alias("multi"),
         F.count_if("is_uniquely_mapped").alias("unique"), F.coalesce(F.avg(r), F.lit(0.0)).alias("mean_ratio"), F.coalesce(F.min(r), F.lit(0.0)).alias("min_ratio"),
         F.coalesce(F.max(r), F.lit(0.0)).alias("max_ratio"), F.count_if(r == 1).alias("ratio_1"), F.count_if((r >= 0.8) & (r < 1)).alias("ratio_08"),
@@ -79,7 +119,9 @@ def stats_summary(stats: DataFrame) -> DataFrame:
 
 def ratio_percentiles(stats: DataFrame, ratio: str = "max_ratio") -> DataFrame:
     """One row: mean, median, population deviation, range and percentiles of the ratio,
-    interpolated linearly; zeros where there are no reads."""
+    interpolated linearly; zeros where there are no reads. The percentiles' buffer has one
+    entry for each ratio that occurs: quotients of the small numbers of a read's alignments,
+    whose variety doesn't grow with the reads."""
     points = (10, 25, 50, 75, 90, 95, 99)
     r = F.col(ratio)
     out = stats.agg(
@@ -106,11 +148,9 @@ def unique_primary(alignments: DataFrame, stats: DataFrame) -> DataFrame:
 
 def ecdf(stats: DataFrame, value: str = "max_ratio") -> DataFrame:
     """(value, percent): ranks of sorted values as percent of all. The rank of a value's
-    last row is a running sum over its distinct values, so no task gets all rows."""
-    n = stats.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    running = F.sum("n").over(W.orderBy(value))
-    whole = F.sum("n").over(W.partitionBy())
-    return n.select(F.col(value).alias("value"), "n", (running * F.lit(100.0) / whole).alias("percent"))
+    last row is a running sum over its distinct values, in ranges of them."""
+    ranked = ranks.running(ranks.distinct_counts(stats, value), value)
+    return ranked.select(F.col(value).alias("value"), "n", (F.col("upto") * F.lit(100.0) / F.col("whole")).alias("percent"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -127,7 +167,8 @@ def histogram(df: DataFrame, value: str, bins: int = 50, low: float | None = Non
 
 
 def box_by_bucket(stats: DataFrame) -> DataFrame:
-    """Box-plot figures of alignment counts by dominance bucket."""
+    """Box-plot figures of alignment counts by dominance bucket; the percentiles hold one entry
+    for each count that occurs."""
     c = F.col("alignment_count")
     out = stats.groupBy(dominance_bucket().alias("bucket")).agg(F.count("*").alias("n"), F.min(c).alias("min"), F.percentile(c, [0.25, 0.5, 0.75]).alias("q"), F.max(c).alias("max"))
     return out.select("bucket", "n", "min", *[F.col("q")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))], "max")

@@ -4,22 +4,30 @@ BGZF is a series of gzip members (blocks) that state their length. A file is div
 ranges of bytes, one partition each: a partition has the records that start in the blocks
 that start in its range. The first one is found by the fields of a record: references,
 positions, name, CIGAR and lengths must be possible, and so must the records behind it.
-Records are decoded as a stream, and only those columns that the option `columns` names."""
+Records are decoded as a stream, and only those columns that the option `columns` names; rows
+come as Arrow batches. Of an indexed file only the blocks of the wanted references are read."""
 
 from __future__ import annotations
 
 import gzip
+import io
 import os
 import struct
-import zlib
-from bisect import bisect_right
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from .. import schemas
+from .bgzf import END, BlockWriter, Stream, first_block, join_parts
+from .binning import LAST_POSITION, Index, bin_of, read_bai
+from .blocktext import PUSHDOWN, Region
+from .files import opened, size_of
 
 #: Fixed values of the format: letters of the packed sequence.
 BASES = "=ACMGRSVTWYHKDBN"
@@ -136,70 +144,8 @@ def decode(data: bytes, refs: list[tuple[str, int]], columns: list[str]) -> tupl
     return tuple(out)
 
 
-def blocks(f, at: int) -> Iterator[tuple[int, bytes]]:
-    """Offset and contents of each block from the one that starts at `at`."""
-    f.seek(at)
-    while len(head := f.read(18)) == 18:
-        length = block_length(head)
-        if length is None:
-            raise ValueError(f"no block at {at}")
-        rest = f.read(length - 18)
-        yield at, zlib.decompress(rest[:-8], -15)
-        at += length
-
-
-def block_length(head: bytes) -> int | None:
-    """The length of the block that starts with these bytes, or None."""
-    if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04" or head[10:16] != b"\x06\0BC\x02\0":
-        return None
-    return struct.unpack_from("<H", head, 16)[0] + 1
-
-
-def first_block(f, at: int, size: int) -> int:
-    """The offset of the first block at or behind `at`: a block's beginning where another
-    one, or the end, follows at the stated length. `size` if there is none."""
-    f.seek(at)
-    data = f.read((1 << 17) + 18)  # a block is 64 KiB at most
-    i = data.find(b"\x1f\x8b\x08\x04")
-    while i >= 0:
-        length = block_length(data[i : i + 18])
-        if length is not None and (at + i + length == size or block_length(data[i + length : i + length + 18]) is not None):
-            return at + i
-        i = data.find(b"\x1f\x8b\x08\x04", i + 1)
-    return size
-
-
-class Stream:
-    """The decompressed bytes behind a block's beginning, with the offsets of their blocks."""
-
-    def __init__(self, f, at: int):
-        self.blocks, self.held, self.base, self.marks = blocks(f, at), bytearray(), 0, []
-
-    def has(self, end: int) -> bool:
-        """Reads on until the bytes before `end` are held; False where the file ends before."""
-        while self.base + len(self.held) < end:
-            found = next(self.blocks, None)
-            if found is None:
-                return False
-            if found[1]:
-                self.marks.append((self.base + len(self.held), found[0]))
-                self.held += found[1]
-        return True
-
-    def bytes(self, start: int, end: int) -> bytes:
-        return bytes(self.held[start - self.base : end - self.base])
-
-    def place(self, at: int) -> tuple[int, int]:
-        """The block's offset and the place in it."""
-        while len(self.marks) > 1 and self.marks[1][0] <= at:
-            self.marks.pop(0)
-        return self.marks[0][1], at - self.marks[0][0]
-
-    def drop(self, start: int) -> None:
-        """What lies before `start` isn't needed any more."""
-        if start - self.base > 1 << 20:
-            del self.held[: start - self.base]
-            self.base = start
+class Records(Stream):
+    """The stream of a BAM file's records."""
 
     def possible(self, at: int, refs: list[tuple[str, int]]) -> int | None:
         """Where the next record would start if one starts here, or None if none can."""
@@ -232,13 +178,10 @@ class Stream:
             at += 1
         return None
 
-    def block_of(self, at: int) -> int:
-        return self.marks[bisect_right(self.marks, (at, 1 << 62)) - 1][1]
-
 
 def header_of(f) -> tuple[str, list[tuple[str, int]], int]:
     """Header text, references, and where the first record starts in the stream."""
-    stream, at = Stream(f, 0), 0
+    stream, at = Records(f, 0), 0
 
     class Whole:
         def read(self, n: int) -> bytes:
@@ -253,40 +196,110 @@ def header_of(f) -> tuple[str, list[tuple[str, int]], int]:
 def records(path: str, start: int, end: int, columns: list[str]) -> Iterator[tuple]:
     """The wanted columns of the records that start in the blocks between two offsets; `ord`
     is a record's virtual offset (that of its block, and the place in it)."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         size = f.seek(0, 2)
         _, refs, at = header_of(f)
-        number = columns.index("ord") if "ord" in columns else -1
         if start == 0:
-            stream = Stream(f, 0)
+            stream = Records(f, 0)
         else:
-            stream = Stream(f, first_block(f, start, size))
+            stream = Records(f, first_block(f, start, size))
             at = stream.first_record(refs, end)
             if at is None:
                 return
-        while stream.has(at + 4):
-            block, place = stream.place(at)
-            if block >= end:
-                return
-            (n,) = struct.unpack("<i", stream.bytes(at, at + 4))
-            if not stream.has(at + 4 + n):
-                raise ValueError("the file ends inside a record")
-            row = decode(stream.bytes(at + 4, at + 4 + n), refs, columns)
-            yield row if number < 0 else (*row[:number], block << 16 | place, *row[number + 1 :])
-            at += 4 + n
-            stream.drop(at)
+        yield from walk(stream, at, refs, columns, end << 16)
+
+
+def chunk_records(path: str, begin: int, stop: int, columns: list[str]) -> Iterator[tuple]:
+    """The wanted columns of the records between two virtual offsets, the first of which is a record's."""
+    with opened(path) as f:
+        _, refs, _ = header_of(f)
+        yield from walk(Records(f, begin >> 16), begin & 0xFFFF, refs, columns, stop)
+
+
+def walk(stream: Records, at: int, refs: list[tuple[str, int]], columns: list[str], stop: int) -> Iterator[tuple]:
+    number = columns.index("ord") if "ord" in columns else -1
+    while stream.has(at + 4):
+        block, place = stream.place(at)
+        if block << 16 | place >= stop:
+            return
+        (n,) = struct.unpack("<i", stream.bytes(at, at + 4))
+        if not stream.has(at + 4 + n):
+            raise ValueError("the file ends inside a record")
+        row = decode(stream.bytes(at + 4, at + 4 + n), refs, columns)
+        yield row if number < 0 else (*row[:number], block << 16 | place, *row[number + 1 :])
+        at += 4 + n
+        stream.drop(at)
+
+
+def whole_reads(path: str, start: int, end: int, columns: list[str]) -> Iterator[tuple]:
+    """As records(), for a file in which the records of a read follow each other, with all records
+    of a read in one range: that in which the record before its first one is. The first read
+    of a range belongs to the range before, and the last one is read to its end."""
+    wanted = [*columns, "ord", "read_id"]
+    last, skip, inside = None, start > 0, None
+    for row in records(path, start, 1 << 47, wanted):
+        block, name = row[-2] >> 16, row[-1]
+        if skip and last in (None, name):
+            last = name
+            inside = block
+            continue
+        if name != last and inside is not None and inside >= end:
+            return  # the record before is behind the range
+        skip, last, inside = False, name, block
+        yield row[:-2]
+
+
+#: Rows of a batch.
+AT_ONCE = 4096
+
+
+def as_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, AT_ONCE)):
+        columns = [[v and list(v.items()) for v in c] if pa.types.is_map(f.type) else c for c, f in zip(zip(*held), schema)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 class Reader(DataSourceReader):
-    def __init__(self, paths: list[str], columns: list[str], split: int):
-        self.paths, self.columns, self.split = paths, columns, split
+    """Whole files in splits or, where filters name references and a file has an index beside it,
+    the chunks of the index that hold them."""
+
+    def __init__(self, paths: list[str], schema: StructType, split: int, grouped: bool):
+        self.paths, self.schema, self.split, self.grouped, self.region = paths, schema, split, grouped, Region()
+
+    def pushFilters(self, filters):
+        return self.region.push(filters, "ref_name", "ref_start")
 
     def partitions(self):
-        return [InputPartition((p, start, start + self.split)) for p in self.paths for start in range(0, max(os.path.getsize(p), 1), self.split)]
+        out, region = [], self.region
+        for path in self.paths:
+            index = None if region.names is None or self.grouped else index_of(path)
+            if index is None:
+                out += [InputPartition((path, start, start + self.split, False)) for start in range(0, max(size_of(path), 1), self.split)]
+                continue
+            with opened(path) as f:
+                names = [name for name, _ in header_of(f)[1]]
+            first, last = region.first or 0, LAST_POSITION if region.last is None else region.last + 1
+            for ref, name in enumerate(names):
+                if name in region.names:
+                    for chunk in index.chunks(ref, first, last):
+                        out += [InputPartition((path, *part, True)) for part in index.cuts(ref, *chunk, self.split)]
+        return out or [InputPartition(None)]
 
     def read(self, partition):
-        path, start, end = partition.value
-        yield from records(path, start, end, self.columns)
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        if partition.value is None:
+            return iter(())
+        *place, chunk = partition.value
+        how = chunk_records if chunk else whole_reads if self.grouped else records
+        return as_batches(how(*place, self.schema.names), to_arrow_schema(self.schema))
+
+
+def index_of(path: str) -> Index | None:
+    try:
+        return read_bai(f"{path}.bai")
+    except FileNotFoundError:
+        return None
 
 
 def encode(r: dict, refs: dict[str, int]) -> bytes:
@@ -311,39 +324,36 @@ def encode(r: dict, refs: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def bin_of(start: int, end: int) -> int:
-    """The smallest bin of the format's index that holds start..end-1."""
-    end -= 1
-    for shift, base in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if start >> shift == end >> shift:
-            return base + (start >> shift)
-    return 0
+def head_bytes(header: str, refs: list[tuple[str, int]]) -> bytes:
+    """What is before the records."""
+    text = header.encode()
+    out = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)))
+    for name, length in refs:
+        out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+    return bytes(out)
 
 
-def write_file(path: str, header: str, refs: list[tuple[str, int]], records) -> int:
-    """Writes BGZF blocks; gives the number of records."""
-    index, n = {name: i for i, (name, _) in enumerate(refs)}, 0
+def references(header: str) -> list[tuple[str, int]]:
+    """(name, length) of the header's @SQ lines."""
+    found = []
+    for line in header.splitlines():
+        if line.startswith("@SQ"):
+            fields = dict(x.split(":", 1) for x in line.split("\t")[1:])
+            found.append((fields["SN"], int(fields["LN"])))
+    return found
 
-    def block(data: bytes) -> bytes:
-        squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
-        packed = squeeze.compress(data) + squeeze.flush()
-        head = struct.pack("<BBBBIBBHBBHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(packed) + 25)
-        return head + packed + struct.pack("<II", zlib.crc32(data), len(data))
 
+def write_file(path: str, header: str, refs: list[tuple[str, int]], records) -> int:
+    """Writes BGZF blocks; gives the number of records."""
+    numbers, n = {name: i for i, (name, _) in enumerate(refs)}, 0
     with open(path, "wb") as f:
-        text = header.encode()
-        held = bytearray(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)))
-        for name, length in refs:
-            held += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+        out = BlockWriter(f)
+        out.write(head_bytes(header, refs))
         for r in records:
-            held += encode(r, index)
+            out.write(encode(r, numbers))
             n += 1
-            while len(held) >= 60_000:
-                f.write(block(bytes(held[:60_000])))
-                del held[:60_000]
-        if held:
-            f.write(block(bytes(held)))
-        f.write(block(b""))
+        out.flush()
+        f.write(END)
     return n
 
 
@@ -357,11 +367,7 @@ class Writer(DataSourceWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        refs = []
-        for line in self.header.splitlines():
-            if line.startswith("@SQ"):
-                fields = dict(x.split(":", 1) for x in line.split("\t")[1:])
-                refs.append((fields["SN"], int(fields["LN"])))
+        refs = references(self.header)
         os.makedirs(self.path, exist_ok=True)
         part = TaskContext.get().partitionId()
         # a task that is run again writes the same name, and the finished file is moved in at once
@@ -372,8 +378,9 @@ class Writer(DataSourceWriter):
 
 
 class BamSource(DataSource):
-    """Options: paths (divided by commas), columns (those to decode into rows) and split (the
-    bytes of a file in one partition)."""
+    """Options: paths (divided by commas), columns (those to decode into rows), split (the
+    bytes of a file in one partition) and whole_reads (the records of a read follow each other
+    in the files, and shall be in one partition)."""
 
     @classmethod
     def name(cls) -> str:
@@ -385,7 +392,7 @@ class BamSource(DataSource):
 
     def reader(self, schema):
         paths = [p for p in self.options.get("paths", self.options.get("path", "")).split(",") if p]
-        return Reader(paths, [f.name for f in schema], int(self.options.get("split", 64 << 20)))
+        return Reader(paths, schema, int(self.options.get("split", 64 << 20)), self.options.get("whole_reads", "false") == "true")
 
     def writer(self, schema, overwrite):
         return Writer(self.options["path"], self.options.get("header", "@HD\tVN:1.6\n"))
@@ -405,23 +412,120 @@ def sort_order(path: str) -> str | None:
     return None
 
 
-def read_bam(spark: SparkSession, *paths: str, columns: list[str] | None = None, split: int = 64 << 20) -> DataFrame:
+def read_bam(spark: SparkSession, *paths: str, columns: list[str] | None = None, split: int = 64 << 20, whole_reads: bool = False) -> DataFrame:
+    """Records of files. A condition on ref_name (and ref_start) of a file that has an index beside it (.bai)
+    reads only the blocks that the index names. With whole_reads the records of a read, which
+    follow each other in the file, are in one partition."""
     spark.dataSource.register(BamSource)
-    return spark.read.format("nucleo_bam").option("paths", ",".join(paths)).option("columns", ",".join(columns or [])).option("split", split).load()
+    spark.conf.set(PUSHDOWN, "true")
+    reader = spark.read.format("nucleo_bam").option("paths", ",".join(paths)).option("columns", ",".join(columns or []))
+    return reader.option("split", split).option("whole_reads", str(whole_reads).lower()).load()
+
+
+def read_region(spark: SparkSession, path: str, ref: str, start: int = 0, end: int = LAST_POSITION, columns: list[str] | None = None) -> DataFrame:
+    """The records of an indexed file that reach into start..end-1 of a reference. The longest
+    record before the region isn't known, so positions are cut only by what the index has."""
+    held = list(dict.fromkeys([*(columns or schemas.ALIGNMENT_COLUMNS), "ref_name", "ref_start", "ref_length"]))
+    spark.dataSource.register(RegionSource)
+    found = spark.read.format("nucleo_bam_region").option("path", path).option("columns", ",".join(held)).option("ref", ref).option("start", start).option("end", end).load()
+    reaches = F.col("ref_start") + F.greatest(F.coalesce("ref_length", F.lit(1)), F.lit(1)) > start
+    found = found.where((F.col("ref_name") == ref) & (F.col("ref_start") < end) & reaches)
+    return found.select(*(columns or schemas.ALIGNMENT_COLUMNS))
+
+
+class RegionReader(Reader):
+    """The chunks of one region; the index must be there."""
+
+    def __init__(self, path: str, schema: StructType, split: int, ref: str, start: int, end: int):
+        super().__init__([path], schema, split, False)
+        self.place = (ref, start, end)
+
+    #: The region comes with the options.
+    pushFilters = DataSourceReader.pushFilters
+
+    def partitions(self):
+        (path,), (ref, start, end) = self.paths, self.place
+        with opened(path) as f:
+            names = [name for name, _ in header_of(f)[1]]
+        if ref not in names:
+            return [InputPartition(None)]
+        index, number = read_bai(f"{path}.bai"), names.index(ref)
+        out = [InputPartition((path, *part, True)) for chunk in index.chunks(number, start, end) for part in index.cuts(number, *chunk, self.split)]
+        return out or [InputPartition(None)]
+
+
+class RegionSource(BamSource):
+    """Options: path (with an index beside it), columns, split, ref, start and end."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "nucleo_bam_region"
+
+    def reader(self, schema):
+        o = self.options
+        return RegionReader(o["path"], schema, int(o.get("split", 64 << 20)), o["ref"], int(o.get("start", 0)), int(o.get("end", LAST_POSITION)))
 
 
 def coordinate_sorted(alignments: DataFrame, header: str) -> DataFrame:
     """Records by reference, in the header's order, and start; those without a reference last.
     Spark deals them out by ranges, so part files of write_bam() follow each other."""
-    names = [dict(x.split(":", 1) for x in line.split("\t")[1:])["SN"] for line in header.splitlines() if line.startswith("@SQ")]
+    names = [name for name, _ in references(header)]
     rank = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("ref_name"))
     return alignments.orderBy(F.when(rank > 0, rank).asc_nulls_last(), "ref_start", "ord")
 
 
+def whole_columns(alignments: DataFrame) -> DataFrame:
+    """All columns of alignments; those that aren't there are missing values."""
+    have = set(alignments.columns)
+    return alignments.select(*[(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in schemas.ALIGNMENT_COLUMNS.items()])
+
+
+def write_sorted_bam(alignments: DataFrame, path: str, header: str) -> int:
+    """One BAM file, sorted by coordinate, and its index (.bai); gives the number of records.
+    Each task writes the blocks of its range and the index of its part, whose size is that of
+    the references; the parts are joined as they are, behind one header and before one end
+    block. The folder must be a file system that all executors mount."""
+    spark, parts, refs = alignments.sparkSession, f"{path}.parts-{uuid.uuid4().hex}", references(header)
+    os.makedirs(parts)
+    numbers = {name: i for i, (name, _) in enumerate(refs)}
+
+    def write(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        name, index, n = f"{parts}/{task.partitionId():05d}-{task.taskAttemptId()}", Index(), 0
+        with open(name, "wb") as f:
+            out = BlockWriter(f)
+            for batch in batches:
+                for r in batch.to_pylist():
+                    r |= {c: dict(r[c] or ()) for c in ("tags", "tag_types")}
+                    begin, start = out.tell(), -1 if r["ref_start"] is None else r["ref_start"]
+                    out.write(encode(r, numbers))
+                    index.add(numbers.get(r["ref_name"], -1), start, start + max(1, r["ref_length"] or 1), begin, out.tell())
+                    n += 1
+            out.flush()
+        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "index": index.body(len(refs))}])
+
+    dealt = coordinate_sorted(whole_columns(alignments), header)
+    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, index binary").collect())
+    head = io.BytesIO()
+    out = BlockWriter(head)
+    out.write(head_bytes(header, refs))
+    out.flush()
+    places = join_parts(spark, head.getvalue(), [(r.file, r.size) for r in made], path)
+    whole = Index()
+    for r, at in zip(made, places):
+        whole.append(Index().read_body(bytes(r.index), 0, len(refs)), at)
+    with open(f"{path}.bai", "wb") as f:
+        f.write(whole.bai(len(refs)))
+    for name in os.listdir(parts):
+        os.remove(f"{parts}/{name}")
+    os.rmdir(parts)
+    return sum(r.n for r in made)
+
+
 def write_bam(alignments: DataFrame, path: str, header: str) -> None:
     """One BAM file for each partition, with this header. Columns that aren't there are
     missing values of the records."""
     alignments.sparkSession.dataSource.register(BamSource)
-    have = set(alignments.columns)
-    whole = [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in schemas.ALIGNMENT_COLUMNS.items()]
-    alignments.select(*whole).write.format("nucleo_bam").option("path", path).option("header", header).mode("append").save()
+    whole_columns(alignments).write.format("nucleo_bam").option("path", path).option("header", header).mode("append").save()

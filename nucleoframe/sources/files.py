@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from fnmatch import fnmatch
+from glob import escape as glob_escape
+from glob import glob
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +24,34 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(f.getPath().toString()).removeprefix("file:") for f in found)
 
 
+def opened(path: str):
+    """A file to read bytes of at any place, in a worker: of a mounted file system or, if the
+    path has another scheme, of a store that pyarrow knows (hdfs, s3, gs)."""
+    if path.startswith("file:") or "://" not in path:
+        return open(re.sub("^file:(//)?", "", path), "rb")
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_input_file(at)
+
+
+def size_of(path: str) -> int:
+    with opened(path) as f:
+        return f.seek(0, 2)
+
+
+def listed(folder: str, pattern: str) -> list[str]:
+    """The files of a folder whose names match, sorted, in a worker."""
+    if folder.startswith("file:") or "://" not in folder:
+        return sorted(glob(f"{glob_escape(re.sub('^file:(//)?', '', folder))}/{pattern}"))
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(folder)
+    scheme = folder.split("://")[0]
+    found = store.get_file_info(fs.FileSelector(at, allow_not_found=True))
+    return sorted(f"{scheme}://{f.path}" for f in found if f.is_file and fnmatch(f.base_name, pattern))
+
+
 def write_single(lines: DataFrame, folder: str, name: str, codec: str = "none") -> str:
     """Text lines (value), few enough for one file, as folder/name, in order of `ord` if they
     have it; gives the path."""
