@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def metadata_predicate(cells: DataFrame, filters: Mapping) -> Column:
     """A scalar means equal, a list means one of, a pair means an inclusive range whose
@@ -44,14 +45,13 @@ def threshold_filter(long: DataFrame, coverage_threshold: int, mutrate_threshold
 
 def dimensions(long: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct positions (row) and cells (col), numbered densely in order. Positions are
-    numbered within their gene, after those of the genes before: only the genes' counts
-    and the cells are ever in one task."""
-    distinct = long.select("gene", "win").distinct()
-    before = W.orderBy("gene").rowsBetween(W.unboundedPreceding, -1)
-    genes = distinct.groupBy("gene").agg(F.count("*").alias("n")).select("gene", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    place = F.row_number().over(W.partitionBy("gene").orderBy("win")) - 1
-    positions = distinct.withColumn("place", place).join(genes, "gene").select("gene", "win", (F.col("before") + F.col("place")).alias("row"))
-    return positions, long.select("cell").distinct().withColumn("col", F.row_number().over(W.orderBy("cell")) - 1)
+    numbered within their gene, after those of the genes before; all numbers are running sums
+    over ranges of names and positions."""
+    distinct = long.select("gene", "win").distinct().withColumn("n", F.lit(1))
+    genes = ranks.running(distinct.groupBy("gene").agg(F.count("*").alias("n")), "gene").select("gene", (F.col("upto") - F.col("n")).alias("before"))
+    placed = ranks.running(distinct, "win", ["gene"]).join(genes, "gene")
+    cells = ranks.running(long.select("cell").distinct().withColumn("n", F.lit(1)), "cell")
+    return placed.select("gene", "win", (F.col("before") + F.col("upto") - 1).alias("row")), cells.select("cell", (F.col("upto") - 1).alias("col"))
 
 
 def empty_dimensions(long: DataFrame, positions: DataFrame, cells: DataFrame) -> DataFrame:

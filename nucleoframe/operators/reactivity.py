@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def calculate_reactivity(signal: DataFrame, control: DataFrame, index_cols=("gene", "pos"), keep_cols=(), sample_col: str | None = None) -> DataFrame:
     """Inner join on the keys; reactivity = signal - control, which may be negative. Rows
@@ -23,33 +24,21 @@ def calculate_reactivity(signal: DataFrame, control: DataFrame, index_cols=("gen
 def clip_scale(df: DataFrame, column: str = "reactivity", by=(), out: str = "normalized_reactivity") -> DataFrame:
     """(x - P5) / (P95 - P5) clipped to 0..1 within each group; unchanged where P95 = P5.
 
-    The percentiles are aggregated and joined back by the group's key."""
+    The percentiles are joined back by the group's key; rows without a key go."""
     x = F.col(column)
-    points = F.percentile(x, [0.05, 0.95]).alias("__p")
-    joined = df.join(df.groupBy(*by).agg(points), list(by)) if by else df.crossJoin(F.broadcast(df.agg(points)))
+    points = ranks.quantiles(df, column, [0.05, 0.95], by).select(*by, F.col("q").alias("__p"))
+    joined = df.join(points, list(by)) if by else df.crossJoin(F.broadcast(points))
     low, high = F.col("__p")[0], F.col("__p")[1]
     scaled = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(x - low, high - low)))
     return joined.withColumn(out, F.when(low == high, x).when(x.isNotNull(), scaled)).drop("__p")
 
 
-def limits_of_all(df: DataFrame, column: str, bottom: float, top: float, buckets: int = 256) -> DataFrame:
-    """One row (__low, __high): the values at ranks floor(bottom * n) + 1 and n - floor(top * n)
-    of all rows. Approximate quantiles divide the values into buckets of about equal size;
-    the counts of the buckets say in which ones the ranks lie, and only their values are
-    ranked. So no task holds more than some buckets' share of the distinct values."""
-    x = F.col(column).cast("double")
-    bounds = sorted(set(df.select(x.alias("x")).approxQuantile("x", [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
-    bucket = F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: b <= x)) if bounds else F.lit(0)
-    placed = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__x"), bucket.alias("__b")).groupBy("__b", "__x").agg(F.count("*").alias("__c"))
-    counts = placed.groupBy("__b").agg(F.sum("__c").alias("__n"))
-    upto = F.sum("__n").over(W.orderBy("__b"))  # at most `buckets` rows
-    ranged = counts.select("__b", (upto - F.col("__n")).alias("__before"), upto.alias("__upto"), F.sum("__n").over(W.partitionBy()).alias("__all"))
-    low, high = F.floor(bottom * F.col("__all")) + 1, F.col("__all") - F.floor(top * F.col("__all"))
-    ranged = ranged.where(low.between(F.col("__before") + 1, F.col("__upto")) | high.between(F.col("__before") + 1, F.col("__upto")))
-    inside = placed.join(F.broadcast(ranged), "__b")
-    last = F.col("__before") + F.sum("__c").over(W.partitionBy("__b").orderBy("__x"))
-    ranked = inside.withColumn("__last", last)
-    return ranked.agg(F.min(F.when(F.col("__last") >= low, F.col("__x"))).alias("__low"), F.min(F.when(F.col("__last") >= high, F.col("__x"))).alias("__high"))
+def limits(df: DataFrame, column: str, by, bottom: float, top: float) -> DataFrame:
+    """(by, __low, __high): the values at ranks floor(bottom * n) + 1 and n - floor(top * n) of each
+    group, or of all rows."""
+    ranked = ranks.running(ranks.distinct_counts(df, column, by), column, by)
+    low, high = F.floor(bottom * F.col("whole")) + 1, F.col("whole") - F.floor(top * F.col("whole"))
+    return ranked.groupBy(*by).agg(ranks.at_rank(low, F.col(column)).alias("__low"), ranks.at_rank(high, F.col(column)).alias("__high"))
 
 
 def winsorize(df: DataFrame, column: str, by, bottom: float = 0.0, top: float = 0.0) -> DataFrame:
@@ -58,16 +47,8 @@ def winsorize(df: DataFrame, column: str, by, bottom: float = 0.0, top: float =
     with their counts."""
     if not bottom and not top:
         return df
-    x = F.col(column)
-    if by:
-        counts = df.where(x.isNotNull()).groupBy(*by, column).agg(F.count("*").alias("__c"))
-        group = W.partitionBy(*by)
-        ranked = counts.withColumns({"__last": F.sum("__c").over(group.orderBy(column)), "__n": F.sum("__c").over(group)})
-        low = F.min(F.when(F.col("__last") >= F.floor(bottom * F.col("__n")) + 1, x))
-        high = F.min(F.when(F.col("__last") >= F.col("__n") - F.floor(top * F.col("__n")), x))
-        joined = df.join(ranked.groupBy(*by).agg(low.alias("__low"), high.alias("__high")), list(by), "left")
-    else:
-        joined = df.crossJoin(F.broadcast(limits_of_all(df, column, bottom, top)))
+    x, found = F.col(column), limits(df, column, by, bottom, top)
+    joined = df.join(found, list(by), "left") if by else df.crossJoin(F.broadcast(found))
     clamped = F.when(x.isNotNull(), F.least(F.greatest(x, F.col("__low")), F.col("__high")))
     return joined.withColumn(column, clamped).drop("__low", "__high")
 
@@ -77,11 +58,16 @@ def gene_divisors(df: DataFrame, column: str, by=("gene",)) -> DataFrame:
     those above their 90th percentile; cap is P99 for groups of 500 rows or more (rows
     without a value count), else P95. NULL where nothing lies above."""
     x = F.col(column)
-    first = df.groupBy(*by).agg(F.percentile(x, [0.25, 0.75, 0.95, 0.99]).alias("__p"), F.count("*").alias("__n"))
-    cap = F.when(F.col("__n") >= 500, F.col("__p")[3]).otherwise(F.col("__p")[2])
-    first = first.select(*by, F.greatest(cap, (F.col("__p")[1] - F.col("__p")[0]) * 1.5).alias("__cap"))
-    kept = df.select(*by, column).join(first, list(by)).where(x < F.col("__cap"))
-    tail = kept.groupBy(*by).agg(F.percentile(x, 0.9).alias("__p90"))
+    large = ranks.large_groups(df, by)
+    first, points = F.percentile(x, [0.25, 0.75, 0.95, 0.99]), F.col("q")
+    if large is None:
+        found = df.groupBy(*by).agg(first.alias("q"), F.count("*").alias("__n"))
+    else:
+        found = ranks.quantiles(df, column, [0.25, 0.75, 0.95, 0.99], by, large).join(df.groupBy(*by).agg(F.count("*").alias("__n")), list(by))
+    cap = F.when(F.col("__n") >= 500, points[3]).otherwise(points[2])
+    found = found.select(*by, F.greatest(cap, (points[1] - points[0]) * 1.5).alias("__cap"))
+    kept = df.select(*by, column).join(found, list(by)).where(x < F.col("__cap"))
+    tail = ranks.quantiles(kept, column, [0.9], by, large).select(*by, points[0].alias("__p90"))
     return kept.join(tail, list(by)).where(x > F.col("__p90")).groupBy(*by).agg(F.avg(x).alias("divisor"))
 
 
@@ -93,14 +79,14 @@ def normalize_by_gene(df: DataFrame, columns=None, by=("gene",), keys=(), bottom
         columns = [f.name for f in df.schema if f.name not in (*by, *keys) and f.dataType.typeName() in ("double", "float", "long", "integer", "short", "decimal")]
     out = df
     for c in columns:
-        clamped = df
+        # the clamped column is beside the others, so a divisor and a value are of one frame
+        out = out.withColumn("__x", F.col(c))
         if transcriptome_winsorize:
-            clamped = winsorize(clamped, c, (), bottom, top)
+            out = winsorize(out, "__x", (), bottom, top)
         if gene_winsorize:
-            clamped = winsorize(clamped, c, by, bottom, top)
+            out = winsorize(out, "__x", by, bottom, top)
         name = "normalized_reactivity" if len(columns) == 1 else f"{c}_normalized"
-        out = winsorize(winsorize(out.withColumn("__x", F.col(c)), "__x", (), bottom if transcriptome_winsorize else 0, top if transcriptome_winsorize else 0), "__x", by, bottom if gene_winsorize else 0, top if gene_winsorize else 0)
-        out = out.join(gene_divisors(clamped, c, by), list(by), "left").withColumn(name, F.try_divide(F.col("__x"), F.col("divisor"))).drop("divisor", "__x")
+        out = out.join(gene_divisors(out, "__x", by), list(by), "left").withColumn(name, F.try_divide(F.col("__x"), F.col("divisor"))).drop("divisor", "__x")
     return out
 
 
