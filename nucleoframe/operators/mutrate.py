@@ -50,10 +50,9 @@ def mutation_rates(counts: DataFrame, ins_len: int = 3, del_len: int = 3, equal_
     short insertions - long deletions; mutant = adj_coverage - matches; mutrate =
     mutant / coverage to 8 places, half to even, NULL where coverage is 0. Repeated items of
     a letter add up for the matches and are listed one by one; a kind of insertion or
-    deletion is listed if its sum isn't 0. A reference letter that isn't among the items
-    leaves mutant NULL, or raises if strict."""
-    ref = F.upper("refnt")
-    wanted = F.lit("=") if equal_symbol_ref else ref
+    deletion is listed if its sum isn't 0. The reference letter is looked up in upper case and
+    given as read; one that isn't among the items leaves mutant NULL, or raises if strict."""
+    wanted = F.lit("=") if equal_symbol_ref else F.upper("refnt")
     df = counts.withColumn("s", summed(classified(F.col("items"), wanted, ins_len, del_len)))
     same = F.col("s.same")
     if strict:
@@ -65,7 +64,7 @@ def mutation_rates(counts: DataFrame, ins_len: int = 3, del_len: int = 3, equal_
     mutrate = round_half_even(F.try_divide(F.col("mutant").cast("double"), F.col("coverage").cast("double")), 8)
     return df.select(
         "gene", "pos", (F.col("pos") + 1).alias("end"), mutrate.alias("mutrate"), "coverage", "adj_coverage", "mutant", F.col("depth"),
-        ref.alias("refnt"), F.concat_ws(";", plain, *listed).alias("detail"),
+        "refnt", F.concat_ws(";", plain, *listed).alias("detail"),
     )
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_like_numpy
+from . import ranks
 
 
 def check_sizes(win_len: int, step: int) -> None:
@@ -91,3 +92,30 @@ def row_rolling(position: DataFrame, rows: int, step: int) -> DataFrame:
     )
     out = out.where((F.col("rn") >= rows) & ((F.col("rn") - rows) % step == 0))
     return out.select("gene", "pos", "coverage", "mutant", rate("mutant", "coverage").alias("mutrate"))
+
+
+def padded_rolling(position: DataFrame, win_len: int, step: int, coverage_threshold: int = 0, dense: bool = False) -> DataFrame:
+    """Rolling sums per gene over `win_len` rows, with padding at both ends: (gene, win, coverage,
+    mutant, mutrate). Before the first row is a copy of it, with number 0, and behind the last one
+    are empty rows up to a multiple of win_len, one at least. A window ends at each step-th
+    number; those with enough coverage stay, with the rate to 5 places.
+
+    Rows are numbered in order of position, or, with `dense`, by position, so that gaps are empty
+    rows. Each row is sent to the windows that hold it, so no task sorts windows."""
+    check_sizes(win_len, step)
+    held = position.groupBy("gene", "pos").agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant"))
+    if dense:
+        ends = held.groupBy("gene").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+        numbered = held.join(ends, "gene").withColumns({"number": F.col("pos") - F.col("first") + 1, "rows": F.col("last") - F.col("first") + 1})
+    else:
+        ranked = ranks.running(held.withColumn("n", F.lit(1).cast("long")), "pos", ["gene"])
+        numbered = ranked.withColumns({"number": F.col("upto"), "rows": F.col("whole")})
+    first = numbered.where(F.col("number") == 1).withColumn("number", F.lit(0).cast("long"))
+    columns = ["gene", "number", "rows", "coverage", "mutant"]
+    both = numbered.select(columns).union(first.select(columns))
+    last = F.least(F.col("number") + win_len - 1, F.col("rows") + win_len - F.col("rows") % win_len)
+    k = F.sequence(F.greatest(F.ceil(F.col("number") / step), F.lit(1)), F.floor(last / step))
+    spread = both.where(F.floor(last / step) >= F.greatest(F.ceil(F.col("number") / step), F.lit(1))).select("gene", F.explode(k).alias("k"), "coverage", "mutant")
+    sums = spread.groupBy("gene", (F.col("k") * step).alias("win")).agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant"))
+    kept = sums.where(F.col("coverage") >= coverage_threshold)
+    return kept.select("gene", "win", "coverage", "mutant", F.bround(rate("mutant", "coverage"), 5).alias("mutrate"))

@@ -3,15 +3,16 @@ text) to the shared folder and read again by the sources."""
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import correlation, mutrate, quality, reactivity, reads, sweep, windows
+from ..operators import correlation, mutrate, quality, ranks, reactivity, reads, sweep, windows
 from ..session import shared_path
-from ..sources import bam, fastq, files, text, vcf
+from ..sources import bam, blocktext, fastq, files, text, vcf
 from ..streaming import online
 from .proxies import proxy
 from .queries import CELL_SQL, CELLS, JOINED, MUTRATE_SQL, ROUND_TRIP, VCF_SQL, count_lines, joined, query, rounded, staged, table, vcf_lines
@@ -32,7 +33,7 @@ def headed(spark, head: list[str], body: DataFrame) -> DataFrame:
 
 
 @query(M_CTE + """ SELECT gene, pos, pos + 1 AS "end", gene || '.' || pos AS gene_position, round(CAST(mutant AS DOUBLE) / nullif(coverage, 0), 8) AS mutrate, '.' AS strand, coverage, adj_coverage, mutant,
-  CAST(NULL AS DOUBLE) AS normalized_cov, CAST(NULL AS BIGINT) AS g_readcount, 'A' AS refnt FROM m""")
+  CAST(NULL AS DOUBLE) AS normalized_cov, CAST(NULL AS BIGINT) AS g_readcount, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'A' END AS refnt FROM m""")
 def position_table_file(spark, sf_dir):
     """Count file to position table, written as TSV and read again."""
     path = shared_path(spark, "positions")
@@ -103,40 +104,111 @@ def window_files_of(spark, sf_dir, n: int) -> list[str]:
     return paths
 
 
+VCF_HEAD = ["##fileformat=VCFv4.2", "##contig=<ID=g1>", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *CELLS])]
+
+
+def indexed_vcf(spark, sf_dir) -> str:
+    """The cells' lines as one block-gzipped VCF file, sorted, with its index; the path."""
+    path = f"{shared_path(spark, 'indexed').removeprefix('file:')}/cells.vcf.gz"
+    lines = vcf_lines(spark, sf_dir)
+    genes = [r.g for r in lines.select(F.split("value", "\t")[0].alias("g")).distinct().orderBy("g").collect()]
+    p = F.split("value", "\t")
+    blocktext.write_indexed_text(lines.select(p[0].alias("name"), p[1].cast("long").alias("pos"), F.length(p[3]).alias("ref_length"), "value"), path, genes, VCF_HEAD)
+    return path
+
+
 @query(VCF_SQL.format(more="AND pos % 2 = 0"), "cell_position")
 def cells_file(spark, sf_dir):
-    """A cell VCF file with its header, which is read from the file's beginning."""
-    head = ["##fileformat=VCFv4.2", "##contig=<ID=g1>", "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *CELLS])]
-    path = files.write_single(headed(spark, head, vcf_lines(spark, sf_dir)), shared_path(spark, "cells"), "cells.vcf.gz", "gzip")
-    return rounded(vcf.read_cells_sparse(spark, path), "mutrate")
+    """A block-gzipped cell VCF file, read in splits of a hundred kilobytes."""
+    path = indexed_vcf(spark, sf_dir)
+    return rounded(vcf.parse_cells_sparse(blocktext.read_block_text(spark, path, split=100_000), CELLS), "mutrate")
 
 
-@query("SELECT gene, pos, 'A' AS ref, cell, CAST(substr(cell, 2) AS INTEGER) - 1 AS cell_idx, CAST(dp AS INTEGER) AS dp, CAST(ad AS INTEGER) AS ad FROM cell_position WHERE gene = 'g7' AND pos BETWEEN 10 AND 1500 AND dp IS NOT NULL", "cell_position")
+REGION_SQL = "SELECT gene, pos, 'A' AS ref, cell, CAST(substr(cell, 2) AS INTEGER) - 1 AS cell_idx, CAST(dp AS INTEGER) AS dp, CAST(ad AS INTEGER) AS ad FROM cell_position WHERE gene = 'g7' AND pos BETWEEN 10 AND 1500 AND dp IS NOT NULL"
+
+
+@query(REGION_SQL, "cell_position")
 def region_scan(spark, sf_dir):
-    """One gene's positions from the indexed store; other genes' folders aren't read."""
+    """One gene's positions from the Parquet copy; other genes' folders aren't read."""
     store = shared_path(spark, "by-gene")
     vcf.store_by_gene(vcf.parse_cell_positions(vcf_lines(spark, sf_dir), CELLS), store)
     return vcf.read_region(spark, store, "g7", 10, 1500).where("cell is not null")
 
 
-@query("SELECT read_id, flag, ref_name, CASE WHEN ref_name IS NOT NULL THEN ord % 5000 END AS ref_start, ref_length, ord % 60 AS mapq, CAST(ord % 11 AS VARCHAR) AS nm, CASE WHEN ref_name IS NOT NULL THEN ord % 7 END AS mate_start, CAST(ord % 900 AS INTEGER) AS template_length, repeat('AC', 4) AS seq, flag & 2304 = 0 AS first FROM alignments", "alignments")
-def bam_round_trip(spark, sf_dir):
-    """Alignments sorted by coordinate, written as BAM with typed tags and mates, and read."""
-    df, header = proxy(spark, sf_dir, "alignments"), bam_header()
+@query(REGION_SQL, "cell_position")
+def indexed_region_scan(spark, sf_dir):
+    """The same from the indexed VCF file itself; only the region's blocks are read."""
+    return vcf.read_indexed_region(spark, indexed_vcf(spark, sf_dir), "g7", 10, 1500).where("cell is not null")
+
+
+def whole_alignments(spark, sf_dir) -> DataFrame:
+    """The alignments with all columns of a BAM record."""
     known = F.col("ref_name").isNotNull()
-    whole = df.select(
+    return proxy(spark, sf_dir, "alignments").select(
         "ord", "read_id", "flag", "ref_name", F.when(known, F.col("ord") % 5000).alias("ref_start"), "ref_length", (F.col("ord") % 60).cast("int").alias("mapq"),
         F.array(F.struct(F.lit(0).alias("op"), F.col("ref_length").alias("len"))).alias("cigar"), F.lit("ACACACAC").alias("seq"), F.lit("IIIIIIII").alias("qual"),
         F.create_map(F.lit("NM"), (F.col("ord") % 11).cast("string"), F.lit("RG"), F.lit("x")).alias("tags"), F.create_map(F.lit("NM"), F.lit("C")).alias("tag_types"),
         F.when(known, F.col("ref_name")).alias("mate_ref_name"), F.when(known, F.col("ord") % 7).alias("mate_start"), (F.col("ord") % 900).cast("int").alias("template_length"),
     )
+
+
+BAM_SQL = "SELECT read_id, flag, ref_name, CASE WHEN ref_name IS NOT NULL THEN ord % 5000 END AS ref_start, ref_length, ord % 60 AS mapq, CAST(ord % 11 AS VARCHAR) AS nm, CASE WHEN ref_name IS NOT NULL THEN ord % 7 END AS mate_start, CAST(ord % 900 AS INTEGER) AS template_length, repeat('AC', 4) AS seq, flag & 2304 = 0 AS first FROM alignments"
+
+
+@query(BAM_SQL, "alignments")
+def bam_round_trip(spark, sf_dir):
+    """Alignments sorted by coordinate, written as BAM with typed tags and mates, and read."""
     path = shared_path(spark, "bam")
-    bam.write_bam(bam.coordinate_sorted(whole, header), path.removeprefix("file:"), header)
+    bam.write_bam(bam.coordinate_sorted(whole_alignments(spark, sf_dir), bam_header()), path.removeprefix("file:"), bam_header())
     back = bam.read_bam(spark, *files.matching(spark, f"{path}/*.bam"))
     first = (F.col("flag").bitwiseAND(2304) == 0).alias("first")
     return back.where("tag_types['NM'] = 'C'").select("read_id", "flag", "ref_name", "ref_start", "ref_length", F.col("mapq").cast("long").alias("mapq"), F.col("tags")["NM"].alias("nm"), "mate_start", "template_length", "seq", first)
 
 
+def sorted_bam(spark, sf_dir) -> str:
+    """The alignments as one sorted BAM file with its index; the path."""
+    path = f"{shared_path(spark, 'sorted').removeprefix('file:')}/all.bam"
+    bam.write_sorted_bam(whole_alignments(spark, sf_dir), path, bam_header())
+    return path
+
+
+@query("SELECT row_number() OVER (ORDER BY ref_name NULLS LAST, CASE WHEN ref_name IS NOT NULL THEN ord % 5000 END NULLS LAST, ord) AS place, ord, read_id, ref_name FROM (SELECT ord, read_id, ref_name, ref_length FROM alignments) a", "alignments")
+def sorted_bam_order(spark, sf_dir):
+    """The place of each record in one sorted file, read in splits: the ordinal is what the file gives."""
+    df = whole_alignments(spark, sf_dir).withColumns({"tags": F.create_map(F.lit("XO"), F.col("ord").cast("string")), "tag_types": F.create_map(F.lit("XO"), F.lit("Z"))})
+    path = f"{shared_path(spark, 'sorted').removeprefix('file:')}/all.bam"
+    bam.write_sorted_bam(df, path, bam_header())
+    back = bam.read_bam(spark, path, columns=["ord", "read_id", "ref_name", "tags"], split=200_000)
+    ranked = ranks.running(back.withColumn("n", F.lit(1).cast("long")), "ord")
+    return ranked.select(F.col("upto").alias("place"), F.col("tags")["XO"].cast("long").alias("ord"), "read_id", "ref_name")
+
+
+@query(f"SELECT * FROM ({BAM_SQL.split(', ref_length, ')[0]}, ref_length FROM alignments) x WHERE ref_name = 'T3' AND ref_start < 2600 AND ref_start + greatest(coalesce(ref_length, 1), 1) > 2000", "alignments")
+def bam_region(spark, sf_dir):
+    """What reaches into a region of an indexed BAM file; other blocks aren't read."""
+    return bam.read_region(spark, sorted_bam(spark, sf_dir), "T3", 2000, 2600, ["read_id", "flag", "ref_name", "ref_start", "ref_length"])
+
+
+@query("SELECT ref_name, count(*) AS n, CAST(sum(ref_start) AS BIGINT) AS starts FROM (SELECT ref_name, ord % 5000 AS ref_start FROM alignments) a WHERE ref_name IN ('T1', 'T8') AND ref_start >= 4000 GROUP BY ref_name", "alignments")
+def bam_pushed_filters(spark, sf_dir):
+    """Conditions of a query are looked up in the index."""
+    found = bam.read_bam(spark, sorted_bam(spark, sf_dir), columns=["ref_name", "ref_start"]).where(F.col("ref_name").isin("T1", "T8") & (F.col("ref_start") >= 4000))
+    return found.groupBy("ref_name").agg(F.count("*").alias("n"), F.sum("ref_start").alias("starts"))
+
+
+@query("""WITH c AS (SELECT read_id, ref_name, count(*) AS n, min(ord) AS first FROM alignments WHERE ref_name IS NOT NULL GROUP BY 1, 2)
+SELECT read_id, CAST(sum(n) AS BIGINT) AS alignment_count, CAST(count(*) AS INTEGER) AS unique_transcript_count, count(*) = 1 AS is_uniquely_mapped, arg_min(ref_name, (-n, first)) AS max_transcript,
+  CAST(max(n) AS BIGINT) AS max_count, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS max_ratio FROM c GROUP BY read_id""", "alignments")
+def folded_reads(spark, sf_dir):
+    """Read statistics of a BAM file in which a read's records follow each other, by one pass over
+    its splits."""
+    path = shared_path(spark, "by-name")
+    by_name = whole_alignments(spark, sf_dir).repartitionByRange("read_id").sortWithinPartitions("read_id", "ord")
+    bam.write_bam(by_name, path.removeprefix("file:"), bam_header().replace("coordinate", "queryname"))
+    back = bam.read_bam(spark, *files.matching(spark, f"{path}/*.bam"), columns=["read_id", "ref_name", "ref_length"], split=20_000, whole_reads=True)
+    return rounded(reads.fold_reads(back), "max_ratio")
+
+
 def bam_header() -> str:
     return "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:T{i}\tLN:100000\n" for i in range(10))
 
@@ -215,11 +287,19 @@ def unique_read_table(spark, sf_dir):
     return sinks.unique_read_table(reads.read_stats(proxy(spark, sf_dir, "alignments")))
 
 
-def streamed(spark, df: DataFrame, build, mode: str, name: str) -> DataFrame:
-    """The result of a query over the frame's rows as a stream: two files, so two batches."""
+def streamed(spark, df: DataFrame, build, mode: str, name: str, ordered: str | None = None) -> DataFrame:
+    """The result of a query over the frame's rows as a stream: two files, so two batches. With
+    `ordered` the batches are ranges of that column, and they come in its order."""
     source = shared_path(spark, f"{name}-in")
-    df.repartition(2).write.parquet(source)
-    stream = build(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    if ordered is None:
+        df.repartition(2).write.parquet(source)
+        shown = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    else:  # files are taken by age
+        half = df.approxQuantile(ordered, [0.5], 0.01)[0]
+        for rows in (df.where(F.col(ordered) <= half), df.where(F.col(ordered) > half)):
+            rows.coalesce(4).write.mode("append").parquet(source)
+        shown = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(source)
+    stream = build(shown)
     out = shared_path(spark, f"{name}-out")
     if mode == "append":
         run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
@@ -238,6 +318,63 @@ def streamed_counters(spark, sf_dir):
     return streamed(spark, proxy(spark, sf_dir, "alignments"), lambda s: online.online_counters(s, 10), "complete", "counters")
 
 
+def timed(spark, sf_dir) -> DataFrame:
+    """The alignments in order of read, as a stream sorted by name has them, at one second each, and
+    one that is long after all of them."""
+    df = proxy(spark, sf_dir, "alignments")
+    last = df.select(F.max("ord").alias("ord")).select((F.col("ord") + 10**8).alias("ord"), F.lit("the end").alias("read_id"), F.lit(0).alias("flag"), F.lit("T0").alias("ref_name"), F.lit(1).alias("ref_length"))
+    return df.unionByName(last).withColumn("at", F.timestamp_seconds(F.col("ord") + 86_400))
+
+
+@query("""WITH c AS (SELECT read_id, ref_name, count(*) AS n, min(ord) AS first FROM alignments WHERE ref_name IS NOT NULL GROUP BY 1, 2)
+SELECT read_id, CAST(sum(n) AS BIGINT) AS alignment_count, CAST(count(*) AS INTEGER) AS unique_transcript_count, arg_min(ref_name, (-n, first)) AS max_transcript, round(CAST(max(n) AS DOUBLE) / sum(n), 6) AS max_ratio FROM c GROUP BY read_id""", "alignments")
+def streamed_reads(spark, sf_dir):
+    """Each read once, when the stream has gone on; its state is dropped then."""
+    out = streamed(spark, timed(spark, sf_dir), lambda s: online.online_reads(s, "at", gap_ms=20_000), "append", "fold", ordered="ord")
+    return rounded(out.where("read_id != 'the end'").select("read_id", "alignment_count", "unique_transcript_count", "max_transcript", "max_ratio"), "max_ratio")
+
+
+@query("""WITH c AS (SELECT ord // 10 AS o, read_id, ref_name, count(*) AS n FROM alignments WHERE ref_name IS NOT NULL GROUP BY 1, 2, 3),
+s AS (SELECT read_id, sum(n) AS alignments, count(*) AS refs, max(n) / sum(n) AS ratio FROM c GROUP BY 1)
+SELECT count(*) AS total_reads, count(*) FILTER (WHERE alignments = 1) AS single, count(*) FILTER (WHERE refs = 1) AS "unique", round(avg(ratio), 6) AS mean_ratio, round(min(ratio), 6) AS min_ratio, count(*) FILTER (WHERE ratio >= 0.5 AND ratio < 0.8) AS ratio_05 FROM s""", "alignments")
+def streamed_summary(spark, sf_dir):
+    """The summary of all reads of a window of time, by two stateful operators one behind the other."""
+    out = streamed(spark, timed(spark, sf_dir), lambda s: online.online_summary(s, "at", delay="1 minute", window="1000 days"), "append", "summary", ordered="ord")
+    return rounded(out.where("window.start < timestamp'1971-01-01'").select("total_reads", "single", "unique", "mean_ratio", "min_ratio", "ratio_05"), "mean_ratio", "min_ratio")
+
+
+@query("SELECT header, substr('ACGT', 1, length(quality)) AS sequence, quality FROM fastq", "fastq")
+def streamed_fastq_files(spark, sf_dir):
+    """A stream of FASTQ files that grow between two runs, cut inside a record."""
+    whole, folder, out = shared_path(spark, "fastq-whole"), shared_path(spark, "fastq-growing").removeprefix("file:"), shared_path(spark, "fastq-records")
+    four = F.concat_ws("\n", "header", F.rpad(F.lit("ACGT"), F.length("quality"), "A"), F.lit("+"), "quality").alias("value")
+    proxy(spark, sf_dir, "fastq").select(four).repartition(4).write.text(whole)
+    names = files.matching(spark, f"{whole}/part-*")
+    os.makedirs(folder, exist_ok=True)
+
+    def grow(share: float) -> None:
+        """Each file has so much of its bytes more, in a task of its own."""
+
+        def copy(batches):
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    target = f"{folder}/{os.path.basename(name)}.fastq"
+                    with files.opened(name) as a, open(target, "ab") as b:
+                        size = a.seek(0, 2)
+                        a.seek(b.tell())
+                        b.write(a.read(int(size * share) - b.tell()))
+                yield batch
+
+        spark.createDataFrame([(n,) for n in names], "name string").repartition(len(names)).mapInArrow(copy, "name string").write.format("noop").mode("overwrite").save()
+
+    for share in (0.4, 0.7, 1.0):
+        grow(share)
+        records = fastq.stream_fastq(spark, folder, split=100_000)
+        run = records.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(out).select("header", F.substr("sequence", F.lit(1), F.lit(4)).alias("sequence"), "quality")
+
+
 @query("SELECT read_id, count(*) AS alignment_count, CAST(count(DISTINCT ref_name) AS INTEGER) AS transcripts FROM alignments WHERE ref_name IS NOT NULL GROUP BY read_id", "alignments")
 def streamed_read_counts(spark, sf_dir):
     return streamed(spark, proxy(spark, sf_dir, "alignments"), online.online_alignment_counts, "complete", "read-counts")

@@ -98,9 +98,28 @@ def row_rolling(spark, sf_dir):
     return windows.row_rolling(proxy(spark, sf_dir, "position"), 10, 5)
 
 
+PADDED_SQL = """WITH r AS (SELECT gene, coverage, mutant, {number} AS k, {rows} AS m FROM position),
+both_ends AS (SELECT * FROM r UNION ALL SELECT gene, coverage, mutant, 0, m FROM r WHERE k = 1),
+g AS (SELECT gene, max(m) + 10 - max(m) % 10 AS last FROM r GROUP BY gene),
+ends AS (SELECT gene, unnest(generate_series(1, last // 5)) * 5 AS win FROM g)
+SELECT e.gene, e.win, CAST(sum(b.coverage) AS BIGINT) AS coverage, CAST(sum(b.mutant) AS BIGINT) AS mutant, round(CAST(sum(b.mutant) AS DOUBLE) / nullif(sum(b.coverage), 0), 5) AS mutrate
+FROM ends e JOIN both_ends b ON e.gene = b.gene AND b.k BETWEEN e.win - 9 AND e.win GROUP BY 1, 2 HAVING sum(b.coverage) >= 3000"""
+
+
+@query(PADDED_SQL.format(number="row_number() OVER (PARTITION BY gene ORDER BY pos)", rows="count(*) OVER (PARTITION BY gene)"), "position")
+def padded_rolling(spark, sf_dir):
+    return windows.padded_rolling(proxy(spark, sf_dir, "position"), 10, 5, 3000)
+
+
+@query(PADDED_SQL.format(number="pos - min(pos) OVER (PARTITION BY gene) + 1", rows="max(pos) OVER (PARTITION BY gene) - min(pos) OVER (PARTITION BY gene) + 1").replace("3000", "600"), "position")
+def padded_rolling_dense(spark, sf_dir):
+    """Gaps between positions count as empty rows."""
+    return windows.padded_rolling(proxy(spark, sf_dir, "position"), 10, 5, 600, dense=True)
+
+
 # ---- mutation rates --------------------------------------------------------
 
-COUNTS = """SELECT concat_ws(' ', concat('>g', CAST(l_suppkey AS {s})), CAST(l_partkey AS {s}), 'a', CAST(a + c AS {s}), concat('=:0:0'), concat('A:', CAST(a AS {s}), ':1'), concat('C:', CAST(c AS {s}), ':1'), concat('A:', CAST(c % 2 AS {s}), ':1'), 'G:0:0',
+COUNTS = """SELECT concat_ws(' ', concat('>g', CAST(l_suppkey AS {s})), CAST(l_partkey AS {s}), CASE WHEN l_partkey % 2 = 0 THEN 'a' ELSE 'A' END, CAST(a + c AS {s}), concat('=:0:0'), concat('A:', CAST(a AS {s}), ':1'), concat('C:', CAST(c AS {s}), ':1'), concat('A:', CAST(c % 2 AS {s}), ':1'), 'G:0:0',
   concat('+AC:', CAST(c % 3 AS {s}), ':1'), concat('+ACGT:', CAST(c % 5 AS {s}), ':1'), concat('-A:', CAST(a % 4 AS {s}), ':1'), concat('-ACGTA:', CAST(a % 7 AS {s}), ':1')) AS value
 FROM (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS a, CAST(sum(CAST(l_discount * 100 AS BIGINT)) AS BIGINT) AS c FROM {t} GROUP BY l_suppkey, l_partkey) x"""
 
@@ -112,7 +131,7 @@ def count_lines(spark, sf_dir):
 MUTRATE_SQL = """
 WITH x AS (SELECT l_suppkey, l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS a, CAST(sum(CAST(l_discount * 100 AS BIGINT)) AS BIGINT) AS c FROM lineitem GROUP BY l_suppkey, l_partkey),
 m AS (SELECT 'g' || l_suppkey AS gene, l_partkey AS pos, a, c, a + c AS depth, a + c + c % 3 + c % 5 AS coverage, a + c + c % 3 - a % 7 AS adj_coverage, c - c % 2 + c % 3 - a % 7 AS mutant FROM x)
-SELECT gene, pos, pos + 1 AS "end", round(CAST(mutant AS DOUBLE) / nullif(coverage, 0), 8) AS mutrate, coverage, adj_coverage, mutant, depth, 'A' AS refnt,
+SELECT gene, pos, pos + 1 AS "end", round(CAST(mutant AS DOUBLE) / nullif(coverage, 0), 8) AS mutrate, coverage, adj_coverage, mutant, depth, CASE WHEN pos % 2 = 0 THEN 'a' ELSE 'A' END AS refnt,
   '=:0;A:' || a || ';C:' || c || ';A:' || (c % 2) || ';G:0' || CASE WHEN c % 3 > 0 THEN ';+:' || (c % 3) ELSE '' END || CASE WHEN a % 4 > 0 THEN ';-:' || (a % 4) ELSE '' END
     || CASE WHEN c % 5 > 0 THEN ';+++:' || (c % 5) ELSE '' END || CASE WHEN a % 7 > 0 THEN ';---:' || (a % 7) ELSE '' END AS detail FROM m"""
 
@@ -500,6 +519,43 @@ def pivot_pearson(spark, sf_dir):
     return rounded(correlation.pivot_pearson(table(spark, sf_dir, "events"), "user_id", "event_type", "value"), "r")
 
 
+@query("""WITH m AS (SELECT l_orderkey % 40 AS i, concat('s', CAST(l_suppkey AS VARCHAR)) AS g, avg(l_quantity) AS v FROM lineitem GROUP BY 1, 2),
+whole AS (SELECT i FROM m GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT l_suppkey) FROM lineitem))
+SELECT x.g AS a, y.g AS b, round(corr(x.v, y.v), 6) AS r, count(*) AS n FROM m x JOIN m y USING (i) WHERE i IN (SELECT i FROM whole) AND x.g <= y.g GROUP BY 1, 2""")
+def pivot_pearson_wide(spark, sf_dir):
+    """As many groups as there are suppliers, in one pass."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 40).alias("i"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("g"), "l_quantity")
+    return rounded(correlation.pivot_pearson(rows, "i", "g", "l_quantity"), "r")
+
+
+# Ward's method by centroids, one merge a step; clusters are numbered as they arise.
+WARD_SQL = f"""WITH RECURSIVE {EVENT_TYPES},
+r AS (SELECT x.event_type AS a, y.event_type AS b, corr(x.v, y.v) AS r FROM m x JOIN m y USING (user_id) WHERE user_id IN (SELECT user_id FROM full_users) GROUP BY 1, 2),
+leaves AS (SELECT row_number() OVER (ORDER BY a) - 1 AS id, 1 AS size, list(r ORDER BY b) AS c FROM r GROUP BY a),
+steps AS (
+  SELECT -1 AS step, (SELECT count(*) FROM leaves) AS fresh, (SELECT list(struct_pack(id := id, size := size, c := c) ORDER BY id) FROM leaves) AS held,
+    CAST(NULL AS STRUCT(d DOUBLE, a BIGINT, b BIGINT, size BIGINT)) AS merged
+  UNION ALL
+  SELECT step + 1, fresh + 1,
+    list_append(list_filter(held, lambda x: x.id <> best.a AND x.id <> best.b), struct_pack(id := CAST(fresh AS BIGINT), size := CAST(best.size AS INTEGER), c := best.c)),
+    struct_pack(d := sqrt(best.d), a := CAST(best.a AS BIGINT), b := CAST(best.b AS BIGINT), size := CAST(best.size AS BIGINT))
+  FROM (
+    SELECT step, fresh, held, list_sort(flatten(list_transform(held, lambda x: list_transform(list_filter(held, lambda y: y.id > x.id), lambda y: struct_pack(
+      d := 2.0 * x.size * y.size / (x.size + y.size) * list_sum(list_transform(list_zip(x.c, y.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))),
+      a := x.id, b := y.id, size := x.size + y.size, c := list_transform(list_zip(x.c, y.c), lambda z: (z[1] * x.size + z[2] * y.size) / (x.size + y.size)))))))[1] AS best
+    FROM steps WHERE len(held) > 1) s)
+SELECT CAST(step AS INTEGER) AS step, CAST(merged.a AS INTEGER) AS "left", CAST(merged.b AS INTEGER) AS "right", round(merged.d, 6) AS height, CAST(merged.size AS INTEGER) AS size, CAST(NULL AS VARCHAR) AS name
+FROM steps WHERE step >= 0
+UNION ALL SELECT -1, NULL, NULL, NULL, 1, event_type FROM (SELECT DISTINCT event_type FROM events)"""
+
+
+@query(WARD_SQL)
+def cluster_map(spark, sf_dir):
+    """The merges of the samples' correlations."""
+    pairs = correlation.pivot_pearson(table(spark, sf_dir, "events"), "user_id", "event_type", "value")
+    return rounded(correlation.cluster_map(pairs).drop("place"), "height")
+
+
 _METRICS = ("exact_rate", "multiple_rate", "overall_rate")
 
 

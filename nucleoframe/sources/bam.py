@@ -504,10 +504,10 @@ def write_sorted_bam(alignments: DataFrame, path: str, header: str) -> int:
                     index.add(numbers.get(r["ref_name"], -1), start, start + max(1, r["ref_length"] or 1), begin, out.tell())
                     n += 1
             out.flush()
-        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "index": index.body(len(refs))}])
+        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "marks": index.body(len(refs))}])
 
     dealt = coordinate_sorted(whole_columns(alignments), header)
-    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, index binary").collect())
+    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, marks binary").collect())
     head = io.BytesIO()
     out = BlockWriter(head)
     out.write(head_bytes(header, refs))
@@ -515,7 +515,7 @@ def write_sorted_bam(alignments: DataFrame, path: str, header: str) -> int:
     places = join_parts(spark, head.getvalue(), [(r.file, r.size) for r in made], path)
     whole = Index()
     for r, at in zip(made, places):
-        whole.append(Index().read_body(bytes(r.index), 0, len(refs)), at)
+        whole.append(Index().read_body(bytes(r.marks), 0, len(refs)), at)
     with open(f"{path}.bai", "wb") as f:
         f.write(whole.bai(len(refs)))
     for name in os.listdir(parts):

@@ -264,9 +264,9 @@ def write_indexed_text(lines: DataFrame, path: str, names: list[str], header: li
                     index.add(numbers[ref], pos - 1, pos - 1 + max(length or 1, 1), begin, out.tell())
                     n += 1
             out.flush()
-        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "index": index.body(len(names))}])
+        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "marks": index.body(len(names))}])
 
-    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, index binary").collect())
+    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, marks binary").collect())
     with open(f"{parts}/head", "wb") as f:
         out = BlockWriter(f)
         out.write("".join(f"{x}\n" for x in header).encode())
@@ -275,7 +275,7 @@ def write_indexed_text(lines: DataFrame, path: str, names: list[str], header: li
         places = join_parts(spark, f.read(), [(r.file, r.size) for r in made], path)
     whole = Index()
     for r, at in zip(made, places):
-        whole.append(Index().read_body(bytes(r.index), 0, len(names)), at)
+        whole.append(Index().read_body(bytes(r.marks), 0, len(names)), at)
     write_tbi(f"{path}.tbi", whole, names, layout)
     for name in os.listdir(parts):
         os.remove(f"{parts}/{name}")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import info_map, safe_int
+from .blocktext import raw_lines, read_block_text, read_indexed_text
 
 
 def read_header(spark: SparkSession, path, first: int = 1000) -> tuple[list[str], list[str]]:
@@ -134,6 +135,36 @@ def read_region(spark: SparkSession, store: str, gene: str, first: int | None =
     return out.select("gene", "pos", "ref", "cell", "cell_idx", "dp", "ad")
 
 
+def read_block_cells(spark: SparkSession, path: str, split: int = 64 << 20) -> tuple[DataFrame, list[str]]:
+    """The lines of a block-gzipped cell VCF file in splits, and its cells."""
+    return read_block_text(spark, path, split=split), block_header(path)[0]
+
+
+def block_header(path: str) -> tuple[list[str], list[str]]:
+    """(cells, contigs) of a block-gzipped file, of which no more than the header is read."""
+    contigs, cells = [], []
+    for _, line in raw_lines(path, 0, 1 << 62):
+        if line.startswith(b"##contig=<ID="):
+            contigs.append(re.split("[,>]", line.decode()[13:])[0])
+        elif line.startswith(b"#CHROM"):
+            cells = line.decode().rstrip("\r").split("\t")[9:]
+            break
+        elif not line.startswith(b"#"):
+            break
+    return cells, contigs
+
+
+def read_indexed_region(spark: SparkSession, path: str, gene: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """The cell positions of one gene, or of first..last of it, from a block-gzipped VCF file with a TBI
+    index beside it: only the blocks that the index names for the range are read."""
+    held = read_indexed_text(spark, path).where(F.col("name") == gene)
+    if first is not None:
+        held = held.where(F.col("pos") >= first)
+    if last is not None:
+        held = held.where(F.col("pos") <= last)
+    return parse_cell_positions(held.select("value"), block_header(path)[0])
+
+
 def parse_base(raw: DataFrame, include_oth: bool = False, min_coverage: int = 100) -> DataFrame:
     """(gene, pos, ref, coverage, mutrate) from INFO alone: coverage is DP, or DP + OTH;
     rate is AD or AD + OTH over it; missing numbers are 0; records of fewer than eight
