@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Rows of a group that one task sorts or holds.
 AT_ONCE = 1 << 20
 #: More groups than these aren't large beside all rows.
@@ -49,6 +51,8 @@ def running(counts: DataFrame, value: str, by=(), n: str = "n", at_once: int = A
 
 
 def _in_ranges(held: DataFrame, large: DataFrame, value: str, keys: list[str], n: str) -> DataFrame:
+    """running() where groups are cut. The counted values, which several steps need, are written."""
+    held = written(held, "ranks")
     sizes = held.join(F.broadcast(large), keys).groupBy(*keys).agg(F.count("*").alias("__d"))
     picked = held.join(F.broadcast(sizes), keys).where(F.pmod(F.xxhash64(value), F.ceil(F.col("__d") / RANGES)) == 0)
     bounds = picked.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("__bounds"))
