@@ -72,7 +72,11 @@ def run_gene_tag(spark, a) -> None:
 
 def run_sort(spark, a) -> None:
     header = bam.header_text(a.bam[0])
-    bam.write_bam(bam.coordinate_sorted(bam.read_bam(spark, *a.bam), header), a.output, header)
+    whole = bam.read_bam(spark, *a.bam)
+    if a.output.endswith(".bam"):  # one file with its index
+        bam.write_sorted_bam(whole, a.output, header)
+    else:
+        bam.write_bam(bam.coordinate_sorted(whole, header), a.output, header)
 
 
 def run_fastq_filter(spark, a) -> None:

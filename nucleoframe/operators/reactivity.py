@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ranks
@@ -21,6 +21,28 @@ def calculate_reactivity(signal: DataFrame, control: DataFrame, index_cols=("gen
     )
 
 
+def dropped_rows(signal: DataFrame, control: DataFrame, index_cols=("gene", "pos"), sample_col: str | None = None) -> DataFrame:
+    """One row of what calculate_reactivity() leaves out: rows of each side, those without a rate, and
+    those without a partner on the other side, and the rows of the join."""
+    keys = [*index_cols, *([sample_col] if sample_col else [])]
+    parts = []
+    for name, df in (("signal", signal), ("control", control)):
+        parts.append(df.select(*keys, F.lit(name).alias("side"), F.col("mutrate").isNull().cast("long").alias("missing")))
+    by_key = parts[0].union(parts[1]).groupBy(*keys)
+    n = lambda name, missing: F.count_if((F.col("side") == name) & (F.col("missing") == missing))
+    counts = by_key.agg(*[n(s, m).alias(f"{s}_{m}") for s in ("signal", "control") for m in (0, 1)])
+    whole = F.lit(True)
+    for k in keys:  # a key that is missing has no partner
+        whole = whole & F.col(k).isNotNull()
+    alone = lambda a, b: F.coalesce(F.sum(F.when(whole & (F.col(f"{b}_0") > 0), 0).otherwise(F.col(f"{a}_0"))), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return counts.agg(
+        *[c for s in ("signal", "control") for c in (total(F.col(f"{s}_0") + F.col(f"{s}_1")).alias(f"{s}_rows"), total(f"{s}_1").alias(f"{s}_without_rate"))],
+        alone("signal", "control").alias("signal_alone"), alone("control", "signal").alias("control_alone"),
+        total(F.when(whole, F.col("signal_0") * F.col("control_0"))).alias("joined_rows"),
+    )
+
+
 def clip_scale(df: DataFrame, column: str = "reactivity", by=(), out: str = "normalized_reactivity") -> DataFrame:
     """(x - P5) / (P95 - P5) clipped to 0..1 within each group; unchanged where P95 = P5.
 
@@ -53,19 +75,33 @@ def winsorize(df: DataFrame, column: str, by, bottom: float = 0.0, top: float =
     return joined.withColumn(column, clamped).drop("__low", "__high")
 
 
+def quantile_of(values: Column, point: float) -> Column:
+    """A quantile of a sorted array, interpolated linearly; NULL for an empty one."""
+    place = (F.size(values) - 1) * F.lit(point)
+    low, high = (F.get(values, f(place).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (place - F.floor(place))
+
+
 def gene_divisors(df: DataFrame, column: str, by=("gene",)) -> DataFrame:
     """(by, divisor): of the values below max(cap, 1.5 * interquartile range) the mean of
     those above their 90th percentile; cap is P99 for groups of 500 rows or more (rows
-    without a value count), else P95. NULL where nothing lies above."""
-    x = F.col(column)
+    without a value count), else P95. NULL, or no row, where nothing lies above.
+
+    Groups that are small enough to be held are one sorted array each; if there are
+    larger ones, quantiles of ranges of values are joined back instead."""
+    x, points = F.col(column), F.col("q")
     large = ranks.large_groups(df, by)
-    first, points = F.percentile(x, [0.25, 0.75, 0.95, 0.99]), F.col("q")
+    cap_of = lambda q25, q75, q95, q99: F.greatest(F.when(F.col("__n") >= 500, q99).otherwise(q95), (q75 - q25) * 1.5)
+    wanted = [0.25, 0.75, 0.95, 0.99]
     if large is None:
-        found = df.groupBy(*by).agg(first.alias("q"), F.count("*").alias("__n"))
-    else:
-        found = ranks.quantiles(df, column, [0.25, 0.75, 0.95, 0.99], by, large).join(df.groupBy(*by).agg(F.count("*").alias("__n")), list(by))
-    cap = F.when(F.col("__n") >= 500, points[3]).otherwise(points[2])
-    found = found.select(*by, F.greatest(cap, (points[1] - points[0]) * 1.5).alias("__cap"))
+        held = df.groupBy(*by).agg(F.sort_array(F.collect_list(x.cast("double"))).alias("__v"), F.count("*").alias("__n"))
+        held = held.withColumn("__cap", cap_of(*[quantile_of(F.col("__v"), p) for p in wanted]))
+        held = held.select(*by, F.filter("__v", lambda v: v < F.col("__cap")).alias("__kept")).withColumn("__p90", quantile_of(F.col("__kept"), 0.9))
+        tail = F.filter("__kept", lambda v: v > F.col("__p90"))
+        total = F.aggregate(tail, F.lit(0.0), lambda a, v: a + v)
+        return held.select(*by, F.try_divide(total, F.size(tail)).alias("divisor"))
+    found = ranks.quantiles(df, column, wanted, by, large).join(df.groupBy(*by).agg(F.count("*").alias("__n")), list(by))
+    found = found.select(*by, cap_of(*[points[i] for i in range(4)]).alias("__cap"))
     kept = df.select(*by, column).join(found, list(by)).where(x < F.col("__cap"))
     tail = ranks.quantiles(kept, column, [0.9], by, large).select(*by, points[0].alias("__p90"))
     return kept.join(tail, list(by)).where(x > F.col("__p90")).groupBy(*by).agg(F.avg(x).alias("divisor"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..operators import correlation, mutrate, quality, ranks, reactivity, reads, sweep, windows
+from ..operators import barcodes, correlation, lengths, mutrate, quality, ranks, reactivity, reads, sweep, windows
 from ..session import shared_path
 from ..sources import bam, blocktext, fastq, files, text, vcf
 from ..streaming import online
@@ -47,40 +47,60 @@ WINDOW_FILE_SQL = "SELECT gene, pos AS win, coverage, mutant, round(mutrate, 6)
 
 @query(WINDOW_FILE_SQL, "position")
 def window_files(spark, sf_dir):
-    """Two window tables of a folder, with their samples and the coverage filter; a file
+    """Window tables of a folder, several files of each sample, with the coverage filter; a file
     that is no gzip is skipped."""
-    folder = shared_path(spark, "windows")
+    folder, parts = shared_path(spark, "windows"), shared_path(spark, "window-parts")
     shown = proxy(spark, sf_dir, "position").withColumn("win_end", F.col("pos") + 9).select("gene", F.col("pos").alias("win"), "coverage", "mutant", "mutrate", "win_end")
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in shown.columns]
-    for side, rest in (("one", 0), ("two", 1)):
-        body = shown.where(F.col("win") % 2 == rest).select(F.concat_ws("\t", *cells).alias("value"))
-        files.write_single(headed(spark, ["\t".join(shown.columns)], body), folder, f"{side}_counts_mutrate.10nt.csv.gz", "gzip")
-    return rounded(text.read_window_files(spark, folder, prefix="x_", coverage_threshold=500), "mutrate")
+    side = F.when(F.col("win") % 2 == 0, "one").otherwise("two").alias("side")
+    sinks.write_tsv(shown.select("*", side).repartition(4), parts, header=True, by=["side"])
+    files.gather(spark, parts, folder, lambda value, k: f"{value}-{k}_counts_mutrate.10nt.csv.gz")
+    files.write_single(spark.createDataFrame([("no gzip",)], "value string"), folder, "odd_counts_mutrate.10nt.csv.gz")
+    found = text.read_window_files(spark, folder, prefix="x_", coverage_threshold=500)
+    return rounded(found.withColumn("sample", F.regexp_replace("sample", "-[0-9]+$", "")), "mutrate")
 
 
 @query("SELECT gene, pos, round(mutrate, 6) AS mutrate, coverage, mutant, CASE WHEN pos % 2 = 0 THEN 'named' ELSE 'plain' END AS sample FROM position WHERE coverage >= 500 AND mutrate <= 0.05", "position")
 def position_files(spark, sf_dir):
-    """Position tables with and without a header; a file without the columns is left out."""
-    folder = shared_path(spark, "position-files")
-    df = proxy(spark, sf_dir, "position")
-    named = ["pos", "gene", "mutrate", "coverage", "mutant"]
-    lines = lambda d, cs: d.select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in cs]).alias("value"))
-    files.write_single(headed(spark, ["\t".join(named)], lines(df.where("pos % 2 = 0"), named)), folder, "named_mutrate.txt")
-    plain = df.where("pos % 2 = 1").withColumns({"end": F.col("pos") + 1, "na": F.lit("NA"), "adj_coverage": F.col("coverage")})
-    files.write_single(lines(plain, ["gene", "pos", "end", "na", "mutrate", "na", "coverage", "adj_coverage", "mutant", "na", "na", "na", "na"]), folder, "plain_mutrate.txt.gz", "gzip")
-    files.write_single(headed(spark, ["gene\tother", "g1\t2"], plain.limit(0).select(F.lit("").alias("value"))), folder, "odd_mutrate.txt")
-    return rounded(text.read_position_files(spark, folder, coverage_threshold=500, mutrate_threshold=0.05), "mutrate")
+    """Position tables with and without a header, several files of each; a file without the
+    columns is left out."""
+    folder, df = shared_path(spark, "position-files"), proxy(spark, sf_dir, "position").repartition(3)
+    for name, header, rows in (
+        ("named", True, df.where("pos % 2 = 0").select("pos", "gene", "mutrate", "coverage", "mutant")),
+        ("plain", False, mutrate.position_table(df.where("pos % 2 = 1").withColumns({"end": F.col("pos") + 1, "adj_coverage": F.col("coverage"), "refnt": F.lit("a"), "detail": F.lit("A:1")}))),
+    ):
+        parts = shared_path(spark, "position-parts")
+        sinks.write_tsv(rows.withColumn("side", F.lit(name)), parts, header=header, by=["side"])
+        files.gather(spark, parts, folder, lambda value, k: f"{value}-{k}_mutrate.txt.gz")
+    files.write_single(spark.createDataFrame([("gene\tother",), ("g1\t2",)], "value string"), folder, "odd_mutrate.txt")
+    found = text.read_position_files(spark, folder, coverage_threshold=500, mutrate_threshold=0.05)
+    return rounded(found.withColumn("sample", F.regexp_replace("sample", "-[0-9]+$", "")), "mutrate")
 
 
 @query("SELECT 'T' || c_custkey AS name, c_custkey % 7 * 10 + 4 AS length FROM customer")
 def fasta_lengths(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").coalesce(1)
+    c = table(spark, sf_dir, "customer").repartition(3)
     key = F.col("c_custkey")
     body = F.transform(F.sequence(F.lit(1), (key % 7).cast("int") + 1), lambda i: F.when(i <= key % 7, "ACGTACGTAC").otherwise("ACG "))
     rows = F.concat(F.array(F.concat(F.lit(">T"), key.cast("string"), F.lit(" described"))), body, F.array(F.lit("A\r")))
     return text.read_fasta_lengths(spark, staged(c.select(F.explode(rows).alias("value")), "fasta"))
 
 
+@query(f"WITH {ROUND_TRIP} SELECT row_number() OVER (ORDER BY gene DESC, win) AS place, gene, win, win_end, CAST(sum(dp) AS BIGINT) AS dp, count(*) AS n FROM w GROUP BY gene, win, win_end", "cell_position")
+def window_file_order(spark, sf_dir):
+    """One block-gzipped window VCF file: the place of each record, with contigs in the given order."""
+    found = windows.cell_windows(proxy(spark, sf_dir, "cell_position")).where(F.col("cell").isin(CELLS))
+    genes = [r.gene for r in found.select("gene").distinct().orderBy(F.desc("gene")).collect()]
+    path = f"{shared_path(spark, 'window-file').removeprefix('file:')}/windows.vcf.gz"
+    sinks.write_window_file(found, CELLS, genes, path)
+    lines = blocktext.read_block_text(spark, path, split=100_000).where(~F.col("value").startswith("#"))
+    parsed = vcf.parse_windows(lines, vcf.block_header(path)[0]).groupBy("gene", "win", "win_end").agg(F.sum("dp").alias("dp"), F.count("*").alias("n"))
+    # a record's place comes from where its line lies in the file
+    p = F.split("value", "\t")
+    at = lines.select(p[0].alias("gene"), p[1].cast("long").alias("win"), "ord", F.lit(1).cast("long").alias("one"))
+    places = ranks.running(at, "ord", n="one").select("gene", "win", F.col("upto").alias("place"))
+    return parsed.join(places, ["gene", "win"]).select("place", "gene", "win", "win_end", "dp", "n")
+
+
 @query(f"WITH {ROUND_TRIP} SELECT gene, win, CAST(sum(dp) * 2 AS BIGINT) AS dp FROM w GROUP BY 1, 2", "cell_position")
 def paired_union(spark, sf_dir):
     """Two window VCF files of the same cells, written and read as a pair."""
@@ -218,11 +238,10 @@ def fastq_files(spark, sf_dir):
     """FASTQ written by condition and verdict, found by folder, merged by condition and framed
     again. Files without a condition in their path aren't merged."""
     base = shared_path(spark, "fastq")
-    four = F.concat_ws("\n", "header", F.lit("ACGT"), F.lit("+"), "quality").alias("value")
-    judged = quality.quality_verdict(proxy(spark, sf_dir, "fastq")).withColumn("condition", F.coalesce("condition", F.lit("other")))
-    for condition in ("DMSO", "2A3", "other"):
-        for verdict in ("pass", "fail"):
-            files.write_single(judged.where((F.col("condition") == condition) & (F.col("verdict") == verdict)).select(four), f"{base}/in/{condition}", f"run_{verdict}.fastq.gz", "gzip")
+    judged = quality.quality_verdict(proxy(spark, sf_dir, "fastq").withColumns({"sequence": F.lit("ACGT"), "plus": F.lit("+")}))
+    named = judged.withColumn("side", F.concat_ws("_", F.coalesce("condition", F.lit("other")), "verdict"))
+    sinks.write_fastq_split(named.repartition(3), f"{base}/parts", ["side"])
+    files.gather(spark, f"{base}/parts", f"{base}/in", lambda value, k: f"{value.split('_')[0]}_run{k}_{value.split('_')[1]}.fastq.gz")
     sinks.merge_by_condition(spark, text.find_fastq(spark, f"{base}/in"), f"{base}/out")
     parts = []
     for path in files.matching(spark, f"{base}/out/condition=*/verdict=*"):
@@ -255,8 +274,39 @@ def sweep_tree(spark, sf_dir):
 def runs_by_rate(spark, sf_dir):
     """The listing of all runs by descending rate, with its place."""
     ordered = sweep.ranked_runs(proxy(spark, sf_dir, "runs")).select("directory")
-    numbered = text.numbered_lines(spark, staged(ordered.coalesce(1).withColumnRenamed("directory", "value"), "ranked"))
-    return numbered.select(F.col("value").alias("directory"), (F.col("ord") + 1).alias("rank"))
+    lines = placed_lines(spark, staged(ordered.withColumnRenamed("directory", "value"), "ranked"))
+    return lines.select(F.col("value").alias("directory"), F.col("place").alias("rank"))
+
+
+def placed_lines(spark, path: str) -> DataFrame:
+    """(place, value): the lines of a folder's part files, which follow each other by name, from 1."""
+    numbered = text.numbered_lines(spark, path)
+    parts = ranks.running(numbered.groupBy("file").agg(F.count("*").alias("n")), "file")
+    before = parts.select("file", (F.col("upto") - F.col("n")).alias("before"))
+    return numbered.join(F.broadcast(before), "file").select((F.col("before") + F.col("ord") + 1).alias("place"), "value")
+
+
+@query("""WITH c AS (
+  SELECT string_split(read_id, '_')[-2] AS barcode, string_split(read_id, '_')[-1] AS umi FROM names WHERE len(string_split(read_id, '_')) >= 3),
+g AS (SELECT barcode, umi, count(*) AS n FROM c WHERE barcode <> '' AND umi <> '' GROUP BY 1, 2)
+SELECT row_number() OVER (ORDER BY barcode, umi) AS place, barcode, umi, n FROM g""", "names")
+def barcode_file(spark, sf_dir):
+    """The list of barcodes as it is written: in order, over several parts."""
+    path = shared_path(spark, "barcodes")
+    counts = barcodes.barcode_umi_counts(proxy(spark, sf_dir, "names")).orderBy("barcode", "umi")
+    sinks.write_tsv(counts, path)
+    p = F.split("value", "\t")
+    return placed_lines(spark, path).select("place", p[0].alias("barcode"), p[1].alias("umi"), p[2].cast("long").alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY kind, length) AS place, kind, length, n FROM (SELECT 'raw' AS kind, length, n FROM lengths UNION ALL SELECT 'mapped', CAST(ref_length AS BIGINT), count(*) FROM alignments WHERE flag & 4 = 0 GROUP BY 2) x", "lengths", "alignments")
+def length_file(spark, sf_dir):
+    """The distribution of raw and mapped lengths as it is written, sorted."""
+    path = shared_path(spark, "lengths")
+    mapped = proxy(spark, sf_dir, "alignments").where(F.col("flag").bitwiseAND(4) == 0).select(F.col("ref_length").alias("length"))
+    sinks.write_tsv(lengths.length_distribution(proxy(spark, sf_dir, "lengths"), mapped).orderBy("kind", "length"), path)
+    p = F.split("value", "\t")
+    return placed_lines(spark, path).select("place", p[0].alias("kind"), p[1].cast("long").alias("length"), p[2].cast("long").alias("n"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r, count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n FROM runs" for a in ("exact_rate", "multiple_rate", "overall_rate") for b in ("exact_rate", "multiple_rate", "overall_rate") if a <= b), "runs")

@@ -460,6 +460,14 @@ def joined(spark, sf_dir):
     return reactivity.calculate_reactivity(*sides_of(spark, sf_dir), sample_col="sample")
 
 
+@query(f"""WITH {JOINED} SELECT (SELECT count(*) FROM sides WHERE side = 'A') AS signal_rows, (SELECT count(*) FROM sides WHERE side = 'A' AND mutrate IS NULL) AS signal_without_rate,
+  (SELECT count(*) FROM sides WHERE side = 'R') AS control_rows, (SELECT count(*) FROM sides WHERE side = 'R' AND mutrate IS NULL) AS control_without_rate,
+  (SELECT count(*) FROM s ANTI JOIN c USING (gene, pos, sample)) AS signal_alone, (SELECT count(*) FROM c ANTI JOIN s USING (gene, pos, sample)) AS control_alone, (SELECT count(*) FROM j) AS joined_rows""", "sides")
+def reactivity_dropped(spark, sf_dir):
+    """What the join leaves out, and why."""
+    return reactivity.dropped_rows(*sides_of(spark, sf_dir), sample_col="sample")
+
+
 RATES = ("mutrate_signal", "mutrate_control", "reactivity")
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.blocktext import write_indexed_text
 
-def write_tsv(df: DataFrame, path: str, header: bool = False, single: bool = False, compression: str = "gzip") -> None:
-    """Tab-separated text; NULL is NA; arrays are joined by commas."""
+
+def write_tsv(df: DataFrame, path: str, header: bool = False, single: bool = False, compression: str = "gzip", by=()) -> None:
+    """Tab-separated text; NULL is NA; arrays are joined by commas. With `by` there is a folder for each
+    value of these columns."""
     flat = df.select(*[F.array_join(f.name, ",").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema])
-    (flat.coalesce(1) if single else flat).write.option("header", header).option("compression", compression).csv(path, sep="\t", nullValue="NA")
+    (flat.coalesce(1) if single else flat).write.partitionBy(*by).option("header", header).option("compression", compression).csv(path, sep="\t", nullValue="NA")
 
 
 def number_text(x: Column) -> Column:
@@ -52,6 +55,15 @@ def write_window_vcf(windows: DataFrame, cells: list[str], contigs: list[str], p
     head.union(body).orderBy("a", "b").select("value").write.text(path, compression="gzip")
 
 
+def write_window_file(windows: DataFrame, cells: list[str], contigs: list[str], path: str) -> int:
+    """One block-gzipped window VCF file (which any gzip reader takes), the header first and records
+    in order of contig and position, with its TBI index; gives the number of records."""
+    reach = F.split(F.col("value"), "\t")[7]
+    lines = window_vcf_lines(windows, cells).select(F.col("gene").alias("name"), F.col("win").alias("pos"), "value")
+    length = F.regexp_extract(reach, r"WIN_END=(\d+)", 1).try_cast("long") - F.col("pos") + 1
+    return write_indexed_text(lines.withColumn("ref_length", F.coalesce(length, F.lit(1))), path, contigs, window_vcf_header(cells, contigs))
+
+
 def read_table(stats: DataFrame, every: bool = False) -> DataFrame:
     """Per-read rows as text columns: flags as Yes/No, ratios to four places; with `every`,
     the older layout, which also lists the transcript of every alignment."""
@@ -106,17 +118,25 @@ def sam_lines(alignments: DataFrame) -> DataFrame:
     return alignments.select("ord", F.when(F.size("tags") > 0, F.concat(plain, F.lit("\t"), F.array_join(tags, "\t"))).otherwise(plain).alias("value"))
 
 
-def write_fastq_split(verdicts: DataFrame, path: str) -> None:
-    """FASTQ text in one folder per verdict, in one pass."""
+def write_fastq_split(verdicts: DataFrame, path: str, by=("verdict",)) -> None:
+    """FASTQ text in one folder per verdict, or per value of other columns, in one pass."""
     value = F.concat_ws("\n", "header", "sequence", "plus", "quality")
-    verdicts.select("verdict", value.alias("value")).write.partitionBy("verdict").text(path, compression="gzip")
+    verdicts.select(*by, value.alias("value")).write.partitionBy(*by).text(path, compression="gzip")
 
 
 def merge_by_condition(spark: SparkSession, files: DataFrame, path: str) -> None:
-    """The lines of found files, in one folder per condition and verdict. Only the list
-    of files, not their contents, reaches the driver."""
-    for r in files.where("condition is not null").groupBy("condition", "verdict").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect():
-        spark.read.text(r.paths).write.text(f"{path}/condition={r.condition}/verdict={r.verdict}", compression="gzip")
+    """The lines of found files, in one folder per condition and verdict, in one pass. A file is one
+    task, as gzip has it, and its lines stay together. Only the list of files reaches the driver."""
+    found = files.where("condition is not null").select("path", "condition", "verdict").collect()
+    if not found:
+        return
+    of = spark.createDataFrame(found, "path string, condition string, verdict string")  # a row for each file
+    raw = spark.read.text([r.path for r in found]).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"))
+    same = F.regexp_replace("file", "^file:/+", "/") == F.regexp_replace("path", "^file:/+", "/")
+    named = raw.join(F.broadcast(of), same)
+    # sorted as the writer wants it, and by line, so it doesn't sort again
+    named = named.sortWithinPartitions("condition", "verdict", "id").select("condition", "verdict", "value")
+    named.write.partitionBy("condition", "verdict").text(path, compression="gzip")
 
 
 def human_bytes(n: float) -> str:
