@@ -17,8 +17,9 @@ where it is the whole document. Items shorter than a mask have masks of their ow
 Only hashes and places are joined; the tokens around a hit come from chunks of bounded
 length. Where the benchmark's seeds and chunks are at most `broadcast_bytes`, by a bound
 from its characters, they are broadcast. Beyond that hashes and places are shuffled, with
-`salts` copies of the benchmark's, so that no common seed is in one task, and the chunks
-of hits are fetched afterwards.
+`salts` copies of the benchmark's, so that no common seed is in one task (what is still
+uneven is split by adaptive execution), and the chunks of hits, and no others, are fetched
+afterwards.
 
 Cases: null and empty texts and items are clean; rows that share an id, null too, give one
 row, and one of them decides for it; repeated items count once; an empty table on either
@@ -31,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Fixed masks: 1 is hashed, 0 is ignored.
 MASKS = ("11101", "100111")
 SPAN = 12
@@ -132,12 +135,20 @@ def hits(docs: DataFrame, items: DataFrame, keys: list[str], share: float, reach
         met = seeds(texts, "doc", [*keys, "doc"], masks, whole, own=False).join(F.broadcast(marks), "key")
         met = same(met, F.broadcast(parts), item_keys)
     else:
-        places = [*keys, "doc_chunk"]
+        # rows that share their keys are told apart by their texts, and equal ones are one; the
+        # salts deal a frequent key, and adaptive execution splits what is still uneven
+        mark = "_".join(["text_mark", *keys])  # none of the keys
+        texts = chunks(docs.withColumn(mark, F.xxhash64("text")), [*keys, mark], "doc", margin, span)
+        places = [*keys, mark, "doc_chunk"]
         salted = seeds(texts, "doc", places + ["doc"], masks, whole, own=False).drop("doc")
         salted = salted.withColumn("salt", F.pmod(F.xxhash64(*places), F.lit(salts)).cast("int"))
         copies = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = salted.join(copies, ["key", "salt"]).drop("key", "salt")
-        met = same(same(met, parts, item_keys), texts.select(*places, "doc"), places)
+        met = written(salted.join(copies, ["key", "salt"]).drop("key", "salt").distinct(), "seed-hits")
+        # of all chunks only those with a hit are sent: Spark broadcasts the places if their files are small
+        near = met.select(*places).distinct().withColumnsRenamed({k: f"__{i}" for i, k in enumerate(places)})
+        both = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(places)]
+        fetched = texts.select(*places, "doc").join(near, both, "left_semi").dropDuplicates(places)
+        met = same(same(met, parts, item_keys), fetched, places)
     # the item's tokens in all windows that hold the seed, and the document's tokens beside them
     size, seed_at = F.size("item"), F.col("item_at")
     first = F.greatest(seed_at - margin, F.lit(0))
