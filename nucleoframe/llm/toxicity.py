@@ -3,7 +3,7 @@
 Features are densities of a lexicon, distance to second-person words, capitals,
 punctuation and obfuscation rates. The lexicon (words and stems with their
 log odds) is learnt from the labelled rows; for fitting, each row's features come from
-the lexicon of the other half of the rows, and the calibration uses scores of models
+the lexicon of the other half of the texts, and the calibration uses scores of models
 that haven't seen the row.
 
 The fit uses a bounded sample of labelled rows (parameter `most`) outside the held-out
@@ -11,7 +11,8 @@ fold. Every token of the sample with enough positive documents and odds is in th
 
 Cases: null and empty texts have zero features; without labels of both kinds every score
 is the labels' mean, or 0.5; a sample with few rows or constant features gives few or no
-trees; repeated rows get equal scores, and a repeated id counts once in the fit; a row
+trees; repeated rows get equal scores, and a repeated id counts once in the fit; equal texts
+with different labels are toxic for the lexicon and keep their labels for the trees; a row
 without an id is scored and isn't held out; very long texts and runs without white space
 take time in proportion to their length; ties in scores share a calibration block; empty
 tables give no rows; extra columns are ignored, whatever their names.
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Sink, fold, rows, written
@@ -120,10 +121,19 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
+def half_of() -> Column:
+    """The half that a text is in: its copies are in the same, so none of them tells of the other."""
+    return F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int")
+
+
+def distinct_texts(sample: DataFrame) -> DataFrame:
+    """(text, y, half): equal texts once, as positive if one of them is."""
+    return sample.groupBy("text").agg(F.max("y").alias("y")).withColumn("half", half_of())
+
+
 def lexicon_counts(sample: DataFrame, most_kept: int = 300_000) -> DataFrame:
     """(token, half, pos, neg): documents of each label that hold the token, by half of
-    the rows. Equal texts count once in a batch, and counts are combined before the shuffle."""
-    halves = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
+    the texts. Counts are combined before the shuffle."""
     schema = pa.schema([("token", pa.string()), ("half", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def run(batches):
@@ -145,7 +155,7 @@ def lexicon_counts(sample: DataFrame, most_kept: int = 300_000) -> DataFrame:
                 yield sink.take()
         yield sink.take()
 
-    partial = sample.dropDuplicates(["text"]).select(halves.alias("half"), "y", "text").mapInArrow(run, "token string, half int, pos long, neg long")
+    partial = distinct_texts(sample).select("half", "y", "text").mapInArrow(run, "token string, half int, pos long, neg long")
     return partial.groupBy("token").agg(
         *[F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}{h}") for c in ("pos", "neg") for h in (0, 1)]
     )
@@ -197,13 +207,12 @@ def featured(df: DataFrame, carried: list[str], lexicon_of, ddl: str) -> DataFra
 def toxicity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, held_out: int = 2, most: int = 20_000, least: int = 4, ratio: float = 6.0) -> Toxicity:
     """Fits on at most `most` labelled rows; only features and the lexicon reach the driver."""
     sample = written(labelled_sample(docs, labels, label, parts, held_out, most), "labelled")
-    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int")
     totals = [[0, 0], [0, 0]]
-    for r in sample.dropDuplicates(["text"]).groupBy(half.alias("half"), "y").count().collect():
+    for r in distinct_texts(sample).groupBy("half", "y").count().collect():
         totals[r["half"]][1 if r["y"] else 0] += r["count"]
     first, second, whole = lexicons(written(lexicon_counts(sample), "lexicon"), totals, least, ratio)
     other = {0: second, 1: first}
-    x = featured(sample.withColumn("half", half), ["doc_id", "half", "y"], lambda kept: other[kept[1]], "doc_id long, half int, y int, x array<double>")
+    x = featured(sample.withColumn("half", half_of()), ["doc_id", "half", "y"], lambda kept: other[kept[1]], "doc_id long, half int, y int, x array<double>")
     found = x.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     y = found["y"].to_numpy(dtype=float)
     x = np.array(found["x"].tolist(), dtype=float).reshape(len(y), len(FEATURES))
