@@ -559,3 +559,11 @@ def test_one_thing_in_two_spellings():
         number = str(2_000_000_000 + i * 3_999_999)
         new, _ = pii.replaced(f"phone {number}", s)
         assert [k for *_, k in pii.entities(new)] == ["phone"] and number not in new
+
+
+def test_many_rows_of_one_id(spark):
+    """Equal and different texts without an id, through the shuffle: they don't meet each other."""
+    items = spark.createDataFrame([(1, BENCH), (2, prose(4141, 30))], "item_id long, text string")
+    rows = [(None, prose(1, 50) + " " + BENCH)] * 600 + [(None, prose(k, 60)) for k in range(300)] + [(7, prose(2, 30)), (7, prose(4141, 30)), (8, prose(3, 30))] + [(9, BENCH)] * 40
+    got = {r.doc_id: r for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items, broadcast_bytes=0).collect()}
+    assert {i: (r.contaminated, r.item_ids) for i, r in got.items()} == {None: (True, "1"), 7: (True, "2"), 8: (False, ""), 9: (True, "1")}
