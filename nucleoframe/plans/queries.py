@@ -498,6 +498,23 @@ def shown_norm(df):
     return rounded(rounded(df, *RATES), "normalized_reactivity", digits=4)
 
 
+def column_norm_sql(c: str) -> str:
+    """Divisors dv_<c> of a column by gene."""
+    return f"""a_{c} AS (SELECT gene, greatest(CASE WHEN count(*) >= 500 THEN quantile_cont({c}, 0.99) ELSE quantile_cont({c}, 0.95) END, 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))) AS cap FROM j GROUP BY ALL),
+k_{c} AS (SELECT j.* FROM j JOIN a_{c} USING (gene) WHERE {c} < cap), t_{c} AS (SELECT gene, quantile_cont({c}, 0.9) AS p90 FROM k_{c} GROUP BY ALL),
+dv_{c} AS (SELECT gene, avg({c}) AS divisor FROM k_{c} JOIN t_{c} USING (gene) WHERE {c} > p90 GROUP BY ALL)"""
+
+
+@query(f"""WITH {JOINED}, {column_norm_sql('mutrate_signal')}, {column_norm_sql('mutrate_control')}
+SELECT gene, pos, sample, round(mutrate_signal / nullif(s1.divisor, 0), 4) AS mutrate_signal_normalized, round(mutrate_control / nullif(s2.divisor, 0), 4) AS mutrate_control_normalized
+FROM j LEFT JOIN dv_mutrate_signal s1 USING (gene) LEFT JOIN dv_mutrate_control s2 USING (gene)""", "sides")
+def normalized_columns(spark, sf_dir):
+    """All numeric columns but the keys are found and normalized by gene."""
+    df = joined(spark, sf_dir).select("gene", "pos", "sample", "mutrate_signal", "mutrate_control")
+    names = ["mutrate_signal_normalized", "mutrate_control_normalized"]
+    return rounded(reactivity.normalize_by_gene(df, keys=("pos",)), *names, digits=4).select("gene", "pos", "sample", *names)
+
+
 @query(f"WITH {JOINED}, {gene_norm_sql('gene')} {NORMALIZED} (gene)", "sides")
 def reactivity_gene_norm(spark, sf_dir):
     return shown_norm(reactivity.normalize_by_gene(joined(spark, sf_dir), ["reactivity"]))

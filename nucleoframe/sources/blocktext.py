@@ -16,13 +16,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from .bgzf import BlockWriter, Stream, first_block, join_parts
+from .bgzf import BlockWriter, Stream, block_length, first_block, join_parts
 from .binning import VCF, Index, read_tbi, write_tbi
 from .files import opened, size_of
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
+def is_blocked(path: str) -> bool:
+    """Is this one file of blocks? False for patterns, folders, and stores that can't be opened here."""
+    try:
+        with opened(path) as f:
+            return block_length(f.read(18)) is not None
+    except (OSError, pa.ArrowInvalid):
+        return False
+
+
 def raw_lines(path: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(virtual offset, line) of the lines that belong to a range of the file's bytes."""
     with opened(path) as f:

@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.scalar import safe_int
 from ..operators.sweep import decode_name, parse_log
+from .blocktext import is_blocked, read_block_text
 
 
 def lines(spark: SparkSession, path) -> DataFrame:
+    """The lines (value) of text files. One block-gzipped file is read in splits; other gzip files are
+    one task each."""
+    if isinstance(path, str) and path.endswith((".gz", ".bgz")) and is_blocked(path):
+        return read_block_text(spark, path).select("value")
     return spark.read.text(path).select("value")
 
 

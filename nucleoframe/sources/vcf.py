@@ -12,12 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import info_map, safe_int
-from .blocktext import raw_lines, read_block_text, read_indexed_text
+from .blocktext import is_blocked, raw_lines, read_block_text, read_indexed_text
+from .text import lines
 
 
 def read_header(spark: SparkSession, path, first: int = 1000) -> tuple[list[str], list[str]]:
     """(cells, contigs) from the header lines of a file. Only its beginning is read: `first`
     lines, and eight times as many until the line of column names is among them."""
+    if isinstance(path, str) and path.endswith((".gz", ".bgz")) and is_blocked(path):
+        return block_header(path)
     raw, wanted = spark.read.text(path), first
     while True:
         head = [r.value for r in raw.take(wanted)]
@@ -103,16 +106,16 @@ def parse_cell_positions(raw: DataFrame, cells: list[str]) -> DataFrame:
 
 
 def read_cells_dense(spark: SparkSession, path) -> DataFrame:
-    return parse_cells_dense(spark.read.text(path), read_header(spark, path)[0])
+    return parse_cells_dense(lines(spark, path), read_header(spark, path)[0])
 
 
 def read_cells_sparse(spark: SparkSession, path) -> DataFrame:
-    return parse_cells_sparse(spark.read.text(path), read_header(spark, path)[0])
+    return parse_cells_sparse(lines(spark, path), read_header(spark, path)[0])
 
 
 def read_cell_positions(spark: SparkSession, path, gene: str | None = None) -> DataFrame:
     """All records of a text file, or one gene's."""
-    out = parse_cell_positions(spark.read.text(path), read_header(spark, path)[0])
+    out = parse_cell_positions(lines(spark, path), read_header(spark, path)[0])
     return out if gene is None else out.where(F.col("gene") == gene)
 
 
@@ -181,7 +184,7 @@ def parse_base(raw: DataFrame, include_oth: bool = False, min_coverage: int = 10
 
 
 def read_base(spark: SparkSession, path, include_oth: bool = False, min_coverage: int = 100) -> DataFrame:
-    return parse_base(spark.read.text(path), include_oth, min_coverage)
+    return parse_base(lines(spark, path), include_oth, min_coverage)
 
 
 def parse_windows(raw: DataFrame, cells: list[str]) -> DataFrame:
@@ -194,7 +197,7 @@ def parse_windows(raw: DataFrame, cells: list[str]) -> DataFrame:
 
 
 def read_windows(spark: SparkSession, path) -> DataFrame:
-    return parse_windows(spark.read.text(path), read_header(spark, path)[0])
+    return parse_windows(lines(spark, path), read_header(spark, path)[0])
 
 
 def read_paired_windows(spark: SparkSession, first: str, second: str) -> DataFrame:
