@@ -31,12 +31,15 @@ def run_windows(spark, a) -> None:
 def run_cell_windows(spark, a) -> None:
     cells, contigs = vcf.read_header(spark, a.input)
     found = windows.cell_windows(vcf.read_cell_positions(spark, a.input), a.window, a.step, a.coverage_threshold, a.mutrate_threshold, a.legacy_anchor)
-    sinks.write_window_vcf(found, cells, contigs, a.output)
+    if a.output.endswith(".vcf.gz"):  # one file with its index
+        sinks.write_window_file(found, cells, contigs, a.output)
+    else:
+        sinks.write_window_vcf(found, cells, contigs, a.output)
 
 
 def write_records(records, a, path: str) -> None:
     """BAM part files, or SAM text, with the first input's header."""
-    header = bam.header_text(a.bam[0])
+    header = bam.header_text(a.bam[0]) if a.sam else bam.whole_header(a.bam[0])
     sinks.write_sam(records, header, path) if a.sam else bam.write_bam(records, path, header)
 
 
@@ -71,7 +74,7 @@ def run_gene_tag(spark, a) -> None:
 
 
 def run_sort(spark, a) -> None:
-    header = bam.header_text(a.bam[0])
+    header = bam.whole_header(a.bam[0])
     whole = bam.read_bam(spark, *a.bam)
     if a.output.endswith(".bam"):  # one file with its index
         bam.write_sorted_bam(whole, a.output, header)

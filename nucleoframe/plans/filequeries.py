@@ -15,7 +15,7 @@ from ..session import shared_path
 from ..sources import bam, blocktext, fastq, files, text, vcf
 from ..streaming import online
 from .proxies import proxy
-from .queries import CELL_SQL, CELLS, JOINED, MUTRATE_SQL, ROUND_TRIP, VCF_SQL, count_lines, joined, query, rounded, staged, table, vcf_lines
+from .queries import CELL_SQL, CELLS, GROUP_SQL, JOINED, MUTRATE_SQL, ROUND_TRIP, VCF_SQL, count_lines, joined, query, rounded, staged, table, vcf_lines
 
 M_CTE = MUTRATE_SQL.split("SELECT gene, pos, pos + 1")[0]
 
@@ -278,6 +278,14 @@ def runs_by_rate(spark, sf_dir):
     return lines.select(F.col("value").alias("directory"), F.col("place").alias("rank"))
 
 
+@query(GROUP_SQL, "runs")
+def sweep_file(spark, sf_dir):
+    """The statistics by parameter as the report has them, written and read."""
+    path = shared_path(spark, "sweep-stats")
+    sinks.write_tsv(rounded(sweep.group_stats(proxy(spark, sf_dir, "runs")), "mean", "std"), path, header=True, single=True)
+    return spark.read.csv(path, sep="\t", header=True, nullValue="NA", schema="parameter string, value string, metric string, mean double, std double, n long")
+
+
 def placed_lines(spark, path: str) -> DataFrame:
     """(place, value): the lines of a folder's part files, which follow each other by name, from 1."""
     numbered = text.numbered_lines(spark, path)

@@ -634,7 +634,10 @@ def log_summary_join(spark, sf_dir):
     return sweep.join_summaries(parsed_logs(spark, sf_dir), summaries)
 
 
-@query(" UNION ALL ".join(f"SELECT '{p}' AS parameter, {p} AS value, '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std, count({m}) AS n FROM runs GROUP BY {p}" for p in ("sensitivity", "mp", "rdg", "rfg") for m in ("overall_rate", "exact_rate", "multiple_rate") if p != "mp" or m == "overall_rate"), "runs")
+GROUP_SQL = " UNION ALL ".join(f"SELECT '{p}' AS parameter, {p} AS value, '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_samp({m}), 6) AS std, count({m}) AS n FROM runs GROUP BY {p}" for p in ("sensitivity", "mp", "rdg", "rfg") for m in ("overall_rate", "exact_rate", "multiple_rate") if p != "mp" or m == "overall_rate")
+
+
+@query(GROUP_SQL, "runs")
 def sweep_group_stats(spark, sf_dir):
     return rounded(sweep.group_stats(proxy(spark, sf_dir, "runs")), "mean", "std")
 

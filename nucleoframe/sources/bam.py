@@ -9,7 +9,6 @@ come as Arrow batches. Of an indexed file only the blocks of the wanted referenc
 
 from __future__ import annotations
 
-import gzip
 import io
 import os
 import struct
@@ -400,8 +399,17 @@ class BamSource(DataSource):
 
 def header_text(path: str) -> str:
     """The header of a file, which is all that is read of it."""
-    with gzip.open(path, "rb") as f:
-        return read_header(f)[0]
+    with opened(path) as f:
+        return header_of(f)[0]
+
+
+def whole_header(path: str) -> str:
+    """The header with a line for each reference that only the binary list names, for writing BAM."""
+    with opened(path) as f:
+        text, refs, _ = header_of(f)
+    known = {name for name, _ in references(text)}
+    missing = "".join(f"@SQ\tSN:{name}\tLN:{length}\n" for name, length in refs if name not in known)
+    return (text if not missing or text.endswith("\n") or not text else text + "\n") + missing
 
 
 def sort_order(path: str) -> str | None:

@@ -73,21 +73,18 @@ LAST = 1 << 62
 
 
 def records(path: str, kind: str, start: int, end: int = LAST, stop: int = LAST, exact: bool = False) -> Iterator[tuple]:
-    """(place, four fields) of a range of a file; with `exact` a record begins at its start."""
+    """(place, four fields) of a range of a file; with `exact` a record begins at its start. The place in a
+    gzip file without blocks is the record's number."""
     with opened(path) as f:
         if kind == "gzip":
             with gzip.open(f) as g:
-                at = 0
-                lines = []
-                for line in g:
-                    lines.append((at - 1, at, line.removesuffix(b"\n")))
-                    at += len(line)
-                    if len(lines) == 4:
-                        yield from framed(iter(lines), LAST, LAST, False)
-                        if not lines[0][2].rstrip(b"\r"):
-                            return
-                        lines = []
-                yield from framed(iter(lines), LAST, LAST, False)
+                number = 0  # such a file is one split, so its records are numbered
+                while four := [line.removesuffix(b"\n") for line in islice(g, 4)]:
+                    found = list(framed(iter([(-1, number, x) for x in four]), LAST, LAST, False))
+                    if not found:
+                        return
+                    yield from found
+                    number += 1
             return
         if kind == "blocks":
             first = first_block(f, start, f.seek(0, 2)) if start else 0

@@ -22,6 +22,9 @@ def test_cell_windows_tool(spark, tmp_path):
     cli.main(["cell-windows", "-i", str(tmp_path / "c.vcf"), "-o", str(tmp_path / "w")], spark)
     r = vcf.read_windows(spark, str(tmp_path / "w")).first()
     assert (r.win, r.cell, r.dp, r.mr) == (1, "c1", 800, 0.02)
+    cli.main(["cell-windows", "-i", str(tmp_path / "c.vcf"), "-o", str(tmp_path / "w.vcf.gz")], spark)
+    one = str(tmp_path / "w.vcf.gz")
+    assert vcf.read_windows(spark, one).first() == r and vcf.read_indexed_region(spark, one, "g").count() == 0 + len([x for x in gzip.open(one, "rt") if x[0] != "#"]) * 2
 
 
 def test_read_tools(spark, tmp_path, capsys):
@@ -49,6 +52,9 @@ def test_read_tools(spark, tmp_path, capsys):
     assert {r.tags["XT"] for r in bam.read_bam(spark, *parts("g")).collect()} == {"T1", "T2"}
     cli.main(["sort", path, "-o", str(tmp_path / "sorted")], spark)
     assert bam.read_bam(spark, *parts("sorted")).count() == 3
+    assert sorted(r.ref_name for r in bam.read_bam(spark, *parts("sorted")).collect()) == ["T1", "T1", "T2"]
+    cli.main(["sort", path, "-o", str(tmp_path / "one.bam")], spark)
+    assert [r.ref_name for r in bam.read_bam(spark, str(tmp_path / "one.bam")).orderBy("ord").collect()] == ["T1", "T1", "T2"] and (tmp_path / "one.bam.bai").exists()
     cli.main(["fastq-filter", "-i", path, "-o", str(tmp_path / "q")], spark)
     assert spark.read.text(str(tmp_path / "q/verdict=pass")).count() == 12
     (tmp_path / "s.txt").write_text("RL 10 2\nRL 20 1\nSN x 1\n")
