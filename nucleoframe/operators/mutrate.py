@@ -68,13 +68,14 @@ def mutation_rates(counts: DataFrame, ins_len: int = 3, del_len: int = 3, equal_
     )
 
 
-def with_gene_counts(positions: DataFrame, gene_counts: DataFrame) -> DataFrame:
-    """Adds normalized_cov (depth per million reads of the whole run, 8 places) and
-    g_readcount. Genes without counts keep NULL. The counts table has one row for each
+def with_gene_counts(positions: DataFrame, gene_counts: DataFrame, digits: int | None = 8) -> DataFrame:
+    """Adds normalized_cov (depth per million reads of the whole run, 8 places; without `digits`
+    as it is, for those who round it themselves: twice is not the same) and g_readcount. Genes without counts keep NULL. The counts table has one row for each
     gene; Spark broadcasts it if its size is below the session's threshold."""
     scale = F.col("total_reads") / F.lit(1e6)
     joined = positions.join(gene_counts.select("gene", F.col("reads").alias("g_readcount"), "total_reads"), "gene", "left")
-    return joined.withColumn("normalized_cov", F.bround(F.try_divide(F.col("depth").cast("double"), scale), 8)).drop("total_reads")
+    normalized = F.try_divide(F.col("depth").cast("double"), scale)
+    return joined.withColumn("normalized_cov", normalized if digits is None else F.bround(normalized, digits)).drop("total_reads")
 
 
 def position_filter(positions: DataFrame, coverage_threshold: int = -1, normalized_threshold: float = 10) -> DataFrame:

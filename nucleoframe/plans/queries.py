@@ -166,7 +166,7 @@ n AS (SELECT m.gene, pos, coverage, g.reads AS g_readcount, depth / (total_reads
 @query(NORMALIZED_SQL + " SELECT gene, pos, coverage, g_readcount, round(normalized_cov, 6) AS normalized_cov FROM n")
 def normalized_cov(spark, sf_dir):
     positions = mutrate.mutation_rates(text.parse_counts(count_lines(spark, sf_dir)))
-    out = mutrate.with_gene_counts(positions, gene_counts(spark, sf_dir))
+    out = mutrate.with_gene_counts(positions, gene_counts(spark, sf_dir), digits=None)
     return rounded(out, "normalized_cov").select("gene", "pos", "coverage", "g_readcount", "normalized_cov")
 
 
