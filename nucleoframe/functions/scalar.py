@@ -16,8 +16,9 @@ def column(c: Column | str) -> Column:
 
 
 def safe_int(text: Column | str, kind: str = "int") -> Column:
-    """A number, or NULL for what isn't one."""
-    return column(text).try_cast(kind)
+    """A number, or NULL for what isn't one. A dot, which stands for missing values, isn't tried: each
+    failed cast makes an exception, which takes longer than all else about a value."""
+    return F.when(column(text) != ".", column(text).try_cast(kind))
 
 
 def guarded_ratio(part: Column | str, whole: Column | str) -> Column:

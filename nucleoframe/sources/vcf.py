@@ -12,23 +12,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import info_map, safe_int
+from ..session import written
 from .blocktext import is_blocked, raw_lines, read_block_text, read_indexed_text
+from .files import matching
 from .text import lines
 
 
 def read_header(spark: SparkSession, path, first: int = 1000) -> tuple[list[str], list[str]]:
-    """(cells, contigs) from the header lines of a file. Only its beginning is read: `first`
-    lines, and eight times as many until the line of column names is among them."""
+    """(cells, contigs) from the header lines of a file, or of a folder whose files follow each
+    other by name. Only its beginning is read: `first` lines of a file, and eight times as
+    many until the line of column names is among them, then those of the next file."""
     if isinstance(path, str) and path.endswith((".gz", ".bgz")) and is_blocked(path):
         return block_header(path)
-    raw, wanted = spark.read.text(path), first
-    while True:
-        head = [r.value for r in raw.take(wanted)]
-        end = next((i for i, x in enumerate(head) if x.startswith("#CHROM") or not x.startswith("#")), None)
-        if end is not None or len(head) < wanted:
+    # Spark deals out the files of a folder by size, so each is read by itself
+    parts = [p for p in matching(spark, f"{path}/*") if not p.split("/")[-1].startswith(("_", "."))] if isinstance(path, str) else []
+    head, end = [], None
+    for part in parts or [path]:
+        raw, wanted = spark.read.text(part), first
+        while True:
+            own = [r.value for r in raw.take(wanted)]
+            end = next((i for i, x in enumerate(own) if x.startswith("#CHROM") or not x.startswith("#")), None)
+            if end is not None or len(own) < wanted:
+                break
+            wanted *= 8
+        head += own if end is None else own[: end + 1]
+        if end is not None:
             break
-        wanted *= 8
-    head = head if end is None else head[: end + 1]
     contigs = [m[1] for x in head if (m := re.match(r"##contig=<ID=([^,>]+)", x))]
     names = next((x.rstrip("\n").split("\t") for x in head if x.startswith("#CHROM")), [])
     return names[9:], contigs
@@ -99,10 +108,15 @@ def parse_cells_sparse(raw: DataFrame, cells: list[str]) -> DataFrame:
 def parse_cell_positions(raw: DataFrame, cells: list[str]) -> DataFrame:
     """The cell_position table for windows; a record without any cell is kept as one row
     with cell NULL, since it takes part in the gene's anchor."""
-    spread = by_cell(records(raw), cells, outer=True)
-    whole = spread.withColumns({"dp": safe_int(field("DP")), "ad": safe_int(field("AD"))})
-    there = F.col("dp").isNotNull() & F.col("ad").isNotNull()
-    return whole.select("gene", "pos", "ref", F.when(there, F.col("cell")).alias("cell"), "cell_idx", F.when(there, F.col("dp")).alias("dp"), F.when(there, F.col("ad")).alias("ad"))
+    # numbers are read inside the array, so that cells without both counts make no rows
+    at = {f: F.col(f"at_{f}") for f in ("DP", "AD")}
+    split = F.transform("samples", lambda x, i: F.struct(i.alias("cell_idx"), F.split(x, ":").alias("v")))
+    numbers = F.transform(split, lambda s: F.struct(s["cell_idx"].alias("cell_idx"), *[safe_int(F.get(s["v"], at[f] - 1)).alias(f.lower()) for f in at]))
+    kept = F.filter(numbers, lambda s: (s["cell_idx"] < len(cells)) & s["dp"].isNotNull() & s["ad"].isNotNull())
+    missing = F.raise_error(F.concat(F.lit("FORMAT has no DP or AD at "), F.col("gene"))).cast("array<struct<cell_idx:int,dp:int,ad:int>>")
+    spread = records(raw).select("gene", "pos", "ref", F.explode_outer(F.when((at["DP"] > 0) & (at["AD"] > 0), kept).otherwise(missing)).alias("s"))
+    named = F.array(*[F.lit(c) for c in cells]).cast("array<string>")
+    return spread.select("gene", "pos", "ref", F.get(named, F.col("s.cell_idx")).alias("cell"), "s.cell_idx", "s.dp", "s.ad")
 
 
 def read_cells_dense(spark: SparkSession, path) -> DataFrame:
@@ -119,18 +133,37 @@ def read_cell_positions(spark: SparkSession, path, gene: str | None = None) -> D
     return out if gene is None else out.where(F.col("gene") == gene)
 
 
-def store_by_gene(cell_positions: DataFrame, path: str) -> None:
+#: Folders of a store: one per gene, or, where genes are more than these, as many groups of genes.
+FOLDERS, GROUPS = 512, 64
+
+
+def gene_group(gene: Column) -> Column:
+    return F.pmod(F.crc32(gene.cast("binary")), F.lit(GROUPS)).cast("int")
+
+
+def store_by_gene(cell_positions: DataFrame, path: str, folders: int = FOLDERS) -> None:
     """The indexed form: Parquet in one folder per gene, sorted by position. Rows are dealt
-    by ranges of gene and position, so a deep gene is several files."""
-    cell_positions.repartitionByRange("gene", "pos").sortWithinPartitions("gene", "pos").write.partitionBy("gene").parquet(path)
+    by ranges of gene and position, so a deep gene is several files. More genes than `folders` share
+    GROUPS folders, sorted by gene and position, so the number of files doesn't grow with the genes."""
+    held = written(cell_positions, "store")
+    if held.select("gene").distinct().limit(folders + 1).count() <= folders:
+        held.repartitionByRange("gene", "pos").sortWithinPartitions("gene", "pos").write.partitionBy("gene").parquet(path)
+    else:
+        keys = ["gene_group", "gene", "pos"]
+        grouped = held.withColumn("gene_group", gene_group(F.col("gene")))
+        grouped.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("gene_group").parquet(path)
 
 
 def read_region(spark: SparkSession, store: str, gene: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """The cell positions of one gene, or of first..last of it, from a store written by
-    store_by_gene(): only the gene's folder is listed, and of its files the row groups whose
-    positions can be in the range are read."""
+    store_by_gene(): only the folder of the gene, or of its group, is read, and of its files the
+    row groups whose genes and positions can be those."""
     schema = "pos long, ref string, cell string, cell_idx int, dp int, ad int, gene string"
-    out = spark.read.schema(schema).parquet(store).where(F.col("gene") == gene)
+    if matching(spark, f"{store}/gene_group=*"):
+        out = spark.read.schema(f"{schema}, gene_group int").parquet(store).where(F.col("gene_group") == gene_group(F.lit(gene)))
+    else:
+        out = spark.read.schema(schema).parquet(store)
+    out = out.where(F.col("gene") == gene)
     if first is not None:
         out = out.where(F.col("pos") >= first)
     if last is not None:

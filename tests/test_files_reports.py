@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from nucleoframe import sinks
+from nucleoframe.functions import scalar
 from nucleoframe.operators import correlation, mutrate, quality, reactivity, sweep
-from nucleoframe.sources import fastq, files, text, vcf
+from nucleoframe.sources import blocktext, fastq, files, text, vcf
 from nucleoframe.streaming import online
 
 
@@ -59,6 +60,56 @@ def test_regions_are_pruned(spark, tmp_path):
     assert vcf.read_region(spark, str(tmp_path / "store"), "none").count() == 0
 
 
+def test_many_genes_share_folders(spark, tmp_path):
+    """A store of more genes than folders has a bounded number of them, and the same regions."""
+    df = spark.createDataFrame([(f"g{g}", p, "A", "c", 0, p, g) for g in range(300) for p in range(4)], "gene string, pos long, ref string, cell string, cell_idx int, dp int, ad int")
+    store = str(tmp_path / "store")
+    vcf.store_by_gene(df, store, folders=20)
+    assert 1 < len(files.matching(spark, f"{store}/*=*")) <= vcf.GROUPS
+    for g in (0, 7, 299):
+        assert sorted((r.gene, r.pos, r.ad) for r in vcf.read_region(spark, store, f"g{g}", 1, 2).collect()) == [(f"g{g}", 1, g), (f"g{g}", 2, g)]
+    plan = vcf.read_region(spark, store, "g7", 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(gene_group" in plan and "EqualTo(gene,g7)" in plan
+    assert vcf.read_region(spark, store, "none").count() == 0
+
+
+def test_header_in_a_folder_of_parts(spark, tmp_path):
+    """The header is in the first files by name, also where a later one is larger and the header goes over two."""
+    (tmp_path / "part-0").write_text("##fileformat=VCFv4.2\n##contig=<ID=g1>\n")
+    (tmp_path / "part-1").write_text("##contig=<ID=g2>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\n")
+    (tmp_path / "part-2").write_text("g1\t1\t.\tA\n" * 5000)
+    (tmp_path / "_SUCCESS").write_text("")
+    assert vcf.read_header(spark, str(tmp_path)) == (["a", "b"], ["g1", "g2"])
+
+
+def test_marks_of_parts_hold_their_own_names(spark, tmp_path):
+    """Of 20,000 listed names a part's index has those of its range; the plan doesn't list names."""
+    names = [f"g{i}" for i in range(20_000)]
+    df = spark.createDataFrame([(names[i * 7], 5 + i % 3, 1, f"{names[i * 7]}\t{5 + i % 3}\tx") for i in range(2500)], "name string, pos long, ref_length long, value string")
+    path = str(tmp_path / "x.gz")
+    assert blocktext.write_indexed_text(df, path, names, ["#h"]) == 2500
+    assert [r.value for r in blocktext.read_indexed_text(spark, path).where("name = 'g7007'").collect()] == ["g7007\t7\tx"]
+    lines = blocktext.read_block_text(spark, path).orderBy("ord").collect()
+    assert [r.value.split("\t")[0] for r in lines[1:]] == names[:17_500:7]
+    assert "g7007" not in blocktext.placed(df, names, "name").select("place")._jdf.queryExecution().analyzed().toString()
+
+
+def test_dots_are_missing_numbers(spark):
+    """A dot isn't cast, which would make an exception for each."""
+    one = spark.createDataFrame([(".", "7", "x", " 8")], "a string, b string, c string, d string")
+    assert tuple(one.select(*[scalar.safe_int(c) for c in "abcd"]).first()) == (None, 7, None, 8)
+    assert "CASE WHEN" in str(scalar.safe_int("a"))
+
+
+def test_normalized_coverage_is_rounded_once(spark):
+    """1.499996 millionths are 1 of them; by way of eight places they would be 1.5, and so 2."""
+    positions = spark.createDataFrame([("g", 1, 1499996)], "gene string, pos long, depth long")
+    genes = spark.createDataFrame([("g", 5, 1)], "gene string, reads long, total_reads long")
+    whole = mutrate.with_gene_counts(positions, genes.withColumn("total_reads", F.lit(10**18)), digits=None).select(scalar.round_like_numpy("normalized_cov", 6)).first()[0]
+    assert whole == 1e-6
+    assert mutrate.with_gene_counts(positions, genes.withColumn("total_reads", F.lit(10**18))).first().normalized_cov == 1.5e-6
+
+
 def test_mutation_detail(spark):
     """Kinds whose sum is 0 aren't listed, and repeated letters add up."""
     raw = spark.createDataFrame([("g 5 a 100 A:60:1 C:10:1 A:20:2 +A:0:0 -AC:3:1 +ACGTA:2:1",), ("g 6 c 0 C:0:0",)], "value string")
