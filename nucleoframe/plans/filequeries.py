@@ -92,7 +92,7 @@ def window_file_order(spark, sf_dir):
     genes = [r.gene for r in found.select("gene").distinct().orderBy(F.desc("gene")).collect()]
     path = f"{shared_path(spark, 'window-file').removeprefix('file:')}/windows.vcf.gz"
     sinks.write_window_file(found, CELLS, genes, path)
-    lines = blocktext.read_block_text(spark, path, split=100_000).where(~F.col("value").startswith("#"))
+    lines = blocktext.read_block_text(spark, path, split=blocktext.split_of(path)).where(~F.col("value").startswith("#"))
     parsed = vcf.parse_windows(lines, vcf.block_header(path)[0]).groupBy("gene", "win", "win_end").agg(F.sum("dp").alias("dp"), F.count("*").alias("n"))
     # a record's place comes from where its line lies in the file
     p = F.split("value", "\t")
@@ -131,7 +131,7 @@ def indexed_vcf(spark, sf_dir) -> str:
     """The cells' lines as one block-gzipped VCF file, sorted, with its index; the path."""
     path = f"{shared_path(spark, 'indexed').removeprefix('file:')}/cells.vcf.gz"
     lines = vcf_lines(spark, sf_dir)
-    genes = [r.g for r in lines.select(F.split("value", "\t")[0].alias("g")).distinct().orderBy("g").collect()]
+    genes = [r.gene for r in proxy(spark, sf_dir, "cell_position").select("gene").distinct().orderBy("gene").collect()]
     p = F.split("value", "\t")
     blocktext.write_indexed_text(lines.select(p[0].alias("name"), p[1].cast("long").alias("pos"), F.length(p[3]).alias("ref_length"), "value"), path, genes, VCF_HEAD)
     return path
@@ -139,9 +139,9 @@ def indexed_vcf(spark, sf_dir) -> str:
 
 @query(VCF_SQL.format(more="AND pos % 2 = 0"), "cell_position")
 def cells_file(spark, sf_dir):
-    """A block-gzipped cell VCF file, read in splits of a hundred kilobytes."""
+    """A block-gzipped cell VCF file, read in splits of a hundred kilobytes and more."""
     path = indexed_vcf(spark, sf_dir)
-    return rounded(vcf.parse_cells_sparse(blocktext.read_block_text(spark, path, split=100_000), CELLS), "mutrate")
+    return rounded(vcf.parse_cells_sparse(blocktext.read_block_text(spark, path, split=blocktext.split_of(path)), CELLS), "mutrate")
 
 
 REGION_SQL = "SELECT gene, pos, 'A' AS ref, cell, CAST(substr(cell, 2) AS INTEGER) - 1 AS cell_idx, CAST(dp AS INTEGER) AS dp, CAST(ad AS INTEGER) AS ad FROM cell_position WHERE gene = 'g7' AND pos BETWEEN 10 AND 1500 AND dp IS NOT NULL"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.blocktext import write_indexed_text
+from ..sources.blocktext import placed, write_indexed_text
 
 
 def write_tsv(df: DataFrame, path: str, header: bool = False, single: bool = False, compression: str = "gzip", by=()) -> None:
@@ -49,8 +49,7 @@ def window_vcf_header(cells: list[str], contigs: list[str]) -> list[str]:
 def write_window_vcf(windows: DataFrame, cells: list[str], contigs: list[str], path: str) -> None:
     """A folder of text parts in order of contig and position, the header in the first."""
     spark: SparkSession = windows.sparkSession
-    rank = F.array_position(F.array(*[F.lit(c) for c in contigs]), F.col("gene"))
-    body = window_vcf_lines(windows, cells).select(rank.cast("long").alias("a"), F.col("win").alias("b"), "value")
+    body = placed(window_vcf_lines(windows, cells), contigs, "gene").select(F.coalesce("place", F.lit(0)).cast("long").alias("a"), F.col("win").alias("b"), "value")
     head = spark.createDataFrame([(-1, i, x) for i, x in enumerate(window_vcf_header(cells, contigs))], "a long, b long, value string")
     head.union(body).orderBy("a", "b").select("value").write.text(path, compression="gzip")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -246,36 +247,50 @@ def read_indexed_text(spark: SparkSession, *paths: str, split: int = 64 << 20) -
     return spark.read.format("nucleo_indexed_text").option("paths", ",".join(paths)).option("split", split).load()
 
 
+def placed(df: DataFrame, names: list[str], column: str) -> DataFrame:
+    """The rows with `place`, that of their name in a header's list, from 1; NULL for one that isn't listed."""
+    first = {n: i for i, n in reversed(list(enumerate(names, 1)))}
+    listed = df.sparkSession.createDataFrame(list(first.items()), f"`{column}` string, place long")
+    return df.join(F.broadcast(listed), column, "left")
+
+
+def split_of(path: str, parts: int = 64, least: int = 100_000, most: int = 64 << 20) -> int:
+    """The bytes of a split: `parts` splits of a file, but no smaller or larger ones than these."""
+    return min(max(size_of(path) // parts, least), most)
+
+
 def write_indexed_text(lines: DataFrame, path: str, names: list[str], header: list[str], layout: tuple = VCF) -> int:
     """One block-gzipped file of (name, pos, ref_length, value), in order of `names`, pos and
     value, below the header lines, and its index; gives the number of lines. Spark sorts by
     ranges, each task writes its blocks and the index of its part, and the parts are joined as
-    they are. A part's index is as large as its references, not as its lines. The folder must be a file system that all
-    executors mount; names that aren't listed are an error."""
+    they are. A part's index holds the names that its range has, not all of them or its lines. The folder must be a
+    file system that all executors mount; names that aren't listed are an error."""
     spark, parts = lines.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
     os.makedirs(parts)
     numbers = {n: i for i, n in enumerate(names)}
-    place = F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("name"))
-    known: Column = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("no such name: "), F.coalesce("name", F.lit("null")))).cast("long"))
-    dealt = lines.select("name", F.col("pos").cast("long").alias("pos"), F.col("ref_length").cast("long").alias("ref_length"), "value").orderBy(known, "pos", "value")
+    known: Column = F.coalesce("place", F.raise_error(F.concat(F.lit("no such name: "), F.coalesce("name", F.lit("null")))).cast("long"))
+    dealt = placed(lines, names, "name").select("name", F.col("pos").cast("long").alias("pos"), F.col("ref_length").cast("long").alias("ref_length"), "value", known.alias("place"))
+    dealt = dealt.orderBy("place", "pos", "value").select("name", "pos", "ref_length", "value")
 
     def write(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get()
         name, index, n = f"{parts}/{task.partitionId():05d}-{task.taskAttemptId()}", Index(), 0
+        own: dict[str, int] = {}
         with open(name, "wb") as f:
             out = BlockWriter(f)
             for batch in batches:
                 for ref, pos, length, value in zip(*(c.to_pylist() for c in batch.columns)):
                     begin = out.tell()
                     out.write(value.encode() + b"\n")
-                    index.add(numbers[ref], pos - 1, pos - 1 + max(length or 1, 1), begin, out.tell())
+                    index.add(own.setdefault(ref, len(own)), pos - 1, pos - 1 + max(length or 1, 1), begin, out.tell())
                     n += 1
             out.flush()
-        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "marks": index.body(len(names))}])
+        marks = zlib.compress(index.body(len(own)), 1)
+        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "names": list(own), "marks": marks}])
 
-    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, marks binary").collect())
+    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, names array<string>, marks binary").collect())
     with open(f"{parts}/head", "wb") as f:
         out = BlockWriter(f)
         out.write("".join(f"{x}\n" for x in header).encode())
@@ -284,7 +299,7 @@ def write_indexed_text(lines: DataFrame, path: str, names: list[str], header: li
         places = join_parts(spark, f.read(), [(r.file, r.size) for r in made], path)
     whole = Index()
     for r, at in zip(made, places):
-        whole.append(Index().read_body(bytes(r.marks), 0, len(names)), at)
+        whole.append(Index().read_body(zlib.decompress(r.marks), 0, len(r.names)), at, dict(enumerate(numbers[x] for x in r.names)))
     write_tbi(f"{path}.tbi", whole, names, layout)
     for name in os.listdir(parts):
         os.remove(f"{parts}/{name}")
