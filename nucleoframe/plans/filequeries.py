@@ -198,7 +198,7 @@ def sorted_bam_order(spark, sf_dir):
     df = whole_alignments(spark, sf_dir).withColumns({"tags": F.create_map(F.lit("XO"), F.col("ord").cast("string")), "tag_types": F.create_map(F.lit("XO"), F.lit("Z"))})
     path = f"{shared_path(spark, 'sorted').removeprefix('file:')}/all.bam"
     bam.write_sorted_bam(df, path, bam_header())
-    back = bam.read_bam(spark, path, columns=["ord", "read_id", "ref_name", "tags"], split=200_000)
+    back = bam.read_bam(spark, path, columns=["ord", "read_id", "ref_name", "tags"], split=blocktext.split_of(path, least=200_000))
     ranked = ranks.running(back.withColumn("n", F.lit(1).cast("long")), "ord")
     return ranked.select(F.col("upto").alias("place"), F.col("tags")["XO"].cast("long").alias("ord"), "read_id", "ref_name")
 
@@ -225,7 +225,9 @@ def folded_reads(spark, sf_dir):
     path = shared_path(spark, "by-name")
     by_name = whole_alignments(spark, sf_dir).repartitionByRange("read_id").sortWithinPartitions("read_id", "ord")
     bam.write_bam(by_name, path.removeprefix("file:"), bam_header().replace("coordinate", "queryname"))
-    back = bam.read_bam(spark, *files.matching(spark, f"{path}/*.bam"), columns=["read_id", "ref_name", "ref_length"], split=20_000, whole_reads=True)
+    made = files.matching(spark, f"{path}/*.bam")
+    split = max(blocktext.split_of(p, parts=4, least=20_000) for p in made)
+    back = bam.read_bam(spark, *made, columns=["read_id", "ref_name", "ref_length"], split=split, whole_reads=True)
     return rounded(reads.fold_reads(back), "max_ratio")
 
 
