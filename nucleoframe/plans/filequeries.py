@@ -347,13 +347,21 @@ def unique_read_table(spark, sf_dir):
     return sinks.unique_read_table(reads.read_stats(proxy(spark, sf_dir, "alignments")))
 
 
+def sized(df: DataFrame, each: int = 8 << 20) -> int:
+    """So many tasks that each has about `each` bytes of the files that the frame is made from."""
+    spark = df.sparkSession
+    whole = sum(files.bytes_of(spark, p) for p in df.inputFiles())
+    return max(1, -(-whole // each))
+
+
 def streamed(spark, df: DataFrame, build, mode: str, name: str, ordered: str | None = None) -> DataFrame:
-    """The result of a query over the frame's rows as a stream: two files, so two batches. With
+    """The result of a query over the frame's rows as a stream: two batches, of as many files as the input has parts. With
     `ordered` the batches are ranges of that column, and they come in its order."""
     source = shared_path(spark, f"{name}-in")
     if ordered is None:
-        df.repartition(2).write.parquet(source)
-        shown = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        parts = sized(df)
+        df.repartition(2 * parts).write.parquet(source)
+        shown = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(source)
     else:  # files are taken by age
         half = df.approxQuantile(ordered, [0.5], 0.01)[0]
         for rows in (df.where(F.col(ordered) <= half), df.where(F.col(ordered) > half)):
@@ -382,7 +390,7 @@ def timed(spark, sf_dir) -> DataFrame:
     """The alignments in order of read, as a stream sorted by name has them, at one second each, and
     one that is long after all of them."""
     df = proxy(spark, sf_dir, "alignments")
-    last = df.select(F.max("ord").alias("ord")).select((F.col("ord") + 10**8).alias("ord"), F.lit("the end").alias("read_id"), F.lit(0).alias("flag"), F.lit("T0").alias("ref_name"), F.lit(1).alias("ref_length"))
+    last = df.select(F.max("ord").alias("ord")).select((F.col("ord") * 2 + 10**8).alias("ord"), F.lit("the end").alias("read_id"), F.lit(0).alias("flag"), F.lit("T0").alias("ref_name"), F.lit(1).alias("ref_length"))
     return df.unionByName(last).withColumn("at", F.timestamp_seconds(F.col("ord") + 86_400))
 
 
@@ -399,7 +407,9 @@ s AS (SELECT read_id, sum(n) AS alignments, count(*) AS refs, max(n) / sum(n) AS
 SELECT count(*) AS total_reads, count(*) FILTER (WHERE alignments = 1) AS single, count(*) FILTER (WHERE refs = 1) AS "unique", round(avg(ratio), 6) AS mean_ratio, round(min(ratio), 6) AS min_ratio, count(*) FILTER (WHERE ratio >= 0.5 AND ratio < 0.8) AS ratio_05 FROM s""", "alignments")
 def streamed_summary(spark, sf_dir):
     """The summary of all reads of a window of time, by two stateful operators one behind the other."""
-    out = streamed(spark, timed(spark, sf_dir), lambda s: online.online_summary(s, "at", delay="1 minute", window="1000 days"), "append", "summary", ordered="ord")
+    whole = proxy(spark, sf_dir, "alignments").agg(F.max("ord")).first()[0] or 0
+    days = max(1000, whole // 86_400 + 3)  # windows begin at 1970, so the first one holds all alignments
+    out = streamed(spark, timed(spark, sf_dir), lambda s: online.online_summary(s, "at", delay="1 minute", window=f"{days} days"), "append", "summary", ordered="ord")
     return rounded(out.where("window.start < timestamp'1971-01-01'").select("total_reads", "single", "unique", "mean_ratio", "min_ratio", "ratio_05"), "mean_ratio", "min_ratio")
 
 

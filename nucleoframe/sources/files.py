@@ -40,6 +40,12 @@ def size_of(path: str) -> int:
         return f.seek(0, 2)
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """The size of a file of any store that Spark reads."""
+    path, store = _path(spark, path)
+    return store.getFileStatus(path).getLen()
+
+
 def listed(folder: str, pattern: str) -> list[str]:
     """The files of a folder whose names match, sorted, in a worker."""
     if folder.startswith("file:") or "://" not in folder:

@@ -53,3 +53,28 @@ def test_summary_of_a_window(spark, sorted_reads, tmp_path):
     (got,) = out.where("window.start < timestamp'1970-01-09'").collect()
     got = got.asDict()
     assert all(got[k] == pytest.approx(v) for k, v in want.items()) and state[-1] < 5, state
+
+
+def late_lines(spark, path):
+    """A lineitem table whose alignments lie in more than 1000 days of a second each."""
+    rows = [(o, 1 + o % 7, s, n, float(5 + n)) for o in (1, 5_000_000, 9_000_000, 20_000_000) for n, s in ((1, 3), (2, 4))]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double")
+    df.repartition(3).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_the_window_of_the_summary_holds_all_reads(spark, tmp_path):
+    from nucleoframe.plans import filequeries
+
+    provider = spark.conf.get(online.STATE_STORE[0], None)
+    (got,) = filequeries.streamed_summary(spark, late_lines(spark, tmp_path)).collect()
+    assert got.total_reads == 4 and got["unique"] == 0 and got.mean_ratio == 0.5
+    if provider is not None:
+        spark.conf.set(online.STATE_STORE[0], provider)
+
+
+def test_files_of_a_stream_are_as_many_as_the_input_needs(spark, tmp_path):
+    from nucleoframe.plans import filequeries
+
+    df = spark.read.parquet(f"{late_lines(spark, tmp_path)}/lineitem.parquet")
+    assert filequeries.sized(df) == 1 and filequeries.sized(df, each=1000) > 1
