@@ -195,3 +195,20 @@ def test_padded_rolling(spark, dense):
         got = {tuple(r) for r in windows.padded_rolling(df, win_len, step, 40, dense).collect()}
         assert {r[:4] for r in got} == {r[:4] for r in want}
         assert all(abs(dict((r[:4], r[4]) for r in got)[r[:4]] - r[4]) < 1.1e-5 for r in want)
+
+
+def test_pivot_pearson_in_tiles(spark, monkeypatch):
+    """More groups than a task's matrix has: blocks of them, each pair by itself, rows with a hole left out."""
+    monkeypatch.setattr(correlation, "WIDE", 4)
+    rng = random.Random(11)
+    rows = [(i if i else None, None if g == 7 else f"s{g}", 3.0 if g == 5 else 100 + rng.random()) for i in range(30) for g in range(23) for _ in range(2) if (i, g) not in ((3, 2), (9, 21))]
+    df = spark.createDataFrame(rows, "i int, g string, v double")
+    import pandas as pd
+
+    held = pd.DataFrame([(-1 if i is None else i, g or "null", v) for i, g, v in rows], columns=["i", "g", "v"])
+    wide = held.pivot_table(index="i", columns="g", values="v").dropna()
+    want = wide.corr()
+    for groups in (None, sorted(want)):
+        got = correlation.pivot_pearson(df, "i", "g", "v", groups).collect()
+        assert len(got) == 23 * 24 // 2 and {(r.a, r.b) for r in got} == {(a, b) for a in want for b in want if a <= b}
+        assert all(r.n == 28 and (r.r is None if "s5" in (r.a, r.b) else abs(r.r - want.loc[r.a, r.b]) < 1e-9) for r in got)
