@@ -8,38 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.scalar import round_half_even
 
 
-#: What an item is: short and long insertions and deletions, the reference's letter, others.
-INS, LONG_INS, DEL, LONG_DEL, SAME, OTHER = range(1, 7)
-
-
-def classified(items: Column, same: Column, ins_len: int, del_len: int) -> Column:
-    """ARRAY<STRUCT<kind, n>> from texts like A:90:1; the symbol is before the first colon."""
-
-    def one(x: Column) -> Column:
-        letters = F.instr(x, ":") - 2
-        kind = (
-            F.when(x.startswith("+"), F.when(letters <= ins_len, INS).otherwise(LONG_INS))
-            .when(x.startswith("-"), F.when(letters <= del_len, DEL).otherwise(LONG_DEL))
-            .when(F.substring_index(x, ":", 1) == same, SAME)
-            .otherwise(OTHER)
-        )
-        return F.struct(kind.alias("kind"), F.get(F.split(x, ":"), F.lit(1)).cast("long").alias("n"))
-
-    return F.transform(items, one)
-
-
-def summed(items: Column) -> Column:
-    """STRUCT<ins, long_ins, dels, long_dels, same> in one walk; `same` is NULL if the
-    reference's letter isn't there, and adds up its repeated items."""
+def summed(items: Column, same: Column, ins_len: int, del_len: int) -> Column:
+    """STRUCT<ins STRUCT<short, long>, dels STRUCT<short, long>, same> of texts like A:90:1; the symbol is before the first
+    colon. `same` is NULL if the reference's letter isn't there, and adds up its repeated items. Only
+    the few items that count make sums; to test a text's beginning is cheap beside that."""
     zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("ins"), zero.alias("long_ins"), zero.alias("dels"), zero.alias("long_dels"), F.lit(None).cast("long").alias("same"))
+    number = lambda x: F.get(F.split(x, ":"), F.lit(1)).cast("long")
+
+    def by_length(sign: str, most: int) -> Column:
+        def add(a: Column, x: Column) -> Column:
+            short, n = F.instr(x, ":") - 2 <= most, number(x)
+            return F.struct((a["short"] + F.when(short, n).otherwise(0)).alias("short"), (a["long"] + F.when(short, 0).otherwise(n)).alias("long"))
 
-    def add(a: Column, x: Column) -> Column:
-        plus = lambda name, kind: (a[name] + F.when(x["kind"] == kind, x["n"]).otherwise(0)).alias(name)
-        same = F.when(x["kind"] == SAME, F.coalesce(a["same"], F.lit(0)) + x["n"]).otherwise(a["same"])
-        return F.struct(plus("ins", INS), plus("long_ins", LONG_INS), plus("dels", DEL), plus("long_dels", LONG_DEL), same.alias("same"))
+        return F.aggregate(F.filter(items, lambda x: x.startswith(sign)), F.struct(zero.alias("short"), zero.alias("long")), add)
 
-    return F.aggregate(items, start, add)
+    letters = F.filter(items, lambda x: (F.substring_index(x, ":", 1) == same) & ~x.startswith("+") & ~x.startswith("-"))
+    matches = F.aggregate(letters, F.lit(None).cast("long"), lambda a, x: F.coalesce(a, zero) + number(x))
+    return F.struct(by_length("+", ins_len).alias("ins"), by_length("-", del_len).alias("dels"), matches.alias("same"))
 
 
 def mutation_rates(counts: DataFrame, ins_len: int = 3, del_len: int = 3, equal_symbol_ref: bool = False, strict: bool = False) -> DataFrame:
@@ -53,14 +38,15 @@ def mutation_rates(counts: DataFrame, ins_len: int = 3, del_len: int = 3, equal_
     deletion is listed if its sum isn't 0. The reference letter is looked up in upper case and
     given as read; one that isn't among the items leaves mutant NULL, or raises if strict."""
     wanted = F.lit("=") if equal_symbol_ref else F.upper("refnt")
-    df = counts.withColumn("s", summed(classified(F.col("items"), wanted, ins_len, del_len)))
+    # behind a generator, or each sum, condition and rate would walk the items again
+    df = counts.select("*", F.explode(F.array(summed(F.col("items"), wanted, ins_len, del_len))).alias("s"))
     same = F.col("s.same")
     if strict:
         same = F.coalesce(same, F.raise_error(F.concat(F.lit("no count of the reference at "), F.col("gene"), F.lit(":"), F.col("pos").cast("string"))).cast("long"))
-    df = df.withColumns({"coverage": F.col("depth") + F.col("s.ins") + F.col("s.long_ins"), "adj_coverage": F.col("depth") + F.col("s.ins") - F.col("s.long_dels")})
+    df = df.withColumns({"coverage": F.col("depth") + F.col("s.ins.short") + F.col("s.ins.long"), "adj_coverage": F.col("depth") + F.col("s.ins.short") - F.col("s.dels.long")})
     df = df.withColumn("mutant", F.col("adj_coverage") - same)
     plain = F.transform(F.filter("items", lambda x: ~x.startswith("+") & ~x.startswith("-")), lambda x: F.substring_index(x, ":", 2))
-    listed = [F.when(F.col(f"s.{name}") != 0, F.concat(F.lit(sign), F.col(f"s.{name}").cast("string"))) for sign, name in (("+:", "ins"), ("-:", "dels"), ("+++:", "long_ins"), ("---:", "long_dels"))]
+    listed = [F.when(F.col(f"s.{name}") != 0, F.concat(F.lit(sign), F.col(f"s.{name}").cast("string"))) for sign, name in (("+:", "ins.short"), ("-:", "dels.short"), ("+++:", "ins.long"), ("---:", "dels.long"))]
     mutrate = round_half_even(F.try_divide(F.col("mutant").cast("double"), F.col("coverage").cast("double")), 8)
     return df.select(
         "gene", "pos", (F.col("pos") + 1).alias("end"), mutrate.alias("mutrate"), "coverage", "adj_coverage", "mutant", F.col("depth"),

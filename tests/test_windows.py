@@ -111,3 +111,17 @@ def test_position_and_window_files(spark, rows, tmp_path):
     (tmp_path / "x_counts_mutrate.10nt.csv").write_text("gene\twin\tcoverage\tmutant\tmutrate\twin_end\ng\t1\t250\t5\t0.02\t10\ng\t11\t20\t5\t0.02\t20\n")
     got = text.read_window_files(spark, str(tmp_path), "*_counts_mutrate.10nt.csv", "p_")
     assert rows(got, "gene", "win", "sample") == [("g", 1, "p_x")]
+
+
+def test_items_are_summed_once(spark):
+    """Neither a filter above the rates nor their parts walk the items again."""
+    from nucleoframe.operators import mutrate
+    from nucleoframe.sources import text
+
+    raw = spark.createDataFrame([(">g1 7 a 10 =:0:0 A:6:1 C:4:1 A:1:1 G:0:0 +AC:2:1 +ACGT:3:1 -A:5:1 -ACGTA:1:1",), (" ",)], "value string")
+    found = mutrate.mutation_rates(text.parse_counts(raw)).where("coverage >= 1 and mutrate >= 0")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 3 and plan.count("split(trim") == 1, plan
+    (r,) = found.collect()
+    assert (r.coverage, r.adj_coverage, r.mutant, r.mutrate) == (15, 11, 4, round(4 / 15, 8))
+    assert r.detail == "=:0;A:6;C:4;A:1;G:0;+:2;-:5;+++:3;---:1"
