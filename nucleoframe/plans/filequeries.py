@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..operators import barcodes, correlation, lengths, mutrate, quality, ranks, reactivity, reads, sweep, windows
-from ..session import shared_path
+from ..session import shared_path, written
 from ..sources import bam, blocktext, fastq, files, text, vcf
+from ..sources.files import sized
 from ..streaming import online
 from .proxies import proxy
 from .queries import CELL_SQL, CELLS, GROUP_SQL, JOINED, MUTRATE_SQL, ROUND_TRIP, VCF_SQL, count_lines, joined, query, rounded, staged, table, vcf_lines
@@ -348,37 +349,30 @@ def unique_read_table(spark, sf_dir):
     return sinks.unique_read_table(reads.read_stats(proxy(spark, sf_dir, "alignments")))
 
 
-def sized(df: DataFrame, each: int = 8 << 20) -> int:
-    """So many tasks that each has about `each` bytes of the files that the frame is made from."""
-    spark = df.sparkSession
-    whole = sum(files.bytes_of(spark, p) for p in df.inputFiles())
-    return max(1, -(-whole // each))
-
-
 def streamed(spark, df: DataFrame, build, mode: str, name: str, ordered: str | None = None) -> DataFrame:
     """The result of a query over the frame's rows as a stream: two batches, of as many files as the input has parts. With
-    `ordered` the batches are ranges of that column, and they come in its order."""
-    source = shared_path(spark, f"{name}-in")
+    `ordered` the batches are ranges of that column: the second one comes when the first is done."""
+    source, out, parts = shared_path(spark, f"{name}-in"), shared_path(spark, f"{name}-out"), sized(df)
     if ordered is None:
-        parts = sized(df)
         df.repartition(2 * parts).write.parquet(source)
-        shown = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(source)
-    else:  # files are taken by age
-        half = df.approxQuantile(ordered, [0.5], 0.01)[0]
-        for rows in (df.where(F.col(ordered) <= half), df.where(F.col(ordered) > half)):
-            rows.coalesce(4).write.mode("append").parquet(source)
-        shown = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    stream = build(shown)
-    out = shared_path(spark, f"{name}-out")
-    if mode == "append":
-        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        halves, most = [None], parts
     else:
-
-        def keep(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(out)
-
-        run = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    run.awaitTermination()
+        df = written(df, f"{name}-rows")
+        half = df.approxQuantile(ordered, [0.5], 0.01)[0]
+        halves, most = [df.where(F.col(ordered) <= half), df.where(F.col(ordered) > half)], 1 << 20
+    for rows in halves:
+        if rows is not None:
+            rows.repartition(parts).write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", most).parquet(source))
+        if mode == "append":
+            run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        else:
+
+            def keep(batch: DataFrame, _: int) -> None:
+                batch.write.mode("overwrite").parquet(out)
+
+            run = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -46,6 +46,20 @@ def bytes_of(spark: SparkSession, path: str) -> int:
     return store.getFileStatus(path).getLen()
 
 
+def sized(df: DataFrame, each: int = 8 << 20) -> int:
+    """So many tasks that each has about `each` bytes of the files that the frame is made from."""
+    spark = df.sparkSession
+    whole = sum(bytes_of(spark, p) for p in df.inputFiles())
+    return max(1, -(-whole // each))
+
+
+def spread(df: DataFrame, *keys: str, each: int = 2 << 20) -> DataFrame:
+    """The frame by `keys`, in so many partitions that what a task holds doesn't grow with the
+    input; as it is, where a shuffle has as many anyway."""
+    tasks = sized(df, each)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def listed(folder: str, pattern: str) -> list[str]:
     """The files of a folder whose names match, sorted, in a worker."""
     if folder.startswith("file:") or "://" not in folder:

@@ -7,12 +7,8 @@ the state store that it sets."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import mutrate, quality
 from ..operators import reads as reads_operators
@@ -60,71 +56,31 @@ def online_counters(alignments: DataFrame, min_length: int = 0) -> DataFrame:
     return alignments.groupBy().agg(F.count("*").alias("total"), F.count_if(unmapped).alias("unmapped"), F.count_if(short).alias("filtered"))
 
 
-class ReadFold(StatefulProcessor):
-    """Counts by reference of one read, kept until its last alignment's time and `gap_ms` more are
-    behind the watermark: then the read is given, and leaves the state."""
-
-    def __init__(self, gap_ms: int):
-        self.gap_ms = gap_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        # references in JSON, with their counts and first ordinals
-        self.state = handle.getValueState("read", "counts string, last_ms long")
-
-    def held(self) -> tuple[dict, int | None]:
-        if not self.state.exists():
-            return {}, None
-        counts, last = self.state.get()
-        return json.loads(counts), last
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        counts, last = self.held()
-        for part in rows:
-            for ref, own in part.groupby("ref_name", sort=False)["ord"]:
-                n, first = counts.get(ref, (0, int(own.min())))
-                counts[ref] = (n + len(own), min(first, int(own.min())))
-            newest = int(part["at_ms"].max())
-            last = newest if last is None else max(last, newest)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-        self.state.update((json.dumps(counts), last))
-        self.handle.registerTimer(last + self.gap_ms)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        counts, last = self.held()
-        seen = sorted((first, ref, n) for ref, (n, first) in counts.items())
-        total, most = sum(n for *_, n in seen), max(n for *_, n in seen)
-        yield pd.DataFrame(
-            {
-                "read_id": [key[0]], "at": [pd.Timestamp(last, unit="ms")], "alignment_count": [total], "unique_transcript_count": [len(seen)],
-                "is_uniquely_mapped": [len(seen) == 1], "max_transcript": [next(ref for _, ref, n in seen if n == most)], "max_count": [most], "max_ratio": [most / total],
-            }
-        )
-        self.state.clear()
-
-    def close(self) -> None:
-        pass
-
-
-READ = "read_id string, at timestamp, alignment_count long, unique_transcript_count int, is_uniquely_mapped boolean, max_transcript string, max_count long, max_ratio double"
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def online_reads(alignments: DataFrame, time: str, min_length: int = 0, delay: str = "0 seconds", gap_ms: int = 0) -> DataFrame:
     """Statistics of each read of a stream, given once, when the watermark (the newest `time` less
-    `delay`) is `gap_ms` behind the read's last alignment; its state is then dropped. In a
+    `delay`) is `gap_ms` and `delay` behind the read's last alignment; its state is then dropped. In a
     stream sorted by name the times of a read's alignments lie together, so no more reads are
-    held than the delay and the gap reach over. `at` is the read's last time."""
+    held than the delay and the gap reach over; alignments further apart than that are another
+    read. `at` is the read's last time. A read is a session of Spark's, so no row of state and no
+    timer goes through Python."""
     alignments.sparkSession.conf.set(*STATE_STORE)
-    kept = reads_operators.mapped(alignments, min_length).select("read_id", "ref_name", "ord", F.unix_millis(time).alias("at_ms"), time)
-    keyed = kept.withWatermark(time, delay).groupBy("read_id")
-    return keyed.transformWithStateInPandas(ReadFold(gap_ms), READ, "append", "eventTime")
+    kept = reads_operators.mapped(alignments, min_length).select("read_id", "ref_name", "ord", F.col(time).alias("at")).withWatermark("at", delay)
+    gap = f"{delay} {max(gap_ms, 1)} milliseconds"  # units of an interval add up
+    held = kept.groupBy(F.session_window("at", gap).alias("session"), "read_id").agg(F.array_sort(F.collect_list(F.struct("ord", "ref_name"))).alias("x"), F.max("at").alias("at"))
+    # generators, lest each column walks the alignments again
+    listed = held.select("read_id", "at", F.explode(F.array(F.transform("x", lambda x: x["ref_name"]))).alias("refs"))
+    counts = F.transform(F.array_distinct("refs"), lambda r: F.struct(r.alias("ref"), F.size(F.filter("refs", lambda x: x == r)).cast("long").alias("n")))
+    seen = listed.select("read_id", "at", F.size("refs").cast("long").alias("total"), F.explode(F.array(counts)).alias("seen"))
+    most = F.array_max(F.transform("seen", lambda s: s["n"]))
+    first = F.get(F.filter("seen", lambda s: s["n"] == most), F.lit(0))
+    best = seen.select("read_id", "at", "total", F.size("seen").alias("refs"), F.explode(F.array(first)).alias("best"))
+    return best.select(
+        "read_id", "at", F.col("total").alias("alignment_count"), F.col("refs").alias("unique_transcript_count"), (F.col("refs") == 1).alias("is_uniquely_mapped"),
+        F.col("best.ref").alias("max_transcript"), F.col("best.n").alias("max_count"), (F.col("best.n") / F.col("total")).alias("max_ratio"),
+    )
 
 
 def online_summary(alignments: DataFrame, time: str, min_length: int = 0, delay: str = "10 minutes", window: str = "1 hour") -> DataFrame:

@@ -78,3 +78,16 @@ def test_files_of_a_stream_are_as_many_as_the_input_needs(spark, tmp_path):
 
     df = spark.read.parquet(f"{late_lines(spark, tmp_path)}/lineitem.parquet")
     assert filequeries.sized(df) == 1 and filequeries.sized(df, each=1000) > 1
+
+
+def test_reads_are_held_by_spark(spark, sorted_reads, tmp_path):
+    """No row of state goes through Python, and a read whose alignments are a delay apart is one."""
+    provider = spark.conf.get(online.STATE_STORE[0])
+    sorted_reads.withColumn("at", F.timestamp_seconds(F.col("ord") * 30)).write.parquet(f"{tmp_path}/seen")
+    shown = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/seen").schema).parquet(f"{tmp_path}/seen")
+    found = online.online_reads(shown, "at", delay="3 minutes")
+    assert "Pandas" not in found._jdf.queryExecution().analyzed().toString()
+    out, _ = batches(spark, sorted_reads, lambda s: online.online_reads(s, "at", delay="6 seconds"), str(tmp_path))
+    want = reads.read_stats(sorted_reads, 0, lists=False).select(*COLUMNS)
+    assert sorted(map(tuple, out.where("read_id != 'end'").select(*COLUMNS).collect())) == sorted(map(tuple, want.collect()))
+    spark.conf.set(online.STATE_STORE[0], provider)
