@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import spread
 from . import ranks
 
 
@@ -66,7 +67,7 @@ def cluster_pseudobulk(long: DataFrame, clusters: DataFrame, cluster_column: str
     cells' rates and the least of their coverages. mutant is NULL. A cell listed twice in
     the clusters counts twice."""
     joined = long.join(clusters.select("cell", F.col(cluster_column).alias("cluster")), "cell")
-    out = joined.groupBy("cluster", "gene", "win").agg(F.min("dp").alias("coverage"), F.avg("mr").alias("mutrate"))
+    out = spread(joined, "cluster", "gene", "win").groupBy("cluster", "gene", "win").agg(F.min("dp").alias("coverage"), F.avg("mr").alias("mutrate"))
     return out.select(
         "cluster", "gene", "win", "coverage", "mutrate", F.lit(None).cast("long").alias("mutant"),
         F.concat(F.lit(prefix), F.col("cluster").cast("string")).alias("sample"),

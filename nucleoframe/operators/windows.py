@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_like_numpy
+from ..sources.files import spread
 from . import ranks
 
 
@@ -46,15 +47,17 @@ def rate(mutant: str, coverage: str) -> Column:
     return round_like_numpy(F.try_divide(F.col(mutant).cast("double"), F.col(coverage).cast("double")), 5)
 
 
-def bulk_windows(position: DataFrame, win_len: int = 10, step: int = 10, coverage_threshold: int = 200, mutrate_threshold: float = 0.2) -> DataFrame:
+def bulk_windows(position: DataFrame, win_len: int = 10, step: int = 10, coverage_threshold: int = 200, mutrate_threshold: float = 0.2, anchors: DataFrame | None = None) -> DataFrame:
     """Window sums per gene: (gene, win, coverage, mutant, mutrate, win_end).
 
     The anchor is the gene's least position before any filter; rows with a rate above the
-    threshold, or without one, don't count; windows below the coverage threshold go."""
+    threshold, or without one, don't count; windows below the coverage threshold go. `anchors` (gene,
+    anchor) may be given where there is a cheaper way to them than through the positions."""
     check_sizes(win_len, step)
-    anchors = position.groupBy("gene").agg(F.min("pos").alias("anchor"))
+    if anchors is None:
+        anchors = position.groupBy("gene").agg(F.min("pos").alias("anchor"))
     kept = position.where(F.col("mutrate") <= mutrate_threshold).select("gene", "pos", "coverage", "mutant")
-    sums = tiled(kept.join(anchors, "gene"), win_len, step).groupBy("gene", "win", "win_end")
+    sums = spread(tiled(kept.join(anchors, "gene"), win_len, step), "gene", "win").groupBy("gene", "win", "win_end")
     sums = sums.agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant")).where(F.col("coverage") >= coverage_threshold)
     return sums.select("gene", "win", "coverage", "mutant", rate("mutant", "coverage").alias("mutrate"), "win_end")
 
@@ -71,14 +74,14 @@ def cell_windows(cell_position: DataFrame, win_len: int = 10, step: int = 10, co
     anchors = anchored.groupBy("gene").agg(F.min("pos").alias("anchor"))
     own = F.coalesce(F.try_divide(F.col("ad").cast("double"), F.col("dp").cast("double")), F.lit(0.0))
     kept = cell_position.where(present & (own <= mutrate_threshold)).select("gene", "pos", "cell", "dp", "ad")
-    sums = tiled(kept.join(anchors, "gene"), win_len, step).groupBy("gene", "win", "win_end", "cell")
+    sums = spread(tiled(kept.join(anchors, "gene"), win_len, step), "gene", "win", "cell").groupBy("gene", "win", "win_end", "cell")
     sums = sums.agg(F.sum(F.col("dp").cast("long")).alias("dp"), F.sum(F.col("ad").cast("long")).alias("ad")).where(F.col("dp") >= coverage_threshold)
     return sums.select("gene", "win", "win_end", "cell", "dp", "ad", F.coalesce(rate("ad", "dp"), F.lit(0.0)).alias("mr"))
 
 
 def any_cell_windows(windows: DataFrame) -> DataFrame:
     """Windows that at least one cell passes, with the number of such cells."""
-    return windows.groupBy("gene", "win", "win_end").agg(F.count("*").alias("n_cells"), F.sum("dp").alias("dp"))
+    return spread(windows, "gene", "win").groupBy("gene", "win", "win_end").agg(F.count("*").alias("n_cells"), F.sum("dp").alias("dp"))
 
 
 def row_rolling(position: DataFrame, rows: int, step: int) -> DataFrame:
@@ -103,7 +106,7 @@ def padded_rolling(position: DataFrame, win_len: int, step: int, coverage_thresh
     Rows are numbered in order of position, or, with `dense`, by position, so that gaps are empty
     rows. Each row is sent to the windows that hold it, so no task sorts windows."""
     check_sizes(win_len, step)
-    held = position.groupBy("gene", "pos").agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant"))
+    held = spread(position, "gene", "pos").groupBy("gene", "pos").agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant"))
     if dense:
         ends = held.groupBy("gene").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
         numbered = held.join(ends, "gene").withColumns({"number": F.col("pos") - F.col("first") + 1, "rows": F.col("last") - F.col("first") + 1})
@@ -115,7 +118,7 @@ def padded_rolling(position: DataFrame, win_len: int, step: int, coverage_thresh
     both = numbered.select(columns).union(first.select(columns))
     last = F.least(F.col("number") + win_len - 1, F.col("rows") + win_len - F.col("rows") % win_len)
     k = F.sequence(F.greatest(F.ceil(F.col("number") / step), F.lit(1)), F.floor(last / step))
-    spread = both.where(F.floor(last / step) >= F.greatest(F.ceil(F.col("number") / step), F.lit(1))).select("gene", F.explode(k).alias("k"), "coverage", "mutant")
-    sums = spread.groupBy("gene", (F.col("k") * step).alias("win")).agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant"))
+    tiled_rows = both.where(F.floor(last / step) >= F.greatest(F.ceil(F.col("number") / step), F.lit(1))).select("gene", F.explode(k).alias("k"), "coverage", "mutant")
+    sums = spread(tiled_rows.withColumn("win", F.col("k") * step), "gene", "win").groupBy("gene", "win").agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant"))
     kept = sums.where(F.col("coverage") >= coverage_threshold)
     return kept.select("gene", "win", "coverage", "mutant", F.bround(rate("mutant", "coverage"), 5).alias("mutrate"))

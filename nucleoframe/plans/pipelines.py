@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import cells, mutrate, reactivity, reads, windows
 
 
 def bulk_profile(counts: DataFrame, gene_counts: DataFrame | None = None, win_len: int = 10, step: int = 10, coverage_threshold: int = 200, mutrate_threshold: float = 0.2, ins_len: int = 3, del_len: int = 3, min_coverage: int = -1, min_normalized: float = 10) -> DataFrame:
     """Base counts to windows."""
-    positions = mutrate.mutation_rates(counts, ins_len, del_len)
+    positions, anchors = mutrate.mutation_rates(counts, ins_len, del_len), None
     if gene_counts is not None:
         positions = mutrate.position_filter(mutrate.with_gene_counts(positions, gene_counts), min_coverage, min_normalized)
-    return windows.bulk_windows(positions, win_len, step, coverage_threshold, mutrate_threshold)
+    else:  # each count is a position, whose rate the anchors don't need
+        anchors = counts.groupBy("gene").agg(F.min("pos").alias("anchor"))
+    return windows.bulk_windows(positions, win_len, step, coverage_threshold, mutrate_threshold, anchors)
 
 
 def bulk_reactivity(signal_windows: DataFrame, control_windows: DataFrame, sample_col: str = "sample", method: str = "normalize_reactivity_zy") -> DataFrame:

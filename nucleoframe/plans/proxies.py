@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.files import spread
+
 #: name -> (tables, SQL); {x} marks places where the dialects differ.
 PROXIES = {
     "position": (
@@ -67,6 +69,8 @@ PROXIES = {
              user_id * 1000 AS n_bytes, event_id * 4 AS n_lines FROM events""",
     ),
 }
+#: What tables are spread by before groups as many as their rows are made of them.
+SPREAD = {"position": ("l_suppkey", "l_partkey"), "cell_position": ("l_suppkey", "l_partkey")}
 LETTERS = "!+5:?DI#%&)-/147"
 
 
@@ -81,7 +85,10 @@ def proxy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = sql.replace("{string}", "STRING").replace("{letters}", f"'{LETTERS}'")
     for t in tables:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    if name in SPREAD:
+        read = {t: spread(df, *SPREAD[name]) for t, df in read.items()}
+    return spark.sql(text, **read)
 
 
 def with_proxies(sql: str, *names: str) -> str:

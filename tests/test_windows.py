@@ -125,3 +125,17 @@ def test_items_are_summed_once(spark):
     (r,) = found.collect()
     assert (r.coverage, r.adj_coverage, r.mutant, r.mutrate) == (15, 11, 4, round(4 / 15, 8))
     assert r.detail == "=:0;A:6;C:4;A:1;G:0;+:2;-:5;+++:3;---:1"
+
+
+def test_tasks_grow_in_number_with_the_input(spark, monkeypatch):
+    from nucleoframe.plans import queries
+    from nucleoframe.sources import files
+
+    names = ("cell_windows", "cell_windows_legacy_anchor", "window_any_cell", "bulk_windows_sliding", "padded_rolling_dense", "single_cell_pipeline")
+    held = {n: queries.QUERIES[n](spark, "/root/testdata/sf0.001") for n in names}
+    plain = {n: sorted(map(repr, df.collect())) for n, df in held.items()}
+    monkeypatch.setitem(files.spread.__kwdefaults__, "each", 10_000)
+    for n in names:
+        df = queries.QUERIES[n](spark, "/root/testdata/sf0.001")
+        assert sorted(map(repr, df.collect())) == plain[n]
+        assert df.rdd.getNumPartitions() > 4, n
