@@ -182,7 +182,8 @@ def bam_round_trip(spark, sf_dir):
     """Alignments sorted by coordinate, written as BAM with typed tags and mates, and read."""
     path = shared_path(spark, "bam")
     bam.write_bam(bam.coordinate_sorted(whole_alignments(spark, sf_dir), bam_header()), path.removeprefix("file:"), bam_header())
-    back = bam.read_bam(spark, *files.matching(spark, f"{path}/*.bam"))
+    wanted = ["read_id", "flag", "ref_name", "ref_start", "ref_length", "mapq", "tags", "tag_types", "mate_start", "template_length", "seq"]
+    back = bam.read_bam(spark, *files.matching(spark, f"{path}/*.bam"), columns=wanted)
     first = (F.col("flag").bitwiseAND(2304) == 0).alias("first")
     return back.where("tag_types['NM'] = 'C'").select("read_id", "flag", "ref_name", "ref_start", "ref_length", F.col("mapq").cast("long").alias("mapq"), F.col("tags")["NM"].alias("nm"), "mate_start", "template_length", "seq", first)
 

@@ -14,12 +14,14 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .. import schemas
@@ -32,8 +34,7 @@ from .files import opened, size_of
 BASES = "=ACMGRSVTWYHKDBN"
 #: CIGAR operators that move along the reference (M, D, N, =, X).
 REFERENCE_OPS = frozenset((0, 2, 3, 7, 8))
-#: Two letters for each byte of a packed sequence, and scores as printed characters.
-PAIRS = [a + b for a in BASES for b in BASES]
+#: Scores as printed characters.
 SHIFTED = bytes((q + 33) & 255 for q in range(256))
 _NUMBERS = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I", b"f": "<f"}
 
@@ -104,7 +105,7 @@ def decode(data: bytes, refs: list[tuple[str, int]], columns: list[str]) -> tupl
     cigar = tags = None
     for c in columns:
         if c in ("cigar", "ref_length") and cigar is None:
-            cigar = [{"op": v & 15, "len": v >> 4} for v in struct.unpack_from(f"<{n_cigar}I", data, at_cigar)]
+            cigar = struct.unpack_from(f"<{n_cigar}I", data, at_cigar)
         if c in ("tags", "tag_types") and tags is None:
             tags = read_tags(data[at_qual + n_seq :])
         if c == "read_id":
@@ -116,14 +117,13 @@ def decode(data: bytes, refs: list[tuple[str, int]], columns: list[str]) -> tupl
         elif c == "ref_start":
             value = pos if known else None
         elif c == "ref_length":
-            value = sum(x["len"] for x in cigar if x["op"] in REFERENCE_OPS) if cigar else None
+            value = sum([v >> 4 for v in cigar if v & 15 in REFERENCE_OPS]) if cigar else None
         elif c == "mapq":
             value = mapq
         elif c == "cigar":
-            value = cigar or None
+            value = [{"op": v & 15, "len": v >> 4} for v in cigar] or None
         elif c == "seq":
-            packed = data[at_seq:at_qual]
-            value = "".join([PAIRS[b] for b in packed])[:n_seq] or None
+            value = data[at_seq:at_qual].hex().translate(LETTERS)[:n_seq] or None
         elif c == "qual":
             qual = data[at_qual : at_qual + n_seq]
             value = None if not qual or qual[0] == 255 else qual.translate(SHIFTED).decode("latin-1")
@@ -301,26 +301,55 @@ def index_of(path: str) -> Index | None:
         return None
 
 
-def encode(r: dict, refs: dict[str, int]) -> bytes:
-    """One record as BAM bytes. Tags have their types, text where none is given; mate fields
-    that aren't there are those of a record without a mate."""
-    name = r["read_id"].encode() + b"\0"
-    cigar, seq = r["cigar"] or [], r["seq"] or ""
-    codes = [BASES.index(c) if c in BASES else 15 for c in seq.upper()]
-    codes += [0] * (len(codes) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    qual = bytes(ord(c) - 33 for c in r["qual"]) if r["qual"] else b"\xff" * len(seq)
-    types = r.get("tag_types") or {}
-    tags = b"".join(tag_bytes(k, v, types.get(k) or "Z") for k, v in (r["tags"] or {}).items())
-    start = -1 if r["ref_start"] is None else r["ref_start"]
-    end = start + max(1, r["ref_length"] or 1)
-    mate, mate_start = refs.get(r.get("mate_ref_name"), -1), r.get("mate_start")
-    body = struct.pack(
-        "<iiBBHHHiiii", refs.get(r["ref_name"], -1), start, len(name), r["mapq"] or 0, bin_of(start, end) if start >= 0 else 4680, len(cigar), r["flag"] or 0, len(seq),
-        mate, -1 if mate_start is None else mate_start, r.get("template_length") or 0,
-    )
-    body += name + b"".join(struct.pack("<I", c["len"] << 4 | c["op"]) for c in cigar) + packed + qual + tags
-    return struct.pack("<i", len(body)) + body
+#: Letters of sequences as the hex digits of their codes; others are N.
+DIGITS = bytes(b"0123456789abcdef"[BASES.index(chr(c).upper()) if c < 128 and chr(c).upper() in BASES else 15] for c in range(256))
+LETTERS = str.maketrans("0123456789abcdef", BASES)
+LOWERED = bytes((c - 33) & 255 for c in range(256))
+FIXED = struct.Struct("<iiiBBHHHiiii")
+small_tag = lru_cache(maxsize=4096)(tag_bytes)
+
+
+def packed_sequence(seq: str) -> bytes:
+    digits = seq.encode("latin-1", "replace").translate(DIGITS)
+    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+
+
+def packed_quality(qual: str) -> bytes:
+    data = qual.encode("latin-1")
+    if min(data) < 33:
+        raise ValueError(f"{qual!r} has a quality below 0")
+    return data.translate(LOWERED)
+
+
+def encoded(batch: pa.RecordBatch, refs: dict[str, int]) -> Iterator[tuple[bytes, int, int, int]]:
+    """(bytes, number of the reference, start, end) of each record of a batch with all columns. Tags
+    have their types, text where none is given; mate fields that aren't there are those of a
+    record without a mate. Lists and maps are taken apart as flat columns, which is most of the time."""
+    flat = {c: batch.column(c).to_pylist() for c in ("read_id", "flag", "ref_name", "ref_start", "ref_length", "mapq", "seq", "qual", "mate_ref_name", "mate_start", "template_length")}
+
+    def bounds(column):
+        at, there = column.offsets.to_pylist(), column.is_valid().to_pylist()
+        return [(a, b) if t else (0, 0) for a, b, t in zip(at, at[1:], there)]
+
+    cigar, tags, types = (batch.column(c) for c in ("cigar", "tags", "tag_types"))
+    op, size = (np.asarray(cigar.values.field(k).fill_null(0), np.uint32) for k in ("op", "len"))
+    ops = (size << 4 | op).astype("<u4").tobytes()
+    keys, values = tags.keys.to_pylist(), tags.items.to_pylist()
+    typed, kinds = types.keys.to_pylist(), types.items.to_pylist()
+    for name, flag, ref_name, start, length, mapq, seq, qual, mate, mate_start, template, (c0, c1), (t0, t1), (k0, k1) in zip(*flat.values(), bounds(cigar), bounds(tags), bounds(types)):
+        name, seq = name.encode() + b"\0", seq or ""
+        packed = packed_sequence(seq) + (packed_quality(qual) if qual else b"\xff" * len(seq))
+        if t1 > t0:
+            kind = dict(zip(typed[k0:k1], kinds[k0:k1]))
+            packed += b"".join([(small_tag if len(v) < 64 else tag_bytes)(k, v, kind.get(k) or "Z") for k, v in zip(keys[t0:t1], values[t0:t1])])
+        ref, start = refs.get(ref_name, -1), -1 if start is None else start
+        end = start + max(1, length or 1)
+        body = name + ops[4 * c0 : 4 * c1] + packed
+        head = FIXED.pack(
+            32 + len(body), ref, start, len(name), mapq or 0, bin_of(start, end) if start >= 0 else 4680, c1 - c0, flag or 0, len(seq),
+            refs.get(mate, -1), -1 if mate_start is None else mate_start, template or 0,
+        )
+        yield head + body, ref, start, end
 
 
 def head_bytes(header: str, refs: list[tuple[str, int]]) -> bytes:
@@ -342,21 +371,41 @@ def references(header: str) -> list[tuple[str, int]]:
     return found
 
 
-def write_file(path: str, header: str, refs: list[tuple[str, int]], records) -> int:
+def write_batches(path: str, header: str, refs: list[tuple[str, int]], batches) -> int:
     """Writes BGZF blocks; gives the number of records."""
     numbers, n = {name: i for i, (name, _) in enumerate(refs)}, 0
     with open(path, "wb") as f:
         out = BlockWriter(f)
         out.write(head_bytes(header, refs))
-        for r in records:
-            out.write(encode(r, numbers))
-            n += 1
+        for batch in batches:
+            for data, *_ in encoded(batch, numbers):
+                out.write(data)
+                n += 1
         out.flush()
         f.write(END)
     return n
 
 
-class Writer(DataSourceWriter):
+TEXTS = pa.map_(pa.string(), pa.string())
+COLUMN_TYPES = {
+    "flag": pa.int32(), "ref_start": pa.int64(), "ref_length": pa.int32(), "mapq": pa.int32(), "cigar": pa.list_(pa.struct([("op", pa.int32()), ("len", pa.int32())])),
+    "tags": TEXTS, "tag_types": TEXTS, "mate_start": pa.int64(), "template_length": pa.int32(),
+}
+
+
+def write_file(path: str, header: str, refs: list[tuple[str, int]], records) -> int:
+    """The same of records as dictionaries, whose fields may be missing."""
+    schema = pa.schema([(c, COLUMN_TYPES.get(c, pa.string())) for c in schemas.ALIGNMENT_COLUMNS if c != "ord"])
+    whole = ({c: list(v.items()) if isinstance(v, dict) else v for c, v in r.items()} for r in records)
+
+    def batches():
+        while held := list(islice(whole, AT_ONCE)):
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    return write_batches(path, header, refs, batches())
+
+
+class Writer(DataSourceArrowWriter):
     """One BAM file for each partition. Options: path (a folder in a store that all
     executors share as a file system), header (SAM header text with @SQ lines)."""
 
@@ -371,7 +420,7 @@ class Writer(DataSourceWriter):
         part = TaskContext.get().partitionId()
         # a task that is run again writes the same name, and the finished file is moved in at once
         name = f"{self.path}/part-{part:05d}.bam"
-        write_file(f"{name}.{TaskContext.get().taskAttemptId()}", self.header, refs, (r.asDict(recursive=True) for r in iterator))
+        write_batches(f"{name}.{TaskContext.get().taskAttemptId()}", self.header, refs, iterator)
         os.replace(f"{name}.{TaskContext.get().taskAttemptId()}", name)
         return WriterCommitMessage()
 
@@ -505,11 +554,10 @@ def write_sorted_bam(alignments: DataFrame, path: str, header: str) -> int:
         with open(name, "wb") as f:
             out = BlockWriter(f)
             for batch in batches:
-                for r in batch.to_pylist():
-                    r |= {c: dict(r[c] or ()) for c in ("tags", "tag_types")}
-                    begin, start = out.tell(), -1 if r["ref_start"] is None else r["ref_start"]
-                    out.write(encode(r, numbers))
-                    index.add(numbers.get(r["ref_name"], -1), start, start + max(1, r["ref_length"] or 1), begin, out.tell())
+                for data, ref, start, end in encoded(batch, numbers):
+                    begin = out.tell()
+                    out.write(data)
+                    index.add(ref, start, end, begin, out.tell())
                     n += 1
             out.flush()
         yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "marks": index.body(len(refs))}])

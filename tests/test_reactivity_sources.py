@@ -139,3 +139,26 @@ def test_online_counters(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert tuple(spark.table("counters").first()) == (3, 1, 1)
+
+
+def test_records_are_encoded_by_column(tmp_path):
+    """Sliced batches with holes, odd letters and all kinds of tags come back as they were."""
+    import pyarrow as pa
+
+    from nucleoframe.sources import bam
+
+    rows = [
+        {"read_id": "a", "flag": 16, "ref_name": "T1", "ref_start": 5, "ref_length": 7, "mapq": 9, "cigar": [{"op": 0, "len": 4}, {"op": 2, "len": 3}], "seq": "acGTn", "qual": "!I~5+", "tags": {"NM": "3", "ZZ": "x" * 80, "BB": "1,2,3"}, "tag_types": {"NM": "C", "BB": "BS"}, "mate_ref_name": "T1", "mate_start": 8, "template_length": -4},
+        {"read_id": "b", "cigar": None, "tags": None, "tag_types": None},
+        {"read_id": "c", "ref_name": "T1", "ref_start": 0, "cigar": [], "seq": "A?", "tags": {}, "tag_types": {}},
+        {"read_id": "d", "ref_name": "T1", "ref_start": 3, "cigar": [{"op": 0, "len": 2}], "seq": "CC", "qual": "II", "tags": {"NM": "300"}, "tag_types": {"NM": "S"}},
+    ]
+    schema = pa.schema([(c, bam.COLUMN_TYPES.get(c, pa.string())) for c in bam.schemas.ALIGNMENT_COLUMNS if c != "ord"])
+    batch = pa.RecordBatch.from_pylist([{k: list(v.items()) if isinstance(v, dict) else v for k, v in r.items()} for r in rows], schema)
+    columns = ["read_id", "flag", "ref_name", "ref_start", "mapq", "cigar", "seq", "qual", "tags", "mate_ref_name", "mate_start", "template_length"]
+    for part, want in ((batch, rows), (batch.slice(2), rows[2:])):
+        got = [dict(zip(columns, bam.decode(data[4:], [("T1", 100)], columns))) for data, *_ in bam.encoded(part, {"T1": 0})]
+        assert [g["read_id"] for g in got] == [r["read_id"] for r in want]
+        for g, r in zip(got, want):
+            assert g["cigar"] == (r["cigar"] or None) and g["tags"] == (r["tags"] or {}) and g["qual"] == r.get("qual")
+            assert g["seq"] == (r["seq"].upper().replace("?", "N") if r.get("seq") else None) and g["ref_start"] == r.get("ref_start") and g["mapq"] == r.get("mapq", 0)
