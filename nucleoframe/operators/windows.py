@@ -43,6 +43,18 @@ def tiled(df: DataFrame, win_len: int, step: int, pos: str = "pos", anchor: str
     return out.withColumn("win_end", F.col("win") + (win_len - 1))
 
 
+def with_anchors(kept: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows with their gene's anchor. Of large inputs each gene is dealt to 16 parts, and the tasks
+    grow in number with the input; they hold the anchors, and don't sort the rows."""
+    part = F.pmod(F.xxhash64("pos"), F.lit(16)).cast("int")
+    parts = kept.withColumn("part", part)
+    dealt = spread(parts, "gene", "part")
+    if dealt is parts:
+        return kept.join(anchors, "gene")
+    held = anchors.select("*", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("part")).hint("shuffle_hash")
+    return dealt.join(held, ["gene", "part"]).drop("part")
+
+
 def rate(mutant: str, coverage: str) -> Column:
     return round_like_numpy(F.try_divide(F.col(mutant).cast("double"), F.col(coverage).cast("double")), 5)
 
@@ -57,7 +69,7 @@ def bulk_windows(position: DataFrame, win_len: int = 10, step: int = 10, coverag
     if anchors is None:
         anchors = position.groupBy("gene").agg(F.min("pos").alias("anchor"))
     kept = position.where(F.col("mutrate") <= mutrate_threshold).select("gene", "pos", "coverage", "mutant")
-    sums = spread(tiled(kept.join(anchors, "gene"), win_len, step), "gene", "win").groupBy("gene", "win", "win_end")
+    sums = spread(tiled(with_anchors(kept, anchors), win_len, step), "gene", "win").groupBy("gene", "win", "win_end")
     sums = sums.agg(F.sum("coverage").alias("coverage"), F.sum("mutant").alias("mutant")).where(F.col("coverage") >= coverage_threshold)
     return sums.select("gene", "win", "coverage", "mutant", rate("mutant", "coverage").alias("mutrate"), "win_end")
 
@@ -74,7 +86,7 @@ def cell_windows(cell_position: DataFrame, win_len: int = 10, step: int = 10, co
     anchors = anchored.groupBy("gene").agg(F.min("pos").alias("anchor"))
     own = F.coalesce(F.try_divide(F.col("ad").cast("double"), F.col("dp").cast("double")), F.lit(0.0))
     kept = cell_position.where(present & (own <= mutrate_threshold)).select("gene", "pos", "cell", "dp", "ad")
-    sums = spread(tiled(kept.join(anchors, "gene"), win_len, step), "gene", "win", "cell").groupBy("gene", "win", "win_end", "cell")
+    sums = spread(tiled(with_anchors(kept, anchors), win_len, step), "gene", "win", "cell").groupBy("gene", "win", "win_end", "cell")
     sums = sums.agg(F.sum(F.col("dp").cast("long")).alias("dp"), F.sum(F.col("ad").cast("long")).alias("ad")).where(F.col("dp") >= coverage_threshold)
     return sums.select("gene", "win", "win_end", "cell", "dp", "ad", F.coalesce(rate("ad", "dp"), F.lit(0.0)).alias("mr"))
 
