@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Sink, rows, written
+from .common import BATCH_BYTES, Scratch, Sink, map_batches, rows, written
 from .graph import components, evenly, joined_components, share_of
 
 TREES, DEPTH = 16, 6
@@ -92,25 +92,25 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Set size, 128-bit id of the set and signature of each document."""
 
     def run(batches):
-        sink = Sink(pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())]))
+        sink = Sink(pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("signature", pa.binary())]), most_bytes=BATCH_BYTES)
         for key, text in rows(batches):
             found = shingle_set(text)
             if len(found):
-                sink.add(key, len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found))
+                sink.add(key, len(found), xxhash.xxh3_128_digest(found.tobytes()), signature(found), weight=4 * len(_A))
             else:
                 sink.add(key, 0, None, None)
             if sink.full():
                 yield sink.take()
         yield sink.take()
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SIGNED)
+    return map_batches(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, SIGNED)
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, found): the sorted shingle hashes as bytes."""
 
     def run(batches):
-        sink = Sink(pa.schema([("id", pa.int64()), ("found", pa.binary())]))
+        sink = Sink(pa.schema([("id", pa.int64()), ("found", pa.binary())]), most_bytes=BATCH_BYTES)
         for key, text in rows(batches):
             found = shingle_set(text)
             sink.add(key, found.tobytes(), weight=found.nbytes)
@@ -118,7 +118,7 @@ def full_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield sink.take()
         yield sink.take()
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, found binary")
+    return map_batches(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), run, "id long, found binary")
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def forest_candidates(inside: DataFrame, least_depth: int = LEAST_DEPTH, region:
         yield sink.take()
 
     order = inside.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    return pairs.union(order.mapInArrow(beside, "a long, b long")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pairs.union(map_batches(order, beside, "a long, b long")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def candidate_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, save=written) -> DataFrame:
@@ -212,7 +212,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
                     sink.add(a, b)
             yield sink.take()
 
-    return held.mapInArrow(run, "a long, b long")
+    return map_batches(held, run, "a long, b long")
 
 
 def pieces(inside: DataFrame, labels: DataFrame, save=written) -> DataFrame:
@@ -244,7 +244,7 @@ def sketches(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, size, bits): size and sketch of the ids' sets."""
 
     def run(batches):
-        sink = Sink(pa.schema([("id", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]))
+        sink = Sink(pa.schema([("id", pa.int64()), ("size", pa.int64()), ("bits", pa.binary())]), most_bytes=BATCH_BYTES)
         for key, found in rows(batches):
             found = np.frombuffer(found, dtype=np.uint64)
             bits = sketch(found)
@@ -253,7 +253,7 @@ def sketches(sets: DataFrame, ids: DataFrame) -> DataFrame:
                 yield sink.take()
         yield sink.take()
 
-    return sets.join(ids.hint("shuffle_hash"), "id", "left_semi").select("id", "found").mapInArrow(run, "id long, size long, bits binary")
+    return map_batches(sets.join(ids.hint("shuffle_hash"), "id", "left_semi").select("id", "found"), run, "id long, size long, bits binary")
 
 
 def unrefuted(minor: list, whole: list, percent: int = 75) -> set[tuple[int, int]]:
@@ -305,7 +305,7 @@ def remaining(inside: DataFrame, labels: DataFrame, sets: DataFrame, save=writte
         yield sink.take()
 
     held = dealt.join(known, "id").select(*keys, "minor", "id", "of", "size", "bits")
-    return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return map_batches(held.repartition(*keys).sortWithinPartitions(*keys), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sink, written
+from .common import Sink, map_batches, written
 
 #: Code points below U+0250 by Unicode category, as the vocabulary's splitting rule has them.
 _LATIN = [chr(i) for i in range(0x250)]
@@ -105,6 +105,10 @@ def ids_of(path: str) -> Ids:
     return Ids(path)
 
 
+def drop_ids() -> None:
+    ids_of.cache_clear()
+
+
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
 )
@@ -139,7 +143,8 @@ def token_pieces(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             settle(keys, texts)
             yield sink.take()
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES_DDL)
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return map_batches(texts, run, PIECES_DDL, drop_ids)
 
 
 def best_fit(lengths: np.ndarray, most: int) -> list[list[int]]:
@@ -337,7 +342,7 @@ def pack_pieces(pieces: DataFrame, shards: int, most: int = 2048) -> DataFrame:
         table = table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from table.cast(PACKED).to_batches(max_chunksize=20_000)
 
-    return pieces.repartition(shards).mapInArrow(run, f"{PIECES_DDL}, sequence_id long, offset long")
+    return map_batches(pieces.repartition(shards), run, f"{PIECES_DDL}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, shard_pieces: int = 65_536) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, free_name, quoted
+from .common import fold, free_name, map_batches, quoted
 from .samples import labelled_sample
 from .textstats import STATISTICS, statistics
 from .trees import Tree, boost, lasso_logistic, sigmoid
@@ -58,7 +58,7 @@ def with_statistics(df: DataFrame, carried: list[str], text_col: str = "text") -
             columns = [*batch.columns[:kept], *[pa.array(c) for c in found.T]]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return held.mapInArrow(run, schema)
+    return map_batches(held, run, schema)
 
 
 def rules_of(trees: list[Tree]) -> list[Rule]:

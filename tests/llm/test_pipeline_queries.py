@@ -5,11 +5,13 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nucleoframe.llm import queries
+from nucleoframe.llm import common, packing, pii, quality, queries
 
 from .conftest import BENCH, prose
 
@@ -164,3 +166,46 @@ def test_columns_of_clashing_names(spark):
     docs = spark.createDataFrame([(1, prose(1, 60)), (1, prose(2, 60)), (2, prose(3, 60))], "doc_id long, text string").withColumns({"__again": F.lit(1), "__row": F.lit(2), "__n": F.lit(3), "__id": F.lit(4), "__part": F.lit(5), "__dropped_0": F.lit(6)})
     out = p.near_duplicate_stage(spark, docs, "")
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Texts of any length come to the workers in batches of a few MB, with unchanged results."""
+    docs = spark.createDataFrame([(i, prose(i % 5, 20_000)) for i in range(200)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["size"])
+
+    found = [r["size"] for r in common.map_batches(docs, sizes, "size long").collect()]
+    assert sum(found) > 4 * common.BATCH_BYTES and max(found) < 1.2 * common.BATCH_BYTES
+    key = pii.Key(bytes(32))
+    scored = quality.with_statistics(docs, ["doc_id"]).collect()
+    assert {r[0] for r in scored} == set(range(200)) and len({tuple(r)[1:] for r in scored}) == 5
+    out, counted, _ = pii.pseudonymized(docs, key)
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(r.doc_id, r.text) for r in docs.collect()}
+
+
+def test_the_batch_size_of_a_session_stands(spark):
+    was = spark.conf.get(common.BATCH_SETTING, None)
+    try:
+        spark.conf.set(common.BATCH_SETTING, "1m")
+        common.map_batches(spark.range(1), iter, "id long")
+        assert spark.conf.get(common.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING) if was is None else spark.conf.set(common.BATCH_SETTING, was)
+
+
+def test_workers_keep_one_store():
+    """A task of another operator drops the tokenizer and the ids that packing keeps in its worker."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def packed(batches):
+        packing.ids_of(path)
+        yield from batches
+
+    packing.drop_ids()
+    assert list(common.in_worker(packed, iter("ab"), packing.drop_ids)) == ["a", "b"]
+    assert list(common.in_worker(packed, iter("a"), packing.drop_ids)) == ["a"]
+    assert packing.ids_of.cache_info().currsize == 1 and packing.ids_of.cache_info().hits == 1
+    assert list(common.in_worker(lambda batches: batches, iter("a"), None)) == ["a"]
+    assert packing.ids_of.cache_info().currsize == 0
