@@ -152,16 +152,17 @@ def members(found: DataFrame, depth: int, share: int) -> DataFrame:
     a large region is dealt to several tasks."""
     keyed = found.withColumn("h", F.xxhash64(F.substring("key", 1, 1 + 4 * depth)))
     regions = keyed.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    return evenly(keyed, regions, "h", regions.select("h", "n"), share, ["id"]).select("id", "key", "n", "least", F.col("h").alias("region"))
+    return evenly(keyed, regions, "h", share, ["id"]).select("id", "key", "n", "least", F.col("h").alias("region"))
 
 
-def forest_candidates(inside: DataFrame, least_depth: int = LEAST_DEPTH, region: int = 32, neighbours: int = 3) -> DataFrame:
-    """(a, b, n): candidate pairs of class ids, a < b, and how often they were met."""
+def forest_candidates(inside: DataFrame, least_depth: int = LEAST_DEPTH, region: int = 32, neighbours: int = 3, save=written) -> DataFrame:
+    """(a, b, n): candidate pairs of class ids, a < b, and how often they were met. Each depth is
+    saved: it is read several times by the next, whose plan would hold as many copies of it."""
     share = share_of(inside, inside.count())
     stars = [inside.select("id", "least")]
     large = inside
     for depth in range(least_depth + 1, DEPTH + 1):
-        large = members(large.where(F.col("n") > region).select("id", "key"), depth, share)
+        large = save(members(large.where(F.col("n") > region).select("id", "key"), depth, share), "deeper")
         stars.append(large.select("id", "least"))
     star = stars[0]
     for more in stars[1:]:
@@ -199,7 +200,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
     held, share = pairs.select("a", "b"), share_of(pairs, pairs.count())
     for side, other, found in (("a", "b", "x"), ("b", "a", "y")):
         one = sets.select(F.col("id").alias(side), F.col("found").alias(found))
-        held = evenly(held, one, side, pairs.groupBy(side).agg(F.count("*").alias("n")), share, [other])
+        held = evenly(held, one, side, share, [other], pairs.groupBy(side).agg(F.count("*").alias("n")))
     held = held.select("a", "b", "x", "y")
 
     def run(batches):
@@ -226,7 +227,7 @@ def pieces(inside: DataFrame, labels: DataFrame, save=written) -> DataFrame:
     still = counts.groupBy("region").agg(F.sum("n").alias("n"), F.max_by("of", F.struct("n", -F.col("of"))).alias("main"), F.max("n").alias("most")).where("most < n")
     parts = lambda n: F.ceil(n / PIECE).cast("int")
     still = still.select("region", "main", "n", parts(F.col("n")).alias("all_parts"), parts(F.col("n") - F.col("most")).alias("minor_parts"))
-    member = evenly(placed.drop("n"), still.drop("n"), "region", still.select("region", "n"), share_of(inside, inside.count()), ["id"])
+    member = evenly(placed.drop("n"), still, "region", share_of(inside, inside.count()), ["id"]).drop("n")
     member = save(member, "still")
 
     def dealt(minor: bool) -> DataFrame:
@@ -323,7 +324,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, save) -> DataF
     known = signs.where("set_id is not null and doc_id is not null")
     classes = save(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.count("*").alias("n")), "classes")
     inside = forest_entries(classes.select("id", "signature"), save=save)
-    found = save(forest_candidates(inside), "candidates")
+    found = save(forest_candidates(inside, save=save), "candidates")
 
     # first each document's most frequent candidate, so that few pairs need both sets
     both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
@@ -348,7 +349,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, save) -> DataF
 
     named = classes.select("set_id", "id").join(labels, "id", "left").select("set_id", F.coalesce("component", "id").alias("component"))
     rows_of = signs.select("doc_id", "n_shingles", "set_id").where("set_id is not null")
-    joined = evenly(rows_of, named, "set_id", classes.select("set_id", "n"), share_of(signs, signs.count()), ["doc_id"], "left")
+    joined = evenly(rows_of, named, "set_id", share_of(signs, signs.count()), ["doc_id"], classes.select("set_id", "n"), "left")
     out = joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
     out = out.union(signs.where("set_id is null").select("doc_id", "n_shingles", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -207,6 +207,20 @@ def test_near_duplicates_of_a_hub(spark):
     check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
 
 
+def test_near_duplicates_plan_each_step_once(spark, monkeypatch):
+    """No plan holds copies of copies of a step that could have been saved: the driver's memory grows by them."""
+    leaves, save = {}, neardup.Scratch.written
+
+    def counted(self, df, name):
+        leaves[name] = max(leaves.get(name, 0), df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return save(self, df, name)
+
+    monkeypatch.setattr(neardup.Scratch, "written", counted)
+    docs = [*hub(24, 0, 60, 30), *hub(25, 1000, 7, 4)]
+    check_near(spark.createDataFrame(docs, "doc_id long, text string"), docs)
+    assert {"candidates", "edges", "star", "labels"} <= set(leaves) and max(leaves.values()) <= 12, leaves
+
+
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=400), st.sets(st.integers(0, 2**64 - 1), max_size=60), st.integers(0, 60))
 @settings(max_examples=60, deadline=None)
 def test_sketches_refute_no_near_pair(x, more, less):
