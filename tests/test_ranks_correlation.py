@@ -212,3 +212,19 @@ def test_pivot_pearson_in_tiles(spark, monkeypatch):
         got = correlation.pivot_pearson(df, "i", "g", "v", groups).collect()
         assert len(got) == 23 * 24 // 2 and {(r.a, r.b) for r in got} == {(a, b) for a in want for b in want if a <= b}
         assert all(r.n == 28 and (r.r is None if "s5" in (r.a, r.b) else abs(r.r - want.loc[r.a, r.b]) < 1e-9) for r in got)
+
+
+def test_tiles_send_no_blocks(spark, monkeypatch):
+    """Blocks aren't sent to each tile, which would take the square of the groups: tiles read them from the shared
+    folder. A block's rows are the same however its files and the tile's arrays divide them."""
+    monkeypatch.setattr(correlation, "WIDE", 4)
+    rng = random.Random(5)
+    values = {(i, f"s{g}"): 50 + rng.random() for i in range(2500) for g in range(9)}
+    df = spark.createDataFrame([(*k, v) for k, v in values.items()], "i int, g string, v double").repartition(3)
+    found = correlation.pivot_pearson(df, "i", "g", "v")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = np.corrcoef(np.array([[values[i, f"s{g}"] for g in range(9)] for i in range(2500)]).T)
+    got = {(r.a, r.b): (r.r, r.n) for r in found.collect()}
+    assert set(got) == {(f"s{a}", f"s{b}") for a in range(9) for b in range(a, 9)}
+    assert all(n == 2500 and abs(r - want[int(a[1:]), int(b[1:])]) < 1e-9 for (a, b), (r, n) in got.items())
+    assert [correlation.tile(k) for k in range(6)] == [(0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2)]
