@@ -133,9 +133,8 @@ def indexed_vcf(spark, sf_dir) -> str:
     """The cells' lines as one block-gzipped VCF file, sorted, with its index; the path."""
     path = f"{shared_path(spark, 'indexed').removeprefix('file:')}/cells.vcf.gz"
     lines = vcf_lines(spark, sf_dir)
-    genes = [r.gene for r in proxy(spark, sf_dir, "cell_position").select("gene").distinct().orderBy("gene").collect()]
     p = F.split("value", "\t")
-    blocktext.write_indexed_text(lines.select(p[0].alias("name"), p[1].cast("long").alias("pos"), F.length(p[3]).alias("ref_length"), "value"), path, genes, VCF_HEAD)
+    blocktext.write_indexed_text(lines.select(p[0].alias("name"), p[1].cast("long").alias("pos"), F.length(p[3]).alias("ref_length"), "value"), path, None, VCF_HEAD)
     return path
 
 

@@ -8,8 +8,8 @@ first break behind its end. Lines come as Arrow batches; `ord` is a line's virtu
 from __future__ import annotations
 
 import os
+import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from .bgzf import BlockWriter, Stream, block_length, first_block, join_parts
-from .binning import VCF, Index, read_tbi, write_tbi
+from .binning import VCF, Index, read_tbi
 from .files import opened, size_of
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -259,49 +259,157 @@ def split_of(path: str, parts: int = 64, least: int = 100_000, most: int = 64 <<
     return min(max(size_of(path) // parts, least), most)
 
 
-def write_indexed_text(lines: DataFrame, path: str, names: list[str], header: list[str], layout: tuple = VCF) -> int:
+def write_indexed_text(lines: DataFrame, path: str, names: list[str] | None, header: list[str], layout: tuple = VCF, descending: bool = False, contigs_at: int | None = None) -> int:
     """One block-gzipped file of (name, pos, ref_length, value), in order of `names`, pos and
-    value, below the header lines, and its index; gives the number of lines. Spark sorts by
-    ranges, each task writes its blocks and the index of its part, and the parts are joined as
-    they are. A part's index holds the names that its range has, not all of them or its lines. The folder must be a
+    value, below the header lines, and its index; gives the number of lines. Without `names` they are those of
+    the lines, in order, or, with `descending`, from the last to the first, and no list of them reaches the
+    driver; the header line of this number (contigs_at) is then behind a line ##contig for each name.
+
+    Spark sorts by ranges, and each task writes its blocks and, name by name, the index of its part. Where the parts
+    lie in the file is then known, and a second pass moves their indexes, a task for each. The parts
+    of both files are joined as they are; the driver has a row for each part. The folder must be a
     file system that all executors mount; names that aren't listed are an error."""
     spark, parts = lines.sparkSession, f"{path}.parts-{uuid.uuid4().hex}"
     os.makedirs(parts)
-    numbers = {n: i for i, n in enumerate(names)}
-    known: Column = F.coalesce("place", F.raise_error(F.concat(F.lit("no such name: "), F.coalesce("name", F.lit("null")))).cast("long"))
-    dealt = placed(lines, names, "name").select("name", F.col("pos").cast("long").alias("pos"), F.col("ref_length").cast("long").alias("ref_length"), "value", known.alias("place"))
-    dealt = dealt.orderBy("place", "pos", "value").select("name", "pos", "ref_length", "value")
+    order: list[Column] = [F.col("pos"), F.col("value")]
+    if names is None:
+        known: Column = F.coalesce("name", F.raise_error(F.lit("no such name: null")).cast("string"))
+        dealt = lines.select(known.alias("name"), F.col("pos").cast("long").alias("pos"), F.col("ref_length").cast("long").alias("ref_length"), "value", F.lit(0).cast("long").alias("place"))
+        order = [F.desc("name") if descending else F.col("name"), *order]
+    else:
+        known = F.coalesce("place", F.raise_error(F.concat(F.lit("no such name: "), F.coalesce("name", F.lit("null")))).cast("long"))
+        dealt = placed(lines, names, "name").select("name", F.col("pos").cast("long").alias("pos"), F.col("ref_length").cast("long").alias("ref_length"), "value", known.alias("place"))
+        order = [F.col("place"), *order]
+    dealt = dealt.orderBy(*order).select("name", "pos", "ref_length", "value", "place")
 
     def write(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        name, index, n = f"{parts}/{task.partitionId():05d}-{task.taskAttemptId()}", Index(), 0
-        own: dict[str, int] = {}
-        with open(name, "wb") as f:
-            out = BlockWriter(f)
+        file, n, refs, length = f"{parts}/{task.partitionId():05d}-{task.taskAttemptId()}", 0, 0, 0
+        first, name, at, index = None, None, 0, Index()
+        with open(file, "wb") as f, open(f"{file}.marks", "wb") as m, open(f"{file}.names", "wb") as a, open(f"{file}.contigs", "wb") as c:
+            out, marks, listed, contigs = (BlockWriter(x) for x in (f, m, a, c))
+
+            def done():
+                text, body = name.encode(), index.body(1)[:-8]
+                marks.write(struct.pack(MARK, len(text), len(body), at) + text + body)
+
             for batch in batches:
-                for ref, pos, length, value in zip(*(c.to_pylist() for c in batch.columns)):
+                for ref, pos, ref_length, value, place in zip(*(c.to_pylist() for c in batch.columns)):
+                    if ref != name:
+                        if refs:
+                            done()
+                            # whether the first name of a part is new is known when there are all parts
+                            listed.write(ref.encode() + b"\0")
+                            contigs.write(contig_line(ref))
+                        else:
+                            first = ref
+                        name, at, index, refs, length = ref, place, Index(), refs + 1, length + len(ref.encode()) + 1
                     begin = out.tell()
                     out.write(value.encode() + b"\n")
-                    index.add(own.setdefault(ref, len(own)), pos - 1, pos - 1 + max(length or 1, 1), begin, out.tell())
+                    index.add(0, pos - 1, pos - 1 + max(ref_length or 1, 1), begin, out.tell())
                     n += 1
+            if refs:
+                done()
+            for x in (out, marks, listed, contigs):
+                x.flush()
+        if n:
+            yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": file, "n": n, "refs": refs, "length": length, "first": first, "last": name, "place": at}])
+
+    made = sorted(dealt.mapInArrow(write, PART).collect())
+    fresh = [not k or made[k - 1].last != r.first for k, r in enumerate(made)]  # the part's first name isn't that of the part before
+
+    def small(name: str, data: bytes) -> tuple[str, int]:
+        with open(f"{parts}/{name}", "wb") as f:
+            out = BlockWriter(f)
+            out.write(data)
             out.flush()
-        marks = zlib.compress(index.body(len(own)), 1)
-        yield pa.RecordBatch.from_pylist([{"part": task.partitionId(), "file": name, "size": os.path.getsize(name), "n": n, "names": list(own), "marks": marks}])
-
-    made = sorted(dealt.mapInArrow(write, "part long, file string, size long, n long, names array<string>, marks binary").collect())
-    with open(f"{parts}/head", "wb") as f:
-        out = BlockWriter(f)
-        out.write("".join(f"{x}\n" for x in header).encode())
-        out.flush()
-    with open(f"{parts}/head", "rb") as f:
-        places = join_parts(spark, f.read(), [(r.file, r.size) for r in made], path)
-    whole = Index()
-    for r, at in zip(made, places):
-        whole.append(Index().read_body(zlib.decompress(r.marks), 0, len(r.names)), at, dict(enumerate(numbers[x] for x in r.names)))
-    write_tbi(f"{path}.tbi", whole, names, layout)
+        return with_size(f"{parts}/{name}")
+
+    def by_name(suffix: str, of) -> list[tuple[str, int]]:
+        """What tasks wrote of their names, with that of each part's first name before it."""
+        return [p for k, r in enumerate(made) for p in ([small(f"{k}.first{suffix}", of(r.first))] if fresh[k] else []) + [with_size(f"{r.file}{suffix}")]]
+
+    cut = len(header) if contigs_at is None or names is not None else contigs_at
+    top, below = ("".join(f"{x}\n" for x in part).encode() for part in (header[:cut], header[cut:]))
+    lead = [small("head", top), *(by_name(".contigs", contig_line) if cut < len(header) else []), small("below", below)]
+    places = join_parts(spark, b"", [*lead, *(with_size(r.file) for r in made)], path)[len(lead) :]
+
+    moved = []
+    for k, r in enumerate(made):
+        more = []  # the parts on which the last name goes on
+        for j in range(k + 1, len(made) if fresh[k] or r.refs > 1 else 0):
+            if made[j].first != r.last:
+                break
+            more.append((made[j].file, places[j]))
+            if made[j].refs > 1:
+                break
+        moved.append((r.file, places[k], not fresh[k], made[k - 1].place if k else 0, more))
+
+    def move(batches):
+        for batch in batches:
+            for file, place, skip, before, more in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(f"{file}.tbi", "wb") as f:
+                    out, entries = BlockWriter(f), part_index(file)
+                    if skip:  # a part before has it
+                        next(entries)
+                    held = next(entries, None)
+                    while held is not None:
+                        (_, at, own), following = held, next(entries, None)
+                        whole = Index()
+                        whole.append(own, place)
+                        for other, where in ((x["file"], x["at"]) for x in more if following is None):
+                            whole.append(next(part_index(other))[2], where)
+                        out.write(NO_RECORDS * (at - before - 1))  # names that are listed but have no lines
+                        out.write(whole.body(1)[:-8])
+                        before, held = at, following
+                    out.flush()
+            yield batch
+
+    if moved:
+        kind = "file string, place long, skip boolean, before long, more array<struct<file:string,at:long>>"
+        spark.createDataFrame(moved, kind).repartition(len(moved), "place").mapInArrow(move, kind).write.format("noop").mode("overwrite").save()
+    if names is None:
+        count = sum(r.refs - (not new) for r, new in zip(made, fresh))
+        length = sum(r.length - (0 if new else len(r.first.encode()) + 1) for r, new in zip(made, fresh))
+        listed, gap = by_name(".names", lambda x: x.encode() + b"\0"), b""
+    else:
+        text = b"".join(n.encode() + b"\0" for n in names)
+        count, length, listed = len(names), len(text), [small("names", text)]
+        gap = NO_RECORDS * (len(names) - (made[-1].place if made else 0))
+    head = small("index-head", b"TBI\1" + struct.pack("<8i", count, *layout, length))
+    join_parts(spark, b"", [head, *listed, *(with_size(f"{r.file}.tbi") for r in made), small("index-tail", gap + struct.pack("<Q", 0))], f"{path}.tbi")
     for name in os.listdir(parts):
         os.remove(f"{parts}/{name}")
     os.rmdir(parts)
     return sum(r.n for r in made)
+
+
+#: Before a name's index in a part's file: the lengths of the name and of the index, and the name's place in a list, or 0.
+MARK = "<iiq"
+#: The index of a name without records.
+NO_RECORDS = struct.pack("<ii", 0, 0)
+#: A written part: its lines, its names and their bytes, and the place of the last one.
+PART = "part long, file string, n long, refs long, length long, first string, last string, place long"
+
+
+def with_size(file: str) -> tuple[str, int]:
+    return file, os.path.getsize(file)
+
+
+def contig_line(name: str) -> bytes:
+    return f"##contig=<ID={name}>\n".encode()
+
+
+def part_index(file: str) -> Iterator[tuple[str, int, Index]]:
+    """(name, place, index) of the names of a part, one after the other."""
+    with open(f"{file}.marks", "rb") as f:
+        stream, at = Stream(f, 0), 0
+        while stream.has(at + struct.calcsize(MARK)):
+            name, body, place = struct.unpack(MARK, stream.bytes(at, at + struct.calcsize(MARK)))
+            at += struct.calcsize(MARK)
+            stream.has(at + name + body)
+            yield stream.bytes(at, at + name).decode(), place, Index().read_body(stream.bytes(at + name, at + name + body), 0, 1)
+            at += name + body
+            stream.drop(at)

@@ -4,6 +4,7 @@ import gzip
 import os
 import random
 import struct
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -254,3 +255,43 @@ def test_fastq_that_grows(spark, tmp_path):
         for size in range(start, 3000, 61):
             end = fastq.complete(str(folder / "a.fastq"), start, size, window=50)
             assert data[:end].count(b"\n") % 4 == 0 and end <= size and data[end:size].count(b"\n") < 4
+
+
+def traced(step):
+    """What a step gives, and the most bytes that it held in this process."""
+    tracemalloc.start()
+    try:
+        return step(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_index_is_not_held_by_the_driver(spark, tmp_path):
+    """Each name's linear index has a value for every 16 KiB before it; the driver has none of them."""
+    path, far = str(tmp_path / "far.vcf.gz"), 200_000_000
+    df = spark.createDataFrame([(f"g{k}", far + k, 1, f"g{k}\t{far + k}\tx") for k in range(300)], "name string, pos long, ref_length int, value string")
+    n, most = traced(lambda: blocktext.write_indexed_text(df, path, [f"g{k}" for k in range(300)], ["#h"]))
+    assert n == 300 and most < 300 * (far >> 14) * 8 / 4
+    assert [r.value for r in blocktext.read_indexed_text(spark, path).where("name = 'g77'").collect()] == [f"g77\t{far + 77}\tx"]
+
+
+def test_names_of_the_lines(spark, tmp_path):
+    """Without a list of names, the file and its index are those of the list of the lines' names; a name may be in many parts."""
+    lines = [(n, p, 1, f"{n}\t{p}\t{'x' * (p % 50)}") for n, most in (("a", 3), ("b", 4000), ("b2", 1), ("ä", 900), ("c", 1)) for p in range(1, most * 20, 20)]
+    df = spark.createDataFrame(lines, "name string, pos long, ref_length int, value string").repartition(6)
+    for descending in (False, True):
+        names = sorted({x[0] for x in lines}, key=str.encode, reverse=descending)
+        paths = [str(tmp_path / f"{kind}-{descending}.gz") for kind in ("own", "listed", "contigs")]
+        blocktext.write_indexed_text(df, paths[0], None, ["#a", "#b"], descending=descending)
+        blocktext.write_indexed_text(df, paths[1], names, ["#a", "#b"])
+        blocktext.write_indexed_text(df, paths[2], None, ["#a", "#b"], descending=descending, contigs_at=1)
+        texts = [gzip.open(p, "rt").read().splitlines() for p in paths]
+        assert texts[0] == texts[1] == ["#a", "#b"] + [x[3] for n in names for x in lines if x[0] == n]
+        assert texts[2] == ["#a", *(f"##contig=<ID={n}>" for n in names), *texts[0][1:]]
+        own, listed, more = (binning.read_tbi(f"{p}.tbi") for p in paths)
+        assert own[1:] == listed[1:] == more[1:] == (names, binning.VCF) and own[0].bins == listed[0].bins and own[0].linear == listed[0].linear
+        for n in names:
+            assert sorted(r.value for r in blocktext.read_indexed_text(spark, paths[2]).where(F.col("name") == n).collect()) == sorted(x[3] for x in lines if x[0] == n)
+    none = str(tmp_path / "none.gz")
+    assert blocktext.write_indexed_text(df.where("pos < 0"), none, None, ["#a"], contigs_at=0) == 0
+    assert gzip.open(none, "rt").read() == "#a\n" and blocktext.read_indexed_text(spark, none).count() == 0 and binning.read_tbi(f"{none}.tbi")[1] == []
