@@ -91,11 +91,10 @@ def fasta_lengths(spark, sf_dir):
 def window_file_order(spark, sf_dir):
     """One block-gzipped window VCF file: the place of each record, with contigs in the given order."""
     found = windows.cell_windows(proxy(spark, sf_dir, "cell_position")).where(F.col("cell").isin(CELLS))
-    genes = [r.gene for r in found.select("gene").distinct().orderBy(F.desc("gene")).collect()]
     path = f"{shared_path(spark, 'window-file').removeprefix('file:')}/windows.vcf.gz"
-    sinks.write_window_file(found, CELLS, genes, path)
+    sinks.write_window_file(found, CELLS, None, path, descending=True)
     lines = blocktext.read_block_text(spark, path, split=blocktext.split_of(path)).where(~F.col("value").startswith("#"))
-    parsed = vcf.parse_windows(lines, vcf.block_header(path)[0]).groupBy("gene", "win", "win_end").agg(F.sum("dp").alias("dp"), F.count("*").alias("n"))
+    parsed = vcf.parse_windows(lines, vcf.block_cells(path)).groupBy("gene", "win", "win_end").agg(F.sum("dp").alias("dp"), F.count("*").alias("n"))
     # a record's place comes from where its line lies in the file
     p = F.split("value", "\t")
     at = lines.select(p[0].alias("gene"), p[1].cast("long").alias("win"), "ord", F.lit(1).cast("long").alias("one"))

@@ -54,13 +54,14 @@ def write_window_vcf(windows: DataFrame, cells: list[str], contigs: list[str], p
     head.union(body).orderBy("a", "b").select("value").write.text(path, compression="gzip")
 
 
-def write_window_file(windows: DataFrame, cells: list[str], contigs: list[str], path: str) -> int:
+def write_window_file(windows: DataFrame, cells: list[str], contigs: list[str] | None, path: str, descending: bool = False) -> int:
     """One block-gzipped window VCF file (which any gzip reader takes), the header first and records
-    in order of contig and position, with its TBI index; gives the number of records."""
+    in order of contig and position, with its TBI index; gives the number of records. Without `contigs`
+    they are the windows' genes in order (or descending), which don't reach the driver."""
     reach = F.split(F.col("value"), "\t")[7]
     lines = window_vcf_lines(windows, cells).select(F.col("gene").alias("name"), F.col("win").alias("pos"), "value")
     length = F.regexp_extract(reach, r"WIN_END=(\d+)", 1).try_cast("long") - F.col("pos") + 1
-    return write_indexed_text(lines.withColumn("ref_length", F.coalesce(length, F.lit(1))), path, contigs, window_vcf_header(cells, contigs))
+    return write_indexed_text(lines.withColumn("ref_length", F.coalesce(length, F.lit(1))), path, contigs, window_vcf_header(cells, contigs or []), descending=descending, contigs_at=1)
 
 
 def read_table(stats: DataFrame, every: bool = False) -> DataFrame:

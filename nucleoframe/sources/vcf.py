@@ -173,14 +173,19 @@ def read_region(spark: SparkSession, store: str, gene: str, first: int | None =
 
 def read_block_cells(spark: SparkSession, path: str, split: int = 64 << 20) -> tuple[DataFrame, list[str]]:
     """The lines of a block-gzipped cell VCF file in splits, and its cells."""
-    return read_block_text(spark, path, split=split), block_header(path)[0]
+    return read_block_text(spark, path, split=split), block_cells(path)
 
 
-def block_header(path: str) -> tuple[list[str], list[str]]:
+def block_cells(path: str) -> list[str]:
+    """The cells of a block-gzipped file; its contigs aren't held."""
+    return block_header(path, False)[0]
+
+
+def block_header(path: str, listed: bool = True) -> tuple[list[str], list[str]]:
     """(cells, contigs) of a block-gzipped file, of which no more than the header is read."""
     contigs, cells = [], []
     for _, line in raw_lines(path, 0, 1 << 62):
-        if line.startswith(b"##contig=<ID="):
+        if listed and line.startswith(b"##contig=<ID="):
             contigs.append(re.split("[,>]", line.decode()[13:])[0])
         elif line.startswith(b"#CHROM"):
             cells = line.decode().rstrip("\r").split("\t")[9:]
@@ -198,7 +203,7 @@ def read_indexed_region(spark: SparkSession, path: str, gene: str, first: int |
         held = held.where(F.col("pos") >= first)
     if last is not None:
         held = held.where(F.col("pos") <= last)
-    return parse_cell_positions(held.select("value"), block_header(path)[0])
+    return parse_cell_positions(held.select("value"), block_cells(path))
 
 
 def parse_base(raw: DataFrame, include_oth: bool = False, min_coverage: int = 100) -> DataFrame:

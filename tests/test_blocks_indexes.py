@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from nucleoframe import sinks
 from nucleoframe.sources import bam, bgzf, binning, blocktext, fastq, vcf
 
 HEADER = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:T{i}\tLN:{1 << 20}\n" for i in range(4))
@@ -295,3 +296,13 @@ def test_names_of_the_lines(spark, tmp_path):
     none = str(tmp_path / "none.gz")
     assert blocktext.write_indexed_text(df.where("pos < 0"), none, None, ["#a"], contigs_at=0) == 0
     assert gzip.open(none, "rt").read() == "#a\n" and blocktext.read_indexed_text(spark, none).count() == 0 and binning.read_tbi(f"{none}.tbi")[1] == []
+
+
+def test_window_file_of_its_own_genes(spark, tmp_path):
+    """The contigs of a window file are its genes, from the last to the first, without a list of them."""
+    rows = [(f"g{k}", w, w + 9, "c1", 300, 3, 0.01) for k in range(40) for w in (1, 11)]
+    df = spark.createDataFrame(rows, "gene string, win long, win_end long, cell string, dp long, ad long, mr double")
+    path = str(tmp_path / "w.vcf.gz")
+    assert sinks.write_window_file(df, ["c1", "c2"], None, path, descending=True) == 80
+    assert vcf.block_header(path) == (["c1", "c2"], sorted({r[0] for r in rows}, reverse=True)) and vcf.block_cells(path) == ["c1", "c2"]
+    assert [x.split("\t")[0] for x in gzip.open(path, "rt") if x[0] != "#"] == [n for n in sorted({r[0] for r in rows}, reverse=True) for _ in range(2)]
