@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from .bgzf import BlockWriter, Stream, block_length, first_block, join_parts
-from .binning import VCF, Index, read_tbi
+from .binning import VCF, Index, references
 from .files import opened, size_of
 
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
@@ -197,11 +197,10 @@ class IndexedReader(DataSourceReader):
         first = 0 if region.first is None else max(region.first - 1, 0)
         last = (1 << 29) if region.last is None else region.last
         for path in self.paths:
-            index, names, layout = read_tbi(f"{path}.tbi")
-            for ref, name in enumerate(names):
-                if region.names is None or name in region.names:
-                    for chunk in index.chunks(ref, first, last):
-                        out += [InputPartition((path, layout, name, *part)) for part in index.cuts(ref, *chunk, self.split)]
+            layout, found = references(f"{path}.tbi", region.names)
+            for name, index in found:
+                for chunk in index.chunks(0, first, last):
+                    out += [InputPartition((path, layout, name, *part)) for part in index.cuts(0, *chunk, self.split)]
         return out or [InputPartition(None)]
 
     def read(self, partition):

@@ -306,3 +306,21 @@ def test_window_file_of_its_own_genes(spark, tmp_path):
     assert sinks.write_window_file(df, ["c1", "c2"], None, path, descending=True) == 80
     assert vcf.block_header(path) == (["c1", "c2"], sorted({r[0] for r in rows}, reverse=True)) and vcf.block_cells(path) == ["c1", "c2"]
     assert [x.split("\t")[0] for x in gzip.open(path, "rt") if x[0] != "#"] == [n for n in sorted({r[0] for r in rows}, reverse=True) for _ in range(2)]
+
+
+def test_index_is_read_piece_by_piece(tmp_path):
+    """A region of one name doesn't hold the index of the others."""
+    index, names = binning.Index(), [f"g{k}" for k in range(3000)]
+    for k in range(3000):
+        index.add(k, 9_000_000 + k, 9_000_001 + k, k << 20, (k << 20) + 9)
+    path = str(tmp_path / "x.gz")
+    binning.write_tbi(f"{path}.tbi", index, names)
+    found, most = traced(lambda: [p.value for p in blocktext.IndexedReader([path], 64 << 20, blocktext.Region({"g2900", "no"})).partitions()])
+    assert found == [(path, binning.VCF, "g2900", 2900 << 20, (2900 << 20) + 9)] and most < 5_000_000 < 3000 * (9_000_000 >> 14) * 8
+    assert [(n, i.bins[0]) for n, i in binning.references(f"{path}.tbi")[1]] == [(n, index.bins[k]) for k, n in enumerate(names)]
+    with open(f"{path}.tbi", "rb") as f:
+        cut = f.read()[: bgzf.starts(f"{path}.tbi")[2]]
+    with open(f"{path}.tbi", "wb") as f:
+        f.write(cut)
+    with pytest.raises(ValueError):
+        list(binning.references(f"{path}.tbi")[1])
